@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import url_filter
+from corpusmill.llm import packing, token_counts, token_file, url_filter
+from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,26 @@ fits AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
          FROM parts p LEFT JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path))
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
 """
+
+
+# -- 2, 3, 7: token ids (SQL has no tokenizers; tests hold them against the library)
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as directly addressable codes, written and read back."""
+    path = shared_dir(spark, "token-files")
+    token_file.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_file.token_spans(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into sequences of 4096 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
