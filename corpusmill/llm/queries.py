@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, packing, simhash, token_counts, token_file, url_filter
+from corpusmill.llm import decontamination, language_id, packing, simhash, token_counts, token_file, url_filter
 from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, with the item and the overlap."""
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# -- 1: language ID (tests: gradients, held-out accuracy)
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
