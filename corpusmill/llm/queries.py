@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, packing, simhash, token_counts, token_file, url_filter
+from corpusmill.llm import chat, decontamination, language_id, packing, simhash, token_counts, token_file, url_filter
 from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,43 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     out = language_id.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+# -- 10: chat formatting
+
+EXTRA_TURNS = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that consists of control strings, formatted and read back."""
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{EXTRA_TURNS}'), (-1L, 1L, 'assistant', '{EXTRA_TURNS}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    back = chat.read_back(chat.format_windows(turns))
+    digest = lambda c: F.sha2(F.col(c), 256)
+    return back.select(
+        "conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        digest("loss_text").alias("loss_sha256"), "formatted_chars",
+    )
+
+
+_ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\0'), '<s>', '\1s>'), '</s>', '\1/s>'), '[INST]', '\2INST]'), '[/INST]', '\2/INST]')"
+ORACLES["op10_chat"] = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS raw FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '{EXTRA_TURNS}'), (-1, 1, 'assistant', '{EXTRA_TURNS}')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) AS number FROM turns),
+sized AS (SELECT *, (length({_ESCAPED.format('raw')}) + CASE WHEN role = 'assistant' THEN 0 ELSE 15 END)
+                 + length(replace({_ESCAPED.format('role')}, chr(10), '\\3')) + length(number::VARCHAR) + 11 AS chars FROM numbered),
+tokens AS (SELECT *, (chars + 3) // 4 AS size, min(CASE WHEN role = 'system' THEN number END) OVER (PARTITION BY conv_id) AS system FROM sized),
+halved AS (SELECT *, greatest(16, ({chat.BUDGET - chat.HISTORY} - coalesce(max(CASE WHEN number = system THEN size END) OVER (PARTITION BY conv_id), 0)) // 2) AS half FROM tokens),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                  coalesce(sum((size > half)::INT) OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS large FROM halved),
+spans AS (SELECT conv_id, start // half AS bin, large, size > half AS own, min(start) AS s, min(number) AS f, max(system) AS system FROM placed GROUP BY ALL),
+repeats AS (SELECT w.conv_id, sum(t.chars) AS chars FROM spans w JOIN placed t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.number < w.f
+            AND (t.number = w.system OR w.s - t.start <= {chat.HISTORY}) GROUP BY w.conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || raw || chr(10), '' ORDER BY number)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(raw) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN raw END, '' ORDER BY number), '')) AS loss_sha256,
+       (sum(placed.chars) + coalesce(max(r.chars), 0))::BIGINT AS formatted_chars
+FROM placed LEFT JOIN repeats r USING (conv_id) GROUP BY conv_id
+"""
