@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontamination, language_id, packing, simhash, token_counts, token_file, url_filter
+from corpusmill.llm import chat, decontamination, language_id, packing, simhash, token_counts, token_file, url_filter, warc
 from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || raw ||
        (sum(placed.chars) + coalesce(max(r.chars), 0))::BIGINT AS formatted_chars
 FROM placed LEFT JOIN repeats r USING (conv_id) GROUP BY conv_id
 """
+
+
+# -- 5: WARC
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written and read back."""
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archives(spark, path)
+    of_payload = lambda own, told: F.when(F.col("record_type") == "response", own).otherwise(told)
+    return back.select(
+        "page_id",
+        of_payload(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        of_payload(warc.base32_sha1(F.col("payload")), F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+_BASE32 = " || ".join(f"to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8))
+ORACLES["op5_warc"] = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM hashed)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM grouped
+"""
