@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontamination, language_id, packing, simhash, token_counts, token_file, url_filter, warc
+from corpusmill.llm import chat, decontamination, language_id, minhash, packing, simhash, token_counts, token_file, url_filter, warc
 from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,12 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM grouped
 """
+
+
+# -- 4: document fingerprints (SQL has no XXH64 here; tests hold them against the definition)
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts."""
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
