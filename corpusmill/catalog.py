@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.plans import answer_queries, corpus_queries, evaluation_queries, index_queries, retrieval_queries, routing_queries, scalar_queries  # noqa: F401
+from corpusmill.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "hybrid_rrf"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
