@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,37 +77,94 @@ def blank_chunks(text: str) -> list[str]:
     return [*([first] if first else []), *[f" {x}" for x in rest]]
 
 
+#: Letters that every Unicode version has; one of them never shares a piece with the punctuation after it.
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáçèéêëíîïñóôöœùúûüßÀÄÉÖÜ")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The usual character of each byte in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Remembered(dict):
+    """Ids of strings (with ``before`` put before each), encoded when first asked for.
+
+    Words of plain letters are one piece for certain and go straight to the library's model, in lower
+    case if the tokenizer has it so; a comma or full stop after a letter is a piece of its own.
+    """
+
+    _bytes = _byte_characters()
+
+    def __init__(self, tokenizer, before: str, lower: bool = False):
+        self.tokenizer, self.before, self.lower, self.bare = tokenizer, before, lower, self
+        own = lambda x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        self.stops, self.feed = {x: own(x) for x in ",."}, own("\n")
+        words = ["the", "Hello", "Straße", "naïve", "ÉcoleÖ", "qzxüj"]
+        self.straight = all(self._model(w) == self._library(w) for w in words)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(self.before + text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, word: str) -> bytes:
+        word = (self.before + (word.lower() if self.lower else word)).encode().decode("latin-1").translate(self._bytes)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def __missing__(self, text: str) -> bytes:
+        mark = self.stops.get(text[-1:])
+        if mark is not None and text[-2:-1] in LETTERS:
+            return self[text[:-1]] + mark
+        if self.straight and text and LETTERS.issuperset(text):
+            ids = self._model(text)
+        else:
+            left, feed, right = text.partition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():  # a lone line feed is a piece of its own
+                return self[left] + self.feed + self.bare[right]
+            ids = self._library(text)
+        self[text] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Token ids of chunks, from the tokenizers library, each distinct chunk encoded once while it is remembered.
+    """Token ids from the tokenizers library, each distinct chunk encoded once while it is remembered.
 
     Ids are kept as bytes (little-endian unsigned 32-bit), so that the ids of a text are one join.
-    The memory is bounded: at ``limit`` chunks it starts anew.
+    The memory is bounded: above ``limit`` chunks it starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        import numpy as np
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        self._np, self.limit = np, limit
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, chunks: Iterable[str]) -> bytes:
-        chunks = list(chunks)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({x for x in chunks if x not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = self._np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        lower = self.tokenizer.encode("HELLO", add_special_tokens=False).ids == self.tokenizer.encode("hello", add_special_tokens=False).ids
+        self.bare, self.spaced = _Remembered(self.tokenizer, "", lower), _Remembered(self.tokenizer, " ", lower)
+        self.spaced.bare = self.bare
+
+    def _trim(self) -> None:
+        if len(self.bare) + len(self.spaced) > self.limit:
+            self.bare.clear()
+            self.spaced.clear()
+
+    def text(self, text: str) -> bytes:
+        """Ids of a text for a tokenizer that gives a blank to the word after it (see ``blank_chunks``)."""
+        self._trim()
+        if _ODD_BLANK.search(text):
+            return b"".join([self.bare[x] for x in blank_chunks(text)])
+        first, *rest = text.split(" ")
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+
+    def words(self, text: str) -> bytes:
+        """Ids of a text for a tokenizer that drops white space."""
+        self._trim()
+        return b"".join(map(self.bare.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text that may hold special strings: the library sees all of it."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _encoders: dict[str, ChunkEncoder] = {}

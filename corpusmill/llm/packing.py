@@ -22,14 +22,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def word_ids(path: str, text: str | None) -> bytes:
     """Ids of a whole text from a tokenizer that drops white space, so that words are encoded independently of each other."""
-    import numpy as np
-
     if not text:
         return b""
     known = encoder(path)
-    if "<|" in text:  # may hold a special string: the library sees the whole text
-        return np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return known.encode(filter(None, text.replace("\n", " ").split(" ")))
+    return known.whole(text) if "<|" in text else known.words(text)
 
 
 def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:

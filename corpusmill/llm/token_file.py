@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import encoder, partitions, stored, tokenizer_file, blank_chunks
+from corpusmill.llm.common import encoder, partitions, stored, tokenizer_file
 
 MAGIC, HEAD = b"DAC1", struct.Struct("<4sQIIQQQII")
 CHUNK_BITS, RANK_BITS = 8, 512
@@ -138,14 +138,10 @@ def segments(data) -> Iterator[Segment]:
 
 def text_ids(path: str, text: str | None) -> bytes:
     """Ids of a whole text as the library gives them, as little-endian unsigned 32-bit integers."""
-    import numpy as np
-
     if not text:
         return b""
     known = encoder(path)
-    if "<|" in text:  # may hold a special string: the library sees the whole text
-        return np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return known.encode(blank_chunks(text))
+    return known.whole(text) if "<|" in text else known.text(text)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
