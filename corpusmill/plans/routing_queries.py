@@ -1 +1,247 @@
-"""Queries."""
+"""Queries of routing and of answers from metadata."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.functions import patterns as P
+from corpusmill.functions import text as T
+from corpusmill.operators import lookups as L
+from corpusmill.plans.fixtures import Inputs
+from corpusmill.plans.registry import query
+
+_CASE_OF = "upper(m.p) || ' ' || lpad(m.n, greatest(3, length(m.n))::INT, '0') || '/' || m.y"
+_ASKED = rf"""asked0 AS (SELECT qid, question, answer_type, list_distinct(list_transform(regexp_extract_all(question, '{P.CASE_ID}', ['p','n','y']), lambda m: {_CASE_OF})) AS ids,
+ list_transform(regexp_extract_all(question, '{P.CASE_ID}', ['p','n','y']), lambda m: {_CASE_OF}) AS all_ids FROM fx_questions),
+asked AS (SELECT qid, question, answer_type, unnest(ids) AS case_id, all_ids FROM asked0)"""
+
+
+def _asked(t: Inputs) -> DataFrame:
+    return L.asked_cases(t.fx("questions"))
+
+
+def _hits(t: Inputs) -> DataFrame:
+    return L.with_documents(_asked(t), t.fx("case_docs"))
+
+
+_DOCS = f"WITH {_ASKED}, hits AS (SELECT a.*, list_position(a.all_ids, a.case_id) AS ord, d.* EXCLUDE (case_id) FROM asked a JOIN fx_case_docs d ON a.case_id = d.case_id)"
+
+
+@query(_DOCS + " SELECT qid, case_id, doc_ord, o_orderkey AS doc FROM hits")
+def route_cases(t: Inputs) -> DataFrame:
+    return _hits(t).select("qid", "case_id", "doc_ord", F.col("o_orderkey").alias("doc"))
+
+
+_LAWS = [("employment law", 101), ("operating law", 102), ("trust law", 103), ("data protection law", 104)]
+_LAW_SQL = "laws(name, doc) AS (VALUES " + ", ".join(map(str, _LAWS)) + ")"
+
+
+def _laws(t: Inputs) -> DataFrame:
+    return F.broadcast(t.spark.createDataFrame(_LAWS, "name string, doc int"))
+
+
+@query(f"WITH {_LAW_SQL} SELECT qid, name, doc FROM fx_questions JOIN laws ON contains(lower(question), name)")
+def route_laws(t: Inputs) -> DataFrame:
+    return t.fx("questions").join(_laws(t), F.contains(F.lower("question"), "name")).select("qid", "name", "doc")
+
+
+@query(f"WITH {_LAW_SQL} SELECT qid, name FROM fx_questions JOIN laws ON contains(lower(regexp_replace(question, '[\"'']', '', 'g')), name) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) <= 2")
+def extract_law_names(t: Inputs) -> DataFrame:
+    from corpusmill.operators.retrieval import top_k
+
+    bare = F.lower(F.regexp_replace("question", "[\"']", ""))
+    hits = t.fx("questions").join(_laws(t), F.contains(bare, F.col("name"))).select("qid", "name")
+    return top_k(hits, ["qid"], [F.length("name").desc(), F.col("name")], 2).select("qid", "name")
+
+
+@query(rf"""WITH pages AS (SELECT 'article_' || regexp_extract(text, '(?i)Article\s+(\d+)', 1) AS key, doc_id % 50 AS doc, min(page) AS page FROM fx_legal_text GROUP BY ALL),
+q AS (SELECT qid, 'article_' || regexp_extract(question, '(?i)Article\s+(\d+)', 1) AS key, qid % 50 AS doc FROM fx_questions WHERE contains(question, 'Article'))
+SELECT qid, doc, page FROM q JOIN pages USING (key, doc)""")
+def route_article_page(t: Inputs) -> DataFrame:
+    key = lambda c: F.concat(F.lit("article_"), F.regexp_extract(c, r"(?i)Article\s+(\d+)", 1))
+    pages = t.fx("legal_text").groupBy(key("text").alias("key"), (F.col("doc_id") % 50).alias("doc")).agg(F.min("page").alias("page"))
+    asked = t.fx("questions").where(F.contains("question", F.lit("Article"))).select("qid", key("question").alias("key"), (F.col("qid") % 50).alias("doc"))
+    return asked.join(pages, ["key", "doc"]).select("qid", "doc", "page")
+
+
+@query(_DOCS + """ SELECT qid, case_id, doc_ord, CASE WHEN contains(question, 'Date of Issue') THEN date_page WHEN regexp_matches(question, 'defendant|claimant') THEN 1 END AS page FROM hits""")
+def metadata_pages(t: Inputs) -> DataFrame:
+    page = F.when(F.contains("question", F.lit("Date of Issue")), F.col("date_page")).when(F.col("question").rlike("defendant|claimant"), 1)
+    return _hits(t).select("qid", "case_id", "doc_ord", page.alias("page"))
+
+
+@query("""WITH n AS (SELECT doc_id, count(*)::INT AS pages FROM fx_pages GROUP BY doc_id)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN pages >= 2 THEN 2 END WHEN 2 THEN CASE WHEN pages >= 3 THEN 3 END ELSE pages END AS page FROM n""")
+def route_page_refs(t: Inputs) -> DataFrame:
+    """Page overrides: title, second, third (if there), last."""
+    n = t.fx("pages").groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"))
+    word = F.col("doc_id") % 4
+    page = F.when(word == 0, 1).when(word == 1, F.when(F.col("pages") >= 2, 2)).when(word == 2, F.when(F.col("pages") >= 3, 3)).otherwise(F.col("pages"))
+    return n.select("doc_id", page.alias("page"))
+
+
+@query(f"WITH {_ASKED} SELECT qid, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) >= 2 AS cross_case FROM asked GROUP BY qid")
+def route(t: Inputs) -> DataFrame:
+    return _asked(t).groupBy("qid").agg(F.count_distinct("case_id").alias("n_cases")).withColumn("cross_case", F.col("n_cases") >= 2)
+
+
+@query(_DOCS + """, r AS (SELECT q.qid, q.answer_type, count(h.doc_ord) > 0 AS routed, count(DISTINCT h.case_id) >= 2 AS cross_case FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid GROUP BY ALL)
+SELECT count(*) AS n, count_if(routed)::BIGINT AS routed, count_if(cross_case)::BIGINT AS cross_case, round(count_if(routed) / count(*), 6) AS share FROM r""")
+def routing_coverage(t: Inputs) -> DataFrame:
+    hits = _hits(t).groupBy("qid").agg(F.count_distinct("case_id").alias("c"))
+    every = t.fx("questions").select("qid").join(hits, "qid", "left")
+    return every.agg(
+        F.count("*").alias("n"), F.count_if(F.col("c") >= 1).alias("routed"), F.count_if(F.col("c") >= 2).alias("cross_case"),
+        F.round(F.count_if(F.col("c") >= 1) / F.count("*"), 6).alias("share"),
+    )
+
+
+@query(_DOCS + """ SELECT q.answer_type, count(DISTINCT q.qid) AS n, count(DISTINCT h.qid) AS routed, coalesce(sum((h.doc_ord = 1)::INT), 0)::BIGINT AS first_docs FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid GROUP BY ALL""")
+def route_stats(t: Inputs) -> DataFrame:
+    hits = _hits(t).groupBy("qid").agg(F.count_if(F.col("doc_ord") == 1).alias("f"))
+    every = t.fx("questions").select("qid", "answer_type").join(hits, "qid", "left")
+    return every.groupBy("answer_type").agg(F.count("*").alias("n"), F.count("f").alias("routed"), F.coalesce(F.sum("f"), F.lit(0)).alias("first_docs"))
+
+
+@query(_DOCS + """ SELECT qid, min(doc) AS first_doc, row_number() OVER (ORDER BY (min(doc) IS NULL), min(doc), qid) AS position FROM (SELECT q.qid, h.o_orderkey AS doc FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid) GROUP BY qid ORDER BY position LIMIT 30""")
+def question_order(t: Inputs) -> DataFrame:
+    """The first thirty questions in order of their first document (a top-k report)."""
+    first = t.fx("questions").select("qid").join(_hits(t).groupBy("qid").agg(F.min("o_orderkey").alias("first_doc")), "qid", "left")
+    from pyspark.sql import Window
+
+    top = first.orderBy(F.col("first_doc").asc_nulls_last(), "qid").limit(30)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("first_doc").asc_nulls_last(), "qid")).cast("long"))
+
+
+# -- answers from metadata
+
+_PER = "SELECT qid, case_id, any_value(ord) AS ord, {best}({value}) AS v FROM hits {where} GROUP BY qid, case_id"
+
+
+def _extreme(best: str, value: str, where: str, order: str) -> str:
+    return _DOCS + f""", per AS ({_PER.format(best=best, value=value, where=where)}), n AS (SELECT qid, count(DISTINCT case_id) AS n FROM asked GROUP BY qid)
+SELECT qid, case_id AS answer FROM per JOIN n USING (qid) WHERE n >= 2 QUALIFY count(*) OVER (PARTITION BY qid) = n AND row_number() OVER (PARTITION BY qid ORDER BY v {order}, ord) = 1"""
+
+
+@query(_extreme("min", "date_of_issue", "WHERE contains(question, 'earlier')", "ASC"))
+def oracle_date_cmp(t: Inputs) -> DataFrame:
+    asked = _asked(t).where(F.contains("question", F.lit("earlier")))
+    return L.extreme_case(asked, t.fx("case_docs"), "date_of_issue", largest=False)
+
+
+@query(_extreme("max", "claim_value", "WHERE contains(question, 'higher') AND currency = 'AED'", "DESC"))
+def oracle_claim_cmp(t: Inputs) -> DataFrame:
+    """The larger claim of two cases, over claims in one currency."""
+    asked = _asked(t).where(F.contains("question", F.lit("higher")))
+    return L.extreme_case(asked, t.fx("case_docs").where("currency = 'AED'"), "claim_value", largest=True)
+
+
+@query(_DOCS + " SELECT DISTINCT qid, case_id, claim_value AS answer FROM hits QUALIFY row_number() OVER (PARTITION BY qid, case_id ORDER BY doc_ord) = 1")
+def oracle_claim(t: Inputs) -> DataFrame:
+    return L.first_of(_hits(t), ["qid", "case_id"], F.col("doc_ord")).select("qid", "case_id", F.col("claim_value").alias("answer"))
+
+
+@query(_DOCS + " SELECT qid, string_agg(defendant, '|' ORDER BY d) AS answer FROM (SELECT qid, defendant, min(doc_ord) AS d FROM hits WHERE answer_type = 'names' GROUP BY ALL) GROUP BY qid")
+def oracle_defendants(t: Inputs) -> DataFrame:
+    names = _hits(t).where("answer_type = 'names'").groupBy("qid", "defendant").agg(F.min("doc_ord").alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "defendant"))), lambda x: x["defendant"]), "|")
+    return names.groupBy("qid").agg(joined.alias("answer"))
+
+
+@query(_DOCS + """, j AS (SELECT DISTINCT qid, case_id, lower(judge) AS judge FROM hits WHERE contains(question, 'same judge')), k AS (SELECT qid, judge, count(*) AS c FROM j GROUP BY ALL)
+SELECT qid, max(c) > 1 AS answer FROM k WHERE qid IN (SELECT qid FROM j GROUP BY qid HAVING count(DISTINCT case_id) = 2) GROUP BY qid""")
+def oracle_same_judge(t: Inputs) -> DataFrame:
+    asked = _asked(t).where(F.contains("question", F.lit("same judge")))
+    return L.shared(asked, t.fx("case_docs").select("case_id", L.normalized_judge(F.col("judge")).alias("judge")), "judge")
+
+
+@query(_DOCS + """, j AS (SELECT DISTINCT qid, case_id, lower(trim(p)) AS party FROM (SELECT qid, case_id, unnest([claimant, defendant]) AS p FROM hits)), k AS (SELECT qid, party, count(*) AS c FROM j GROUP BY ALL)
+SELECT qid, max(c) > 1 AS answer FROM k WHERE qid IN (SELECT qid FROM j GROUP BY qid HAVING count(DISTINCT case_id) = 2) GROUP BY qid""")
+def oracle_same_party(t: Inputs) -> DataFrame:
+    parties = t.fx("case_docs").select("case_id", F.explode(F.array("claimant", "defendant")).alias("p")).select("case_id", F.lower(F.trim("p")).alias("party"))
+    return L.shared(_asked(t), parties, "party")
+
+
+@query("""WITH f AS (SELECT case_id, lower(judge) AS judge, min(date_of_issue || lpad(doc_ord::VARCHAR, 3, '0')) AS k FROM fx_case_docs GROUP BY ALL)
+SELECT case_id, count(*) AS n_judges, min(k) AS first FROM f GROUP BY case_id HAVING count(*) >= 2""")
+def oracle_judge_change(t: Inputs) -> DataFrame:
+    """Cases with two or more judges, and the earliest document."""
+    first = t.fx("case_docs").groupBy("case_id", F.lower("judge").alias("judge")).agg(F.min(F.concat("date_of_issue", F.lpad(F.col("doc_ord").cast("string"), 3, "0"))).alias("k"))
+    return first.groupBy("case_id").agg(F.count("*").alias("n_judges"), F.min("k").alias("first")).where("n_judges >= 2")
+
+
+@query(_DOCS + """, one AS (SELECT * FROM hits WHERE doc_ord = 1), two AS (SELECT a.qid, a.case_id AS a, b.case_id AS b, a.date_of_issue AS da, b.date_of_issue AS db FROM one a JOIN one b ON a.qid = b.qid AND a.ord < b.ord)
+SELECT qid, CASE WHEN da < db THEN a ELSE b END AS answer FROM two""")
+def oracle_case_cmp(t: Inputs) -> DataFrame:
+    """The earlier of two cases by their first documents; the second on ties."""
+    one = _hits(t).where("doc_ord = 1").select("qid", "ord", "case_id", "date_of_issue")
+    sides = one.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "case_id", "date_of_issue"))).alias("s")).where(F.size("s") == 2)
+    a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    return sides.select("qid", F.when(a["date_of_issue"] < b["date_of_issue"], a["case_id"]).otherwise(b["case_id"]).alias("answer"))
+
+
+@query(_DOCS + " SELECT qid, case_id, date_of_issue AS answer FROM hits WHERE doc_ord = 1 AND answer_type = 'date'")
+def oracle_date(t: Inputs) -> DataFrame:
+    return _hits(t).where("doc_ord = 1 AND answer_type = 'date'").select("qid", "case_id", F.col("date_of_issue").alias("answer"))
+
+
+@query(_DOCS + " SELECT qid, case_id, judge AS answer FROM hits WHERE doc_ord = 1")
+def oracle_judge(t: Inputs) -> DataFrame:
+    return _hits(t).where("doc_ord = 1").select("qid", "case_id", F.col("judge").alias("answer"))
+
+
+@query(_DOCS + " SELECT qid, case_id, CASE WHEN contains(question, 'defendant') THEN defendant ELSE claimant END AS answer FROM hits WHERE doc_ord = 1 AND qid IN (SELECT qid FROM asked GROUP BY qid HAVING count(*) = 1)")
+def oracle_party(t: Inputs) -> DataFrame:
+    single = _asked(t).groupBy("qid").agg(F.count("*").alias("n")).where("n = 1").select("qid")
+    party = F.when(F.contains("question", F.lit("defendant")), F.col("defendant")).otherwise(F.col("claimant"))
+    return _hits(t).where("doc_ord = 1").join(single, "qid", "left_semi").select("qid", "case_id", party.alias("answer"))
+
+
+@query("SELECT case_id, min_by(claim_value, doc_ord) AS amount, min_by(currency, doc_ord) AS currency FROM fx_case_docs WHERE claim_value <> 0 GROUP BY case_id")
+def oracle_amount(t: Inputs) -> DataFrame:
+    docs = t.fx("case_docs").where("claim_value <> 0")
+    return docs.groupBy("case_id").agg(F.min_by("claim_value", "doc_ord").alias("amount"), F.min_by("currency", "doc_ord").alias("currency"))
+
+
+@query("SELECT case_id, count(DISTINCT lower(trim(p))) AS n FROM (SELECT case_id, unnest([claimant, defendant]) AS p FROM fx_case_docs) GROUP BY case_id")
+def oracle_party_count(t: Inputs) -> DataFrame:
+    parties = t.fx("case_docs").select("case_id", F.explode(F.array("claimant", "defendant")).alias("p"))
+    return parties.groupBy("case_id").agg(F.count_distinct(F.lower(F.trim("p"))).alias("n"))
+
+
+@query("""WITH keys AS (SELECT DISTINCT case_id FROM fx_case_docs WHERE o_orderkey < 300), q AS (SELECT n_nationkey AS qid, 'CFI 0' || n_nationkey AS part FROM nation)
+SELECT qid, min(case_id) AS case_id FROM q JOIN keys ON contains(case_id, part) GROUP BY qid""")
+def oracle_fuzzy_case(t: Inputs) -> DataFrame:
+    """The first known case that contains a partial number; the partial numbers are a stated query set."""
+    keys = t.fx("case_docs").where("o_orderkey < 300").select("case_id").distinct()
+    parts = t.table("nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("CFI 0"), F.col("n_nationkey").cast("string")).alias("part"))
+    return keys.join(F.broadcast(parts), F.contains("case_id", "part")).groupBy("qid").agg(F.min("case_id").alias("case_id"))
+
+
+@query(_DOCS + " SELECT qid, case_id, doc_ord, coalesce(CASE WHEN contains(question, 'Date') THEN date_page END, 1) AS page FROM hits QUALIFY row_number() OVER (PARTITION BY qid, case_id ORDER BY doc_ord) <= 2")
+def oracle_citations(t: Inputs) -> DataFrame:
+    from corpusmill.operators.retrieval import top_k
+
+    page = F.coalesce(F.when(F.contains("question", F.lit("Date")), F.col("date_page")), F.lit(1))
+    hits = _hits(t).select("qid", "case_id", "doc_ord", page.alias("page"))
+    return top_k(hits, ["qid", "case_id"], [F.col("doc_ord")], 2).select("qid", "case_id", "doc_ord", "page")
+
+
+@query("SELECT qid, CASE WHEN answer_type IN ('name', 'date', 'names', 'boolean') AND regexp_matches(question, 'CFI') THEN 'oracle' WHEN contains(lower(question), 'jury') THEN 'trick' ELSE 'retrieval' END AS path FROM fx_questions")
+def answer_path(t: Inputs) -> DataFrame:
+    known = F.col("answer_type").isin("name", "date", "names", "boolean") & F.contains("question", F.lit("CFI"))
+    return t.fx("questions").select("qid", F.when(known, "oracle").when(F.contains(F.lower("question"), F.lit("jury")), "trick").otherwise("retrieval").alias("path"))
+
+
+@query("SELECT answer_type, count(*) AS n, count_if(contains(question, 'CFI'))::BIGINT AS answered, round(count_if(contains(question, 'CFI')) / count(*), 6) AS share FROM fx_questions GROUP BY answer_type")
+def oracle_coverage(t: Inputs) -> DataFrame:
+    known = F.contains("question", F.lit("CFI"))
+    return t.fx("questions").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(known).alias("answered"), F.round(F.count_if(known) / F.count("*"), 6).alias("share"))
+
+
+@query(_DOCS + """ SELECT qid, case_id, concat_ws('; ', 'Judge: ' || judge, 'Claimant: ' || claimant, 'Defendant: ' || defendant, 'Date: ' || date_of_issue) AS block FROM hits WHERE doc_ord = 1""")
+def case_metadata_block(t: Inputs) -> DataFrame:
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), c)
+    block = F.concat_ws("; ", part("Judge", "judge"), part("Claimant", "claimant"), part("Defendant", "defendant"), part("Date", "date_of_issue"))
+    return _hits(t).where("doc_ord = 1").select("qid", "case_id", block.alias("block"))
