@@ -1 +1,214 @@
-"""Queries."""
+"""Queries of the index builders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusmill.functions import patterns as P
+from corpusmill.operators import indexes as X
+from corpusmill.operators.corpus import joined_pages
+from corpusmill.plans.fixtures import Inputs
+from corpusmill.plans.registry import query
+
+_KEYS = rf"list_transform(regexp_extract_all(text, '{P.ARTICLE}', 1), lambda x: 'article_' || x) || list_transform(regexp_extract_all(text, '{P.SCHEDULE}', 1), lambda x: 'schedule_' || x) || list_transform(regexp_extract_all(text, '{P.PART}', 1), lambda x: 'part_' || x) || list_transform(regexp_extract_all(text, '{P.APPENDIX}', 1), lambda x: 'appendix_' || x)"
+
+
+@query(f"SELECT DISTINCT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text")
+def article_pages(t: Inputs) -> DataFrame:
+    return X.article_pages(t.fx("legal_text")).select("doc_id", "page", "key")
+
+
+@query(r"SELECT DISTINCT n, CASE WHEN n % 3 = 0 THEN 'article_' || n || '_sub_1' WHEN n % 3 = 1 THEN 'schedule_' || n ELSE 'article_' || n END AS key FROM (SELECT l_partkey AS n FROM lineitem)")
+def heading_key(t: Inputs) -> DataFrame:
+    n = F.col("n").cast("string")
+    heading = F.when(F.col("n") % 3 == 0, F.concat(F.lit("Article "), n, F.lit("(1)"))).when(F.col("n") % 3 == 1, F.concat(F.lit("Schedule "), n)).otherwise(F.concat(F.lit("Article "), n))
+    return t.table("lineitem").select(F.col("l_partkey").alias("n")).distinct().select("n", X.heading_key(heading).alias("key"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, key, min(page) AS page FROM (SELECT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY ALL),
+d AS (SELECT l_orderkey AS doc_id, 'schedule_' || l_linenumber AS key, max(l_linenumber) + 100 AS page FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber % 2 = 0 GROUP BY ALL)
+SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, coalesce(d.key, r.key) AS key, coalesce(d.page, r.page) AS page FROM r FULL JOIN d ON r.doc_id = d.doc_id AND r.key = d.key""")
+def article_pages_merge(t: Inputs) -> DataFrame:
+    """Pages from document structure win over pages from patterns."""
+    read = X.article_pages(t.fx("legal_text")).groupBy("doc_id", "key").agg(F.min("page").alias("page"))
+    told = t.table("lineitem").where("l_orderkey < 2000 AND l_linenumber % 2 = 0").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("schedule_"), F.col("l_linenumber").cast("string")).alias("key")).agg((F.max("l_linenumber") + 100).alias("told"))
+    return read.join(told, ["doc_id", "key"], "full").select("doc_id", "key", F.coalesce("told", "page").alias("page"))
+
+
+_ORDERED = "SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 = 0 THEN 'IT IS HEREBY ORDERED' WHEN (doc_id * page) % 3 = 0 THEN '2. and so on' ELSE 'text' END AS text FROM fx_pages"
+
+
+def _ordered(t: Inputs) -> DataFrame:
+    text = F.when((F.col("doc_id") + F.col("page")) % 4 == 0, "IT IS HEREBY ORDERED").when((F.col("doc_id") * F.col("page")) % 3 == 0, "2. and so on").otherwise("text")
+    return t.fx("pages").select("doc_id", "page", text.alias("text"))
+
+
+@query(f"""WITH RECURSIVE p AS ({_ORDERED}), o AS (SELECT doc_id, page FROM p WHERE text = 'IT IS HEREBY ORDERED' UNION SELECT p.doc_id, p.page FROM o JOIN p ON p.doc_id = o.doc_id AND p.page = o.page + 1 AND starts_with(p.text, '2.'))
+SELECT doc_id, page FROM o""")
+def order_pages(t: Inputs) -> DataFrame:
+    return X.order_pages(_ordered(t))
+
+
+@query("SELECT doc_id, coalesce(min(CASE WHEN page <= 3 AND (contains(text, 'Date:') OR doc_id % 5 = page) THEN page END), 1)::INT AS page FROM fx_pages GROUP BY doc_id")
+def date_page(t: Inputs) -> DataFrame:
+    marked = F.when(F.col("doc_id") % 5 == F.col("page"), F.concat("text", F.lit(" Date: x"))).otherwise(F.col("text"))
+    return X.date_page(t.fx("pages").withColumn("text", marked))
+
+
+@query(f"""WITH a AS (SELECT doc_id, count(DISTINCT key) AS n_keys FROM (SELECT doc_id, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY doc_id), n AS (SELECT doc_id, max(page) AS pages, bool_or(contains(text, 'ORDERED')) AS orders FROM fx_legal_text GROUP BY doc_id)
+SELECT doc_id, pages, orders, coalesce(n_keys, 0) AS n_keys FROM n LEFT JOIN a USING (doc_id)""")
+def doc_info(t: Inputs) -> DataFrame:
+    pages = t.fx("legal_text")
+    keys = X.article_pages(pages).groupBy("doc_id").agg(F.count_distinct("key").alias("n_keys"))
+    info = pages.groupBy("doc_id").agg(F.max("page").alias("pages"), F.bool_or(F.contains("text", F.lit("ORDERED"))).alias("orders"))
+    return info.join(keys, "doc_id", "left").select("doc_id", "pages", "orders", F.coalesce("n_keys", F.lit(0)).alias("n_keys"))
+
+
+@query("SELECT case_id, count(*) AS n, string_agg(doc_ord::VARCHAR, '|' ORDER BY doc_ord) AS docs FROM fx_case_docs GROUP BY case_id")
+def case_index(t: Inputs) -> DataFrame:
+    docs = F.array_join(F.array_sort(F.collect_list("doc_ord")).cast("array<string>"), "|")
+    return t.fx("case_docs").groupBy("case_id").agg(F.count("*").alias("n"), docs.alias("docs"))
+
+
+@query("""WITH a AS (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 5 <> 0), m AS (SELECT doc_id, toxic AS v FROM labels WHERE doc_id % 7 <> 0)
+SELECT CASE WHEN a.doc_id IS NULL THEN 'manual' WHEN m.doc_id IS NULL THEN 'auto' ELSE 'both' END AS found, count(*) AS n, coalesce(count_if(a.v = m.v), 0)::BIGINT AS equal FROM a FULL JOIN m ON a.doc_id = m.doc_id GROUP BY 1""")
+def index_validation(t: Inputs) -> DataFrame:
+    labels = t.table("labels")
+    auto, manual = labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("a")), labels.where("doc_id % 7 <> 0").select("doc_id", F.col("toxic").alias("m"))
+    found = F.when(F.col("a").isNull(), "manual").when(F.col("m").isNull(), "auto").otherwise("both")
+    return auto.join(manual, "doc_id", "full").groupBy(found.alias("found")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("m")).alias("equal"))
+
+
+@query("SELECT p_brand AS name, p_partkey AS doc, p_size AS year FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_size DESC, p_partkey) = 1")
+def latest_edition(t: Inputs) -> DataFrame:
+    """The edition with the latest year of each name; the first one on ties."""
+    best = F.max_by(F.struct(F.col("p_brand").alias("name"), F.col("p_partkey").alias("doc"), F.col("p_size").alias("year")), F.struct("p_size", -F.col("p_partkey")))
+    return t.table("part").groupBy(F.lower("p_brand").alias("k")).agg(best.alias("b")).select("b.name", "b.doc", "b.year")
+
+
+@query("""WITH v AS (SELECT p_partkey AS doc, unnest([lower(p_type), replace(lower(p_type), ' steel', ''), replace(lower(p_type), 'standard ', '')]) AS name FROM part) SELECT name, max(doc) AS doc FROM v WHERE length(name) > 3 GROUP BY name""")
+def law_variants(t: Inputs) -> DataFrame:
+    """Name variants; the last writer wins."""
+    low = F.lower("p_type")
+    names = F.array(low, F.replace(low, F.lit(" steel"), F.lit("")), F.replace(low, F.lit("standard "), F.lit("")))
+    return t.table("part").select(F.col("p_partkey").alias("doc"), F.explode(names).alias("name")).where(F.length("name") > 3).groupBy("name").agg(F.max("doc").alias("doc"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS doc, string_split(lower(p_name), ' ') AS w FROM part), f AS (SELECT doc, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS fragment FROM w) SELECT fragment, min(doc) AS doc FROM f GROUP BY fragment""")
+def title_fragments(t: Inputs) -> DataFrame:
+    """Single words and pairs of words of titles; the first document wins."""
+    words = t.table("part").select(F.col("p_partkey").alias("doc"), F.split(F.lower("p_name"), " ").alias("w"))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    return words.select("doc", F.explode(F.concat("w", pairs)).alias("fragment")).groupBy("fragment").agg(F.min("doc").alias("doc"))
+
+
+_REFS = " UNION ".join(rf"SELECT doc_id, page, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS context FROM fx_legal_text" for k, p in (("article", P.ARTICLE), ("schedule", P.SCHEDULE), ("law", P.LAW_NUMBER), ("case", P.CASE_ID)))
+
+
+@query(f"""WITH r AS ({_REFS}), a AS (SELECT doc_id, 'schedule_' || page AS key, min(page) AS target FROM fx_legal_text GROUP BY ALL)
+SELECT r.doc_id, r.page, r.context, a.target FROM r JOIN a ON r.doc_id = a.doc_id AND a.key = 'schedule_' || regexp_extract(r.context, '\\d+') WHERE r.type = 'schedule' AND a.target <> r.page""")
+def xref_edges(t: Inputs) -> DataFrame:
+    """References to a schedule of the same document on another page."""
+    pages = t.fx("legal_text")
+    targets = pages.groupBy("doc_id", F.concat(F.lit("schedule_"), F.col("page").cast("string")).alias("key")).agg(F.min("page").alias("target"))
+    refs = X.references(pages).where("type = 'schedule'").withColumn("key", F.concat(F.lit("schedule_"), F.regexp_extract("context", r"\d+", 0)))
+    return refs.join(targets, ["doc_id", "key"]).where("target <> page").select("doc_id", "page", "context", "target")
+
+
+@query(f"SELECT doc_id, page, type, context FROM ({_REFS})")
+def xref_dedup(t: Inputs) -> DataFrame:
+    return X.references(t.fx("legal_text"))
+
+
+@query(f"SELECT context, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM ({_REFS}) GROUP BY context HAVING count(DISTINCT doc_id) >= 2")
+def bridge_entities(t: Inputs) -> DataFrame:
+    return X.bridges(X.references(t.fx("legal_text")))
+
+
+@query("""WITH k AS (SELECT r_regionkey AS id, lower(r_name) AS name FROM region), q AS (SELECT n_nationkey AS qid, lower(left(n_name, 3)) AS part FROM nation)
+SELECT qid, min(id) AS id FROM q JOIN k ON contains(k.name, q.part) OR contains(q.part, k.name) GROUP BY qid""")
+def law_resolve(t: Inputs) -> DataFrame:
+    """The first known name that contains a partial one or is contained in it; both sides are small fixed tables."""
+    known = t.table("region").select(F.col("r_regionkey").alias("id"), F.lower("r_name").alias("name"))
+    asked = t.table("nation").select(F.col("n_nationkey").alias("qid"), F.lower(F.substring("n_name", 1, 3)).alias("part"))
+    return asked.join(F.broadcast(known), F.contains("name", "part") | F.contains("part", "name")).groupBy("qid").agg(F.min("id").alias("id"))
+
+
+@query("SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page)) AS digest FROM fx_pages GROUP BY doc_id")
+def doc_text(t: Inputs) -> DataFrame:
+    return joined_pages(t.fx("pages"), F.col("text"), "\n").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT case_id, doc_ord, date_page FROM fx_case_docs WHERE date_of_issue IS NOT NULL")
+def doc_date_pages(t: Inputs) -> DataFrame:
+    return t.fx("case_docs").where("date_of_issue is not null").select("case_id", "doc_ord", "date_page")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'rule') THEN 'rules' WHEN contains(lower(text), 'case') THEN 'case' ELSE lang END AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def kw_doc_index(t: Inputs) -> DataFrame:
+    """Keys of documents that no other index has; the first rule wins."""
+    low = F.lower("text")
+    kind = F.when(F.contains(low, F.lit("rule")), "rules").when(F.contains(low, F.lit("case")), "case").otherwise(F.col("lang"))
+    return t.table("documents").join(t.table("labels"), "doc_id", "left_anti").select("doc_id", kind.alias("key"))
+
+
+@query("SELECT o.qid, i.key, i.n FROM (SELECT doc_id AS qid, lang AS key FROM documents) o JOIN (SELECT lang AS key, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang) i USING (key)")
+def route_unindexed(t: Inputs) -> DataFrame:
+    index = t.table("documents").join(t.table("labels"), "doc_id", "left_anti").groupBy(F.col("lang").alias("key")).agg(F.count("*").alias("n"))
+    return t.table("documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("key")).join(index, "key").select("qid", "key", "n")
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM fx_pages UNION ALL SELECT 'case_docs', count(*) FROM fx_case_docs")
+def index_counts(t: Inputs) -> DataFrame:
+    tables = {"documents": t.table("documents"), "pages": t.fx("pages"), "case_docs": t.fx("case_docs")}
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT CASE WHEN contains(lower(text), 'claim') THEN 'CASE' ELSE 'LAW' END AS kind, count(*) AS n, count(nullif(regexp_extract(text, 'CFI \\d+/\\d{4}'), '')) AS with_id FROM fx_legal_text GROUP BY 1")
+def classify_counts(t: Inputs) -> DataFrame:
+    kind = F.when(F.contains(F.lower("text"), F.lit("claim")), "CASE").otherwise("LAW")
+    return t.fx("legal_text").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"CFI \d+/\d{4}")).alias("with_id"))
+
+
+@query("SELECT d.doc_id, p.page, w.pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE doc_id < 5) w JOIN documents d USING (doc_id) JOIN fx_pages p USING (doc_id)")
+def chunks_for_docs(t: Inputs) -> DataFrame:
+    """Pages of a given list of documents, with their place in the list."""
+    wanted = t.spark.sql("SELECT posexplode(array(4L, 3L, 2L, 1L, 0L)) AS (pos, doc_id)")
+    return t.fx("pages").join(F.broadcast(wanted), "doc_id").select("doc_id", "page", F.col("pos").cast("long").alias("pos"))
+
+
+@query()
+def subsection_pages(t: Inputs) -> DataFrame:
+    return X.subsection_pages(t.fx("legal_text"))
+
+
+@query()
+def bridging_facts(t: Inputs) -> DataFrame:
+    """A sentence of up to three pages for each context that several documents share."""
+    from corpusmill.operators.retrieval import top_k
+
+    refs = X.references(t.fx("legal_text")).where("type = 'law'")
+    shared = X.bridges(refs).select("context")
+    placed = top_k(refs.join(shared, "context"), ["context"], [F.col("doc_id"), F.col("page")], 3)
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "page")))
+    return placed.groupBy("context").agg(F.concat_ws(" || ", F.transform(parts, lambda p: F.concat(F.lit("["), p["doc_id"].cast("string"), F.lit(":"), p["page"].cast("string"), F.lit("]")))).alias("fact"))
+
+
+@query()
+def llm_json_parse(t: Inputs) -> DataFrame:
+    """Metadata from a model's answer: the outermost braces, parsed with a fixed schema; null where that fails."""
+    said = F.concat(F.lit("Here it is: "), F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("judge"), F.col("n_nationkey").alias("page")))), F.lit(" done"))
+    return t.table("nation").select("n_nationkey", F.from_json(F.regexp_extract(said, r"(?s)\{.*\}", 0), "judge string, page int").alias("m")).select("n_nationkey", "m.judge", "m.page")
+
+
+@query()
+def parse_scores(t: Inputs) -> DataFrame:
+    """Scores from a model's answer: the first flat object, a trailing comma forgiven, numbers only."""
+    said = F.concat(F.lit('scores: {"1": 0.9, "2": 0.'), (F.col("n_nationkey") % 10).cast("string"), F.lit(", } ok"))
+    flat = F.regexp_replace(F.regexp_extract(said, r"\{[^{}]+\}", 0), r",\s*\}", "}")
+    return t.table("nation").select("n_nationkey", F.explode(F.from_json(flat, "map<string,string>")).alias("item", "score")).select("n_nationkey", F.col("item").try_cast("int").alias("item"), F.col("score").try_cast("double").alias("score"))
