@@ -1 +1,351 @@
-"""Queries."""
+"""Queries of metrics, run statistics, evaluations and page selection."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from corpusmill.operators import evaluation as E
+from corpusmill.operators.retrieval import top_k
+from corpusmill.plans.fixtures import Inputs
+from corpusmill.plans.registry import query
+
+# -- runs
+
+
+@query("""WITH r AS (SELECT ttft_ms AS v FROM fx_runs WHERE ttft_ms > 0), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM r)
+SELECT max(n) AS n, round(avg(v), 6) AS mean, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = least(floor(0.95 * n)::BIGINT, n - 1) THEN v END) AS p95, max(v) AS top FROM k""")
+def run_stats(t: Inputs) -> DataFrame:
+    runs = t.fx("runs").where("ttft_ms > 0")
+    ranks = E.nearest_rank(runs, "ttft_ms", {"p50": 0.5, "p95": 0.95})
+    return runs.agg(F.count("*").alias("n"), F.round(F.avg("ttft_ms"), 6).alias("mean"), F.max("ttft_ms").alias("top")).crossJoin(ranks)
+
+
+@query("SELECT model_name, count(*) AS n, round(avg(ttft_ms), 6) AS mean, max(ttft_ms) AS top FROM fx_runs GROUP BY model_name")
+def fast_stats(t: Inputs) -> DataFrame:
+    return t.fx("runs").groupBy("model_name").agg(F.count("*").alias("n"), F.round(F.avg("ttft_ms"), 6).alias("mean"), F.max("ttft_ms").alias("top"))
+
+
+@query("SELECT answer_type, count_if(n_pages > 1)::BIGINT AS hits, count_if(n_pages = 1)::BIGINT AS misses, count(*) AS total FROM fx_runs GROUP BY answer_type")
+def router_hits(t: Inputs) -> DataFrame:
+    return t.fx("runs").groupBy("answer_type").agg(F.count_if(F.col("n_pages") > 1).alias("hits"), F.count_if(F.col("n_pages") == 1).alias("misses"), F.count("*").alias("total"))
+
+
+@query("SELECT model_name AS stage, count_if(n_pages > 1)::BIGINT AS hits, count_if(n_pages = 1)::BIGINT AS misses, CASE WHEN count_if(n_pages > 0) > 0 THEN round(count_if(n_pages > 1) / count_if(n_pages > 0), 4) END AS hit_rate FROM fx_runs GROUP BY model_name")
+def stage_summary(t: Inputs) -> DataFrame:
+    hits, misses = F.count_if(F.col("n_pages") > 1), F.count_if(F.col("n_pages") == 1)
+    return t.fx("runs").groupBy(F.col("model_name").alias("stage")).agg(hits.alias("hits"), misses.alias("misses"), F.round(F.try_divide(hits, hits + misses), 4).alias("hit_rate"))
+
+
+_GOLD = "SELECT o_orderkey AS qid, [o_orderkey % 5, o_orderkey % 7] AS gold, [o_custkey % 5, o_custkey % 7, 3] AS pred FROM orders"
+
+
+def _gold(t: Inputs) -> DataFrame:
+    o = t.table("orders")
+    return o.select(F.col("o_orderkey").alias("qid"), F.array(F.col("o_orderkey") % 5, F.col("o_orderkey") % 7).alias("gold"), F.array(F.col("o_custkey") % 5, F.col("o_custkey") % 7, F.lit(3).cast("long")).alias("pred"))
+
+
+_SETS = f"SELECT qid, list_distinct(gold) AS g, list_distinct(pred) AS p, len(list_intersect(list_distinct(gold), list_distinct(pred)))::DOUBLE AS s FROM ({_GOLD})"
+
+
+@query(f"SELECT qid, len(list_intersect(gold, pred)) > 0 AS hit FROM ({_GOLD})")
+def recall_at_k(t: Inputs) -> DataFrame:
+    return _gold(t).select("qid", F.arrays_overlap("gold", "pred").alias("hit"))
+
+
+@query(f"SELECT qid, len(list_intersect(gold, pred)) > 0 AND len(list_intersect(gold, pred[1:1])) = 0 AS dropped FROM ({_GOLD})")
+def rerank_drops(t: Inputs) -> DataFrame:
+    return _gold(t).select("qid", (F.arrays_overlap("gold", "pred") & ~F.arrays_overlap("gold", F.slice("pred", 1, 1))).alias("dropped"))
+
+
+@query(f"SELECT qid, round(s / len(p), 6) AS precision, round(s / len(g), 6) AS recall, round(CASE WHEN s > 0 THEN 2 * s / (len(p) + len(g)) ELSE 0 END, 6) AS f1 FROM ({_SETS})")
+def attribution_prf(t: Inputs) -> DataFrame:
+    p, r, f = E.precision_recall(F.col("pred"), F.col("gold"))
+    return _gold(t).select("qid", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+
+
+@query(f"SELECT qid, round(CASE WHEN s > 0 THEN 7.25 * (s / len(p)) * (s / len(g)) / (6.25 * s / len(p) + s / len(g)) ELSE 0 END, 6) AS f FROM ({_SETS})")
+def fbeta_pages(t: Inputs) -> DataFrame:
+    p, r, _ = E.precision_recall(F.col("pred"), F.col("gold"))
+    return _gold(t).select("qid", F.round(E.f_beta(p, r), 6).alias("f"))
+
+
+@query(f"SELECT qid, round(CASE WHEN qid % 4 = 0 THEN CASE WHEN qid % 8 = 0 THEN 1.0 ELSE 0.0 END WHEN qid % 8 = 1 THEN 0.0 ELSE s / len(p) END, 6) AS raf FROM ({_SETS})")
+def raf(t: Inputs) -> DataFrame:
+    """Share of relevant citations; a question without relevant passages scores one for declining, any other nothing."""
+    p, _, _ = E.precision_recall(F.col("pred"), F.col("gold"))
+    none, declined = F.col("qid") % 4 == 0, F.col("qid") % 8 < 2
+    return _gold(t).select("qid", F.round(F.when(none, F.when(declined, 1.0).otherwise(0.0)).when(declined, 0.0).otherwise(p), 6).alias("raf"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(s / len(p)), 6) AS precision, round(avg(s / len(g)), 6) AS recall, round(avg((qid % 8 = 0)::INT) FILTER (qid % 4 = 0), 6) AS true_rate, round(avg((qid % 8 = 1)::INT) FILTER (qid % 4 <> 0), 6) AS false_rate FROM ({_SETS})")
+def garage_summary(t: Inputs) -> DataFrame:
+    p, r, _ = E.precision_recall(F.col("pred"), F.col("gold"))
+    none = F.col("qid") % 4 == 0
+    declined = (F.col("qid") % 8 < 2).cast("int")
+    return _gold(t).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("precision"), F.round(F.avg(r), 6).alias("recall"), F.round(F.avg(F.when(none, declined)), 6).alias("true_rate"), F.round(F.avg(F.when(~none, declined)), 6).alias("false_rate"))
+
+
+@query("SELECT round((0.7 * avg((answer_type = 'boolean')::INT) + 0.3 * avg((answer_type = 'free_text')::INT)) * avg(least(1.0, n_pages / 3.0)) * avg((answer IS NOT NULL)::INT), 6) AS total FROM fx_runs")
+def total_score(t: Inputs) -> DataFrame:
+    share = lambda c: F.avg(c.cast("int"))
+    a = F.col("answer_type")
+    total = (0.7 * share(a == "boolean") + 0.3 * share(a == "free_text")) * F.avg(F.least(F.lit(1.0), F.col("n_pages") / 3.0)) * share(F.col("answer").isNotNull())
+    return t.fx("runs").agg(F.round(total, 6).alias("total"))
+
+
+# -- three-class labels
+
+_LABELS = "WITH l AS (SELECT DISTINCT gold AS label FROM fx_nli UNION SELECT DISTINCT prediction FROM fx_nli), m AS (SELECT label, (SELECT count(*) FROM fx_nli WHERE gold = label AND prediction = label)::DOUBLE AS tp, (SELECT count(*) FROM fx_nli WHERE prediction = label) AS claimed, (SELECT count(*) FROM fx_nli WHERE gold = label) AS support FROM l)"
+
+
+@query(_LABELS + " SELECT label, round(coalesce(tp / nullif(claimed, 0), 0), 6) AS precision, round(coalesce(tp / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(claimed + support, 0), 0), 6) AS f1, support FROM m")
+def nli_metrics(t: Inputs) -> DataFrame:
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return E.class_metrics(t.fx("nli"), "gold", "prediction").select("label", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+@query("SELECT hyp_key, gold, count_if(prediction = 'entailment')::BIGINT AS entailment, count_if(prediction = 'contradiction')::BIGINT AS contradiction, count_if(prediction = 'not_mentioned')::BIGINT AS not_mentioned FROM fx_nli GROUP BY ALL")
+def confusion(t: Inputs) -> DataFrame:
+    return t.fx("nli").groupBy("hyp_key", "gold").pivot("prediction", ["entailment", "contradiction", "not_mentioned"]).count().na.fill(0)
+
+
+@query("SELECT d.doc_id, h.lang AS hyp, CASE WHEN l.quality IS NULL THEN 'not_mentioned' WHEN l.quality = 1 THEN 'entailment' ELSE 'contradiction' END AS gold FROM documents d CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) h LEFT JOIN labels l USING (doc_id)")
+def nli_pairs(t: Inputs) -> DataFrame:
+    """Every document with every hypothesis of a small stated set."""
+    docs = t.table("documents")
+    hypotheses = F.broadcast(t.spark.createDataFrame([(r[0],) for r in docs.where("lang is not null").select("lang").distinct().limit(1000).collect()], "hyp string"))
+    gold = F.when(F.col("quality").isNull(), "not_mentioned").when(F.col("quality") == 1, "entailment").otherwise("contradiction")
+    return docs.select("doc_id").join(hypotheses).join(t.table("labels"), "doc_id", "left").select("doc_id", "hyp", gold.alias("gold"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'entailment' WHEN doc_id % 3 = 1 THEN 'contradiction' ELSE 'not_mentioned' END AS label FROM documents")
+def nli_label(t: Inputs) -> DataFrame:
+    """The label on the last line of a model's answer; none of them: not mentioned."""
+    said = F.concat(F.lit("thinking about contradiction\n"), F.when(F.col("doc_id") % 3 == 0, "Entailment.").when(F.col("doc_id") % 3 == 1, "CONTRADICTION").otherwise("unclear"))
+    last = F.lower(F.element_at(F.split(said, "\n"), -1))
+    label = F.when(F.contains(last, F.lit("entailment")), "entailment").when(F.contains(last, F.lit("contradiction")), "contradiction").otherwise("not_mentioned")
+    return t.table("documents").select("doc_id", label.alias("label"))
+
+
+# -- spans
+
+_CHARS = "WITH c AS (SELECT DISTINCT qid, file, kind, unnest(range(span_start, span_end)) AS c FROM fx_spans), k AS (SELECT qid, file, c, bool_or(kind = 'pred') AS p, bool_or(kind = 'gold') AS g FROM c GROUP BY ALL)"
+
+
+@query(_CHARS + " SELECT qid, round(coalesce(count_if(p AND g) / nullif(count_if(p), 0), 0), 6) AS precision, round(coalesce(count_if(p AND g) / nullif(count_if(g), 0), 0), 6) AS recall FROM k GROUP BY qid")
+def char_overlap(t: Inputs) -> DataFrame:
+    """Precision and recall over characters: spans are merged and overlaps measured, no character becomes a row."""
+    merged = E.merged_spans(t.fx("spans"), ["qid", "file", "kind"], "span_start", "span_end")
+    size = F.sum(F.col("span_end") - F.col("span_start"))
+    pred, gold = merged.where("kind = 'pred'"), merged.where("kind = 'gold'")
+    g = gold.select("qid", "file", F.col("span_start").alias("gs"), F.col("span_end").alias("ge"))
+    both = pred.join(g, ["qid", "file"]).where("span_start < ge and gs < span_end").groupBy("qid").agg(F.sum(F.least("span_end", "ge") - F.greatest("span_start", "gs")).alias("s"))
+    sides = pred.groupBy("qid").agg(size.alias("p")).join(gold.groupBy("qid").agg(size.alias("g")), "qid", "full").join(both, "qid", "left")
+    part = lambda c: F.round(F.coalesce(F.try_divide(F.col("s"), F.col(c)), F.lit(0.0)), 6)
+    return sides.select("qid", part("p").alias("precision"), part("g").alias("recall"))
+
+
+@query("SELECT qid, kind, span_start AS s, span_end AS e FROM fx_spans")
+def parse_spans(t: Inputs) -> DataFrame:
+    """Spans written as ``[s, e]`` or as objects."""
+    text = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("["), F.col("span_start").cast("string"), F.lit(", "), F.col("span_end").cast("string"), F.lit("]"))).otherwise(F.to_json(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"))))
+    pair, named = F.from_json(text, "array<int>"), F.from_json(text, "start int, end int")
+    return t.fx("spans").select("qid", "kind", F.coalesce(F.get(pair, F.lit(0)), named["start"]).alias("s"), F.coalesce(F.get(pair, F.lit(1)), named["end"]).alias("e"))
+
+
+# -- answers against references
+
+
+@query("SELECT qid, list_contains([qid % 3, qid % 5, 4], qid % 7) AS hit FROM (SELECT o_orderkey AS qid FROM orders)")
+def retrieval_accuracy(t: Inputs) -> DataFrame:
+    q = F.col("qid")
+    return t.table("orders").select(F.col("o_orderkey").alias("qid")).select("qid", F.array_contains(F.array(q % 3, q % 5, F.lit(4).cast("long")), q % 7).alias("hit"))
+
+
+@query(r"""WITH s AS (SELECT item_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s, list_distinct(regexp_extract_all(lower(left(text, 100)), '[\p{L}\p{N}_]+')) AS ctx FROM benchmark),
+k AS (SELECT item_id, list_transform(s, lambda x: len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')), ctx)) * 2 >= len(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')))) AS ok FROM s)
+SELECT item_id, round(len(list_filter(ok, lambda x: x)) / len(ok), 6) AS score FROM k WHERE len(ok) > 0""")
+def groundedness(t: Inputs) -> DataFrame:
+    """Share of sentences half of whose words stand in the context."""
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    items = t.table("benchmark").select("item_id", F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(x) != "").alias("s"), words(F.substring("text", 1, 100)).alias("ctx"))
+    ok = F.filter("s", lambda x: F.size(F.array_intersect(words(x), F.col("ctx"))) * 2 >= F.size(words(x)))
+    return items.where(F.size("s") > 0).select("item_id", F.round(F.size(ok) / F.size("s"), 6).alias("score"))
+
+
+@query()
+def rouge_l(t: Inputs) -> DataFrame:
+    """F-measure of matching blocks of words of neighbouring benchmark items, as difflib finds them."""
+
+    @pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            x, y = x.split(), y.split()
+            n = sum(m.size for m in difflib.SequenceMatcher(None, x, y).get_matching_blocks())
+            return 2 * n / (len(x) + len(y)) if x and y and n else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    items = t.table("benchmark")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return items.join(after, "item_id").select("item_id", score("text", "other").alias("score"))
+
+
+@query("""WITH k AS (SELECT qid, answer_type, row_number() OVER (PARTITION BY answer_type ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY answer_type) AS n FROM fx_runs)
+SELECT qid, answer_type FROM k WHERE i > 0 AND i % (n // 5) = 0 AND i // (n // 5) <= 4""")
+def stratified_pick(t: Inputs) -> DataFrame:
+    """Four questions of each type at even steps."""
+    w = Window.partitionBy("answer_type")
+    k = t.fx("runs").select("qid", "answer_type", (F.row_number().over(w.orderBy("qid")) - 1).alias("i"), F.count("*").over(w).alias("n")).withColumn("step", F.floor(F.col("n") / 5))
+    return k.where("i > 0 and i % step = 0 and floor(i / step) <= 4").select("qid", "answer_type")
+
+
+@query()
+def sample_n(t: Inputs) -> DataFrame:
+    """A fixed random sample of ten runs, the same at any partitioning."""
+    return t.fx("runs").select("qid").orderBy(F.xxhash64("qid", F.lit(42)), "qid").limit(10)
+
+
+@query("SELECT answer_type, count(*) AS n, count_if(model_name = 'oracle')::BIGINT AS routed, count_if(ttft_ms < 4)::BIGINT AS low, round(avg(ttft_ms), 6) AS top FROM fx_runs GROUP BY answer_type")
+def retrieval_analysis(t: Inputs) -> DataFrame:
+    return t.fx("runs").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(F.col("model_name") == "oracle").alias("routed"), F.count_if(F.col("ttft_ms") < 4).alias("low"), F.round(F.avg("ttft_ms"), 6).alias("top"))
+
+
+@query(r"SELECT item_id, '[P1] ' || left(text, 40) || chr(10) || '[P2] ' || right(text, 40) AS prompt FROM benchmark")
+def passage_prompt(t: Inputs) -> DataFrame:
+    passages = F.array(F.substring("text", 1, 40), F.expr("right(text, 40)"))
+    lines = F.transform(passages, lambda p, i: F.concat(F.lit("[P"), (i + 1).cast("string"), F.lit("] "), p))
+    return t.table("benchmark").select("item_id", F.concat_ws("\n", lines).alias("prompt"))
+
+
+# -- page selection: lines of an order stand for scored pages of documents
+
+_SCORED = "SELECT l_orderkey AS qid, l_suppkey % 5 AS doc, l_linenumber AS page, max(l_discount) * 10 AS score FROM lineitem GROUP BY ALL"
+
+
+def _scored(t: Inputs) -> DataFrame:
+    return t.table("lineitem").groupBy(F.col("l_orderkey").alias("qid"), (F.col("l_suppkey") % 5).alias("doc"), F.col("l_linenumber").alias("page")).agg((F.max("l_discount") * 10).alias("score"))
+
+
+def _r(c="score"):
+    return F.round(c, 6).alias("score")
+
+
+@query("SELECT item_id, round(0.7 * coalesce(least(1, greatest(0, llm)), 0.5) + 0.3 / (1 + exp(-ce)), 6) AS score FROM (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE (item_id % 13) / 10.0 END AS llm, (item_id % 7) - 3.0 AS ce FROM benchmark)")
+def llm_blend(t: Inputs) -> DataFrame:
+    """Model scores, held to 0 to 1 and a half if missing, blended with the logistic of another scorer."""
+    llm = F.when(F.col("item_id") % 4 != 0, F.col("item_id") % 13 / 10.0)
+    score = 0.7 * F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), llm)), F.lit(0.5)) + 0.3 / (1 + F.exp(-(F.col("item_id") % 7 - 3.0)))
+    return t.table("benchmark").select("item_id", _r(score))
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT qid, doc, page, 1.0::DOUBLE AS score FROM s QUALIFY count(*) OVER (PARTITION BY qid, doc) <= 2")
+def small_doc_pages(t: Inputs) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy("qid", "doc"))
+    return _scored(t).withColumn("n", n).where("n <= 2").select("qid", "doc", "page", F.lit(1.0).alias("score"))
+
+
+@query(f"WITH s AS ({_SCORED}), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) AS n FROM s) SELECT qid, doc, round(max(score), 6) AS score FROM k WHERE n <= 3 GROUP BY ALL")
+def prefilter50(t: Inputs) -> DataFrame:
+    """Scores of documents from the best candidates alone (three here)."""
+    top = top_k(_scored(t), ["qid"], [F.col("score").desc(), F.col("doc"), F.col("page")], 3, "n")
+    return top.groupBy("qid", "doc").agg(F.max("score").alias("score")).select("qid", "doc", _r())
+
+
+_BOOST = "score + 0.02 * page + CASE WHEN page = 2 THEN 0.8 ELSE 0 END - CASE WHEN page = 1 AND doc % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN doc = 3 THEN CASE WHEN page <> 1 THEN 1.2 ELSE 0.6 END ELSE 0 END"
+
+
+def _boosted(t: Inputs) -> DataFrame:
+    doc, page = F.col("doc"), F.col("page")
+    score = F.col("score") + 0.02 * page + F.when(page == 2, 0.8).otherwise(0.0) - F.when((page == 1) & (doc % 2 == 0), 0.3).otherwise(0.0) + F.when(doc == 3, F.when(page != 1, 1.2).otherwise(0.6)).otherwise(0.0)
+    return _scored(t).withColumn("score", score)
+
+
+@query(f"SELECT qid, doc, page, round({_BOOST}, 6) AS score FROM ({_SCORED})")
+def page_boosts(t: Inputs) -> DataFrame:
+    return _boosted(t).select("qid", "doc", "page", _r())
+
+
+@query(f"""WITH s AS (SELECT *, max(score) OVER (PARTITION BY qid, doc) AS best, max(CASE WHEN page > 1 THEN score END) OVER (PARTITION BY qid, doc) AS deep FROM ({_SCORED}))
+SELECT qid, doc, page, round(CASE WHEN page = 1 AND score = best AND deep IS NOT NULL AND score - deep < 0.15 THEN deep - 0.001 ELSE score END, 6) AS score FROM s""")
+def title_demotion(t: Inputs) -> DataFrame:
+    """A title page that leads by little goes just below the best deeper page."""
+    w = Window.partitionBy("qid", "doc")
+    s = _scored(t).withColumns({"best": F.max("score").over(w), "deep": F.max(F.when(F.col("page") > 1, F.col("score"))).over(w)})
+    low = (F.col("page") == 1) & (F.col("score") == F.col("best")) & F.col("deep").isNotNull() & (F.col("score") - F.col("deep") < 0.15)
+    return s.select("qid", "doc", "page", _r(F.when(low, F.col("deep") - 0.001).otherwise(F.col("score"))))
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT qid, doc, page FROM s QUALIFY max(score) OVER (PARTITION BY qid, doc) >= 0.10")
+def doc_floor(t: Inputs) -> DataFrame:
+    return _scored(t).withColumn("best", F.max("score").over(Window.partitionBy("qid", "doc"))).where("best >= 0.10").select("qid", "doc", "page")
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER w AS n, first_value(score) OVER w AS top FROM ({_SCORED}) WINDOW w AS (PARTITION BY qid, doc ORDER BY score DESC, page))
+SELECT qid, doc, page FROM s WHERE n <= 2 AND (top <= 0 OR score / top >= 0.75)""")
+def gap_pages(t: Inputs) -> DataFrame:
+    w = Window.partitionBy("qid", "doc").orderBy(F.col("score").desc(), "page")
+    s = _scored(t).withColumns({"n": F.row_number().over(w), "top": F.first("score").over(w)})
+    return s.where((F.col("n") <= 2) & ((F.col("top") <= 0) | (F.try_divide("score", "top") >= 0.75))).select("qid", "doc", "page")
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, page) AS n FROM ({_SCORED})), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (n = 1) DESC, CASE WHEN n = 1 THEN doc END, score DESC, doc, page) AS pos FROM s)
+SELECT qid, doc, page FROM k WHERE pos <= 3""")
+def fair_select(t: Inputs) -> DataFrame:
+    """The best page of each case first, in order of cases, then by score, three in all."""
+    ranked = top_k(_scored(t), ["qid", "doc"], [F.col("score").desc(), F.col("page")], 1 << 30, "n")
+    order = [(F.col("n") == 1).desc(), F.when(F.col("n") == 1, F.col("doc")).asc_nulls_last(), F.col("score").desc(), F.col("doc"), F.col("page")]
+    return top_k(ranked, ["qid"], order, 3, "pos").select("qid", "doc", "page")
+
+
+@query(f"""WITH s AS (SELECT qid, doc, max(score) AS score FROM ({_SCORED}) GROUP BY ALL), low AS (SELECT qid FROM s GROUP BY qid HAVING max(score) < 0.4), extra AS (SELECT qid, 99 AS doc, 0.2 AS score FROM low)
+SELECT qid, doc, round(max(score), 6) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM extra) GROUP BY ALL""")
+def lowconf_merge(t: Inputs) -> DataFrame:
+    """A question whose best page is weak gets a page from the whole corpus as well."""
+    s = _scored(t).groupBy("qid", "doc").agg(F.max("score").alias("score"))
+    low = s.groupBy("qid").agg(F.max("score").alias("m")).where("m < 0.4").select("qid", F.lit(99).cast("long").alias("doc"), F.lit(0.2).alias("score"))
+    return s.union(low).groupBy("qid", "doc").agg(F.round(F.max("score"), 6).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT qid, doc, page, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) - 1 AS rank FROM ({_SCORED})), p AS (SELECT qid, doc, page, 1.0 / (rank + 1) + 0.02 * page + CASE WHEN page = 2 THEN 0.5 ELSE 0 END AS score FROM s),
+d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY round(score, 9) DESC, page) <= 2) SELECT qid, doc, page, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc, page) <= 3""")
+def fallback_pages(t: Inputs) -> DataFrame:
+    ranked = top_k(_scored(t), ["qid"], [F.col("score").desc(), F.col("doc"), F.col("page")], 1 << 30)
+    score = 1.0 / F.col("rank") + 0.02 * F.col("page") + F.when(F.col("page") == 2, 0.5).otherwise(0.0)
+    first = F.round("score", 9).desc()
+    per_doc = top_k(ranked.withColumn("score", score), ["qid", "doc"], [first, F.col("page")], 2, "a")
+    return top_k(per_doc, ["qid"], [first, F.col("doc"), F.col("page")], 3, "b").select("qid", "doc", "page", _r())
+
+
+@query("""WITH have AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS doc FROM lineitem), n AS (SELECT qid, greatest(1, count(*) // 3) AS most FROM have GROUP BY qid), e AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 50 AS target FROM lineitem WHERE l_orderkey < 200),
+x AS (SELECT DISTINCT h.qid, e.target AS doc FROM have h JOIN e USING (doc) ANTI JOIN have o ON o.qid = h.qid AND o.doc = e.target) SELECT qid, doc, 0.3::DOUBLE AS score FROM x JOIN n USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc) <= most""")
+def xref_boost(t: Inputs) -> DataFrame:
+    """Up to a third more pages from the references of those retrieved, none twice."""
+    have = t.table("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("doc")).distinct()
+    edges = t.table("lineitem").where("l_orderkey < 200").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 50).alias("target")).distinct()
+    most = have.groupBy("qid").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("most"))
+    extra = have.join(edges, "doc").select("qid", F.col("target").alias("doc")).distinct().join(have, ["qid", "doc"], "left_anti")
+    ranked = extra.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).join(most, "qid")
+    return ranked.where("n <= most").select("qid", "doc", F.lit(0.3).alias("score"))
+
+
+@query()
+def rerank_topk(t: Inputs) -> DataFrame:
+    """The best three of each question by word overlap, a stand-in for a scorer; nothing is scored where there are no more."""
+    few = F.count("*").over(Window.partitionBy("qid")) <= 3
+    return top_k(_scored(t).withColumn("few", few), ["qid"], [F.when(F.col("few"), 0.0).otherwise(-F.col("score")), F.col("doc"), F.col("page")], 3).select("qid", "doc", "page", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def doc_rescue(t: Inputs) -> DataFrame:
+    """The best page of the last document that the selection misses takes the last place."""
+    best = top_k(_scored(t), ["qid", "doc"], [F.col("score").desc(), F.col("page")], 1, "n")
+    chosen = top_k(_scored(t), ["qid"], [F.col("score").desc(), F.col("doc"), F.col("page")], 2, "pos")
+    missing = best.join(chosen.select("qid", "doc"), ["qid", "doc"], "left_anti").groupBy("qid").agg(F.max_by(F.struct("doc", "page"), "doc").alias("m"))
+    swapped = chosen.join(missing, "qid", "left").withColumn("swap", (F.col("pos") == 2) & F.col("m").isNotNull())
+    return swapped.select("qid", "pos", F.when(F.col("swap"), F.col("m.doc")).otherwise(F.col("doc")).alias("doc"), F.when(F.col("swap"), F.col("m.page")).otherwise(F.col("page")).alias("page"))
