@@ -101,12 +101,25 @@ def keys(fingerprints):
     return np.concatenate(out), np.concatenate(owner)
 
 
-def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE):
-    """Fingerprints (unsigned) of whole texts: the majority of each bit over all shingles, repeats included."""
+def _mixed(hashes, k: int):
+    """The k-th set of hashes of the same shingles: the hashes themselves, then ones mixed from them."""
+    import numpy as np
+
+    if not k:
+        return hashes
+    h = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(33)
+
+
+def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE, rounds: int = 1):
+    """(texts, rounds) fingerprints (unsigned) of whole texts: the majority of each bit over all shingles, repeats included.
+
+    The first is of the shingles' hashes, the others of hashes mixed from these."""
     import numpy as np
     import xxhash
 
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), rounds), np.uint64)
     hashes, starts, owners = [], [], []
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -114,15 +127,16 @@ def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE):
     def flush():
         if owners:
             flat = np.array(hashes, "<u8")
-            sums = np.zeros((len(owners), 64), np.int64)
             at = np.array([*starts, len(flat)])
-            for i in range(0, len(flat), 1 << 17):  # 8 MB of bits at a time
-                part = flat[i : i + (1 << 17)]
-                bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
-                cut = np.clip(at - i, 0, len(part))
-                own = np.flatnonzero(cut[1:] > cut[:-1])
-                sums[own] += np.add.reduceat(bits, cut[own], axis=0, dtype=np.int64)
-            out[owners] = ((2 * sums > np.diff(at)[:, None]) * powers).sum(axis=1, dtype=np.uint64)
+            for k in range(rounds):
+                sums = np.zeros((len(owners), 64), np.int64)
+                for i in range(0, len(flat), 1 << 17):  # 8 MB of bits at a time
+                    part = _mixed(flat[i : i + (1 << 17)], k)
+                    bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
+                    cut = np.clip(at - i, 0, len(part))
+                    own = np.flatnonzero(cut[1:] > cut[:-1])
+                    sums[own] += np.add.reduceat(bits, cut[own], axis=0, dtype=np.int64)
+                out[owners, k] = ((2 * sums > np.diff(at)[:, None]) * powers).sum(axis=1, dtype=np.uint64)
         hashes.clear(), starts.clear(), owners.clear()
 
     for i, text in enumerate(texts):
@@ -145,19 +159,22 @@ def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE):
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, fp) of ``docs`` (doc_id, text): row is a hash of the text, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> DataFrame:
+    """(doc_id, row, fp, fp1, ...) of ``docs`` (doc_id, text): row is a hash of the text, the others its fingerprints as signed longs."""
+    names = ["doc_id", "row", "fp", *(f"fp{k}" for k in range(1, rounds))]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fp = fingerprint_texts(batch.column(2).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
+            fp = fingerprint_texts(batch.column(2).to_pylist(), shingle, rounds)
+            columns = (pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(rounds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _forest(words, bits: int):
@@ -238,11 +255,12 @@ def _searched(bits: int, bucket: int):
 def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints (fp), enough to connect all that differ in at most ``bits`` bits.
 
+    Up to four bits no link is missed. With more, every link that is found is verified, but those of more than four bits
+    are found only where a key happens to agree.
+
     A bucket gives a spanning forest of its links, so the rows are linear in the fingerprints even in
     a large group of near copies; every link of at most four bits lies in some bucket.
     """
-    if bits > BITS:
-        raise ValueError(f"the keys find links of at most {BITS} bits")
 
     def expand(batches):
         import numpy as np
@@ -268,30 +286,45 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
     return met.where("b is not null").select("a", "b").union(rest.select("a", "b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+def _classes(rows: DataFrame, rounds: int, bits: int, bucket: int) -> DataFrame:
+    """Edges between first fingerprints, and between these and the marked later ones, that make near-duplicates one component."""
+    edges = links(rows.select("fp").distinct(), bits, bucket)
+    for k in range(1, rounds):
+        pairs = rows.select("fp", F.col(f"fp{k}").alias("other")).distinct()
+        found = stored(links(pairs.select(F.col("other").alias("fp")).distinct(), bits, bucket), "later-links")
+        several = pairs.groupBy("other").agg(F.count("*").alias("n")).where("n > 1").select("other")
+        met = found.select(F.col("a").alias("other")).union(found.select(F.col("b").alias("other"))).union(several).distinct()
+        own = F.xxhash64(F.col("other"), F.lit(k))  # a vertex apart from those of other rounds
+        edges = edges.union(pairs.join(met, "other").select(F.col("fp").alias("a"), own.alias("b")))
+        edges = edges.union(found.select(F.xxhash64("a", F.lit(k)).alias("a"), F.xxhash64("b", F.lit(k)).alias("b")))
+    return edges
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET, rounds: int = 1) -> DataFrame:
     """(doc_id, row, fp, component_id) of ``docs`` (doc_id, text; other columns are ignored), one row for each of theirs.
 
     A-Z are lower-cased; words are runs other than blanks and the characters 09 to 0D; a text with
     fewer words than a shingle is one shingle, and one without words (or null) has fingerprint zero,
     which links like any other. component_id is the smallest doc_id that can be reached over links
-    (null if none of them has a doc_id). Repeated rows are copies of each other.
+    (null if none of them has a doc_id). Repeated rows are copies of each other. With several
+    ``rounds``, texts are linked if their fingerprints of any round are.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    rows = stored(fingerprints(docs, shingle, rounds), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = components(links(distinct, bits, bucket)).select(F.col("v").alias("fp"), "root")
+    linked = components(_classes(rows, rounds, bits, bucket)).select(F.col("v").alias("fp"), "root")
     linked = stored(linked.join(distinct, "fp"), "linked")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
     labels = linked.join(roots, "root").select("fp", "component", F.lit(True).alias("linked"))
     labelled = distinct.join(labels, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(labelled, "fp")
+    return rows.select("doc_id", "row", "fp").join(labelled, "fp")
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, rounds: int = 1) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with the smallest doc_id stays (then the
     smallest text hash; of rows equal in both, one). Columns as they are."""
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, shingle, bits)
+    found = near_duplicates(docs, shingle, bits, rounds=rounds)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # a component without any doc_id is one of its own for this purpose, by fingerprint
     keep = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(first).alias("k"))
