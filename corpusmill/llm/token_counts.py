@@ -15,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import blank_chunks, encoder, partitions, special_tokens, tokenizer_file
+from corpusmill.llm.common import LETTERS, blank_chunks, encoder, partitions, special_tokens, tokenizer_file
 
 #: A block is closed at this many documents (less than 2**16) or characters.
 BLOCK_DOCS, BLOCK_CHARS = 16_384, 24_000_000
-_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáçèéêëíîïñóôöœùúûüßÀÄÉÖÜ")
 
 _single: dict[str, frozenset[str]] = {}
 
@@ -39,7 +38,7 @@ def pre_tokens(text: str) -> dict[str, int]:
 
     out: dict[str, int] = {}
     for x, n in Counter(blank_chunks(text)).items():
-        if x[-1] in ",." and len(x) > 1 and x[-2] in _PLAIN:
+        if x[-1] in ",." and len(x) > 1 and x[-2] in LETTERS:
             out[x[-1]] = out.get(x[-1], 0) + n
             x = x[:-1]
         out[x] = out.get(x, 0) + n
@@ -59,8 +58,7 @@ def _inverted(tokenizer: str, block_docs: int, block_chars: int):
         one, specials = single_pieces(file), special_tokens(file)
         special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         part, number = TaskContext.get().partitionId(), 0
-        names = ["pre_token", "block", "postings", "place", "doc_id", "n_bytes", "n_tokens"]
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["pre_token", "block", "postings"]
         rows, word, where, often, vocabulary, chars = [], array("I"), array("H"), array("B"), {}, 0
 
         def flush():
@@ -76,9 +74,9 @@ def _inverted(tokenizer: str, block_docs: int, block_chars: int):
                 b = min(m, a + 20_000)
                 offsets = pa.py_buffer((ends[a : b + 1] - ends[a]).astype("<i4").tobytes())
                 postings = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(packed[ends[a] // 3 : ends[b] // 3].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(terms[a:b], pa.string()), pa.array(np.full(b - a, block)), postings, *(pa.nulls(b - a, k) for k in kinds[3:])], names)
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[3:], strict=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[a:b], pa.string()), pa.array(np.full(b - a, block)), postings], names)
+            own = np.array([(d or 0, d is None, n, t) for d, n, t in rows], _OWN).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([block]), pa.array([own], pa.binary())], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -98,7 +96,7 @@ def _inverted(tokenizer: str, block_docs: int, block_chars: int):
                             where.append(place)
                             often.append(min(n, 255))
                             n -= 255
-                rows.append((place, doc_id, len(text.encode()), base))
+                rows.append((doc_id, len(text.encode()), base))
                 chars += len(text)
                 if len(rows) >= block_docs or chars >= block_chars:
                     yield from flush()
@@ -110,34 +108,43 @@ def _inverted(tokenizer: str, block_docs: int, block_chars: int):
     return invert
 
 
+#: What a block's own row has of each document: its id, whether that is null, bytes, tokens counted in the block.
+_OWN = [("doc_id", "<i8"), ("none", "u1"), ("n_bytes", "<i8"), ("n_tokens", "<i8")]
+#: Sums of one task for the documents of a block.
+_PART = [("place", "<u2"), ("n", "<u4")]
+
+
 def _joined(tokenizer: str, most: int = 1_000_000):
-    """Rows of one task, ordered by pre-token: counts each once and adds up the products for each document."""
+    """Rows of one task, ordered by pre-token: counts each once and adds up the products for each document of each block.
+
+    Out come one row for each block and flush, with the sums packed, and the rows of blocks as they are."""
 
     def join(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["block", "place", "doc_id", "n_bytes", "n_tokens"]
+        names = ["block", "own", "parts"]
         known = encoder(tokenizer_file(tokenizer)).tokenizer
         keys, sums, held, last = [], [], 0, (None, 0)
 
         def flush():
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, np.concatenate(sums), len(key)).astype(np.int64)
-            n = len(key)
-            return pa.RecordBatch.from_arrays([pa.array(key >> 16), pa.array((key & 0xFFFF).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(total)], names)
+            packed = np.empty(len(key), _PART)
+            packed["place"], packed["n"] = key & 0xFFFF, np.bincount(at, np.concatenate(sums), len(key))
+            blocks, first = np.unique(key >> 16, return_index=True)
+            parts = [packed[a:b].tobytes() for a, b in zip(first, [*first[1:], len(key)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([False] * len(blocks)), pa.array(parts, pa.binary())], names)
 
         for batch in batches:
             docs = batch.filter(batch.column("pre_token").is_null())
             if docs.num_rows:
-                yield docs.select(names)
+                yield pa.RecordBatch.from_arrays([docs.column("block"), pa.array([True] * docs.num_rows), docs.column("postings")], names)
             batch = batch.filter(batch.column("pre_token").is_valid())
             if not batch.num_rows:
                 continue
             terms = batch.column("pre_token").to_pylist()
-            new = list(dict.fromkeys(terms))
             counts = dict([last])
-            fresh = [t for t in new if t not in counts]
+            fresh = [t for t in dict.fromkeys(terms) if t not in counts]
             counts.update((t, len(e.ids)) for t, e in zip(fresh, known.encode_batch_fast(fresh, add_special_tokens=False), strict=True))
             last = (terms[-1], counts[terms[-1]])  # the next batch may go on with it
             postings = batch.column("postings").to_pylist()
@@ -155,6 +162,33 @@ def _joined(tokenizer: str, most: int = 1_000_000):
     return join
 
 
+def _summed(batches):
+    """Rows of one task, ordered by block: adds the parts of each block to what its own row has."""
+    import numpy as np
+    import pyarrow as pa
+
+    block, sums, own = None, None, None
+
+    def out():
+        total = own["n_tokens"] + sums[: len(own)]
+        doc_ids = pa.array(own["doc_id"].copy(), mask=own["none"].astype(bool))
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(own["n_bytes"].copy()), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for b, is_own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if b != block:
+                if block is not None:
+                    yield out()
+                block, sums = b, np.zeros(1 << 16, np.int64)
+            if is_own:
+                own = np.frombuffer(data.as_buffer(), _OWN)
+            else:
+                packed = np.frombuffer(data.as_buffer(), _PART)
+                sums[packed["place"]] += packed["n"]
+    if block is not None:
+        yield out()
+
+
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -162,11 +196,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     strings in a text count as one token each, as the library has it.
     """
     spark = docs.sparkSession
-    schema = "pre_token string, block long, postings binary, place int, doc_id long, n_bytes long, n_tokens long"
-    inverted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_inverted(tokenizer, block_docs, block_chars), schema)
-    # rows of documents have no pre-token: they are dealt by their own number
-    deal = F.when(F.col("pre_token").isNull(), F.xxhash64("block", "place")).otherwise(F.xxhash64("pre_token"))
-    met = inverted.repartition(partitions(spark), deal)
-    sums = met.sortWithinPartitions("pre_token").mapInArrow(_joined(tokenizer), "block long, place int, doc_id long, n_bytes long, n_tokens long")
-    whole = sums.groupBy("block", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    inverted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _inverted(tokenizer, block_docs, block_chars), "pre_token string, block long, postings binary"
+    )
+    # the row of a block has no pre-token: it is dealt by its own number
+    deal = F.when(F.col("pre_token").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("pre_token"))
+    met = inverted.repartition(partitions(spark), deal).sortWithinPartitions("pre_token")
+    parts = met.mapInArrow(_joined(tokenizer), "block long, own boolean, parts binary")
+    whole = parts.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return whole.withColumn("over_limit", F.col("n_tokens") > limit)
