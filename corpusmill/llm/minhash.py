@@ -7,7 +7,8 @@ finds a filled one; two texts with the same filled bins borrow alike. The low ei
 are packed into the fingerprint. Two fingerprints agree in a bin by chance once in 256 cases, which
 the likeness corrects for.
 
-All of it is one row's own array expressions; documents are only moved to bring neighbours together.
+Shingles are exploded, hashed and reduced to their bins in generated code; documents are only moved to
+bring neighbours together, and the rest are array expressions over the bins.
 """
 
 from __future__ import annotations
@@ -15,37 +16,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import partitions, range_bounds, range_bucket
+from corpusmill.llm.common import partitions, range_bounds, range_bucket, stored
 
 SHINGLE, BINS, LOW_BITS, ATTEMPTS = 5, 128, 8, 24
 _BIN_BITS = BINS.bit_length() - 1
 
 
-def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the low bits of all bins of the text in column ``text`` as an array, empty for a text without words.
+def shingle_minima(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, code, least) of ``texts`` (keys, side, text): the smallest hash of each bin, code being the bin's number plus
+    ``BINS`` for each side before; a text without words has one row with nulls.
 
-    Words are what white space separates; a text of fewer words than a shingle is one shingle.
+    Words are what white space separates; a text of fewer words than a shingle is one shingle. Shingles
+    are rows here, hashed and reduced to their bins in one generated loop before anything is shuffled.
     """
-    words, hashes, first, bins, filled = (f"_{out}_{x}" for x in ("words", "hashes", "first", "bins", "filled"))
-    last = F.greatest(F.lit(0), F.size(words) - SHINGLE)
+    words = texts.select(*keys, "side", F.when(F.col("text").rlike(r"\S"), F.split("text", r"\s+")).alias("words"))
+    placed = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - SHINGLE))))
     # a word beyond the end is null, which xxhash64 passes over
-    shingle = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(F.col(words), i + k) for k in range(SHINGLE)]), 1)
-    bin_of = lambda h: F.shiftright(h, 63 - _BIN_BITS).cast("int")
-    some = F.trim(F.regexp_replace(F.substring(text, 1, 64), r"\s", " ")) != ""
-    blank = ~some & ~F.col(text).rlike(r"\S")
-    df = df.withColumn(words, F.when(~blank, F.split(F.col(text), r"\s+")))
-    df = df.withColumn(hashes, F.when(F.col(words).isNotNull(), F.array_sort(F.transform(F.sequence(F.lit(0), last), shingle))))
-    df = df.withColumn(first, F.filter(F.col(hashes), lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col(hashes), i - 1)))))
-    df = df.withColumn(bins, F.transform(F.col(first), bin_of))
+    shingle = F.xxhash64(*[F.get(F.col("words"), F.col("i") + k) for k in range(SHINGLE)])
+    hashed = placed.select(*keys, "side", F.when(F.col("words").isNotNull(), F.shiftrightunsigned(shingle, 1)).alias("h"))
+    code = F.shiftright("h", 63 - _BIN_BITS).cast("int") + F.col("side") * BINS
+    return hashed.select(*keys, code.alias("code"), "h").groupBy(*keys, "code").agg(F.min("h").alias("least"))
+
+
+def with_bins(df: DataFrame, codes: str, leasts: str, side: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the low bits of all bins of one side (arrays of codes and of what is least in them), empty bins
+    filled; an empty array for a text without words."""
+    filled = f"_{out}_filled"
     numbers = F.sequence(F.lit(0), F.lit(BINS - 1))
-    df = df.withColumn(filled, F.transform(numbers, lambda b: F.get(F.col(first), (F.array_position(F.col(bins), b) - 1).cast("int"))))
+    place = lambda b: (F.array_position(F.col(codes), b + side * BINS) - 1).cast("int")
+    df = df.withColumn(filled, F.transform(numbers, lambda b: F.get(F.col(leasts), place(b))))
+    first = F.filter(filled, lambda x: x.isNotNull())
     at = lambda b: F.get(F.col(filled), b)
     tried = lambda b: [at(F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
     # beyond the attempts: the filled bin that a last hash picks
-    rest = lambda b: F.get(F.col(first), F.pmod(F.xxhash64(b, F.lit(-1)), F.size(first)).cast("int"))
+    rest = lambda b: F.get(first, F.pmod(F.xxhash64(b, F.lit(-1)), F.size(first)).cast("int"))
     low = lambda b: F.coalesce(at(b), *tried(b), rest(b)).bitwiseAND((1 << LOW_BITS) - 1).cast("int")
-    df = df.withColumn(out, F.when(F.size(first) > 0, F.transform(numbers, low)).otherwise(F.array().cast("array<int>")))
-    return df.drop(words, hashes, first, bins, filled)
+    some = F.exists(filled, lambda x: x.isNotNull())
+    return df.withColumn(out, F.when(some, F.transform(numbers, low)).otherwise(F.array().cast("array<int>"))).drop(filled)
 
 
 def packed(bins: Column) -> Column:
@@ -61,44 +68,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(found)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): every document with the text of the next one in descending order of doc_id; after the
-    last the first. Null texts are empty, a null doc_id comes last, rows that share a doc_id are ordered by text.
-
-    Documents are dealt into runs of doc_ids, so a task holds one run; the neighbour of the first
-    document of a run is the last one of the run before it, which is joined by the number of the run.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", partitions(docs.sparkSession))
+def _runs(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``run``, the number of a run of doc_ids, and how many runs there are; every run has a document."""
+    bounds = range_bounds(rows, "doc_id", partitions(rows.sparkSession))
     if bounds and bounds[0] == rows.agg(F.min("doc_id")).first()[0]:
-        bounds = bounds[1:]  # every run has a document
-    order = Window.partitionBy("run").orderBy("doc_id", "text")
-    placed = rows.withColumn("run", range_bucket("doc_id", bounds)).withColumns(
-        {"before": F.lag("text").over(order), "last": F.lead("run").over(order).isNull()}
-    )
-    n = len(bounds) + 1
-    ends = placed.where("last").select(F.pmod(F.col("run") + 1, F.lit(n)).alias("run"), F.col("text").alias("end"))
-    found = placed.join(ends.withColumnRenamed("run", "run2"), (F.col("run") == F.col("run2")) & F.col("before").isNull(), "left")
-    return found.select("doc_id", "text", F.coalesce("before", "end").alias("next_text"))
+        bounds = bounds[1:]
+    return rows.withColumn("run", range_bucket("doc_id", bounds)), len(bounds) + 1
+
+
+def with_next(rows: DataFrame, runs: int, order: list[str], column: str, out: str) -> DataFrame:
+    """``rows`` (with ``run``) with ``out``: ``column`` of the next row in descending order; after the last the first.
+
+    A task holds one run. The neighbour of a run's first row is the last one of the run before it,
+    which is joined by the number of the run."""
+    w = Window.partitionBy("run").orderBy(*order)
+    placed = rows.withColumns({"_before": F.lag(column).over(w), "_number": F.row_number().over(w), "_last": F.lead("run").over(w).isNull()})
+    ends = placed.where("_last").select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), F.col(column).alias("_end"))
+    found = placed.join(ends, (F.col("run") == F.col("_run")) & (F.col("_number") == 1), "left")
+    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_last", "_run", "_end").withColumnRenamed("_number", "number")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs`` (doc_id, text; other columns are ignored) and of their edited texts, one row for each of theirs.
 
     The edited text is the text with its last half (rounded down, in code points) replaced by the
-    start of the next document of the same length, or all of it if it is shorter. Columns: doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    start of the next document of the same length, or all of it if it is shorter. The next document
+    is that in descending order of doc_id, after the last the first; a null doc_id comes last, rows
+    that share a doc_id are ordered by text. Null texts are empty. Columns: doc_id, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
+    rows, runs = _runs(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    for text, out in (("text", "own"), ("edited", "changed"), ("next_text", "after")):
-        rows = with_bins(rows, text, out)
-    return rows.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        packed(F.col("own")).alias("fingerprint"),
-        packed(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
-    )
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    rows = with_next(rows, runs, ["doc_id", "text"], "text", "next_text").select("run", "number", "doc_id", "text", edited.alias("edited"))
+    # a row for each text, and one for what is told of the document
+    none = lambda kind: F.lit(None).cast(kind)
+    side = lambda i, text: F.struct(F.lit(i).alias("side"), text.alias("text"), none("long").alias("id"), none("int").alias("n"), none("string").alias("sha"))
+    told = F.struct(F.lit(-1).alias("side"), F.lit("").alias("text"), F.col("doc_id").alias("id"), F.length("text").alias("n"), F.sha2("edited", 256).alias("sha"))
+    texts = rows.select("run", "number", F.inline(F.array(told, side(0, F.col("text")), side(1, F.col("edited")))))
+    minima = shingle_minima(texts, ["run", "number", "id", "n", "sha"])
+    whole = minima.groupBy("run", "number").agg(
+        F.max("id").alias("doc_id"), F.max("n").alias("n_chars"), F.max("sha").alias("edited_sha256"),
+        F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "least"))).alias("minima"),
+    )
+    # columns of their own, made once for each row: a field of an array of structs would be made anew for each bin
+    whole = whole.withColumns({"codes": F.transform("minima", lambda x: x["code"]), "leasts": F.transform("minima", lambda x: x["least"])})
+    for i, out in enumerate(("own", "changed")):
+        whole = with_bins(whole, "codes", "leasts", i, out)
+    found = whole.select(
+        "run", "number", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", packed(F.col("own")).alias("fingerprint"),
+        packed(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), F.col("own").cast("array<smallint>").alias("bins"),
+    )
+    after = with_next(stored(found, "fingerprints").withColumnRenamed("number", "place"), runs, ["place"], "bins", "next_bins")
+    return after.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("bins"), F.col("next_bins")).alias("near_next"))
