@@ -115,6 +115,8 @@ class Items:
         if not pairs:
             return []
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)  # an item at a shift, once
+        if not pairs.shape[1]:
+            return []
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         cuts = np.flatnonzero(np.diff(pairs[0], prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], pairs.shape[1]), strict=True):
@@ -140,21 +142,23 @@ class Items:
         return [(t, self.items[i][0], -begin, n, m) for (t, i), (n, m, begin) in out.items()]
 
 
+def _item_words(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], ["item_id", "words"])
+
+
 def _blocks(benchmark: DataFrame, window: int, min_words: int, block_words: int):
-    """The benchmark's distinct texts in blocks of about ``block_words`` words: (item_id, words), each with its smallest id."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    size = F.size(F.split("text", r"\s+"))
-    blocks = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // block_words))
+    """The benchmark's distinct items in blocks of about ``block_words`` words: (item_id, words), each with its smallest id."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words, "item_id long, words array<string>")
+    items = items.where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    blocks = max(1, -(-(items.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
     for b in range(blocks):
-        found = [(r.item_id, words(r.text)) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
-        distinct: dict[tuple[str, ...], int | None] = {}
-        for item, own in found:
-            if len(own) >= min_words:
-                key = tuple(own)
-                distinct[key] = min((x for x in (item, distinct.get(key)) if x is not None), default=None)
-        if distinct:
-            yield sorted(((i, list(k)) for k, i in distinct.items()), key=str)
+        found = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
+        if found:
+            yield sorted(((r.item_id, list(r.words)) for r in found), key=str)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -76,3 +76,18 @@ def test_empty(spark):
     assert D.find_contaminated(docs, bench).collect() == []
     assert D.remove_contaminated(docs, bench).count() == 1
     assert D.remove_contaminated(docs.where("false"), bench).count() == 0
+
+
+def test_nothing_met(spark):
+    docs = spark.createDataFrame([(1, "none of these " * 20), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    assert D.find_contaminated(docs, bench).collect() == []
+    assert D.remove_contaminated(docs, bench).count() == 2
+
+
+def test_equal_words_in_any_block(spark):
+    own = [f"w{i}" for i in range(10)]
+    items = [(k, sep.join(own)) for k, sep in enumerate((" ", ", ", "; ", "\n", " - ", "/"))] + [(9, " ".join(f"v{i}" for i in range(30)))]
+    docs = spark.createDataFrame([(1, " ".join(own))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(D.find_contaminated(docs, bench, block_words=5)) == {(1, 0)}
