@@ -79,13 +79,16 @@ def _runs(rows: DataFrame) -> tuple[DataFrame, int]:
 def with_next(rows: DataFrame, runs: int, order: list[str], column: str, out: str) -> DataFrame:
     """``rows`` (with ``run``) with ``out``: ``column`` of the next row in descending order; after the last the first.
 
-    A task holds one run. The neighbour of a run's first row is the last one of the run before it,
-    which is joined by the number of the run."""
+    ``order`` starts with an integer. A task holds one run. The neighbour of a run's first row is the last one of the run
+    before it; those few rows are picked by their number where they lie, so that ``rows`` is shuffled once."""
     w = Window.partitionBy("run").orderBy(*order)
-    placed = rows.withColumns({"_before": F.lag(column).over(w), "_number": F.row_number().over(w), "_last": F.lead("run").over(w).isNull()})
-    ends = placed.where("_last").select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), F.col(column).alias("_end"))
+    placed = rows.withColumns({"_before": F.lag(column).over(w), "_number": F.row_number().over(w)})
+    last = rows.groupBy("run").agg(F.max(order[0]).alias("_last")).withColumnRenamed("run", "_run")  # one row for each run
+    ends = rows.join(F.broadcast(last), (F.col("run") == F.col("_run")) & F.col(order[0]).eqNullSafe(F.col("_last")))
+    ends = ends.groupBy("run").agg(F.max_by(column, F.struct(*order)).alias("_end"))
+    ends = ends.select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), "_end")
     found = placed.join(ends, (F.col("run") == F.col("_run")) & (F.col("_number") == 1), "left")
-    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_last", "_run", "_end").withColumnRenamed("_number", "number")
+    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_run", "_end").withColumnRenamed("_number", "number")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
