@@ -180,6 +180,15 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Gives back what this worker's encoders remember; stages that do not tokenize call it, as Spark hands workers on from stage to stage."""
+    import pyarrow as pa
+
+    if _encoders:
+        _encoders.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def special_tokens(path: str) -> list[str]:
     """The strings that the tokenizer file treats as special wherever they stand in a text."""
     import json

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import held_out
+from corpusmill.llm.common import forget_encoders, held_out
 
 #: Network: bytes in a window, hidden units of each direction.
 STEPS, HIDDEN = 64, 16
@@ -254,6 +254,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget_encoders()
         m = sent.value
         for batch in batches:
             texts = [t.encode() if ok else b"" for t, ok in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]

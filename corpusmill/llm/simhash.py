@@ -25,7 +25,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import partitions, stored
+from corpusmill.llm.common import forget_encoders, partitions, stored
 from corpusmill.llm.components import components
 
 #: Generator polynomial of the cyclic binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -167,6 +167,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> Da
         import numpy as np
         import pyarrow as pa
 
+        forget_encoders()
         for batch in batches:
             fp = fingerprint_texts(batch.column(2).to_pylist(), shingle, rounds)
             columns = (pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(rounds))
@@ -266,10 +267,11 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
         import numpy as np
         import pyarrow as pa
 
+        forget_encoders()
         for batch in batches:
             f = batch.column(0).to_numpy()
-            for at in range(0, len(f), 4096):
-                part = f[at : at + 4096]
+            for at in range(0, len(f), 1024):
+                part = f[at : at + 1024]
                 key, owner = keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[owner])], ["key", "fp"])
 
