@@ -62,6 +62,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 #: A blank that is followed by another white-space character or by the end of the text.
 _ODD_BLANK = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
+#: A line feed between two characters other than white space: a piece of its own.
+_LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def blank_chunks(text: str) -> list[str]:
@@ -118,9 +120,9 @@ class _Remembered(dict):
         if self.straight and text and LETTERS.issuperset(text):
             ids = self._model(text)
         else:
-            left, feed, right = text.partition("\n")
-            if left and right and not left[-1].isspace() and not right[0].isspace():  # a lone line feed is a piece of its own
-                return self[left] + self.feed + self.bare[right]
+            first, *rest = _LONE_FEED.split(text)
+            if rest:
+                return self.feed.join([self[first], *map(self.bare.__getitem__, rest)])
             ids = self._library(text)
         self[text] = ids
         return ids

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from corpusmill.llm import packing, token_counts, token_file
-from corpusmill.llm.common import blank_chunks, shared_dir, tokenizer_file
+from corpusmill.llm.common import ChunkEncoder, blank_chunks, shared_dir, tokenizer_file
 
 ODD = [
     (5, None), (3, ""), (3, "twice"), (3, "twice"), (None, "no id"), (9, "<|endoftext|>"), (8, " a  b   c \n d\n\n e\t f\r\n  "),
@@ -120,3 +120,14 @@ def test_packing_of_nothing(spark, docs):
 def test_chunks_are_the_text():
     for _, t in ODD:
         assert "".join(blank_chunks(t or "")) == (t or "")
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_many_line_feeds(name):
+    lines = "\n".join(f"word{i}" for i in range(5000))
+    for text in (lines, "漢字\n" * 3000 + "か", f"a {lines}, b", "x\n\ny\nz\r\nend.\n\tq\n" * 1500, "\n a\nb\u3000\nc.\n,d"):
+        own, ids = ChunkEncoder(tokenizer_file(name)), library(name)(text)
+        encode = own.text if name.startswith("byte") else own.words
+        for _ in range(2):
+            assert np.frombuffer(encode(text), "<u4").tolist() == ids
+        assert sum(map(len, [*own.bare, *own.spaced])) <= 2 * len(text)  # no suffixes are kept
