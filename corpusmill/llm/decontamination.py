@@ -5,7 +5,8 @@ words of a window and ignores the others, so a passage with a word changed still
 where the change falls on an ignored place. Hashes of all masks at all places of the benchmark items
 are joined to those of the documents; around each hit the item is laid along the document and
 compared word by word. A document is contaminated if ``window`` consecutive words of an item (all of
-a shorter item) stand in it with at most a fifth of them changed.
+a shorter item) stand in it with at most a fifth of them changed. The report of all items (``find_all``)
+also has items of fewer than ``MIN_WORDS`` words, found whole and unchanged, and every copy of an item.
 
 The masks are chosen so that no such overlap is missed: every 13-word window with two changed words
 keeps one whole mask of five (checked over all placements in the tests), shorter items use masks of
@@ -23,6 +24,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import stored
+
 WINDOW, CHANGED, MIN_WORDS, BLOCK_WORDS = 13, 0.2, 8, 500_000
 MASKS = ("11010011", "11100101", "1101101")
 #: For items of fewer than ``WINDOW`` words: with one changed word (up to nine words), with two.
@@ -34,7 +37,14 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _changed(n: int, window: int) -> int:
+    """How many words of an overlap may be changed: none in items of fewer than ``MIN_WORDS`` words."""
+    return 0 if n < MIN_WORDS else int(CHANGED * min(n, window))
+
+
 def _masks(n: int, window: int) -> tuple[str, ...]:
+    if n < MIN_WORDS:
+        return ("1" * min(n, window, len(SHORT_MASKS[0])),)
     return MASKS if n >= window >= WINDOW else SHORT_MASKS[:1] if int(CHANGED * min(n, window)) < 2 else SHORT_MASKS[1:]
 
 
@@ -130,7 +140,7 @@ class Items:
                 same = (ids[np.where(inside, at, 0)] == own) & inside
                 sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
                 gaps = np.cumsum(np.pad(~inside | (ids[np.where(inside, at, 0)] < 0), ((0, 0), (1, 0))), axis=1)
-                good = (sums[:, w:] - sums[:, :-w] >= w - int(CHANGED * w)) & (gaps[:, w:] == gaps[:, :-w])
+                good = (sums[:, w:] - sums[:, :-w] >= w - _changed(len(own), self.window)) & (gaps[:, w:] == gaps[:, :-w])
                 for r in np.flatnonzero(good.any(axis=1)):
                     first = int(good[r].argmax())
                     last = int(len(good[r]) - good[r][::-1].argmax()) - 1 + w
@@ -150,30 +160,34 @@ def _item_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), found], ["item_id", "words"])
 
 
-def _blocks(benchmark: DataFrame, window: int, min_words: int, block_words: int):
-    """The benchmark's distinct items in blocks of about ``block_words`` words: (item_id, words), each with its smallest id."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words, "item_id long, words array<string>")
-    items = items.where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words) of all items."""
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words, "item_id long, words array<string>")
+
+
+def _distinct(benchmark: DataFrame, min_words: int) -> DataFrame:
+    """(words, item_id) of the benchmark's distinct items, each with its smallest id."""
+    return _items(benchmark).where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id"))
+
+
+def _blocks(items: DataFrame, block_words: int):
+    """Distinct ``items`` (words, item_id) in blocks of about ``block_words`` words, collected one by one: whether there are several, and (item_id, words)."""
     blocks = max(1, -(-(items.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
     for b in range(blocks):
         found = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
         if found:
-            yield sorted(((r.item_id, list(r.words)) for r in found), key=str)
+            yield blocks > 1, sorted(((r.item_id, list(r.words)) for r in found), key=str)
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, first_word (of the overlap, in the document), n_words, n_same: one row for each contaminated row of
-    ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text); other columns are ignored.
+NAMES = ["doc_id", "item_id", "first_word", "n_words", "n_same"]
 
-    Of items with equal words the smallest item_id stands for all. Items of fewer than ``min_words``
-    words, or null, match nothing: too little to tell a leak from chance. Null texts and ids are
-    fine; repeated rows of ``docs`` are reported each; of several overlaps of a pair the longest is.
-    """
+
+def _found(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """Overlaps of ``docs`` with distinct ``items`` (words, item_id). Of several blocks, each is run and released before the next is collected."""
     spark, out = docs.sparkSession, None
-    names = ["doc_id", "item_id", "first_word", "n_words", "n_same"]
-    schema = ", ".join(f"{n} long" for n in names)
+    schema = ", ".join(f"{n} long" for n in NAMES)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for block in _blocks(benchmark, window, min_words, block_words):
+    for several, block in _blocks(items, block_words):
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches, sent=sent):
@@ -183,17 +197,42 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             for batch in batches:
                 found = items.search(batch.column(1).to_pylist())
                 ids = batch.column(0).take(pa.array([r[0] for r in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in found], pa.int64()) for k in range(1, 5))], names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in found], pa.int64()) for k in range(1, 5))], NAMES)
 
         part = rows.mapInArrow(search, schema)
+        if several:
+            part = stored(part, "overlaps")
+            sent.destroy()
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, first_word (of the overlap, in the document), n_words, n_same: one row for each contaminated row of
+    ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text); other columns are ignored.
+
+    Of items with equal words the smallest item_id stands for all. Items of fewer than ``min_words``
+    words, or null, match nothing: too little to tell a leak from chance. Null texts and ids are
+    fine; repeated rows of ``docs`` are reported each; of several overlaps of a pair the longest is.
+    """
+    return _found(docs, _distinct(benchmark, min_words), window, block_words)
+
+
+def find_all(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As ``find_contaminated``, for every item that has a word: those of fewer than ``MIN_WORDS`` words match whole and
+    unchanged, and of items with equal words each has its own row."""
+    items = stored(_items(benchmark).where(F.size("words") > 0), "items")
+    distinct = stored(items.select("words").distinct().select("words", F.monotonically_increasing_id().alias("item_id")), "distinct-items")
+    # narrow rows, stored so that their size is known to the join
+    copies = stored(items.join(distinct.withColumnRenamed("item_id", "own").withColumnRenamed("words", "same"), F.col("words") == F.col("same")).select("own", "item_id"), "copies")
+    found = _found(docs, distinct, window, block_words).withColumnRenamed("item_id", "own")
+    return found.join(copies, "own").select(NAMES)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without its contaminated rows, columns as they are. Nothing is shuffled."""
     spark = docs.sparkSession
-    for block in _blocks(benchmark, window, min_words, block_words):
+    for _, block in _blocks(_distinct(benchmark, min_words), block_words):
         sent, at = spark.sparkContext.broadcast(block), docs.columns.index("text")
 
         def clean(batches, sent=sent, at=at):

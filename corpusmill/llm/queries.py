@@ -93,7 +93,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, with the item and the overlap."""
-    return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.find_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 # -- 1: language ID (tests: gradients, held-out accuracy)

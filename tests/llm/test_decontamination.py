@@ -91,3 +91,28 @@ def test_equal_words_in_any_block(spark):
     docs = spark.createDataFrame([(1, " ".join(own))], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert rows(D.find_contaminated(docs, bench, block_words=5)) == {(1, 0)}
+
+
+@pytest.mark.parametrize("block_words", [500_000, 6])
+def test_copies_and_short_items(spark, block_words):
+    own = [f"w{i}" for i in range(10)]
+    items = [(0, " ".join(own)), (1, ", ".join(own)), (None, "; ".join(own)), (0, "a b c"), (2, "A-B c"), (3, "solo"), (4, "p q r s t u v"), (5, "..."), (6, None), (7, "a b"), (8, "p q r s")]
+    texts = [(1, "x " + " ".join(own[:9]) + " other y"), (2, "z a b c z a"), (3, "Solo."), (4, "p q r s t u v"), (5, "p q r changed t u v"), (6, "a changed c"), (7, None), (8, "b")]
+    docs = spark.createDataFrame([(*r, 0) for r in texts], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.first_word, r.n_words, r.n_same) for r in D.find_all(docs, bench, block_words=block_words).collect()]
+    want = [(1, i, 1, 10, 9) for i in (0, 1, None)] + [(2, 0, 1, 3, 3), (2, 2, 1, 3, 3), (2, 7, 1, 2, 2), (3, 3, 0, 1, 1), (4, 4, 0, 7, 7), (4, 8, 0, 4, 4)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_report_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert D.find_all(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_query_reports_copies(spark, tmp_path):
+    from corpusmill.llm import queries
+
+    spark.createDataFrame([(1, "z a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "a b c"), (6, "a, b, c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(queries.QUERIES["op9_decontamination"](spark, str(tmp_path))) == {(1, 5), (1, 6)}
