@@ -51,7 +51,8 @@ _PAGE_UNITS = "SELECT doc_id * 1000 + page AS unit, text FROM fx_pages"
 
 
 def _pages(t: Inputs) -> DataFrame:
-    return t.fx("pages").select((F.col("doc_id") * 1000 + F.col("page")).alias("unit"), "text", "doc_id", "page")
+    """Pages by document and number; the number in the SQL (1000 a document) is the same for two pages if a document has 1000 or more."""
+    return t.fx("pages").select(F.struct("doc_id", "page").alias("unit"), "text", "doc_id", "page")
 
 
 @query(f"SELECT doc_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents)")
@@ -83,7 +84,7 @@ def bm25_topk(t: Inputs) -> DataFrame:
 
 @query(_topk_sql(_PAGE_UNITS + " WHERE page = 1"))
 def bm25_page1(t: Inputs) -> DataFrame:
-    return _topk_query(t, _pages(t).where("page = 1"))
+    return _topk_query(t, _pages(t).where("page = 1").withColumn("unit", F.col("doc_id") * 1000 + F.col("page")))
 
 
 @query(_topk_sql("SELECT doc_id AS unit, string_agg(text, chr(10) ORDER BY page) AS text FROM fx_pages GROUP BY doc_id"))
@@ -95,7 +96,7 @@ def bm25_doc(t: Inputs) -> DataFrame:
 @query("WITH " + _duck_bm25(_PAGE_UNITS) + """, best AS (SELECT qid, unit // 1000 AS doc_id, max(score) AS score FROM scored GROUP BY ALL)
 SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 6) AS norm FROM best""")
 def bm25_doc_max_norm(t: Inputs) -> DataFrame:
-    best = _scores(t, _pages(t)).groupBy("qid", F.floor(F.col("unit") / 1000).alias("doc_id")).agg(F.max("score").alias("score"))
+    best = _scores(t, _pages(t)).groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
     top = best.groupBy("qid").agg(F.max("score").alias("top"))
     return best.join(top, "qid").select("qid", "doc_id", F.round(F.col("score") / F.col("top"), 6).alias("norm"))
 
@@ -166,13 +167,13 @@ fused AS (SELECT qid, doc_id, sum(w / (60 + rank)) AS score FROM ranked GROUP BY
 SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused) WHERE rank <= 10""")
 def doc_fusion(t: Inputs) -> DataFrame:
     """Documents by weighted reciprocal ranks of several signals of their pages."""
-    doc = F.floor(F.col("unit") / 1000).alias("doc_id")
+    doc = F.col("unit.doc_id").alias("doc_id")
     scores = _scores(t, _pages(t))
     ranked = R.top_k(scores, ["qid"], R.best_first("score", "unit"), 1 << 30)
     signals = [
         (scores.groupBy("qid", doc).agg(F.max("score").alias("score")), 0.10),
         (ranked.groupBy("qid", doc).agg(F.sum(1.0 / (60 + F.col("rank"))).alias("score")), 0.20),
-        (scores.where("unit % 1000 = 1").groupBy("qid", doc).agg(F.max("score").alias("score")), 0.30),
+        (scores.where("unit.page = 1").groupBy("qid", doc).agg(F.max("score").alias("score")), 0.30),
     ]
     rankings = [(R.top_k(s, ["qid"], R.best_first("score", "doc_id"), 1 << 30), w) for s, w in signals]
     top = R.top_k(R.rrf(rankings, "qid", "doc_id"), ["qid"], R.best_first("score", "doc_id"), 10)
