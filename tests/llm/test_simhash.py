@@ -69,7 +69,7 @@ def test_keys_meet_at_four_bits():
 def test_components_of_words(spark):
     words = near_words(np.random.default_rng(2))
     want = all_pairs(words)
-    df = spark.createDataFrame([(int(np.uint64(w).view(np.int64)),) for w in words], "fp long")
+    df = spark.createDataFrame([(5, int(np.uint64(w).view(np.int64))) for w in words], "round int, fp long")
     for bucket in (20_000, 40):  # 40: large buckets are cut and searched by pairs of cuts
         from corpusmill.llm.components import components
 
@@ -98,9 +98,82 @@ def test_documents(spark):
                 least[root[f]] = min(d, least.get(root[f], d))
         want = [(d, f, least.get(root[f])) for (d, _), f in zip(rows, fps, strict=True)]
         assert sorted(((r.doc_id, int(np.int64(r.fp).view(np.uint64)), r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
+def all_similar(texts, rounds=simhash.ROUNDS, similarity=simhash.SIMILARITY):
+    """The smallest number that each text reaches over all pairs whose fingerprints, taken together, are similar enough."""
+    fps = simhash.fingerprint_texts(texts, simhash.WORDS, rounds)
+    limit, root = int(64 * rounds * np.arccos(similarity) / np.pi), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]).sum(axis=1) <= limit):
+            a, b = find(i), find(i + 1 + int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def nearly(got, want, text):
+    """Whether all of ``want`` was kept, and nothing else that has a Jaccard likeness of 0.85 to something kept before it."""
+    sets = {d: shingles(text[d]) for _, d in got}
+    like = lambda a, b: len(a & b) / len(a | b)
+    return set(want) <= set(got) and all(like(sets[d], sets[x]) < 0.85 for _, d in set(got) - set(want) for x in sets if x < d)
+
+
+def test_deduplicated(spark):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for rows in (ODD, table, []):
+        docs = spark.createDataFrame([(*r, 1, "x", 2, 3, "y") for r in rows], "doc_id long, text string, fp int, root string, row int, copy int, _row string")
         kept = simhash.deduplicated(docs)
         assert kept.columns == docs.columns
-        one = {}
-        for (d, t), f in zip(rows, fps, strict=True):
-            one.setdefault(root[f], []).append((d is None, d))
-        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((a, b or 0) for a, b in (min(x, key=lambda k: (k[0], k[1] or 0)) for x in one.values()))
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+        root = all_similar([t for _, t in rows])
+        want = sorted((rows[i][0] is None, rows[i][0] or 0) for i in set(root))
+        got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+        assert got == want if rows != sorted(table) else nearly(got, want, {r[0]: r[1] for r in rows})
+
+
+def edited(rng, words, changed):
+    """The words with runs of new ones written over their end, so that ``changed`` of 200 five-word shingles are others."""
+    out = words.copy()
+    out[len(out) - changed :] = rng.integers(10**6, 10**7, changed)
+    return out
+
+
+def test_recall_of_similar_texts(spark):
+    """Pairs of a known Jaccard likeness: links against true shingle sets, without keys."""
+    rng, rows, pairs = np.random.default_rng(9), [], []
+    for likeness, changed in ((0.8, 22), (0.85, 16), (0.9, 10), (0.4, 86)):
+        for _ in range(250):
+            a = rng.integers(10**6, 10**7, 204)
+            b = edited(rng, a, changed)
+            sets = [{tuple(x[i : i + 5]) for i in range(200)} for x in (a.tolist(), b.tolist())]
+            j = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+            assert abs(j - likeness) < 0.01
+            pairs.append((likeness, len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(map(str, a))), (len(rows) + 1, " ".join(map(str, b)))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {x: np.mean([got[a] == got[b] for y, a, b in pairs if y == x]) for x in (0.8, 0.85, 0.9, 0.4)}
+    assert found[0.8] >= 0.9 and found[0.85] >= 0.97 and found[0.9] >= 0.99 and found[0.4] == 0, found
+    assert len(set(got.values())) == 2 * len(pairs) - sum(got[a] == got[b] for _, a, b in pairs)
+
+
+def test_components_in_slices(spark):
+    """Long paths, a star and cliques, in one slice and in many."""
+    from corpusmill.llm.components import components
+
+    edges = [(i, i + 1) for i in range(100, 400)] + [(1000, i) for i in range(1001, 1600)] + [(5000 + i, 5000 + j) for i in range(20) for j in range(i)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for size in (100_000, 50):
+        got = {r.v: r.root for r in components(df, size).collect()}
+        assert got == {**{i: 100 for i in range(100, 401)}, **{i: 1000 for i in range(1000, 1600)}, **{5000 + i: 5000 for i in range(20)}}
+    assert components(df.where("false")).count() == 0
