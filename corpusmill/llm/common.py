@@ -42,7 +42,7 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     cuts = [i / n for i in range(1, n)]
     if not cuts:
         return []
-    found = df.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(100 * n))).first()[0]
+    found = df.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(max(10_000, 10 * n)))).first()[0]
     return sorted(set(found or []))
 
 
@@ -51,7 +51,21 @@ def range_bucket(key: str | Column, bounds: list[int]) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= key)), F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))  # first a group of bounds, then a place in it
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda values: F.coalesce(F.size(F.filter(values, lambda b: b <= key)), F.lit(0))
+    array = lambda values: F.array(*[F.lit(b).cast("long") for b in values])
+    group = below(array([g[0] for g in groups]))
+    inside = below(F.get(F.array(*map(array, groups)), group - 1))
+    return F.when(group > 0, (group - 1) * step + inside).otherwise(0)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -172,23 +186,28 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for the file; a worker that runs several tasks keeps what it has learned."""
+def encoder(path: str, limit: int = 700_000) -> ChunkEncoder:
+    """This worker's encoder for the file, which remembers ``limit`` chunks; a worker that runs several tasks keeps what it has learned."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ChunkEncoder(path, limit)
     return _encoders[path]
 
 
 def forget_encoders() -> None:
     """Gives back what this worker's encoders remember; stages that do not tokenize call it, as Spark hands workers on from stage to stage."""
+    import ctypes
+
     import pyarrow as pa
 
     if _encoders:
         _encoders.clear()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what was freed, other libraries have no such call
+        if trim:
+            trim(0)
 
 
 def special_tokens(path: str) -> list[str]:

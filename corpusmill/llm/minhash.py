@@ -1,9 +1,9 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and b-bit packing. [native]
 
 Every five-word shingle is hashed once. The upper bits of a hash name one of ``BINS`` bins, and a bin
-keeps its smallest hash: in the sorted array of a text's hashes that is the first one of each bin. An
-empty bin borrows from the bin that a hash of (its number, attempt) names, at the first attempt that
-finds a filled one; two texts with the same filled bins borrow alike. The low eight bits of each bin
+keeps its smallest hash. An empty bin has an order of its own in which it tries the others, by a hash
+of (its number, the other's number), and borrows from the first filled one; what it borrows depends on
+the filled bins alone, so it agrees in two texts as often as any filled bin does. The low eight bits of each bin
 are packed into the fingerprint. Two fingerprints agree in a bin by chance once in 256 cases, which
 the likeness corrects for.
 
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import partitions, range_bounds, range_bucket, stored
 
-SHINGLE, BINS, LOW_BITS, ATTEMPTS = 5, 128, 8, 24
+SHINGLE, BINS, LOW_BITS = 5, 128, 8
+#: Runs of documents for each shuffle partition: several, so that the tasks are even.
+RUNS = 8
 _BIN_BITS = BINS.bit_length() - 1
 
 
@@ -38,21 +40,18 @@ def shingle_minima(texts: DataFrame, keys: list[str]) -> DataFrame:
     return hashed.select(*keys, code.alias("code"), "h").groupBy(*keys, "code").agg(F.min("h").alias("least"))
 
 
-def with_bins(df: DataFrame, codes: str, leasts: str, side: int, out: str) -> DataFrame:
-    """``df`` with ``out``: the low bits of all bins of one side (arrays of codes and of what is least in them), empty bins
-    filled; an empty array for a text without words."""
-    filled = f"_{out}_filled"
+def with_bins(df: DataFrame, minima: str, side: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the low bits of all bins of one side of ``minima`` (array of code and least), empty bins filled;
+    an empty array for a text without words."""
+    filled, codes, leasts = (f"_{out}_{x}" for x in ("filled", "codes", "leasts"))
+    df = df.withColumn(filled, F.filter(minima, lambda x: F.shiftright(x["code"], _BIN_BITS) == side))
+    # columns of their own, made once for each row: a field of an array of structs would be made anew for each bin
+    df = df.withColumns({codes: F.transform(filled, lambda x: x["code"] - side * BINS), leasts: F.transform(filled, lambda x: x["least"])})
+    own = lambda b: F.get(leasts, (F.array_position(F.col(codes), b) - 1).cast("int"))
+    tried = lambda b: F.zip_with(codes, leasts, lambda c, v: F.struct(F.xxhash64(b, c).alias("order"), v.alias("least")))
+    low = lambda b: F.coalesce(own(b), F.array_min(tried(b))["least"]).bitwiseAND((1 << LOW_BITS) - 1).cast("int")
     numbers = F.sequence(F.lit(0), F.lit(BINS - 1))
-    place = lambda b: (F.array_position(F.col(codes), b + side * BINS) - 1).cast("int")
-    df = df.withColumn(filled, F.transform(numbers, lambda b: F.get(F.col(leasts), place(b))))
-    first = F.filter(filled, lambda x: x.isNotNull())
-    at = lambda b: F.get(F.col(filled), b)
-    tried = lambda b: [at(F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
-    # beyond the attempts: the filled bin that a last hash picks
-    rest = lambda b: F.get(first, F.pmod(F.xxhash64(b, F.lit(-1)), F.size(first)).cast("int"))
-    low = lambda b: F.coalesce(at(b), *tried(b), rest(b)).bitwiseAND((1 << LOW_BITS) - 1).cast("int")
-    some = F.exists(filled, lambda x: x.isNotNull())
-    return df.withColumn(out, F.when(some, F.transform(numbers, low)).otherwise(F.array().cast("array<int>"))).drop(filled)
+    return df.withColumn(out, F.when(F.size(codes) > 0, F.transform(numbers, low)).otherwise(F.array().cast("array<int>"))).drop(filled, codes, leasts)
 
 
 def packed(bins: Column) -> Column:
@@ -70,7 +69,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _runs(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` with ``run``, the number of a run of doc_ids, and how many runs there are; every run has a document."""
-    bounds = range_bounds(rows, "doc_id", partitions(rows.sparkSession))
+    bounds = range_bounds(rows, "doc_id", RUNS * partitions(rows.sparkSession))
     if bounds and bounds[0] == rows.agg(F.min("doc_id")).first()[0]:
         bounds = bounds[1:]
     return rows.withColumn("run", range_bucket("doc_id", bounds)), len(bounds) + 1
@@ -114,10 +113,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.max("id").alias("doc_id"), F.max("n").alias("n_chars"), F.max("sha").alias("edited_sha256"),
         F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "least"))).alias("minima"),
     )
-    # columns of their own, made once for each row: a field of an array of structs would be made anew for each bin
-    whole = whole.withColumns({"codes": F.transform("minima", lambda x: x["code"]), "leasts": F.transform("minima", lambda x: x["least"])})
     for i, out in enumerate(("own", "changed")):
-        whole = with_bins(whole, "codes", "leasts", i, out)
+        whole = with_bins(whole, "minima", i, out)
     found = whole.select(
         "run", "number", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", packed(F.col("own")).alias("fingerprint"),
         packed(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), F.col("own").cast("array<smallint>").alias("bins"),

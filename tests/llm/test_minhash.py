@@ -1,6 +1,7 @@
 """One-permutation MinHash against the definition, neighbours and likeness against sets."""
 
 import hashlib
+import random
 import re
 
 import xxhash
@@ -46,10 +47,7 @@ def by_definition(text):
         if b in bins:
             v = bins[b]
         else:
-            tries = [ints_hash(b, t) % 128 for t in range(24)]
-            v = next((bins[x] for x in tries if x in bins), None)
-            if v is None:
-                v = bins[sorted(bins)[ints_hash(b, -1) % len(bins)]]
+            v = bins[min(bins, key=lambda c: ints_hash(b, c))]
         out.append(f"{v & 255:02x}")
     return "".join(out)
 
@@ -95,3 +93,21 @@ def test_estimates(spark):
         want[2 * i + 1] = common / (2 * 1996 - common)
     got = {r.doc_id: r.near_next for r in M.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(abs(got[d] - j) < 0.13 for d, j in want.items())
+
+
+def test_short_texts(spark):
+    """Likeness of texts of 1 to 16 shingles against their sets: no bias from the bins they leave empty."""
+    rng, rows, want = random.Random(4), [], []
+    for n in (1, 2, 4, 8, 12, 16):
+        for _ in range(120):
+            same = rng.randrange(n + 1)
+            own = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            other = own[: same + 4] + [f"v{rng.randrange(10**9)}" for _ in range(n - same)] if same else [f"v{rng.randrange(10**9)}" for _ in range(n + 4)]
+            rows += [(2 * len(want), " ".join(other)), (2 * len(want) + 1, " ".join(own))]
+            want.append((n, same / (2 * n - same)))
+    got = {r.doc_id: r.near_next for r in M.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = [(n, got[2 * i + 1] - j) for i, (n, j) in enumerate(want)]
+    assert abs(sum(e for _, e in errors)) / len(errors) < 0.02
+    for size in (1, 2, 4, 8, 12, 16):
+        own = [e for n, e in errors if n == size]
+        assert abs(sum(own)) / len(own) < 0.05, (size, sum(own) / len(own))
