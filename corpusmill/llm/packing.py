@@ -17,6 +17,8 @@ from corpusmill.llm.common import encoder, stored, tokenizer_file
 
 #: A block is closed when it has this many ids (the last document may exceed it).
 BLOCK_IDS = 500_000
+#: Chunks that a task's encoder remembers: words repeat often enough for few, and the rest of the pipeline needs the memory.
+REMEMBERED = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -24,7 +26,7 @@ def word_ids(path: str, text: str | None) -> bytes:
     """Ids of a whole text from a tokenizer that drops white space, so that words are encoded independently of each other."""
     if not text:
         return b""
-    known = encoder(path)
+    known = encoder(path, REMEMBERED)
     return known.whole(text) if "<|" in text else known.words(text)
 
 
