@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget_encoders, held_out
+from corpusmill.llm.common import forget_encoders, fresh, held_out
 
 #: Network: bytes in a window, hidden units of each direction.
 STEPS, HIDDEN = 64, 16
@@ -200,11 +200,12 @@ def pooled(model: Model, texts: list[bytes], steps: int = STEPS, batch: int = 20
     return sums[:-1] / np.maximum(1, [[len(t)] for t in texts]) if texts else sums[:-1]
 
 
-def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language that are not held out, the same ones at any partitioning.
+def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, windows_per_doc: int = WINDOWS_PER_DOC) -> list[tuple[str, list[bytes]]]:
+    """(lang, windows) of at most ``per_language`` documents of each language that are not held out, the same ones at any partitioning.
 
-    Ids are chosen first, by hash, from narrow rows (a partial limit runs before the shuffle); the
-    texts of the chosen ones, a bounded number, are then read.
+    Ids are chosen first, by hash, from narrow rows (a partial limit runs before the shuffle). Of the
+    chosen ones at most ``windows_per_doc`` windows of bytes, spread evenly over the whole text, reach
+    the driver: bounded in rows and in bytes.
     """
     usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -216,26 +217,26 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_
     narrow = usable.select("doc_id", "lang", F.xxhash64("text").alias("_t"))
     chosen = narrow.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_language).select("doc_id", "lang", "_t").distinct()
     own = usable.withColumn("_t", F.xxhash64("text"))
-    rows = own.join(F.broadcast(chosen), ["doc_id", "lang", "_t"]).dropDuplicates(["doc_id", "lang", "_t"])
-    return sorted((r["text"], r["lang"]) for r in rows.collect())
+    rows = own.join(F.broadcast(chosen), ["doc_id", "lang", "_t"]).select("doc_id", "lang", "_t", F.encode("text", "UTF-8").alias("bytes"))
+    full = F.greatest(F.lit(1), F.floor(F.octet_length("bytes") / STEPS)).cast("int")
+    n = F.least(F.lit(windows_per_doc), full)
+    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.floor((2 * i + 1) * full / (2 * n)) * STEPS + 1).cast("int"))
+    windows = F.transform(starts, lambda s: F.substring(F.col("bytes"), s, F.lit(STEPS)))
+    rows = rows.select("doc_id", "lang", "_t", windows.alias("windows")).dropDuplicates(["doc_id", "lang", "_t"])
+    return sorted((r["lang"], [bytes(w) for w in r["windows"]]) for r in rows.collect())
 
 
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, max_languages: int = MAX_LANGUAGES, **settings) -> Model | None:
     """A model of the languages of ``docs`` (doc_id, text, lang), from its bounded training sample; None if nothing can be learned."""
     import numpy as np
 
-    sample = training_sample(docs, per_language, max_languages)
+    sample = training_sample(docs, per_language, max_languages, windows_per_doc)
     if not sample:
         return None
-    languages = sorted({lang for _, lang in sample})
-    rng, data, labels = np.random.default_rng(SEED), [], []
-    for text, lang in sample:
-        windows, _, fill = _windows([text.encode()], STEPS)
-        full = np.flatnonzero(fill == STEPS) if (fill == STEPS).any() else np.arange(len(windows))
-        pick = rng.choice(full, min(windows_per_doc, len(full)), replace=False)
-        data.append(windows[pick])
-        labels += [languages.index(lang)] * len(pick)
-    return train(np.concatenate(data), np.array(labels), languages, **settings)
+    languages = sorted({lang for lang, _ in sample})
+    number = {lang: i for i, lang in enumerate(languages)}
+    data, _, _ = _windows([w for _, windows in sample for w in windows], STEPS)
+    return train(data, np.array([number[lang] for lang, windows in sample for _ in windows]), languages, **settings)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -243,12 +244,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0, as is everything without a model.
     The score is the mean probability of the predicted language; of equal ones the first in the alphabet wins.
+    Repeated rows are judged each, very long texts whole (a megabyte at a time goes through the network with
+    its neighbours), an empty table gives an empty one, and other columns may have any names.
     """
     base = docs.drop("lang_pred", "score")
     if model is None:
         return base.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     sent, at = docs.sparkSession.sparkContext.broadcast(model), base.columns.index("text")
-    letters = base.withColumn("_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    letters = base.withColumn(fresh("letters", base.columns), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         import numpy as np
@@ -280,5 +283,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None, min_score: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` in a learned language: neither ``und`` nor below ``min_score``. Columns as they are."""
-    return predict(docs.select(*docs.columns), model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    """The rows of ``docs`` in a learned language: neither ``und`` nor below ``min_score``.
+
+    Columns as they are, ``lang_pred`` and ``score`` of the input included; null texts and texts without a letter go; without
+    a model all rows go; an empty table gives an empty one.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    row = docs.select("text", *([F.struct(*others).alias("input")] if others else []))
+    found = predict(row, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return found.select(*[F.col("text") if c == "text" else F.col("input")[c].alias(c) for c in docs.columns])

@@ -71,16 +71,16 @@ def judge_urls(
         F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes"),
     ).first()
 
-    added = {"host": host(url), "path": path(url)}
-    base = urls.drop("rule", "verdict").withColumns({"_h": added["host"], "_p": added["path"]})
-    base = base.drop("host", "path").withColumnsRenamed({"_h": "host", "_p": "path"})
+    # the input row in a struct, so that no name can clash
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    base = urls.select(F.struct(*kept).alias("input") if kept else F.struct(F.lit(0).alias("none")).alias("input"), host(url).alias("host"), path(url).alias("path"))
+    told = lambda df, rule, verdict: df.select(*[F.col("input")[c].alias(c) for c in kept], "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     if not shape["n"]:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return told(base, F.lit(None).cast("string"), F.lit(default))
 
     depth = F.size(F.split("host", r"\."))
     expressions = (
-        base.withColumn("_row", F.struct("host", "path"))
-        .select("_row", "host", "path").distinct()
+        base.select("host", "path").distinct()
         .withColumn("_d", F.explode(F.array(*map(F.lit, sorted(shape["depths"])))))
         .where(F.col("_d") <= depth)
         .withColumn("_suffix", F.expr("substring_index(host, '.', -_d)"))
@@ -103,8 +103,4 @@ def judge_urls(
         hits = spread.join(salted, ["_key", "_salt"])
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "_host_length"))
     decided = hits.where(F.col("_digest") == F.col("_full")).groupBy("host", "path").agg(best.alias("_best"))
-    return (
-        base.join(decided, ["host", "path"], "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))})
-        .drop("_best")
-    )
+    return told(base.join(decided, ["host", "path"], "left"), F.col("_best.rule"), F.coalesce("_best.verdict", F.lit(default)))
