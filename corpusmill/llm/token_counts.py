@@ -2,8 +2,10 @@
 
 Documents of one task form blocks. A block is inverted: for each distinct pre-token one row with the
 documents of the block that hold it and how often (three bytes a posting). These rows meet by
-pre-token; there every distinct pre-token is counted once and the products are summed for each
-document. Ids are never materialised and no text is shuffled. Pre-tokens that are one vocabulary
+pre-token and group of ``GROUP`` input partitions; there every distinct pre-token is counted once and
+the products are summed for each document. The groups keep a very common pre-token from meeting all of
+the corpus in one task, whatever its size. Ids are never materialised, and of the texts only pre-tokens
+are shuffled (a text without a blank is one). Pre-tokens that are one vocabulary
 entry, which are the most frequent ones, are counted in the block itself.
 
 A pre-token here is a chunk from ``blank_chunks``, less a comma or full stop at its end (a letter
@@ -19,6 +21,9 @@ from corpusmill.llm.common import LETTERS, blank_chunks, encoder, partitions, sp
 
 #: A block is closed at this many documents (less than 2**16) or characters.
 BLOCK_DOCS, BLOCK_CHARS = 16_384, 24_000_000
+#: A pre-token is counted once for so many partitions of the input.
+GROUP_BITS = 6
+GROUP = 1 << GROUP_BITS
 
 _single: dict[str, frozenset[str]] = {}
 
@@ -193,14 +198,15 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of ``docs`` (doc_id, text; other columns are ignored).
 
     One row for each row of ``docs``, null and repeated doc_ids included; a null text is empty. Special
-    strings in a text count as one token each, as the library has it.
+    strings in a text count as one token each, as the library has it. Texts are counted whole at any length; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     inverted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _inverted(tokenizer, block_docs, block_chars), "pre_token string, block long, postings binary"
     )
     # the row of a block has no pre-token: it is dealt by its own number
-    deal = F.when(F.col("pre_token").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("pre_token"))
+    deal = F.when(F.col("pre_token").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("pre_token", F.shiftright("block", 24 + GROUP_BITS)))
     met = inverted.repartition(partitions(spark), deal).sortWithinPartitions("pre_token")
     parts = met.mapInArrow(_joined(tokenizer), "block long, own boolean, parts binary")
     whole = parts.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
