@@ -32,6 +32,8 @@ MAGIC, HEAD = b"DAC1", struct.Struct("<4sQIIQQQII")
 CHUNK_BITS, RANK_BITS = 8, 512
 #: A segment is closed when it has this many ids (the last document may exceed it).
 SEGMENT_IDS = 2_000_000
+#: A task begins a new file after so many segments (about 5 MB each), as a file is read as one value.
+FILE_SEGMENTS = 16
 
 
 def pack(ids):
@@ -148,8 +150,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     """Encode ``docs`` (doc_id, text; other columns are ignored) into files below ``path``, in ascending doc_id order.
 
     Null texts are empty; null doc_ids come first; rows that share a doc_id are ordered by text and
-    all kept. Every document ends with ``end_id``. ``tokenizer`` names a byte-level file of the
-    public tokenizers. A partition is a run of doc_ids, and a task holds one segment at a time.
+    all kept; an empty table gives files without segments. Every document ends with ``end_id``. ``tokenizer`` names a byte-level file of the
+    public tokenizers. A partition is a run of doc_ids, a task holds one segment at a time, and a file
+    has at most ``FILE_SEGMENTS``, so that neither grows with the partition.
     """
 
     def write(batches):
@@ -181,7 +184,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     # the text sink writes a string's bytes as they are; a line feed ends each segment
-    ordered.mapInArrow(write, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(write, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import partitions
 
 SEGMENT_BYTES, CHUNK_BYTES, SALTS = 16_384, 4_096, 32
+#: A task begins a new file after so many records (at most about 17 KB each), as a file is read as one value.
+FILE_RECORDS = 4_096
 CRLF = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "origin string, segment int, total long, type string, page_id long, refers_to long, uri string, digest string, payload_bytes long, block binary"
@@ -98,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date
         F.lit(CRLF),
         F.col("part").cast("string"),
     )
-    parts.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
+    parts.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -201,7 +203,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, uri, record_type (response or revisit), refers_to, digest, payload_bytes, payload (null for a revisit).
 
     Segments meet by origin, in order; a gap, a wrong total length or a payload that does not have its
-    digest is an error. Records that are whole are not shuffled.
+    digest is an error. Records that are whole are not shuffled; files are parsed once for these and once for the segments.
+    Files without records give no rows; page_id and uri are null where a record has none.
     """
     columns = "page_id long, uri string, record_type string, refers_to long, digest string, payload_bytes long, payload binary"
 
