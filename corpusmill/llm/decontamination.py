@@ -5,12 +5,12 @@ words of a window and ignores the others, so a passage with a word changed still
 where the change falls on an ignored place. Hashes of all masks at all places of the benchmark items
 are joined to those of the documents; around each hit the item is laid along the document and
 compared word by word. A document is contaminated if ``window`` consecutive words of an item (all of
-a shorter item) stand in it with at most a fifth of them changed. The report of all items (``find_all``)
-also has items of fewer than ``MIN_WORDS`` words, found whole and unchanged, and every copy of an item.
+a shorter item) stand in it with at most a fifth of them changed. Items of fewer than ``MIN_WORDS`` words
+are found whole and unchanged. The report of all items (``find_all``) has every copy of an item.
 
-The masks are chosen so that no such overlap is missed: every 13-word window with two changed words
-keeps one whole mask of five (checked over all placements in the tests), shorter items use masks of
-three or four.
+The masks of a window follow from its length and the words that may change in it (``masks``): for
+every placement of the changed words some mask at some place of the window meets none of them, so no
+such overlap is missed. That is tried for all placements when the masks are made.
 
 Benchmarks are a stated query set: they are laid against all documents in blocks of at most
 ``block_words`` words, so what a task is sent has a fixed bound at any size of the benchmark.
@@ -20,6 +20,7 @@ Documents are never shuffled, and words that no item of the block has are droppe
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import stored
 
 WINDOW, CHANGED, MIN_WORDS, BLOCK_WORDS = 13, 0.2, 8, 500_000
-MASKS = ("11010011", "11100101", "1101101")
-#: For items of fewer than ``WINDOW`` words: with one changed word (up to nine words), with two.
-SHORT_MASKS = ("1111", "111")
+#: Items of fewer words are no evidence of a leak and remove no document, unless a caller asks for it.
+LEAST_WORDS = 5
+#: Windows whose masks are tried over all placements of changed words; words that a mask looks at, its length, and how many masks a window may need.
+LONGEST_WINDOW, WEIGHT, SPAN, MASKS = 25, 5, 8, 3
+#: Hits that are laid along a document at once.
+SLICE = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -42,10 +46,35 @@ def _changed(n: int, window: int) -> int:
     return 0 if n < MIN_WORDS else int(CHANGED * min(n, window))
 
 
-def _masks(n: int, window: int) -> tuple[str, ...]:
-    if n < MIN_WORDS:
-        return ("1" * min(n, window, len(SHORT_MASKS[0])),)
-    return MASKS if n >= window >= WINDOW else SHORT_MASKS[:1] if int(CHANGED * min(n, window)) < 2 else SHORT_MASKS[1:]
+@cache
+def masks(window: int, changed: int) -> tuple[str, ...]:
+    """Masks that ignore a place each, one of which keeps clear of any ``changed`` words of a window: the heaviest for which ``MASKS`` suffice.
+
+    Windows of one or two words have a mask without an ignored place, and no changes."""
+    from itertools import combinations
+
+    import numpy as np
+
+    if not 0 < window <= LONGEST_WINDOW:
+        raise ValueError(f"a window has 1 to {LONGEST_WINDOW} words")
+    if window < 3:
+        return ("1" * window,)
+    placements = np.array([sum(1 << p for p in places) for places in combinations(range(window), changed)], np.int64)
+    for weight in range(min(WEIGHT, window - 1), 0, -1):
+        spans = range(weight + 1, min(SPAN, window) + 1) if weight > 1 else (1,)
+        shapes = [(0, *inner, span - 1)[: max(weight, 1)] for span in spans for inner in combinations(range(1, span - 1), max(0, weight - 2))]
+        clear = {}
+        for shape in shapes:
+            bits, span = sum(1 << p for p in shape), shape[-1] + 1
+            clear["".join("1" if p in shape else "0" for p in range(span))] = np.any([placements & bits << at == 0 for at in range(window - span + 1)], axis=0)
+        found, left = [], np.ones(len(placements), bool)
+        while left.any() and len(found) < MASKS:
+            best = max(clear, key=lambda m: int((clear[m] & left).sum()))
+            found.append(best)
+            left &= ~clear[best]
+        if not left.any():
+            return tuple(found)
+    raise ValueError(f"{changed} of {window} words may be changed: no mask keeps clear of them")
 
 
 class Items:
@@ -60,7 +89,8 @@ class Items:
         self.longest = max((len(x) for _, x in self.items), default=0)
         hashes: dict[str, list[tuple]] = {}
         for i, (_, ids) in enumerate(self.items):
-            for mask in _masks(len(ids), window):
+            size = min(len(ids), window)
+            for mask in masks(size, _changed(len(ids), window)):
                 h = self._hash(mask, ids, np.arange(len(ids) - len(mask) + 1))
                 hashes.setdefault(mask, []).append((h, np.full(len(h), i), np.arange(len(h))))
         self.seeds = {}
@@ -119,9 +149,14 @@ class Items:
             may = table[(mine & np.uint64(len(table) - 1)).astype(np.int64)]
             place, mine = place[may], mine[may]
             low, high = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-            times = high - low
-            index = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            pairs.append(np.stack([item[index], np.repeat(place, times) - at[index]]))
+            times, first = high - low, 0
+            sums = np.cumsum(times)
+            while first < len(times):  # repeated words hit often: a slice at a time, of which an item at a shift stays once
+                end = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + SLICE, "right")))
+                n, k = times[first:end], low[first:end]
+                index = np.repeat(k, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pairs.append(np.unique(np.stack([item[index], np.repeat(place[first:end], n) - at[index]]), axis=1))
+                first = end
         if not pairs:
             return []
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)  # an item at a shift, once
@@ -166,8 +201,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _distinct(benchmark: DataFrame, min_words: int) -> DataFrame:
-    """(words, item_id) of the benchmark's distinct items, each with its smallest id."""
-    return _items(benchmark).where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    """(words, item_id) of the benchmark's distinct items, each with its smallest id; stored, as every block reads it."""
+    return stored(_items(benchmark).where(F.size("words") >= min_words).groupBy("words").agg(F.min("item_id").alias("item_id")), "distinct-items")
 
 
 def _blocks(items: DataFrame, block_words: int):
@@ -207,13 +242,14 @@ def _found(docs: DataFrame, items: DataFrame, window: int, block_words: int) ->
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, first_word (of the overlap, in the document), n_words, n_same: one row for each contaminated row of
     ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text); other columns are ignored.
 
     Of items with equal words the smallest item_id stands for all. Items of fewer than ``min_words``
-    words, or null, match nothing: too little to tell a leak from chance. Null texts and ids are
+    words, or null, match nothing: too little to tell a leak from chance (``find_all`` has them). Null texts and ids are
     fine; repeated rows of ``docs`` are reported each; of several overlaps of a pair the longest is.
+    Texts are searched whole at any length; an empty table of either kind gives no rows. ``window`` is at most ``LONGEST_WINDOW``.
     """
     return _found(docs, _distinct(benchmark, min_words), window, block_words)
 
@@ -229,8 +265,9 @@ def find_all(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     return found.join(copies, "own").select(NAMES)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without its contaminated rows, columns as they are. Nothing is shuffled."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without its contaminated rows (those that ``find_contaminated`` reports), columns as they are, whatever their
+    names. Nothing of the documents is shuffled; null texts stay; an empty benchmark removes nothing."""
     spark = docs.sparkSession
     for _, block in _blocks(_distinct(benchmark, min_words), block_words):
         sent, at = spark.sparkContext.broadcast(block), docs.columns.index("text")

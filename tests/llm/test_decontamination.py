@@ -25,10 +25,27 @@ def brute(texts, items, window=13):
     return found
 
 
-def test_masks_lose_nothing():
-    for n, subs, masks in ((13, 2, D.MASKS[:1]), (8, 1, D.SHORT_MASKS[:1]), (9, 1, D.SHORT_MASKS[:1]), (10, 2, D.SHORT_MASKS[1:]), (12, 2, D.SHORT_MASKS[1:])):
-        for changed in combinations(range(n), subs):
-            assert any(all(c == "0" or o + i not in changed for i, c in enumerate(m)) for m in masks for o in range(n - len(m) + 1))
+@pytest.mark.parametrize("n", range(1, 21))
+def test_masks_lose_nothing(n):
+    subs = int(0.2 * n) if n >= 8 else 0
+    masks = D.masks(n, subs)
+    assert n < 3 or all("0" in m or len(m) == 1 for m in masks) and all(len(m) <= n for m in masks)
+    for changed in combinations(range(n), subs):
+        assert any(all(c == "0" or o + i not in changed for i, c in enumerate(m)) for m in masks for o in range(n - len(m) + 1))
+
+
+def test_long_window_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "w " * 40)], "item_id long, text string")
+    with pytest.raises(Exception, match="a window has 1 to 25 words"):
+        D.find_contaminated(docs, items, window=26).collect()
+
+
+def test_repeated_words(spark):
+    """An item and a text of one word over and over: every word hits every word."""
+    docs = spark.createDataFrame([(1, "la " * 2_000), (2, "la " * 12 + "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "la " * 500), (6, "q la la la la la la la la la la la la")], "item_id long, text string")
+    assert rows(D.find_contaminated(docs, items)) == {(1, 5), (1, 6), (2, 5), (2, 6)}
 
 
 def rows(df):
