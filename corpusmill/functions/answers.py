@@ -109,11 +109,41 @@ def pages_used(text: Column) -> Column:
     return F.filter(F.transform(F.split(line, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
 
 
-def answer_keywords_number(number: Column) -> Column:
-    """How a number may be written: plain, with one decimal, with thousands."""
-    whole = F.floor(number) == number
-    plain = F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
-    return F.array_distinct(F.array(plain, F.when(whole, F.format_number(number, 0)).otherwise(F.format_number(number, 2))))
+def answer_keywords(answer: Column, answer_type: Column, most: int = 20) -> Column:
+    """What to look for on a page that supports an answer: ways to write a number or a date, names, or the telling words of a
+    free answer (at most ``most``, each once). A boolean has none."""
+    answer = F.trim(answer)
+    array = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    number = answer.try_cast("double")
+    short = F.when(answer.endswith(".0"), F.substring(answer, F.lit(1), F.length(answer) - 2))
+    thousands = F.when((number == F.floor(number)) & (number >= 1000), F.format_number(number, 0))
+    day = F.try_to_timestamp(F.when(answer.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), answer), F.lit("yyyy-M-d"))
+    dates = [F.date_format(day, f) for f in ("dd MMMM yyyy", "dd MMM yyyy", "MMMM dd, yyyy", "d MMMM yyyy", "dd/MM/yyyy")]
+    known = (answer != "") & (F.lower(answer) != "null")
+    words = F.filter(F.regexp_extract_all(answer, F.lit(P.ANSWER_WORD), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(P.ANSWER_STOP_WORDS))
+    low = F.transform(words, F.lower)
+    once = F.slice(F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+    none = F.array().cast("array<string>")
+    found = F.when(answer_type == "number", array(answer, short, thousands)).when(answer_type == "date", array(answer, *dates))
+    found = found.when((answer_type == "name") & known, F.array(answer)).when((answer_type == "names") & known, fix_names(answer)).when(answer_type == "free_text", once)
+    return F.coalesce(found, none)
+
+
+def says_absent(question: Column, answer: Column) -> Column:
+    """Whether a question asks if something is addressed, without naming a case, and the start of the free answer says that it is not."""
+    low = F.lower(question)
+    asks = low.startswith("does") & F.contains(low, F.lit("address")) & ~question.rlike(P.CASE_IN_QUESTION)
+    return asks & contains_any(F.lower(F.substring(answer, 1, 150)), P.ABSENT_ANSWER)
+
+
+def topic_absent(question: Column) -> Column:
+    """Whether a question asks if a law, not one of its articles, deals with a topic."""
+    return contains_any(F.lower(question), P.ABSENT_TOPIC) & ~question.rlike(r"(?i)\bArticle\s+\d")
+
+
+def several_cases(question: Column) -> Column:
+    """Whether a question names two or more different case numbers."""
+    return F.size(F.array_distinct(F.regexp_extract_all(question, F.lit(P.CASE_NUMBER), F.lit(0)))) >= 2
 
 
 def truncated_sentence(text: Column, limit: int = 705) -> Column:

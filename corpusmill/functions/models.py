@@ -63,20 +63,21 @@ def score(df: DataFrame, left: str, right: str, scorer: Scorer = word_overlap, o
 
 
 def respond(df: DataFrame, prompt: str, responder: Responder = no_answer, out: str = "response", attempts: int = 3) -> DataFrame:
-    """``df`` with a response to each prompt; after ``attempts`` failures a null."""
+    """``df`` with a response to each prompt; after ``attempts`` failures a null. ``<out>_error`` has the last failure's text
+    (also of attempts that were made good), ``<out>_attempts`` how many it took."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers: list = [None] * len(frame)
-            for _ in range(attempts):
+            answers, error, n = [None] * len(frame), None, 0
+            for n in range(1, attempts + 1):
                 try:
                     answers = responder(list(frame[prompt]))
                     break
-                except Exception:  # noqa: BLE001  a responder is foreign code; its failures become nulls
-                    continue
-            yield frame.assign(**{out: answers})
+                except Exception as e:  # noqa: BLE001  a responder is foreign code; its failures are told in the result
+                    error = f"{type(e).__name__}: {e}"
+            yield frame.assign(**{out: answers, f"{out}_error": [error] * len(frame), f"{out}_attempts": [n] * len(frame)})
 
-    return df.mapInPandas(run, f"{_fields(df)}, {out} string")
+    return df.mapInPandas(run, f"{_fields(df)}, {out} string, {out}_error string, {out}_attempts int")
 
 
 def _fields(df: DataFrame) -> str:

@@ -45,7 +45,8 @@ def reference_tokens(text: Column) -> Column:
     law = F.transform(_groups(text, P.TOKEN_LAW, 3), lambda m: F.array(cat(F.lower(m["g0"]), lit("_law_"), m["g1"], lit("_"), m["g2"])))
     schedule = F.transform(found(text, P.TOKEN_SCHEDULE, 1), lambda x: F.array(cat(lit("schedule_"), F.lower(x))))
     regulation = F.transform(found(text, P.TOKEN_REGULATION, 1), lambda x: cat(F.array(cat(lit("regulation_"), F.replace(x, lit("."), lit("_")))), F.split(x, r"\.")))
-    return F.flatten(F.concat(enf, case, F.transform(_groups(text, P.TOKEN_ARTICLE, 3), article), law, schedule, regulation))
+    every = F.flatten(F.concat(enf, case, F.transform(_groups(text, P.TOKEN_ARTICLE, 3), article), law, schedule, regulation))
+    return F.when(text.rlike(P.TOKEN_ANY), every).otherwise(F.array().cast("array<string>"))
 
 
 def index_tokens(text: Column) -> Column:
@@ -125,3 +126,35 @@ def article_keys(text: Column) -> Column:
     """Keys of articles, schedules, parts and appendices, in that order, distinct."""
     of = lambda name, p: F.transform(found(text, p, 1), lambda x: F.concat(F.lit(f"{name}_"), x))
     return F.array_distinct(F.concat(of("article", P.ARTICLE), of("schedule", P.SCHEDULE), of("part", P.PART), of("appendix", P.APPENDIX)))
+
+
+def is_foreign(question: Column, source: Column | None = None) -> Column:
+    """Whether a question asks about a concept of another jurisdiction: by a word that settles it; unless a case is named, by
+    looser marks, or by a concept that the retrieved ``source`` text lacks."""
+    low = F.lower(question)
+    loose = question.rlike(P.FOREIGN_LOOSE)
+    if source is not None:
+        text = F.lower(F.coalesce(source, F.lit("")))
+        loose = loose | ((text != "") & contains_any(low, P.FOREIGN_CONCEPTS) & ~contains_any(text, P.FOREIGN_CONCEPTS))
+    return contains_any(low, P.FOREIGN) | (~question.rlike(P.FOREIGN_CASE) & loose)
+
+
+def page_override(question: Column, pages: Column, law: Column) -> Column:
+    """The page a question names in a document of so many pages, null if none: an explicit number, else the last ordinal that
+    the document has, else the first page for a question about a law's official number."""
+    number = F.element_at(F.transform(found(question, P.PAGE_OF, 1), lambda x: x.try_cast("int")), -1)
+    ordinals = F.transform(found(question, P.ORDINAL_PAGE, 1), F.lower)
+
+    def page(word: Column) -> Column:
+        far = F.when(word == "second", 2).when(word == "third", 3)
+        return F.when((word == "last") & (pages > 0), pages).when(word.isin("first", "title", "cover"), 1).when(far <= pages, far)
+
+    last = F.element_at(F.filter(F.transform(ordinals, page), lambda p: p.isNotNull()), -1)
+    official = F.when(law & question.rlike(P.OFFICIAL_NUMBER), 1)
+    some = lambda a, value: F.when(F.size(a) > 0, value)
+    return F.coalesce(some(found(question, P.PAGE_OF, 1), number), some(F.filter(F.transform(ordinals, page), lambda p: p.isNotNull()), last), official)
+
+
+def years(text: Column) -> Column:
+    """Distinct years of a text, in order."""
+    return F.array_distinct(found(text, P.YEAR))

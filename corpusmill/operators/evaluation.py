@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.order import running_total
+
 
 def precision_recall(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of two arrays as sets; all one if both are empty."""
@@ -36,11 +38,10 @@ def class_metrics(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles: the value at the zero-based rank ``min(int(share * n), n - 1)``. Values are counted first, so what is
-    ordered is the number of distinct values."""
-    counted = df.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"end": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(F.lit(1)))})
+    """Exact quantiles of an integer ``value``: the one at the zero-based rank ``min(int(share * n), n - 1)``. Values are counted
+    first, and the counts are added up in runs of values, so no task sees them all."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    ranked = running_total(counted, value, amount=F.col("c"), out="end").crossJoin(F.broadcast(counted.agg(F.sum("c").alias("n"))))
     at = lambda share: F.least(F.floor(share * F.col("n")), F.col("n") - 1)
     return ranked.agg(*[F.min(F.when(F.col("end") > at(share), F.col(value))).alias(name) for name, share in shares.items()])
 
@@ -52,3 +53,30 @@ def merged_spans(spans: DataFrame, by: list[str], start: str, end: str) -> DataF
     marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
     island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def with_every(rows: DataFrame, stated: DataFrame, block: int = 1_000) -> DataFrame:
+    """Every row with every row of a stated set, which is sent to the tasks in blocks of about ``block``."""
+    blocks, out = max(1, -(-stated.count() // block)), None
+    for i in range(blocks):
+        part = rows.join(F.broadcast(stated.where(F.pmod(F.xxhash64(*stated.columns), F.lit(blocks)) == i)))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def char_overlap(spans: DataFrame, qid: str, file: str, kind: str, start: str, end: str) -> DataFrame:
+    """(qid, precision, recall) of the characters of spans of kind ``pred`` against those of kind ``gold``; nothing where a side is empty."""
+    merged = merged_spans(spans, [qid, file, kind], start, end)
+    size = F.sum(F.col(end) - F.col(start))
+    pred, gold = merged.where(F.col(kind) == "pred"), merged.where(F.col(kind) == "gold")
+    other = gold.select(qid, file, F.col(start).alias("gs"), F.col(end).alias("ge"))
+    met = pred.join(other, [qid, file]).where((F.col(start) < F.col("ge")) & (F.col("gs") < F.col(end)))
+    both = met.groupBy(qid).agg(F.sum(F.least(end, "ge") - F.greatest(start, "gs")).alias("s"))
+    sides = pred.groupBy(qid).agg(size.alias("p")).join(gold.groupBy(qid).agg(size.alias("g")), qid, "full").join(both, qid, "left")
+    part = lambda c: F.coalesce(F.try_divide(F.col("s"), F.col(c)), F.lit(0.0))
+    return sides.select(qid, part("p").alias("precision"), part("g").alias("recall"))
+
+
+def padded(labels: Column, n: int) -> Column:
+    """The first ``n`` labels, false where there are fewer."""
+    return F.slice(F.concat(labels, F.array_repeat(F.lit(False), n)), 1, n)

@@ -59,10 +59,36 @@ def subsection_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, key, page): the first page of each sub-section ``(n)`` between an article's heading and the next.
 
     Pages of a document are read in order; what carries over is the current article."""
-    hits = pages.select("doc_id", "page", F.posexplode(found(F.col("text"), r"(?i)Article\s+\d+|\(\d+\)")).alias("pos", "m"))
-    w = Window.partitionBy("doc_id").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    hits = pages.select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("t"), F.posexplode(found(F.col("text"), r"(?i)Article\s+\d+|\(\d+\)")).alias("pos", "m"))
+    w = Window.partitionBy("doc_id").orderBy("page", "t", "pos").rowsBetween(Window.unboundedPreceding, 0)
     number = F.regexp_extract("m", r"(\d+)", 1)
     article = F.last(F.when(F.lower("m").startswith("article"), number), ignorenulls=True).over(w)
     subs = hits.withColumns({"article": article, "number": number}).where(F.col("m").startswith("(") & F.col("article").isNotNull())
     key = F.concat(F.lit("article_"), "article", F.lit("_sub_"), "number")
     return subs.groupBy("doc_id", key.alias("key")).agg(F.min("page").alias("page"))
+
+
+def cross_references(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, type, context, target): references to an article, schedule, part or appendix whose first page in the same document is another one."""
+    targets = pages.select("doc_id", "page", F.explode(article_keys(F.col("text"))).alias("key")).groupBy("doc_id", "key").agg(F.min("page").alias("target"))
+    refs = references(pages).where("type in ('article', 'schedule')").withColumn("key", F.explode(article_keys(F.col("context"))))
+    return refs.join(targets, ["doc_id", "key"]).where("target <> page").select("doc_id", "page", "type", "context", "target").distinct()
+
+
+def resolved_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(qid, id) of ``asked`` (qid, part) among ``known`` (id, name): the equal name, else the smallest id whose name contains
+    the asked one or is contained in it. Known names are a fixed list of laws."""
+    hits = asked.join(F.broadcast(known), F.contains("name", "part") | F.contains("part", "name"))
+    return hits.groupBy("qid").agg(F.min_by("id", F.struct((F.col("name") != F.col("part")).alias("differs"), "id")).alias("id"))
+
+
+def bridging_facts(pages: DataFrame, kind: str, most: int, chars: int) -> DataFrame:
+    """(context, fact): for each reference of a kind that two or more documents share, the start of the first ``most`` pages
+    that hold it, each after its place."""
+    refs = references(pages).where(F.col("type") == kind).select("context", "doc_id", "page")
+    placed = refs.join(bridges(refs).select("context"), "context")
+    first = placed.withColumn("n", F.row_number().over(Window.partitionBy("context").orderBy("doc_id", "page"))).where(F.col("n") <= most)
+    texts = pages.groupBy("doc_id", "page").agg(F.min("text").alias("text"))
+    place = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("page").cast("string"), F.lit("] "))
+    parts = first.join(texts, ["doc_id", "page"]).select("context", F.struct("n", F.concat(place, F.substring("text", 1, chars)).alias("part")).alias("p"))
+    return parts.groupBy("context").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), " || ").alias("fact"))

@@ -46,3 +46,43 @@ def shared(asked: DataFrame, names: DataFrame, name: str) -> DataFrame:
     two = held.groupBy("qid").agg(F.count_distinct("case_id").alias("n")).where("n = 2")
     common = held.groupBy("qid", name).agg(F.count("*").alias("k")).groupBy("qid").agg((F.max("k") > 1).alias("answer"))
     return two.join(common, "qid").select("qid", "answer")
+
+
+def claim_comparison(asked: DataFrame, claims: DataFrame, largest: bool) -> DataFrame:
+    """(qid, answer): of two asked cases the one with the larger (or smaller) claim, if both have a claim above nothing and the
+    two are in one currency; the first named on ties. ``claims`` has case_id, doc_ord, claim_value, currency."""
+    best = claims.where("claim_value > 0").groupBy("case_id").agg(F.max_by(F.struct("claim_value", "currency"), F.struct("claim_value", -F.col("doc_ord"))).alias("c"))
+    cases = asked.groupBy("qid").agg(F.count_distinct("case_id").alias("n_cases"))
+    held = asked.select("qid", "case_id", "ord").join(best, "case_id").select("qid", "case_id", "ord", "c.claim_value", "c.currency")
+    both = held.groupBy("qid").agg(F.count("*").alias("n"), F.count_distinct("currency").alias("currencies")).join(cases, "qid").where("n = 2 and n_cases = 2 and currencies = 1").select("qid")
+    order = F.col("claim_value").desc() if largest else F.col("claim_value").asc()
+    return first_of(held.join(both, "qid"), ["qid"], order, F.col("ord")).select("qid", F.col("case_id").alias("answer"))
+
+
+def parties_overlap(asked: DataFrame, parties: DataFrame, long: int = 8) -> DataFrame:
+    """(qid, answer): whether two asked cases have a party in common: equal names, or one contained in the other if both have
+    more than ``long`` letters. ``parties`` has case_id, party."""
+    sets = asked.select("qid", "case_id", "ord").join(parties.distinct(), "case_id").groupBy("qid", "ord").agg(F.collect_set("party").alias("names"))
+    sides = sets.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "names"))).alias("s")).where(F.size("s") == 2)
+    names = sides.select("qid", F.get("s", F.lit(0))["names"].alias("a"), F.get("s", F.lit(1))["names"].alias("b"))
+    alike = lambda x, y: (F.length(x) > long) & (F.length(y) > long) & (F.contains(x, y) | F.contains(y, x))
+    return names.select("qid", (F.arrays_overlap("a", "b") | F.exists("a", lambda x: F.exists("b", lambda y: alike(x, y)))).alias("answer"))
+
+
+# Words of a question that compare two cases.
+DATE_WORDS, EARLY_WORDS = ["earlier", "later", "more recent", "first issued", "before", "after"], ["earlier", "first", "before"]
+CLAIM_WORDS = ["higher claim", "larger claim", "more claimed", "greater amount", "higher amount", "larger amount", "bigger"]
+COUNT_WORDS = ["more defendant", "more claimant", "fewer defendant", "fewer claimant"]
+
+
+def compared_cases(asked: DataFrame, first_docs: DataFrame) -> DataFrame:
+    """(qid, answer): of two asked cases the one that the question's comparison names, by date, claim or number of defendants of
+    their first documents; the second on ties. ``first_docs`` has case_id, date_of_issue, claim_value, n_defendants."""
+    held = asked.join(first_docs, "case_id").groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("ord", "case_id", "date_of_issue", "claim_value", "n_defendants"))).alias("s")).where(F.size("s") == 2)
+    a, b, low = F.get("s", F.lit(0)), F.get("s", F.lit(1)), F.lower("question")
+    first = lambda wins: F.when(wins, a["case_id"]).otherwise(b["case_id"])
+    less, more = (lambda c: a[c] < b[c]), (lambda c: a[c] > b[c])
+    by_date = F.when(T.contains_any(low, EARLY_WORDS), first(less("date_of_issue"))).otherwise(first(more("date_of_issue")))
+    by_count = F.when(F.contains(low, F.lit("fewer")), first(less("n_defendants"))).otherwise(first(more("n_defendants")))
+    answer = F.when(T.contains_any(low, DATE_WORDS), by_date).when(T.contains_any(low, CLAIM_WORDS), first(more("claim_value"))).when(T.contains_any(low, COUNT_WORDS), by_count)
+    return held.select("qid", answer.alias("answer")).where("answer is not null")

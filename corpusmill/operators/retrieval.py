@@ -10,6 +10,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors are laid against all vectors in blocks of this size, so what is sent to every task is bounded.
 QUERY_BLOCK = 2_000
+#: Distinct tokens of a query set up to which they are sent to every task; a larger set is joined by a shuffle.
+QUERY_TOKENS = 200_000
 
 
 def postings(units: DataFrame, unit: str, tokens: str) -> DataFrame:
@@ -18,13 +20,14 @@ def postings(units: DataFrame, unit: str, tokens: str) -> DataFrame:
     return sized.groupBy(unit, "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_weights(posts: DataFrame, units: DataFrame, unit: str, tokens: str, k1: float = K1, b: float = B) -> DataFrame:
-    """``posts`` with ``weight``, the score of the token in the unit for one occurrence in a query."""
+def bm25_weights(posts: DataFrame, units: DataFrame, unit: str, tokens: str, k1: float = K1, b: float = B, small=lambda df: df) -> DataFrame:
+    """``posts`` with ``weight``, the score of the token in the unit for one occurrence in a query; ``small`` may broadcast the
+    counts of tokens, if the postings are of few tokens."""
     totals = units.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens)).alias("avg_dl"))
     df = posts.groupBy("token").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return posts.join(df, "token").crossJoin(F.broadcast(totals)).select(unit, "token", "tf", "dl", (idf * tf).alias("weight"))
+    return posts.join(small(df), "token").crossJoin(F.broadcast(totals)).select(unit, "token", "tf", "dl", (idf * tf).alias("weight"))
 
 
 def bm25_scores(queries: DataFrame, weights: DataFrame, qid: str, unit: str, tokens: str) -> DataFrame:
@@ -33,12 +36,31 @@ def bm25_scores(queries: DataFrame, weights: DataFrame, qid: str, unit: str, tok
     return asked.join(weights, "token").groupBy(qid, unit).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
+def bm25_search(queries: DataFrame, units: DataFrame, qid: str, unit: str, tokens: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, unit, score) as ``bm25_scores``, straight from the tokens of ``units``: only postings of asked tokens are
+    shuffled, and a token that stands in most units is not joined by a shuffle at all."""
+    asked = queries.select(qid, F.explode(tokens).alias("token")).groupBy(qid, "token").agg(F.count("*").alias("times"))
+    few = asked.select("token").distinct().count() <= QUERY_TOKENS
+    small = F.broadcast if few else (lambda df: df)
+    sized = units.select(F.col(unit), F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("token"))
+    posts = sized.join(small(asked.select("token").distinct()), "token", "left_semi").groupBy(unit, "token", "dl").agg(F.count("*").alias("tf"))
+    weights = bm25_weights(posts, units, unit, tokens, k1, b, small)
+    return small(asked).join(weights, "token").groupBy(qid, unit).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+
+
 def top_k(scores: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, numbered from one; a partial limit runs before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def reranked(candidates: DataFrame, qid: str, before: str, k: int, score: str = "score") -> DataFrame:
+    """The best ``k`` candidates of each question by a scorer's ``score``, ties in their order ``before``; where there are no
+    more than ``k`` they stay in that order."""
+    few = F.count("*").over(Window.partitionBy(qid)) <= k
+    return top_k(candidates.withColumn("_few", few), [qid], [F.when(F.col("_few"), 0.0).otherwise(-F.round(score, 9)), F.col(before)], k).drop("_few")
+
+
 def best_first(score: str = "score", *ties: str) -> list[Column]:
     """Order by score, on nine digits so that the order of summing does not decide, then by ids."""
     return [F.round(F.col(score), 9).desc(), *[F.col(t).asc() for t in ties]]
@@ -67,6 +89,57 @@ def dense_scores(queries: DataFrame, units: DataFrame, qid: str, unit: str, vect
     return out
 
 
+def dense_top_k(queries: DataFrame, units: DataFrame, qid: str, unit: str, vector: str, k: int, block: int = QUERY_BLOCK, rank: str = "rank") -> DataFrame:
+    """(qid, unit, score, rank): the ``k`` units with the largest exact inner product for each query of a stated set.
+
+    Every task scores its units against a block of queries as matrix products and keeps the best ``k`` of each query
+    (ties by unit), so that only these meet. Ids are longs."""
+    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    rows, out = units.select(F.col(unit).cast("long"), F.col(vector).cast("array<double>")), None
+    for i in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()  # a bounded block
+        if not mine:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast(([r.qid for r in mine], [list(r.q) for r in mine]))
+        part = rows.mapInArrow(_best_of_task(sent, k), "qid long, unit long, score double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "qid long, unit long, score double")
+    out = out.withColumnsRenamed({"qid": qid, "unit": unit})
+    return top_k(out, [qid], best_first("score", unit), k, rank)
+
+
+def _best_of_task(sent, k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, vectors = np.array(sent.value[0], np.int64), np.array(sent.value[1], float)
+        n = len(ids)
+        kept = np.full((n, 0), 0.0), np.full((n, 0), 0, np.int64)
+        for batch in batches:
+            units = batch.column(0).to_numpy()
+            flat = batch.column(1).flatten().to_numpy().reshape(len(units), -1)
+            for at in range(0, len(units), 4096):
+                part = units[at : at + 4096]
+                scores = np.concatenate([kept[0], vectors @ flat[at : at + 4096].T], axis=1)
+                names = np.concatenate([kept[1], np.broadcast_to(part, (n, len(part)))], axis=1)
+                order = np.lexsort((names, -scores.round(9)))[:, :k]
+                kept = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+        m = kept[0].shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(kept[1].ravel()), pa.array(kept[0].ravel())], ["qid", "unit", "score"])
+
+    return run
+
+
+def fused_documents(signals: dict[str, DataFrame], weights: dict[str, float], qid: str, doc: str, pool: int, most: int = 3, gap: float = 0.15) -> DataFrame:
+    """(qid, doc, score, rank): documents by weighted reciprocal ranks over several signals (qid, doc, score), of each its
+    ``pool`` best; of the fused ranking the first and up to ``most`` whose score is within ``gap`` of it."""
+    rankings = [(top_k(s, [qid], best_first("score", doc), pool), weights[name]) for name, s in signals.items()]
+    return gap_select(rrf(rankings, qid, doc), qid, gap, most, doc)
+
+
 def rrf(rankings: list[tuple[DataFrame, float]], qid: str, unit: str, rank: str = "rank", k: int = RRF_K) -> DataFrame:
     """(qid, unit, score): weighted reciprocal ranks (counted from one) of several rankings, summed."""
     out = None

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import answers as A
+from corpusmill.functions import patterns as Q
+from corpusmill.functions.text import contains_any
 from corpusmill.operators import citations as P
+from corpusmill.operators import submissions as S
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
 
@@ -48,18 +51,27 @@ scalar("grounding", lambda x: F.array_join(F.regexp_extract_all(F.concat(F.lit('
 scalar("answer_override", lambda x: F.when(F.col("qid") % 100 == 0, "checked by hand").otherwise(x), "CASE WHEN qid % 100 = 0 THEN 'checked by hand' ELSE raw END")
 
 
-@query("SELECT user_id AS qid, any_value(k) AS keywords FROM (SELECT user_id, (user_id * 1000)::VARCHAR || '|' || format('{:,}', user_id * 1000) AS k FROM events WHERE user_id > 0) GROUP BY user_id")
+_DAY = "try_strptime(answer, '%Y-%m-%d')"
+_TERMS = f"list_filter(regexp_extract_all(answer, '{Q.ANSWER_WORD.replace(chr(39), chr(39) * 2)}'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in Q.ANSWER_STOP_WORDS) + "], lower(w)))"
+
+
+@query(f"""WITH w AS (SELECT qid, answer_type, trim(answer) AS answer, {_TERMS} AS w FROM fx_results), l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS low FROM w)
+SELECT qid, array_to_string(coalesce(CASE answer_type
+ WHEN 'number' THEN list_filter([answer, CASE WHEN suffix(answer, '.0') THEN left(answer, length(answer) - 2) END, CASE WHEN try_cast(answer AS DOUBLE) >= 1000 AND try_cast(answer AS DOUBLE) = floor(try_cast(answer AS DOUBLE)) THEN format('{{:,}}', try_cast(answer AS DOUBLE)::BIGINT) END], lambda x: x IS NOT NULL)
+ WHEN 'date' THEN list_filter([answer, strftime({_DAY}, '%d %B %Y'), strftime({_DAY}, '%d %b %Y'), strftime({_DAY}, '%B %d, %Y'), strftime({_DAY}, '%-d %B %Y'), strftime({_DAY}, '%d/%m/%Y')], lambda x: x IS NOT NULL)
+ WHEN 'name' THEN CASE WHEN answer <> '' AND lower(answer) <> 'null' THEN [answer] END
+ WHEN 'names' THEN CASE WHEN answer <> '' AND lower(answer) <> 'null' THEN list_transform(string_split(answer, ','), lambda x: trim(x)) END
+ WHEN 'free_text' THEN list_filter(w, lambda x, i: list_position(low, lower(x)) = i)[1:20] END, []), '|') AS keywords FROM l""")
 def answer_keywords(t: Inputs) -> DataFrame:
-    numbers = t.table("events").where("user_id > 0").select("user_id").distinct()
-    return numbers.select(F.col("user_id").alias("qid"), F.array_join(A.answer_keywords_number((F.col("user_id") * 1000).cast("double")), "|").alias("keywords"))
+    return t.fx("results").select("qid", F.array_join(A.answer_keywords(F.col("answer"), F.col("answer_type")), "|").alias("keywords"))
 
 
-@query()
+@query("SELECT qid, " + _STRIP.format(r"regexp_replace(regexp_replace(" + _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(raw, '(?im)^(?:SOURCES|PAGES|PAGES_USED|QUOTE)\s*:.*$', '', 'g'), '\[\d+\]', '', 'g'), '(?i)\s*\(Source:[^)]*\)\s*$', '')") + r", '\*\*|__|`', '', 'g'), '(?is)\s*Caveat:.*$', '')") + " AS value FROM fx_answers")
 def parse_free_text(t: Inputs) -> DataFrame:
     return _raw(t).select("qid", A.truncated_sentence(A.fix_free_text(A.without_artifacts(F.col("raw")))).alias("value"))
 
 
-@query()
+@query(r"SELECT qid, unnest(string_split(regexp_replace(raw, '\s+and\s+', ', ', 'g'), ', ')) AS name FROM fx_answers WHERE qid % 12 = 10")
 def parse_names(t: Inputs) -> DataFrame:
     """Names of a list; a comma before a company's legal form does not separate."""
     parts = F.split(F.regexp_replace("raw", r"\s+and\s+", ", "), r",\s*(?!(?:LLC|Ltd|Inc|Limited)\b)")
@@ -196,14 +208,22 @@ def cited_sources(t: Inputs) -> DataFrame:
 
 def clearing(name: str, rule, sql: str):
     """A rule that clears the pages of an answer."""
-    query(f"SELECT qid, CASE WHEN {sql} THEN 0 ELSE n_pages END AS n_pages FROM fx_runs", name)(lambda t: t.fx("runs").select("qid", F.when(rule(), 0).otherwise(F.col("n_pages")).alias("n_pages")))
+    query(f"SELECT qid, CASE WHEN {sql} THEN 0 ELSE n_pages END AS n_pages FROM fx_results", name)(lambda t: t.fx("results").select("qid", F.when(rule(), 0).otherwise(F.col("n_pages")).alias("n_pages")))
+
+
+def _has(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
+_FALSE = (lambda: (F.col("answer_type") == "boolean") & (F.col("answer") == "false")), "answer_type = 'boolean' AND answer = 'false'"
 clearing("null_clears", lambda: F.col("answer").isNull(), "answer IS NULL")
-clearing("absence_free_text", lambda: (F.col("answer_type") == "free_text") & (F.col("answer") == "false"), "answer_type = 'free_text' AND answer = 'false'")
-clearing("absence_boolean", lambda: (F.col("answer_type") == "boolean") & (F.col("answer") == "false"), "answer_type = 'boolean' AND answer = 'false'")
-clearing("cross_case_false", lambda: (F.col("answer") == "false") & ((F.col("model_name") == "oracle") | (F.col("n_pages") >= 2)), "answer = 'false' AND (model_name = 'oracle' OR n_pages >= 2)")
-clearing("oracle_cmp_clears", lambda: (F.col("model_name") == "oracle") & F.col("answer_type").isin("name", "date"), "model_name = 'oracle' AND answer_type IN ('name', 'date')")
+clearing("absence_free_text", lambda: (F.col("answer_type") == "free_text") & A.says_absent(F.col("question"), F.col("answer")),
+         f"answer_type = 'free_text' AND starts_with(lower(question), 'does') AND contains(lower(question), 'address') AND NOT regexp_matches(question, '{Q.CASE_IN_QUESTION}') AND {_has('lower(left(answer, 150))', Q.ABSENT_ANSWER)}")
+clearing("absence_boolean", lambda: _FALSE[0]() & A.topic_absent(F.col("question")), rf"{_FALSE[1]} AND {_has('lower(question)', Q.ABSENT_TOPIC)} AND NOT regexp_matches(question, '(?i)\bArticle\s+\d')")
+clearing("cross_case_false", lambda: _FALSE[0]() & ((F.col("model_name") == "oracle") | A.several_cases(F.col("question"))),
+         f"{_FALSE[1]} AND (model_name = 'oracle' OR len(list_distinct(regexp_extract_all(question, '{Q.CASE_NUMBER}'))) >= 2)")
+clearing("oracle_cmp_clears", lambda: (F.col("model_name") == "oracle") & F.col("answer_type").isin("name", "date") & contains_any(F.lower("question"), Q.COMPARING),
+         f"model_name = 'oracle' AND answer_type IN ('name', 'date') AND {_has('lower(question)', Q.COMPARING)}")
 
 
 @query("SELECT qid, greatest(1, ttft_ms) AS ttft_ms, greatest(1, ttft_ms, total_time_ms) AS total_time_ms, coalesce(model_name, 'unknown') AS model_name FROM fx_runs")
@@ -224,18 +244,54 @@ def fast_result(t: Inputs) -> DataFrame:
     return t.fx("runs").select("qid", "ttft_ms", (F.greatest(ttft, "total_time_ms") - ttft).alias("tpot_ms"), F.least(F.lit(3), "n_pages").alias("n_pages"))
 
 
-@query("""SELECT qid, '{"question_id":"' || qid || '","ttft_ms":' || greatest(1, ttft_ms) || ',"total_ms":' || greatest(1, ttft_ms, total_time_ms) || ',"model":"' || model_name || '"}' AS entry FROM fx_runs""")
+@query("""WITH r AS (SELECT *, greatest(1, ttft_ms) AS first, greatest(1, ttft_ms, total_time_ms) AS whole FROM fx_runs)
+SELECT qid, '{"question_id":"' || qid || '","answer":' || coalesce('"' || answer || '"', 'null') || ',"telemetry":{"timing":{"ttft_ms":' || first || ',"tpot_ms":' || (whole - first) || ',"total_time_ms":' || whole
+ || '},"usage":{"input_tokens":' || greatest(1, qid % 900) || ',"output_tokens":' || greatest(1, qid % 7) || '},"retrieval":{"retrieved_chunk_pages":[' || CASE WHEN n_pages > 0 THEN '{"doc_id":"d' || qid % 50 || '","page_numbers":[' || n_pages || ']}' ELSE '' END
+ || ']},"model_name":"' || model_name || '"}}' AS entry FROM r""")
 def submission(t: Inputs) -> DataFrame:
-    ttft = F.greatest(F.lit(1), "ttft_ms")
-    entry = F.struct(F.col("qid").cast("string").alias("question_id"), ttft.alias("ttft_ms"), F.greatest(ttft, "total_time_ms").alias("total_ms"), F.col("model_name").alias("model"))
-    return t.fx("runs").select("qid", F.to_json(entry).alias("entry"))
-
-
-@query("""WITH e AS (SELECT qid, unnest([CASE WHEN answer IS NULL THEN 'null answer' END, CASE WHEN n_pages = 0 THEN 'no pages' END, CASE WHEN ttft_ms < 1 THEN 'ttft' END, CASE WHEN total_time_ms < ttft_ms THEN 'total' END,
- CASE WHEN answer_type = 'number' AND try_cast(answer AS DOUBLE) IS NULL THEN 'not a number' END]) AS error FROM fx_runs) SELECT qid, error FROM e WHERE error IS NOT NULL""")
+    """Answers as they are submitted."""
+    q = F.col("qid")
+    pages = F.array(F.struct(F.concat(F.lit("d"), (q % 50).cast("string")).alias("doc_id"), F.array(F.col("n_pages")).alias("page_numbers")), F.struct(F.lit(None).cast("string").alias("doc_id"), F.array(F.lit(1)).alias("page_numbers")))
+    return t.fx("runs").select("qid", S.record(q, F.col("answer"), F.col("ttft_ms"), F.col("total_time_ms"), q % 900, q % 7, pages, F.col("model_name")).alias("entry"))
+
+
+#: What is wrong with an entry of each number (modulo 32); all others are as they should be.
+_WRONG = [
+    "missing question_id", "duplicate question_id", "missing answer", "answer has an invalid type", "an item of the answer is no string", "missing telemetry", "missing timing", "missing usage",
+    "missing retrieval", "missing ttft_ms", "ttft_ms is negative", "missing tpot_ms", "tpot_ms is negative", "missing total_time_ms", "total_time_ms is negative", "missing input_tokens",
+    "input_tokens is negative", "missing output_tokens", "output_tokens is negative", "total_time_ms is below ttft_ms", "total_time_ms is 0", "missing retrieved_chunk_pages", "pages without doc_id",
+    "pages without page_numbers", "a page number is below 1", "missing model_name", "model_name is empty",
+]
+#: A wrong total breaks other rules as well.
+_ALSO = {"missing total_time_ms": ["total_time_ms is below ttft_ms", "total_time_ms is 0"], "total_time_ms is negative": ["total_time_ms is below ttft_ms"], "total_time_ms is 0": ["total_time_ms is below ttft_ms"]}
+
+
+def _entries(t: Inputs) -> DataFrame:
+    """Parsed entries, one in 32 for each way to be wrong."""
+    k = F.col("event_id") % 32
+    off = lambda name: k == _WRONG.index(name)
+    number = lambda field, value: F.when(off(f"missing {field}"), None).when(off(f"{field} is negative"), -1).otherwise(value).alias(field)
+    some = lambda name, c: F.when(~off(name), c)
+    total = F.when(off("total_time_ms is below ttft_ms"), 3).when(off("total_time_ms is 0"), 0).otherwise(20)
+    page = F.struct(some("pages without doc_id", F.lit("d")).alias("doc_id"), some("pages without page_numbers", F.array(F.when(off("a page number is below 1"), 0).otherwise(2))).alias("page_numbers"))
+    telemetry = F.struct(
+        some("missing timing", F.struct(number("ttft_ms", 5), number("tpot_ms", 1), number("total_time_ms", total))).alias("timing"),
+        some("missing usage", F.struct(number("input_tokens", 9), number("output_tokens", 2))).alias("usage"),
+        some("missing retrieval", F.struct(some("missing retrieved_chunk_pages", F.array(page)).alias("retrieved_chunk_pages"))).alias("retrieval"),
+        some("missing model_name", F.when(off("model_name is empty"), " ").otherwise("m")).alias("model_name"),
+    )
+    own = F.when(off("duplicate question_id"), F.col("event_id") + 1).otherwise(F.col("event_id"))
+    answer = F.when(off("answer has an invalid type"), '{"a": 1}').when(off("an item of the answer is no string"), '["a, 1", 2]').otherwise('["a, 1"]')
+    return t.table("events").select(
+        F.col("event_id").alias("position"), some("missing question_id", own.cast("string")).alias("question_id"), some("missing answer", answer).alias("answer"), some("missing telemetry", telemetry).alias("telemetry")
+    )
+
+
+_BROKEN = " ".join("WHEN {} THEN [{}]".format(i, ", ".join(f"'{e}'" for e in [name, *_ALSO.get(name, [])])) for i, name in enumerate(_WRONG) if name != "duplicate question_id")
+
+
+@query(f"""WITH e AS (SELECT event_id AS position, unnest(CASE event_id % 32 {_BROKEN} ELSE [] END) AS error FROM events UNION ALL
+SELECT event_id, 'duplicate question_id' FROM events WHERE event_id % 32 = 2 AND event_id - 1 IN (SELECT event_id FROM events)) SELECT position, error FROM e""")
 def validate_submission(t: Inputs) -> DataFrame:
-    rules = F.array(
-        F.when(F.col("answer").isNull(), "null answer"), F.when(F.col("n_pages") == 0, "no pages"), F.when(F.col("ttft_ms") < 1, "ttft"), F.when(F.col("total_time_ms") < F.col("ttft_ms"), "total"),
-        F.when((F.col("answer_type") == "number") & F.col("answer").try_cast("double").isNull(), "not a number"),
-    )
-    return t.fx("runs").select("qid", F.explode(rules).alias("error")).where("error is not null")
+    """Every rule that a submitted entry breaks; of entries with one question_id the first is fine."""
+    return S.errors(_entries(t))

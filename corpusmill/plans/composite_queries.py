@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import lookups as L
 from corpusmill.operators import retrieval as R
+from corpusmill.plans.corpus_queries import _SENTENCES
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval_queries import _DOC_UNITS, _duck_bm25, _ranked, _scores
@@ -87,30 +88,33 @@ def route_fast(t: Inputs) -> DataFrame:
     return _hits(t).select("qid", F.col("o_orderkey").alias("doc"), "doc_ord", page.alias("page"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS qid, c_custkey % 6 AS laws FROM customer), p AS (SELECT doc_id % 6 AS law, doc_id, page FROM fx_pages WHERE doc_id < 60)
-SELECT n.qid, p.doc_id, p.page FROM n JOIN p ON p.law < n.laws WHERE n.qid <= 20 AND (n.laws < 4 OR p.page = 1)""")
+@query("""WITH n AS (SELECT c_custkey AS qid, c_custkey % 6 AS laws FROM customer), a AS (SELECT qid, laws, unnest(range(qid, qid + laws)) AS doc_id FROM n)
+SELECT a.qid, p.doc_id, p.page FROM a JOIN fx_pages p USING (doc_id) WHERE a.laws < 4 OR p.page = 1""")
 def mega_context_docs(t: Inputs) -> DataFrame:
     """Whole texts of all laws of a question; with four laws or more only their first pages."""
-    asked = t.table("customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") % 6).alias("laws"))
-    asked = asked.withColumn("law", F.explode(F.when(F.col("laws") > 0, F.sequence(F.lit(0).cast("long"), F.col("laws") - 1)).otherwise(F.array().cast("array<bigint>"))))
-    pages = t.fx("pages").where("doc_id < 60").withColumn("law", F.col("doc_id") % 6)
-    return pages.join(asked, "law").where("laws < 4 or page = 1").select("qid", "doc_id", "page")
+    asked = t.table("customer").select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") % 6).alias("laws")).where("laws > 0")
+    asked = asked.withColumn("doc_id", F.explode(F.sequence(F.col("qid"), F.col("qid") + F.col("laws") - 1)))
+    return t.fx("pages").join(asked, "doc_id").where("laws < 4 or page = 1").select("qid", "doc_id", "page")
 
 
 # Words that mark a condition in a law.
 CONDITIONS = ["unless", "except", "provided that", "subject to", "if ", "where ", "apply"]
 
 
-@query()
+_STATED = " OR ".join(f"contains(lower(s), '{w}')" for w in CONDITIONS)
+
+
+@query(f"""WITH s AS (SELECT doc_id, page, md5(text) AS k, list_filter({_SENTENCES}, lambda s: ({_STATED}) AND length(s) > 15) AS s FROM fx_legal_text), f AS (SELECT *, list_transform(s, lambda y: left(y, 80)) AS starts FROM s)
+SELECT doc_id, page, k, array_to_string(list_transform(list_filter(s, lambda x, i: list_position(starts, left(x, 80)) = i)[1:3], lambda x: left(x, 200)), ' | ') AS sentences FROM f""")
 def condition_sentences(t: Inputs) -> DataFrame:
     """Up to three sentences of a page that state a condition, each once by its first eighty characters."""
     sentences = F.filter(F.split("text", r"(?<=[.;])\s+"), lambda s: T.contains_any(F.lower(s), CONDITIONS) & (F.length(s) > 15))
     starts = F.transform(sentences, lambda s: F.substring(s, 1, 80))
     first = F.filter(sentences, lambda s, i: F.array_position(starts, F.substring(s, 1, 80)) == i + 1)
-    return t.fx("legal_text").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("k"), F.transform(F.slice(first, 1, 3), lambda s: F.substring(s, 1, 200)).alias("sentences"))
+    return t.fx("legal_text").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("k"), F.array_join(F.transform(F.slice(first, 1, 3), lambda s: F.substring(s, 1, 200)), " | ").alias("sentences"))
 
 
-@query()
+@query("SELECT n_nationkey, unnest(CASE n_nationkey % 3 WHEN 1 THEN [n_name, 'B'] ELSE [n_name] END) AS name FROM nation")
 def party_names(t: Inputs) -> DataFrame:
     """Names of a party that is an object with one name, one with several, or a list of objects."""
     key = F.col("n_nationkey") % 3
@@ -120,7 +124,7 @@ def party_names(t: Inputs) -> DataFrame:
     return t.table("nation").select("n_nationkey", F.explode(names).alias("name"))
 
 
-@query()
+@query("SELECT n_nationkey, n_name AS text FROM nation")
 def passage_text(t: Inputs) -> DataFrame:
     """A passage's text: the field of its own number, else any numbered field."""
     own = F.create_map(F.concat(F.lit("cite_"), (F.col("n_nationkey") % 2 + 1).cast("string")), F.col("n_name"), F.lit("date"), F.lit("2024"))
@@ -128,7 +132,7 @@ def passage_text(t: Inputs) -> DataFrame:
     return t.table("nation").select("n_nationkey", F.coalesce(F.try_element_at(own, F.lit("cite_1")), F.get(F.map_values(numbered), F.lit(0))).alias("text"))
 
 
-@query()
+@query("SELECT n_nationkey, n_name AS q, 'a' AS a FROM nation")
 def aku_parse(t: Inputs) -> DataFrame:
     """Questions and answers from a model's fenced JSON list; entries without either are dropped."""
     said = F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct(F.col("n_name").alias("q"), F.lit("a").alias("a")), F.struct(F.lit("no answer").alias("q"), F.lit(None).cast("string").alias("a")))), F.lit("\n```"))
@@ -141,7 +145,11 @@ def _docs(t: Inputs) -> DataFrame:
     return t.table("documents").select(F.col("doc_id").alias("unit"), "text")
 
 
-@query()
+@query("WITH " + _duck_bm25(_DOC_UNITS) + f""", words AS (SELECT item_id AS qid, split_part(text, ' ', 3) AS word FROM benchmark WHERE length(split_part(text, ' ', 3)) > 6),
+keyword AS (SELECT qid, doc_id AS unit, 0 AS kind, 0.0::DOUBLE AS score FROM words JOIN documents ON contains(text, word)), lexical AS ({_ranked('scored', 60)}),
+once AS (SELECT qid, unit, min(kind) AS kind, max(score) AS score FROM (SELECT * FROM keyword UNION ALL SELECT qid, unit, 1, score FROM lexical) GROUP BY ALL),
+cut AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY kind, round(score, 9) DESC, unit)::INT AS rank FROM once QUALIFY rank <= 60)
+SELECT * FROM cut UNION ALL SELECT DISTINCT qid, unit, 61 FROM keyword k WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.qid = k.qid AND c.unit = k.unit)""")
 def hybrid_keyword(t: Inputs) -> DataFrame:
     """Documents that hold a query's keyword first, then the lexical hits, each once, at most sixty; keyword documents that the cut misses are added."""
     words = t.table("benchmark").select(F.col("item_id").alias("qid"), F.split_part("text", F.lit(" "), F.lit(3)).alias("word")).where(F.length("word") > 6)

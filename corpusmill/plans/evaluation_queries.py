@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpusmill.functions import patterns as P
 from corpusmill.operators import evaluation as E
-from corpusmill.operators.retrieval import top_k
+from corpusmill.operators.retrieval import best_first, reranked, top_k
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
+from corpusmill.plans.retrieval_queries import _DOC_UNITS, _duck_bm25, _ranked, _scores
 
 # -- runs
 
@@ -116,11 +118,12 @@ def confusion(t: Inputs) -> DataFrame:
 
 @query("SELECT d.doc_id, h.lang AS hyp, CASE WHEN l.quality IS NULL THEN 'not_mentioned' WHEN l.quality = 1 THEN 'entailment' ELSE 'contradiction' END AS gold FROM documents d CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) h LEFT JOIN labels l USING (doc_id)")
 def nli_pairs(t: Inputs) -> DataFrame:
-    """Every document with every hypothesis of a small stated set."""
+    """Every document with every hypothesis of a stated set."""
     docs = t.table("documents")
-    hypotheses = F.broadcast(t.spark.createDataFrame([(r[0],) for r in docs.where("lang is not null").select("lang").distinct().limit(1000).collect()], "hyp string"))
+    hypotheses = docs.where("lang is not null").select(F.col("lang").alias("hyp")).distinct()
     gold = F.when(F.col("quality").isNull(), "not_mentioned").when(F.col("quality") == 1, "entailment").otherwise("contradiction")
-    return docs.select("doc_id").join(hypotheses).join(t.table("labels"), "doc_id", "left").select("doc_id", "hyp", gold.alias("gold"))
+    labelled = docs.select("doc_id").join(t.table("labels"), "doc_id", "left").select("doc_id", gold.alias("gold"))
+    return E.with_every(labelled, hypotheses).select("doc_id", "hyp", "gold")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'entailment' WHEN doc_id % 3 = 1 THEN 'contradiction' ELSE 'not_mentioned' END AS label FROM documents")
@@ -140,14 +143,25 @@ _CHARS = "WITH c AS (SELECT DISTINCT qid, file, kind, unnest(range(span_start, s
 @query(_CHARS + " SELECT qid, round(coalesce(count_if(p AND g) / nullif(count_if(p), 0), 0), 6) AS precision, round(coalesce(count_if(p AND g) / nullif(count_if(g), 0), 0), 6) AS recall FROM k GROUP BY qid")
 def char_overlap(t: Inputs) -> DataFrame:
     """Precision and recall over characters: spans are merged and overlaps measured, no character becomes a row."""
-    merged = E.merged_spans(t.fx("spans"), ["qid", "file", "kind"], "span_start", "span_end")
-    size = F.sum(F.col("span_end") - F.col("span_start"))
-    pred, gold = merged.where("kind = 'pred'"), merged.where("kind = 'gold'")
-    g = gold.select("qid", "file", F.col("span_start").alias("gs"), F.col("span_end").alias("ge"))
-    both = pred.join(g, ["qid", "file"]).where("span_start < ge and gs < span_end").groupBy("qid").agg(F.sum(F.least("span_end", "ge") - F.greatest("span_start", "gs")).alias("s"))
-    sides = pred.groupBy("qid").agg(size.alias("p")).join(gold.groupBy("qid").agg(size.alias("g")), "qid", "full").join(both, "qid", "left")
-    part = lambda c: F.round(F.coalesce(F.try_divide(F.col("s"), F.col(c)), F.lit(0.0)), 6)
-    return sides.select("qid", part("p").alias("precision"), part("g").alias("recall"))
+    found = E.char_overlap(t.fx("spans"), "qid", "file", "kind", "span_start", "span_end")
+    return found.select("qid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(_CHARS + """, e AS (SELECT qid, coalesce(count_if(p AND g) / nullif(count_if(p), 0), 0) AS p, coalesce(count_if(p AND g) / nullif(count_if(g), 0), 0) AS r FROM k GROUP BY qid)
+SELECT count(*) AS n, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM e""")
+def char_overlap_macro(t: Inputs) -> DataFrame:
+    """Precision, recall and F1 over characters, averaged over queries."""
+    p, r = F.col("precision"), F.col("recall")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    six = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return E.char_overlap(t.fx("spans"), "qid", "file", "kind", "span_start", "span_end").agg(F.count("*").alias("n"), six(p, "precision"), six(r, "recall"), six(f1, "f1"))
+
+
+@query("SELECT qid, array_to_string(list_transform(range(0, 5), lambda i: coalesce((list_transform(gold, lambda g: g % 2 = 0))[i + 1], false)), '|') AS gold FROM (" + _GOLD + ")")
+def gold_labels(t: Inputs) -> DataFrame:
+    """Whether each of five passages is relevant; passages without a label are not."""
+    labels = E.padded(F.transform("gold", lambda g: g % 2 == 0), 5)
+    return _gold(t).select("qid", F.array_join(F.transform(labels, lambda x: x.cast("string")), "|").alias("gold"))
 
 
 @query("SELECT qid, kind, span_start AS s, span_end AS e FROM fx_spans")
@@ -167,13 +181,13 @@ def retrieval_accuracy(t: Inputs) -> DataFrame:
     return t.table("orders").select(F.col("o_orderkey").alias("qid")).select("qid", F.array_contains(F.array(q % 3, q % 5, F.lit(4).cast("long")), q % 7).alias("hit"))
 
 
-@query(r"""WITH s AS (SELECT item_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s, list_distinct(regexp_extract_all(lower(left(text, 100)), '[\p{L}\p{N}_]+')) AS ctx FROM benchmark),
+@query(r"""WITH s AS (SELECT item_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s, list_distinct(regexp_extract_all(lower(left(text, length(text) // 2)), '[\p{L}\p{N}_]+')) AS ctx FROM benchmark),
 k AS (SELECT item_id, list_transform(s, lambda x: len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')), ctx)) * 2 >= len(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')))) AS ok FROM s)
 SELECT item_id, round(len(list_filter(ok, lambda x: x)) / len(ok), 6) AS score FROM k WHERE len(ok) > 0""")
 def groundedness(t: Inputs) -> DataFrame:
-    """Share of sentences half of whose words stand in the context."""
+    """Share of sentences half of whose words stand in the context, here the first half of the text."""
     words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    items = t.table("benchmark").select("item_id", F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(x) != "").alias("s"), words(F.substring("text", 1, 100)).alias("ctx"))
+    items = t.table("benchmark").select("item_id", F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(x) != "").alias("s"), words(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("ctx"))
     ok = F.filter("s", lambda x: F.size(F.array_intersect(words(x), F.col("ctx"))) * 2 >= F.size(words(x)))
     return items.where(F.size("s") > 0).select("item_id", F.round(F.size(ok) / F.size("s"), 6).alias("score"))
 
@@ -197,18 +211,18 @@ def rouge_l(t: Inputs) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT qid, answer_type, row_number() OVER (PARTITION BY answer_type ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY answer_type) AS n FROM fx_runs)
-SELECT qid, answer_type FROM k WHERE i > 0 AND i % (n // 5) = 0 AND i // (n // 5) <= 4""")
+SELECT qid, answer_type FROM k WHERE i > 0 AND i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) <= 4""")
 def stratified_pick(t: Inputs) -> DataFrame:
     """Four questions of each type at even steps."""
     w = Window.partitionBy("answer_type")
-    k = t.fx("runs").select("qid", "answer_type", (F.row_number().over(w.orderBy("qid")) - 1).alias("i"), F.count("*").over(w).alias("n")).withColumn("step", F.floor(F.col("n") / 5))
+    k = t.fx("runs").select("qid", "answer_type", (F.row_number().over(w.orderBy("qid")) - 1).alias("i"), F.count("*").over(w).alias("n")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
     return k.where("i > 0 and i % step = 0 and floor(i / step) <= 4").select("qid", "answer_type")
 
 
-@query()
+@query("SELECT qid FROM fx_runs ORDER BY md5(qid::VARCHAR || '-42'), qid LIMIT 10")
 def sample_n(t: Inputs) -> DataFrame:
     """A fixed random sample of ten runs, the same at any partitioning."""
-    return t.fx("runs").select("qid").orderBy(F.xxhash64("qid", F.lit(42)), "qid").limit(10)
+    return t.fx("runs").select("qid").orderBy(F.md5(F.concat(F.col("qid").cast("string"), F.lit("-42")).cast("binary")), "qid").limit(10)
 
 
 @query("SELECT answer_type, count(*) AS n, count_if(model_name = 'oracle')::BIGINT AS routed, count_if(ttft_ms < 4)::BIGINT AS low, round(avg(ttft_ms), 6) AS top FROM fx_runs GROUP BY answer_type")
@@ -216,9 +230,9 @@ def retrieval_analysis(t: Inputs) -> DataFrame:
     return t.fx("runs").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(F.col("model_name") == "oracle").alias("routed"), F.count_if(F.col("ttft_ms") < 4).alias("low"), F.round(F.avg("ttft_ms"), 6).alias("top"))
 
 
-@query(r"SELECT item_id, '[P1] ' || left(text, 40) || chr(10) || '[P2] ' || right(text, 40) AS prompt FROM benchmark")
+@query(r"SELECT item_id, '[P1] ' || text || chr(10) || '[P2] ' || replace(text, ' ', '_') AS prompt FROM benchmark")
 def passage_prompt(t: Inputs) -> DataFrame:
-    passages = F.array(F.substring("text", 1, 40), F.expr("right(text, 40)"))
+    passages = F.array(F.col("text"), F.replace("text", F.lit(" "), F.lit("_")))
     lines = F.transform(passages, lambda p, i: F.concat(F.lit("[P"), (i + 1).cast("string"), F.lit("] "), p))
     return t.table("benchmark").select("item_id", F.concat_ws("\n", lines).alias("prompt"))
 
@@ -244,17 +258,27 @@ def llm_blend(t: Inputs) -> DataFrame:
     return t.table("benchmark").select("item_id", _r(score))
 
 
-@query(f"WITH s AS ({_SCORED}) SELECT qid, doc, page, 1.0::DOUBLE AS score FROM s QUALIFY count(*) OVER (PARTITION BY qid, doc) <= 2")
+@query("""WITH c AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM fx_pages), n AS (SELECT doc_id FROM fx_pages GROUP BY doc_id HAVING count(DISTINCT page) <= 8)
+SELECT doc_id, page, 1.0::DOUBLE AS score, md5(arg_max(chunk, length(chunk) * 1000 - pos)) AS digest FROM c JOIN n USING (doc_id) GROUP BY doc_id, page""")
 def small_doc_pages(t: Inputs) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("qid", "doc"))
-    return _scored(t).withColumn("n", n).where("n <= 2").select("qid", "doc", "page", F.lit(1.0).alias("score"))
+    """All pages of documents of up to eight, each with the text of its longest chunk (here a line; the first of equal ones)."""
+    chunks = t.fx("pages").select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "chunk"))
+    small = chunks.groupBy("doc_id").agg(F.count_distinct("page").alias("n")).where("n <= 8").select("doc_id")
+    longest = F.max_by("chunk", F.struct(F.length("chunk"), -F.col("pos")))
+    pages = chunks.join(small, "doc_id", "left_semi").groupBy("doc_id", "page").agg(longest.alias("text"))
+    return pages.select("doc_id", "page", F.lit(1.0).alias("score"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_CANDIDATES = "SELECT l_orderkey // 100 AS qid, l_suppkey % 20 AS doc, l_linenumber AS page, l_partkey AS chunk, max(l_discount) AS dense, max(l_quantity) AS ce FROM lineitem GROUP BY ALL"
 
 
-@query(f"WITH s AS ({_SCORED}), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) AS n FROM s) SELECT qid, doc, round(max(score), 6) AS score FROM k WHERE n <= 3 GROUP BY ALL")
+@query(f"WITH s AS ({_CANDIDATES}), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc, page, chunk) AS n FROM s) SELECT qid, doc, page, round(max(ce), 6) AS score FROM k WHERE n <= 50 GROUP BY ALL")
 def prefilter50(t: Inputs) -> DataFrame:
-    """Scores of documents from the best candidates alone (three here)."""
-    top = top_k(_scored(t), ["qid"], [F.col("score").desc(), F.col("doc"), F.col("page")], 3, "n")
-    return top.groupBy("qid", "doc").agg(F.max("score").alias("score")).select("qid", "doc", _r())
+    """Page scores by the second scorer, of the fifty candidates that the first one likes best."""
+    keys = [F.expr("l_orderkey div 100").alias("qid"), (F.col("l_suppkey") % 20).alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("chunk")]
+    every = t.table("lineitem").groupBy(*keys).agg(F.max("l_discount").alias("dense"), F.max("l_quantity").alias("ce"))
+    top = top_k(every, ["qid"], [F.col("dense").desc(), F.col("doc"), F.col("page"), F.col("chunk")], 50, "n")
+    return top.groupBy("qid", "doc", "page").agg(F.max("ce").alias("score")).select("qid", "doc", "page", _r())
 
 
 _BOOST = "score + 0.02 * page + CASE WHEN page = 2 THEN 0.8 ELSE 0 END - CASE WHEN page = 1 AND doc % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN doc = 3 THEN CASE WHEN page <> 1 THEN 1.2 ELSE 0.6 END ELSE 0 END"
@@ -286,21 +310,33 @@ def doc_floor(t: Inputs) -> DataFrame:
     return _scored(t).withColumn("best", F.max("score").over(Window.partitionBy("qid", "doc"))).where("best >= 0.10").select("qid", "doc", "page")
 
 
-@query(f"""WITH s AS (SELECT *, row_number() OVER w AS n, first_value(score) OVER w AS top FROM ({_SCORED}) WINDOW w AS (PARTITION BY qid, doc ORDER BY score DESC, page))
-SELECT qid, doc, page FROM s WHERE n <= 2 AND (top <= 0 OR score / top >= 0.75)""")
+# How close to a document's best page another must come, by type of answer; 0.6 for any other.
+GAPS = {"number": 0.80, "name": 0.80, "names": 0.80, "boolean": 0.65, "date": 0.75}
+_TYPE = "CASE qid % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'name' WHEN 2 THEN 'names' WHEN 3 THEN 'boolean' WHEN 4 THEN 'date' ELSE 'free_text' END"
+
+
+@query(f"""WITH s AS (SELECT *, {_TYPE} AS kind, row_number() OVER w AS n, first_value(score) OVER w AS top FROM ({_SCORED}) WINDOW w AS (PARTITION BY qid, doc ORDER BY score DESC, page))
+SELECT qid, doc, page FROM s WHERE n <= 2 AND (top <= 0 OR score / top >= CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in GAPS.items())} ELSE 0.6 END)""")
 def gap_pages(t: Inputs) -> DataFrame:
+    """Up to two pages of a document, those that come close enough to its best one for the type of answer."""
     w = Window.partitionBy("qid", "doc").orderBy(F.col("score").desc(), "page")
-    s = _scored(t).withColumns({"n": F.row_number().over(w), "top": F.first("score").over(w)})
-    return s.where((F.col("n") <= 2) & ((F.col("top") <= 0) | (F.try_divide("score", "top") >= 0.75))).select("qid", "doc", "page")
+    s = _scored(t).withColumns({"kind": F.expr(_TYPE), "n": F.row_number().over(w), "top": F.first("score").over(w)})
+    gap = F.lit(0.6)
+    for kind, value in GAPS.items():
+        gap = F.when(F.col("kind") == kind, value).otherwise(gap)
+    return s.where((F.col("n") <= 2) & ((F.col("top") <= 0) | (F.try_divide("score", "top") >= gap))).select("qid", "doc", "page")
 
 
 @query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, page) AS n FROM ({_SCORED})), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (n = 1) DESC, CASE WHEN n = 1 THEN doc END, score DESC, doc, page) AS pos FROM s)
-SELECT qid, doc, page FROM k WHERE pos <= 3""")
+SELECT qid, doc, page, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) AS position FROM k WHERE pos <= 3""")
 def fair_select(t: Inputs) -> DataFrame:
-    """The best page of each case first, in order of cases, then by score, three in all."""
-    ranked = top_k(_scored(t), ["qid", "doc"], [F.col("score").desc(), F.col("page")], 1 << 30, "n")
+    """The best page of each case first, in order of cases, then by score, three in all; these by score."""
+    w = Window.partitionBy("qid", "doc").orderBy(F.col("score").desc(), "page")
+    ranked = _scored(t).withColumn("n", F.row_number().over(w))
     order = [(F.col("n") == 1).desc(), F.when(F.col("n") == 1, F.col("doc")).asc_nulls_last(), F.col("score").desc(), F.col("doc"), F.col("page")]
-    return top_k(ranked, ["qid"], order, 3, "pos").select("qid", "doc", "page")
+    chosen = top_k(ranked, ["qid"], order, 3, "pos")
+    last = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc", "page")
+    return chosen.select("qid", "doc", "page", F.row_number().over(last).cast("long").alias("position"))
 
 
 @query(f"""WITH s AS (SELECT qid, doc, max(score) AS score FROM ({_SCORED}) GROUP BY ALL), low AS (SELECT qid FROM s GROUP BY qid HAVING max(score) < 0.4), extra AS (SELECT qid, 99 AS doc, 0.2 AS score FROM low)
@@ -322,26 +358,41 @@ def fallback_pages(t: Inputs) -> DataFrame:
     return top_k(per_doc, ["qid"], [first, F.col("doc"), F.col("page")], 3, "b").select("qid", "doc", "page", _r())
 
 
-@query("""WITH have AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS doc FROM lineitem), n AS (SELECT qid, greatest(1, count(*) // 3) AS most FROM have GROUP BY qid), e AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 50 AS target FROM lineitem WHERE l_orderkey < 200),
+@query("""WITH have AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS doc FROM lineitem), n AS (SELECT qid, greatest(1, count(*) // 3) AS most FROM have GROUP BY qid), e AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 50 AS target FROM lineitem),
 x AS (SELECT DISTINCT h.qid, e.target AS doc FROM have h JOIN e USING (doc) ANTI JOIN have o ON o.qid = h.qid AND o.doc = e.target) SELECT qid, doc, 0.3::DOUBLE AS score FROM x JOIN n USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc) <= most""")
 def xref_boost(t: Inputs) -> DataFrame:
     """Up to a third more pages from the references of those retrieved, none twice."""
     have = t.table("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("doc")).distinct()
-    edges = t.table("lineitem").where("l_orderkey < 200").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 50).alias("target")).distinct()
+    edges = t.table("lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 50).alias("target")).distinct()
     most = have.groupBy("qid").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("most"))
     extra = have.join(edges, "doc").select("qid", F.col("target").alias("doc")).distinct().join(have, ["qid", "doc"], "left_anti")
     ranked = extra.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).join(most, "qid")
     return ranked.where("n <= most").select("qid", "doc", F.lit(0.3).alias("score"))
 
 
-@query()
-def rerank_topk(t: Inputs) -> DataFrame:
-    """The best three of each question by word overlap, a stand-in for a scorer; nothing is scored where there are no more."""
-    few = F.count("*").over(Window.partitionBy("qid")) <= 3
-    return top_k(_scored(t).withColumn("few", few), ["qid"], [F.when(F.col("few"), 0.0).otherwise(-F.col("score")), F.col("doc"), F.col("page")], 3).select("qid", "doc", "page", F.col("rank").cast("long").alias("rank"))
+def _words(text: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({text}), '{P.WORD}'))"
 
 
-@query()
+@query("WITH " + _duck_bm25(_DOC_UNITS) + f""", top AS ({_ranked('scored', 10)}), s AS (SELECT t.qid, t.unit, t.rank AS before, count(*) OVER (PARTITION BY t.qid) <= 3 AS few,
+ len(list_intersect({_words('b.text')}, {_words('left(d.text, 2000)')}))::DOUBLE / greatest(1, len({_words('b.text')})) AS share FROM top t JOIN benchmark b ON b.item_id = t.qid JOIN documents d ON d.doc_id = t.unit)
+SELECT qid, unit, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN few THEN 0 ELSE -round(share, 9) END, before) AS rank FROM s) WHERE rank <= 3""")
+def rerank_topk(t: Inputs) -> DataFrame:
+    """The best three of ten candidates by the share of the question's words in the text's first 2,000 characters, a stand-in
+    for a scorer; up to three candidates stay in their order."""
+    docs = t.table("documents").select(F.col("doc_id").alias("unit"), "text")
+    top = top_k(_scores(t, docs), ["qid"], best_first("score", "unit"), 10, "before").select("qid", "unit", "before")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(P.WORD), F.lit(0)))
+    asked = t.table("benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("asked"))
+    pairs = top.join(asked, "qid").join(docs, "unit")
+    share = F.size(F.array_intersect("asked", words(F.substring("text", 1, 2000)))) / F.greatest(F.lit(1), F.size("asked"))
+    return reranked(pairs.select("qid", "unit", "before", share.alias("score")), "qid", "before", 3).select("qid", "unit", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH s AS ({_SCORED}), best AS (SELECT qid, doc, page FROM s QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, page) = 1),
+chosen AS (SELECT qid, doc, page, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) AS pos FROM s QUALIFY pos <= 2),
+missing AS (SELECT qid, max_by(doc, doc) AS doc, max_by(page, doc) AS page FROM best b WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.qid = b.qid AND c.doc = b.doc) GROUP BY qid)
+SELECT c.qid, c.pos::INT AS pos, CASE WHEN c.pos = 2 AND m.doc IS NOT NULL THEN m.doc ELSE c.doc END AS doc, CASE WHEN c.pos = 2 AND m.doc IS NOT NULL THEN m.page ELSE c.page END AS page FROM chosen c LEFT JOIN missing m USING (qid)""")
 def doc_rescue(t: Inputs) -> DataFrame:
     """The best page of the last document that the selection misses takes the last place."""
     best = top_k(_scored(t), ["qid", "doc"], [F.col("score").desc(), F.col("page")], 1, "n")

@@ -18,7 +18,7 @@ FROM (SELECT doc_id, text, unnest(range(1, CAST(ceil(len(string_split(text, chr(
 """
 
 _CASE = "concat('CFI ', CASE WHEN o_orderkey < 100 THEN lpad(CAST(o_orderkey AS STRING), 3, '0') ELSE CAST(o_orderkey AS STRING) END, '/', CAST(year(o_orderdate) AS STRING))"
-_SHORT = "SELECT o_orderkey, concat('CFI ', CAST(o_orderkey AS STRING), '/', CAST(year(o_orderdate) AS STRING)) AS c FROM {orders} WHERE o_orderkey < 600"
+_SHORT = "SELECT o_orderkey, concat('CFI ', CAST(o_orderkey AS STRING), '/', CAST(year(o_orderdate) AS STRING)) AS c FROM {orders}"
 
 BOTH = {
     "case_docs": f"""
@@ -26,14 +26,15 @@ SELECT {_CASE} AS case_id,
        o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
               l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS doc_ord,
        concat('H.E. Justice ', n_name) AS judge, CAST(CAST(l_shipdate AS DATE) AS STRING) AS date_of_issue,
-       l_linenumber % 3 + 1 AS date_page, c_name AS claimant, s_name AS defendant, l_extendedprice AS claim_value,
+       l_linenumber % 3 + 1 AS date_page, c_name AS claimant, CASE WHEN l_partkey % 20 = 0 THEN concat(c_name, ' LLC') ELSE s_name END AS defendant, CAST(l_suppkey % 3 + 1 AS INT) AS n_defendants, l_extendedprice AS claim_value,
        CASE WHEN l_returnflag = 'A' THEN 'USD' ELSE 'AED' END AS currency
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
 JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey""",
     "questions": f"""
 SELECT o.o_orderkey AS qid,
   CASE o.o_orderkey % 6
-   WHEN 0 THEN concat('Which case has an earlier Date of Issue: ', o.c, ' or ', p.c, '?')
+   WHEN 0 THEN concat(CASE CAST(floor(o.o_orderkey / 6) AS BIGINT) % 4 WHEN 0 THEN 'Which case has an earlier Date of Issue: ' WHEN 1 THEN 'Which case was issued later: '
+     WHEN 2 THEN 'Which case has the larger claim amount: ' ELSE 'Which case has more defendants: ' END, o.c, ' or ', p.c, '?')
    WHEN 1 THEN concat('Identify the case with the higher monetary claim: ', o.c, ' or ', p.c, '?')
    WHEN 2 THEN concat('Was the same judge involved in both case ', o.c, ' and case ', p.c, '?')
    WHEN 3 THEN concat('Who is the defendant in case ', o.c, '?')
@@ -47,10 +48,10 @@ SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page,
    CAST(l_partkey % 40 + 1 AS STRING), '(', CAST(l_suppkey % 9 + 1 AS STRING), ')(a) of DIFC Law No. ', CAST(l_partkey % 12 + 1 AS STRING), ' of ',
    CAST(2004 + l_suppkey % 16 AS STRING), ' and Schedule ', CAST(l_linenumber AS STRING), ' apply; see Regulation ', CAST(l_partkey % 7 + 1 AS STRING), '.',
    CAST(l_suppkey % 5 + 1 AS STRING), '. IT IS HEREBY ORDERED that the claim is dismissed.') AS text
-FROM {lineitem} WHERE l_orderkey < 2000""",
+FROM {lineitem}""",
     "queries": "SELECT b.item_id AS qid, b.text AS query, d.doc_id AS gold_doc_id FROM {benchmark} b LEFT JOIN {documents} d ON contains(d.text, b.text)",
     "vec": """
-SELECT vec_id, CASE WHEN vec_id < 20 THEN 'query' ELSE 'chunk' END AS kind, label AS doc_id, CAST(vec_id % 7 + 1 AS INT) AS page, embedding FROM {embeddings}""",
+SELECT vec_id, vec_id % 20 = 0 AS asked, label AS doc_id, CAST(vec_id % 7 + 1 AS INT) AS page, embedding FROM {embeddings}""",
     "runs": """
 SELECT event_id AS qid,
   CASE event_type WHEN 'view' THEN 'boolean' WHEN 'click' THEN 'number' WHEN 'signup' THEN 'date' WHEN 'purchase' THEN 'name' ELSE 'free_text' END AS answer_type,
@@ -64,11 +65,28 @@ SELECT l.doc_id, d.lang AS hyp_key,
   CASE WHEN n_chars % 10 = 0 THEN 'contradiction' WHEN n_chars > 200 THEN 'entailment' ELSE 'not_mentioned' END AS prediction
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "spans": """
-SELECT doc_id AS qid, concat(source, '.txt') AS file, 'pred' AS kind, CAST(n_chars % 97 AS INT) AS span_start, CAST(n_chars % 97 + 60 AS INT) AS span_end FROM {documents} WHERE doc_id < 150
+SELECT doc_id AS qid, concat(source, '.txt') AS file, 'pred' AS kind, CAST(n_chars % 97 AS INT) AS span_start, CAST(n_chars % 97 + 60 AS INT) AS span_end FROM {documents}
 UNION ALL
-SELECT doc_id, concat(source, '.txt'), 'pred', CAST(n_chars % 97 + 40 AS INT), CAST(n_chars % 97 + 90 AS INT) FROM {documents} WHERE doc_id < 150 AND doc_id % 2 = 0
+SELECT doc_id, concat(source, '.txt'), 'pred', CAST(n_chars % 97 + 40 AS INT), CAST(n_chars % 97 + 90 AS INT) FROM {documents} WHERE doc_id % 2 = 0
 UNION ALL
-SELECT doc_id, concat(source, '.txt'), 'gold', CAST(n_chars % 53 + 20 AS INT), CAST(n_chars % 53 + 100 AS INT) FROM {documents} WHERE doc_id < 150 AND doc_id % 5 <> 0""",
+SELECT doc_id, concat(source, '.txt'), 'gold', CAST(n_chars % 53 + 20 AS INT), CAST(n_chars % 53 + 100 AS INT) FROM {documents} WHERE doc_id % 5 <> 0""",
+    "results": """
+SELECT o_orderkey AS qid, CAST(o_orderkey % 4 + 1 AS INT) AS pages, CAST(o_orderkey % 3 + 1 AS INT) AS n_pages, CASE o_orderkey % 3 WHEN 0 THEN 'oracle' ELSE 'llm' END AS model_name,
+  CASE o_orderkey % 2 WHEN 0 THEN 'The prison governor gave evidence.' ELSE 'Costs were awarded.' END AS source,
+  CASE o_orderkey % 14
+   WHEN 0 THEN 'Does the Employment Law address remote work?' WHEN 1 THEN 'Does Article 5 of the Trust Law address gifts?'
+   WHEN 2 THEN 'Does DIFC Law No. 7 deal with insolvency?' WHEN 3 THEN 'Was the same judge involved in both CFI 010/2024 and SCT 011/2024?'
+   WHEN 4 THEN 'Which case was issued earlier, CFI 001/2020 or CFI 002/2020?' WHEN 5 THEN 'What did the jury decide about the injury?'
+   WHEN 6 THEN 'What compensation is due for an injury at work?' WHEN 7 THEN 'Was imprisonment discussed in CFI 123/2024?'
+   WHEN 8 THEN 'Was prison mentioned in CFI 123/2024?' WHEN 9 THEN 'Is prison possible under the Trust Law of 2018?'
+   WHEN 10 THEN 'What is the official number of the Employment Law?' WHEN 11 THEN 'Who signed page 7 of the judgment, and who the last page?'
+   WHEN 12 THEN 'What stands on the title page and on the third page of the order?' ELSE 'On which date in 2021 or 1999 was the verdict of 2021 given?' END AS question,
+  CASE o_orderkey % 14 WHEN 0 THEN 'free_text' WHEN 1 THEN 'boolean' WHEN 2 THEN 'boolean' WHEN 3 THEN 'boolean' WHEN 4 THEN 'name' WHEN 5 THEN 'free_text' WHEN 6 THEN 'number'
+   WHEN 7 THEN 'boolean' WHEN 8 THEN 'boolean' WHEN 9 THEN 'free_text' WHEN 10 THEN 'number' WHEN 11 THEN 'names' WHEN 12 THEN 'free_text' ELSE 'date' END AS answer_type,
+  CASE o_orderkey % 14 WHEN 0 THEN 'The documents do not address remote work, nor the Documents of 2020.' WHEN 1 THEN 'false' WHEN 2 THEN 'false' WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'true' ELSE 'false' END
+   WHEN 4 THEN 'CFI 001/2020' WHEN 5 THEN NULL WHEN 6 THEN concat(CAST(o_orderkey AS STRING), '.0') WHEN 7 THEN 'false' WHEN 8 THEN 'true' WHEN 9 THEN 'A trustee''s breach of duty is civil, and the duty civil.' WHEN 10 THEN '4'
+   WHEN 11 THEN 'Alpha LLC, Beta Ltd' WHEN 12 THEN '' ELSE '2021-03-05' END AS answer
+FROM {orders}""",
     "answers": """
 SELECT event_id AS qid, CASE event_id % 12
    WHEN 0 THEN 'Yes' WHEN 1 THEN 'true.' WHEN 2 THEN 'AED 1,250,000.50' WHEN 3 THEN '**False** because' WHEN 4 THEN '12 March 2021'

@@ -27,12 +27,12 @@ def heading_key(t: Inputs) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT doc_id, key, min(page) AS page FROM (SELECT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY ALL),
-d AS (SELECT l_orderkey AS doc_id, 'schedule_' || l_linenumber AS key, max(l_linenumber) + 100 AS page FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber % 2 = 0 GROUP BY ALL)
+d AS (SELECT l_orderkey AS doc_id, 'schedule_' || l_linenumber AS key, max(l_linenumber) + 100 AS page FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL)
 SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, coalesce(d.key, r.key) AS key, coalesce(d.page, r.page) AS page FROM r FULL JOIN d ON r.doc_id = d.doc_id AND r.key = d.key""")
 def article_pages_merge(t: Inputs) -> DataFrame:
     """Pages from document structure win over pages from patterns."""
     read = X.article_pages(t.fx("legal_text")).groupBy("doc_id", "key").agg(F.min("page").alias("page"))
-    told = t.table("lineitem").where("l_orderkey < 2000 AND l_linenumber % 2 = 0").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("schedule_"), F.col("l_linenumber").cast("string")).alias("key")).agg((F.max("l_linenumber") + 100).alias("told"))
+    told = t.table("lineitem").where("l_linenumber % 2 = 0").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("schedule_"), F.col("l_linenumber").cast("string")).alias("key")).agg((F.max("l_linenumber") + 100).alias("told"))
     return read.join(told, ["doc_id", "key"], "full").select("doc_id", "key", F.coalesce("told", "page").alias("page"))
 
 
@@ -106,14 +106,12 @@ def title_fragments(t: Inputs) -> DataFrame:
 _REFS = " UNION ".join(rf"SELECT doc_id, page, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS context FROM fx_legal_text" for k, p in (("article", P.ARTICLE), ("schedule", P.SCHEDULE), ("law", P.LAW_NUMBER), ("case", P.CASE_ID)))
 
 
-@query(f"""WITH r AS ({_REFS}), a AS (SELECT doc_id, 'schedule_' || page AS key, min(page) AS target FROM fx_legal_text GROUP BY ALL)
-SELECT r.doc_id, r.page, r.context, a.target FROM r JOIN a ON r.doc_id = a.doc_id AND a.key = 'schedule_' || regexp_extract(r.context, '\\d+') WHERE r.type = 'schedule' AND a.target <> r.page""")
+@query(f"""WITH r AS ({_REFS}), a AS (SELECT doc_id, key, min(page) AS target FROM (SELECT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY ALL),
+k AS (SELECT doc_id, page, type, context, unnest({_KEYS.replace('text', 'context')}) AS key FROM r WHERE type IN ('article', 'schedule'))
+SELECT DISTINCT k.doc_id, k.page, k.type, k.context, a.target FROM k JOIN a USING (doc_id, key) WHERE a.target <> k.page""")
 def xref_edges(t: Inputs) -> DataFrame:
-    """References to a schedule of the same document on another page."""
-    pages = t.fx("legal_text")
-    targets = pages.groupBy("doc_id", F.concat(F.lit("schedule_"), F.col("page").cast("string")).alias("key")).agg(F.min("page").alias("target"))
-    refs = X.references(pages).where("type = 'schedule'").withColumn("key", F.concat(F.lit("schedule_"), F.regexp_extract("context", r"\d+", 0)))
-    return refs.join(targets, ["doc_id", "key"]).where("target <> page").select("doc_id", "page", "context", "target")
+    """References to an article or schedule whose first page in the same document is another one."""
+    return X.cross_references(t.fx("legal_text"))
 
 
 @query(f"SELECT doc_id, page, type, context FROM ({_REFS})")
@@ -126,13 +124,14 @@ def bridge_entities(t: Inputs) -> DataFrame:
     return X.bridges(X.references(t.fx("legal_text")))
 
 
-@query("""WITH k AS (SELECT r_regionkey AS id, lower(r_name) AS name FROM region), q AS (SELECT n_nationkey AS qid, lower(left(n_name, 3)) AS part FROM nation)
-SELECT qid, min(id) AS id FROM q JOIN k ON contains(k.name, q.part) OR contains(q.part, k.name) GROUP BY qid""")
+@query("""WITH k AS (SELECT n_nationkey AS id, lower(n_name) || ' law' AS name FROM nation), q AS (SELECT n_nationkey AS qid, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'the ' || lower(n_name) || ' law of 2004' ELSE lower(n_name) || ' law' END AS part FROM nation)
+SELECT qid, arg_min(id, (name <> part)::INT * 1000 + id) AS id FROM q JOIN k ON contains(k.name, q.part) OR contains(q.part, k.name) GROUP BY qid""")
 def law_resolve(t: Inputs) -> DataFrame:
-    """The first known name that contains a partial one or is contained in it; both sides are small fixed tables."""
-    known = t.table("region").select(F.col("r_regionkey").alias("id"), F.lower("r_name").alias("name"))
-    asked = t.table("nation").select(F.col("n_nationkey").alias("qid"), F.lower(F.substring("n_name", 1, 3)).alias("part"))
-    return asked.join(F.broadcast(known), F.contains("name", "part") | F.contains("part", "name")).groupBy("qid").agg(F.min("id").alias("id"))
+    """A known law for a name as it is written: the same name, else the first that contains it or is contained in it."""
+    low = F.lower("n_name")
+    known = t.table("nation").select(F.col("n_nationkey").alias("id"), F.concat(low, F.lit(" law")).alias("name"))
+    written = F.when(F.col("n_nationkey") % 3 == 0, low).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("the "), low, F.lit(" law of 2004"))).otherwise(F.concat(low, F.lit(" law")))
+    return X.resolved_names(t.table("nation").select(F.col("n_nationkey").alias("qid"), written.alias("part")), known)
 
 
 @query("SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page)) AS digest FROM fx_pages GROUP BY doc_id")
@@ -169,44 +168,45 @@ def index_counts(t: Inputs) -> DataFrame:
     return out
 
 
-@query("SELECT CASE WHEN contains(lower(text), 'claim') THEN 'CASE' ELSE 'LAW' END AS kind, count(*) AS n, count(nullif(regexp_extract(text, 'CFI \\d+/\\d{4}'), '')) AS with_id FROM fx_legal_text GROUP BY 1")
+@query("SELECT CASE WHEN page % 2 = 0 THEN 'CASE' ELSE 'LAW' END AS kind, count(*) AS n, count(nullif(regexp_extract(CASE WHEN page % 3 = 0 THEN '' ELSE text END, 'CFI \\d+/\\d{4}'), '')) AS with_id FROM fx_legal_text GROUP BY 1")
 def classify_counts(t: Inputs) -> DataFrame:
-    kind = F.when(F.contains(F.lower("text"), F.lit("claim")), "CASE").otherwise("LAW")
-    return t.fx("legal_text").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"CFI \d+/\d{4}")).alias("with_id"))
+    """Documents by kind, and how many of them have a case number."""
+    text = F.when(F.col("page") % 3 == 0, "").otherwise(F.when(F.col("page") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("claim"), F.lit("matter"))))
+    marked = t.fx("legal_text").select("page", text.alias("text"), F.when(F.col("page") % 2 == 0, F.lit("the claim")).otherwise(F.lit("an enactment")).alias("head"))
+    kind = F.when(F.contains(F.lower("head"), F.lit("claim")), "CASE").otherwise("LAW")
+    return marked.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"CFI \d+/\d{4}")).alias("with_id"))
 
 
-@query("SELECT d.doc_id, p.page, w.pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE doc_id < 5) w JOIN documents d USING (doc_id) JOIN fx_pages p USING (doc_id)")
+@query("SELECT l.doc_id AS qid, p.doc_id, p.page, p.doc_id - l.doc_id AS pos FROM labels l JOIN fx_pages p ON p.doc_id IN (l.doc_id, l.doc_id + 1)")
 def chunks_for_docs(t: Inputs) -> DataFrame:
-    """Pages of a given list of documents, with their place in the list."""
-    wanted = t.spark.sql("SELECT posexplode(array(4L, 3L, 2L, 1L, 0L)) AS (pos, doc_id)")
-    return t.fx("pages").join(F.broadcast(wanted), "doc_id").select("doc_id", "page", F.col("pos").cast("long").alias("pos"))
+    """Pages of the documents that each question asks for, with their place in its list."""
+    wanted = t.table("labels").select(F.col("doc_id").alias("qid"), F.posexplode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("pos", "doc_id"))
+    return t.fx("pages").join(wanted, "doc_id").select("qid", "doc_id", "page", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, page, text, regexp_extract_all(text, '(?i)Article\s+\d+|\(\d+\)') AS m FROM fx_legal_text), h AS (SELECT doc_id, page, text, unnest(m) AS m, generate_subscripts(m, 1) AS pos FROM m),
+a AS (SELECT *, last_value(CASE WHEN lower(m) LIKE 'article%' THEN regexp_extract(m, '\d+') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, md5(text), pos ROWS UNBOUNDED PRECEDING) AS article FROM h)
+SELECT doc_id, 'article_' || article || '_sub_' || regexp_extract(m, '\d+') AS key, min(page) AS page FROM a WHERE m LIKE '(%' AND article IS NOT NULL GROUP BY ALL""")
 def subsection_pages(t: Inputs) -> DataFrame:
     return X.subsection_pages(t.fx("legal_text"))
 
 
-@query()
+@query(rf"""WITH r AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(text, '{P.LAW_NUMBER}')) AS context FROM fx_legal_text), t AS (SELECT doc_id, page, min(text) AS text FROM fx_legal_text GROUP BY ALL),
+shared AS (SELECT context FROM r GROUP BY context HAVING count(DISTINCT doc_id) >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY doc_id, page) AS n FROM r JOIN shared USING (context) QUALIFY n <= 3)
+SELECT context, string_agg('[' || doc_id || ':' || page || '] ' || left(text, 200), ' || ' ORDER BY doc_id, page) AS fact FROM k JOIN t USING (doc_id, page) GROUP BY context""")
 def bridging_facts(t: Inputs) -> DataFrame:
-    """A sentence of up to three pages for each context that several documents share."""
-    from corpusmill.operators.retrieval import top_k
-
-    refs = X.references(t.fx("legal_text")).where("type = 'law'")
-    shared = X.bridges(refs).select("context")
-    placed = top_k(refs.join(shared, "context"), ["context"], [F.col("doc_id"), F.col("page")], 3)
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "page")))
-    return placed.groupBy("context").agg(F.concat_ws(" || ", F.transform(parts, lambda p: F.concat(F.lit("["), p["doc_id"].cast("string"), F.lit(":"), p["page"].cast("string"), F.lit("]")))).alias("fact"))
+    """The text of up to three pages for each law that several documents refer to."""
+    return X.bridging_facts(t.fx("legal_text"), "law", 3, 200)
 
 
-@query()
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS judge, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey::INT END AS page FROM nation")
 def llm_json_parse(t: Inputs) -> DataFrame:
     """Metadata from a model's answer: the outermost braces, parsed with a fixed schema; null where that fails."""
     said = F.concat(F.lit("Here it is: "), F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("judge"), F.col("n_nationkey").alias("page")))), F.lit(" done"))
     return t.table("nation").select("n_nationkey", F.from_json(F.regexp_extract(said, r"(?s)\{.*\}", 0), "judge string, page int").alias("m")).select("n_nationkey", "m.judge", "m.page")
 
 
-@query()
+@query("SELECT n_nationkey, 1::INT AS item, 0.9::DOUBLE AS score FROM nation UNION ALL SELECT n_nationkey, 2, ('0.' || (n_nationkey % 10))::DOUBLE FROM nation")
 def parse_scores(t: Inputs) -> DataFrame:
     """Scores from a model's answer: the first flat object, a trailing comma forgiven, numbers only."""
     said = F.concat(F.lit('scores: {"1": 0.9, "2": 0.'), (F.col("n_nationkey") % 10).cast("string"), F.lit(", } ok"))

@@ -15,17 +15,33 @@ _STOP = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '{P.WORD}'), lambda w: w NOT IN ({_STOP}))"
 
 
-def _duck_bm25(units: str, queries: str = "SELECT item_id AS qid, text FROM benchmark", k: int = 10) -> str:
-    """CTEs up to ``scored`` (qid, unit, score) over ``units`` (unit, text)."""
+_ARTICLE_TOKENS = "['article_' || m.a] || CASE WHEN m.s <> '' THEN ['article_' || m.a || '_' || m.s, m.s] ELSE [] END || CASE WHEN m.u <> '' THEN ['article_' || m.a || '_' || m.s || '_' || m.u, m.u] ELSE [] END"
+_REFERENCES = " || ".join(
+    f"flatten(list_transform({matches}, lambda m: {tokens}))"
+    for matches, tokens in (
+        (f"regexp_extract_all(text, '{P.TOKEN_ENF}', ['n', 'y'])", "['enf_' || m.n || '_' || m.y, m.n, m.y]"),
+        (f"list_filter(regexp_extract_all(text, '{P.TOKEN_CASE}', ['p', 'n', 'y']), lambda m: m.p <> 'ENF')", "[lower(m.p) || '_' || m.n || '_' || m.y, m.n, m.y]"),
+        (f"regexp_extract_all(text, '{P.TOKEN_ARTICLE}', ['a', 's', 'u'])", _ARTICLE_TOKENS),
+        (f"regexp_extract_all(text, '{P.TOKEN_LAW}', ['p', 'n', 'y'])", "[lower(m.p) || '_law_' || m.n || '_' || m.y]"),
+        (f"regexp_extract_all(text, '{P.TOKEN_SCHEDULE}', 1)", "['schedule_' || lower(m)]"),
+        (f"regexp_extract_all(text, '{P.TOKEN_REGULATION}', 1)", "['regulation_' || replace(m, '.', '_')] || string_split(m, '.')"),
+    )
+)
+#: What the lexical index holds of a text: words, and references as compound tokens.
+_INDEXED = f"({_TOKENS} || {_REFERENCES})"
+
+
+def _duck_bm25(units: str, p: str = "") -> str:
+    """CTEs up to ``scored`` (qid, unit, score) over ``units`` (unit, text), their names after ``p``."""
     return f"""
-units AS ({units}),
-unit_tokens AS (SELECT unit, {_TOKENS} AS toks FROM units),
-tf AS (SELECT unit, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT unit, len(toks) AS dl, unnest(toks) AS token FROM unit_tokens) GROUP BY unit, token),
-totals AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avg_dl FROM unit_tokens),
-df AS (SELECT token, count(*)::DOUBLE AS df FROM tf GROUP BY token),
-weights AS (SELECT unit, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avg_dl))) AS weight FROM tf JOIN df USING (token) CROSS JOIN totals),
-asked AS (SELECT qid, token, count(*) AS times FROM (SELECT qid, unnest({_TOKENS}) AS token FROM ({queries})) GROUP BY qid, token),
-scored AS (SELECT qid, unit, sum(weight * times) AS score FROM asked JOIN weights USING (token) GROUP BY qid, unit)"""
+{p}units AS ({units}),
+{p}unit_tokens AS (SELECT unit, {_INDEXED} AS toks FROM {p}units),
+{p}tf AS (SELECT unit, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT unit, len(toks) AS dl, unnest(toks) AS token FROM {p}unit_tokens) GROUP BY unit, token),
+{p}totals AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avg_dl FROM {p}unit_tokens),
+{p}df AS (SELECT token, count(*)::DOUBLE AS df FROM {p}tf GROUP BY token),
+{p}weights AS (SELECT unit, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avg_dl))) AS weight FROM {p}tf JOIN {p}df USING (token) CROSS JOIN {p}totals),
+{p}asked AS (SELECT qid, token, count(*) AS times FROM (SELECT item_id AS qid, unnest({_INDEXED}) AS token FROM benchmark) GROUP BY qid, token),
+{p}scored AS (SELECT qid, unit, sum(weight * times) AS score FROM {p}asked JOIN {p}weights USING (token) GROUP BY qid, unit)"""
 
 
 def _ranked(source: str, k: int, unit: str = "unit", by: str = "qid") -> str:
@@ -33,13 +49,11 @@ def _ranked(source: str, k: int, unit: str = "unit", by: str = "qid") -> str:
 
 
 def _queries(t: Inputs) -> DataFrame:
-    return t.table("benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("toks"))
+    return t.table("benchmark").select(F.col("item_id").alias("qid"), T.index_tokens(F.col("text")).alias("toks"))
 
 
 def _scores(t: Inputs, units: DataFrame, unit: str = "unit") -> DataFrame:
-    units = units.select(unit, T.tokens(F.col("text")).alias("toks"))
-    weights = R.bm25_weights(R.postings(units, unit, "toks"), units, unit, "toks")
-    return R.bm25_scores(_queries(t), weights, "qid", unit, "toks")
+    return R.bm25_search(_queries(t), units.select(unit, T.index_tokens(F.col("text")).alias("toks")), "qid", unit, "toks")
 
 
 def _docs(t: Inputs) -> DataFrame:
@@ -63,7 +77,7 @@ def tokenize(t: Inputs) -> DataFrame:
 
 @query("WITH " + _duck_bm25(_PAGE_UNITS) + " SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf, round(max(weight), 6) AS max_weight FROM weights JOIN tf USING (unit, token) GROUP BY token")
 def bm25_postings(t: Inputs) -> DataFrame:
-    units = _pages(t).select("unit", T.tokens(F.col("text")).alias("toks"))
+    units = _pages(t).select("unit", T.index_tokens(F.col("text")).alias("toks"))
     weights = R.bm25_weights(R.postings(units, "unit", "toks"), units, "unit", "toks")
     return weights.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.round(F.max("weight"), 6).alias("max_weight"))
 
@@ -104,18 +118,22 @@ def bm25_doc_max_norm(t: Inputs) -> DataFrame:
 # -- dense
 
 _DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE))"
-_DENSE = f"""dense AS (SELECT q.vec_id AS qid, c.vec_id AS unit, c.doc_id, c.page, {_DOT} AS score FROM fx_vec q JOIN fx_vec c ON q.kind = 'query' AND c.kind = 'chunk')"""
+_DENSE = f"""dense AS (SELECT q.vec_id AS qid, c.vec_id AS unit, c.doc_id, c.page, {_DOT} AS score FROM fx_vec q CROSS JOIN fx_vec c WHERE q.asked)"""
 
 
-def _dense(t: Inputs) -> DataFrame:
+def _vectors(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, every vector whose number is divisible by 20, and all vectors."""
     vec = t.fx("vec")
-    asked = vec.where("kind = 'query'").select(F.col("vec_id").alias("qid"), "embedding")
-    units = vec.where("kind = 'chunk'").select(F.col("vec_id").alias("unit"), "embedding")
-    return R.dense_scores(asked, units, "qid", "unit", "embedding")
+    return vec.where("asked").select(F.col("vec_id").alias("qid"), "embedding"), vec.select(F.col("vec_id").alias("unit"), "embedding")
 
 
 def _placed(t: Inputs) -> DataFrame:
-    return _dense(t).join(t.fx("vec").select(F.col("vec_id").alias("unit"), "doc_id", "page"), "unit")
+    scores = R.dense_scores(*_vectors(t), "qid", "unit", "embedding")
+    return scores.join(t.fx("vec").select(F.col("vec_id").alias("unit"), "doc_id", "page"), "unit")
+
+
+def _nearest(t: Inputs, k: int) -> DataFrame:
+    return R.dense_top_k(*_vectors(t), "qid", "unit", "embedding", k)
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2, round(v[1], 6) AS first FROM (
@@ -127,8 +145,7 @@ def l2_normalize(t: Inputs) -> DataFrame:
 
 @query(f"WITH {_DENSE} SELECT qid, unit, round(1 - score, 6) AS distance, rank FROM ({_ranked('dense', 50)})")
 def dense_topk(t: Inputs) -> DataFrame:
-    top = R.top_k(_dense(t), ["qid"], R.best_first("score", "unit"), 50)
-    return top.select("qid", "unit", F.round(1 - F.col("score"), 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    return _nearest(t, 50).select("qid", "unit", F.round(1 - F.col("score"), 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT a.pos, v.vec_id, v.label FROM (SELECT * FROM (VALUES (0, 40), (1, 21), (2, 33), (3, 999999)) AS a(pos, id)) a JOIN embeddings v ON v.vec_id = a.id")
@@ -152,32 +169,45 @@ def rrf(t: Inputs) -> DataFrame:
     return fused.select("qid", "unit", F.round("score", 9).alias("score"))
 
 
-_FIVE = (("chunk", 0.10), ("dense", 0.05), ("dense_rrf", 0.20), ("doc", 0.30), ("page1", 0.30))
+# Weights of the five signals of a document.
+_FIVE = {"chunk": 0.10, "dense": 0.05, "dense_rrf": 0.20, "doc": 0.30, "page1": 0.30}
+#: Candidates of each signal.
+POOL = 200
+#: The vector of benchmark item i is number 20 i, and vector d is that of document d.
+_DOC_DENSE = f"SELECT q.vec_id // 20 AS qid, c.vec_id AS unit, {_DOT} AS score FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id // 20 IN (SELECT item_id FROM benchmark) AND c.vec_id IN (SELECT doc_id FROM documents)"
+
+
+def _doc_nearest(t: Inputs, k: int = POOL) -> DataFrame:
+    vec = t.table("embeddings")
+    asked = vec.where("vec_id % 20 = 0").select(F.expr("vec_id div 20").alias("qid"), "embedding").join(t.table("benchmark").select(F.col("item_id").alias("qid")), "qid", "left_semi")
+    units = vec.join(t.table("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("unit"), "embedding")
+    return R.dense_top_k(asked, units, "qid", "unit", "embedding", k)
 
 
-@query("WITH " + _duck_bm25(_PAGE_UNITS) + """,
-docs_tf AS (SELECT unit // 1000 AS doc_id, token, sum(tf) AS tf FROM tf GROUP BY ALL),
-chunk AS (SELECT qid, unit // 1000 AS doc_id, max(score) AS score FROM scored GROUP BY ALL),
-page1 AS (SELECT qid, unit // 1000 AS doc_id, max(score) AS score FROM scored WHERE unit % 1000 = 1 GROUP BY ALL),
-ranked_chunk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM scored),
-chunk_rrf AS (SELECT qid, unit // 1000 AS doc_id, sum(1.0 / (60 + rank)) AS score FROM ranked_chunk GROUP BY ALL),
-signals AS (SELECT 0.10 AS w, 'chunk' AS s, * FROM chunk UNION ALL SELECT 0.20, 'chunk_rrf', * FROM chunk_rrf UNION ALL SELECT 0.30, 'page1', * FROM page1),
+@query("WITH " + _duck_bm25(_PAGE_UNITS, "a_") + ", " + _duck_bm25(_DOC_UNITS, "b_") + ", " + _duck_bm25(_PAGE_UNITS + " WHERE page = 1", "c_") + f""",
+pool AS ({_ranked('a_scored', POOL)}), near AS ({_ranked(f'({_DOC_DENSE})', POOL)}), whole AS ({_ranked('b_scored', POOL)}), page1 AS ({_ranked('c_scored', POOL)}),
+signals AS (SELECT '{'chunk'}' AS s, qid, unit // 1000 AS doc_id, max(score) AS score FROM pool GROUP BY ALL
+ UNION ALL SELECT 'dense', qid, unit, score FROM near UNION ALL SELECT 'dense_rrf', qid, unit, 1.0 / (60 + rank) FROM near
+ UNION ALL SELECT 'doc', qid, unit, score FROM whole UNION ALL SELECT 'page1', qid, unit // 1000, score FROM page1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s, qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM signals),
-fused AS (SELECT qid, doc_id, sum(w / (60 + rank)) AS score FROM ranked GROUP BY ALL)
-SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused) WHERE rank <= 10""")
+fused AS (SELECT qid, doc_id, sum(CASE s {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _FIVE.items())} END / (60 + rank)) AS score FROM ranked GROUP BY ALL)
+SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS top FROM fused WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id))
+WHERE rank <= 3 AND (rank = 1 OR (top - score) / top <= 0.15)""")
 def doc_fusion(t: Inputs) -> DataFrame:
-    """Documents by weighted reciprocal ranks of several signals of their pages."""
-    doc = F.col("unit.doc_id").alias("doc_id")
-    scores = _scores(t, _pages(t))
-    ranked = R.top_k(scores, ["qid"], R.best_first("score", "unit"), 1 << 30)
-    signals = [
-        (scores.groupBy("qid", doc).agg(F.max("score").alias("score")), 0.10),
-        (ranked.groupBy("qid", doc).agg(F.sum(1.0 / (60 + F.col("rank"))).alias("score")), 0.20),
-        (scores.where("unit.page = 1").groupBy("qid", doc).agg(F.max("score").alias("score")), 0.30),
-    ]
-    rankings = [(R.top_k(s, ["qid"], R.best_first("score", "doc_id"), 1 << 30), w) for s, w in signals]
-    top = R.top_k(R.rrf(rankings, "qid", "doc_id"), ["qid"], R.best_first("score", "doc_id"), 10)
-    return top.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Documents for every benchmark text by five signals: their best chunk, nearest vector and its reciprocal rank, whole
+    text, and first page; weighted reciprocal ranks, then up to three whose score is close to the best."""
+    best = lambda df, k=POOL: R.top_k(df, ["qid"], R.best_first("score", "unit"), k)
+    near = _doc_nearest(t).withColumnRenamed("unit", "doc_id")
+    chunk = best(_scores(t, _pages(t))).groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
+    first = _scores(t, t.fx("pages").where("page = 1").select(F.col("doc_id").alias("unit"), "text"))
+    signals = {
+        "chunk": chunk,
+        "dense": near.select("qid", "doc_id", "score"),
+        "dense_rrf": near.select("qid", "doc_id", (1.0 / (R.RRF_K + F.col("rank"))).alias("score")),
+        "doc": best(_scores(t, _docs(t))).select("qid", F.col("unit").alias("doc_id"), "score"),
+        "page1": best(first).select("qid", F.col("unit").alias("doc_id"), "score"),
+    }
+    return R.fused_documents(signals, _FIVE, "qid", "doc_id", POOL).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH " + _duck_bm25(_DOC_UNITS) + f""", r AS ({_ranked('scored', 5)})
@@ -187,35 +217,25 @@ def gap_select(t: Inputs) -> DataFrame:
 
 
 _HYBRID = "WITH " + _duck_bm25(_DOC_UNITS) + f""",
-lexical AS ({_ranked('scored', 200)}),
-words AS (SELECT qid, unit, len(list_intersect(list_distinct(q.toks), list_distinct(u.toks)))::DOUBLE / greatest(1, len(list_distinct(q.toks))) AS score
-          FROM (SELECT item_id AS qid, {_TOKENS} AS toks FROM benchmark) q JOIN unit_tokens u ON len(list_intersect(q.toks, u.toks)) > 0),
-overlap AS ({_ranked('words', 200)}),
-fused AS (SELECT qid, unit, sum(w / (60 + rank)) AS score FROM (SELECT 2.0 AS w, qid, unit, rank FROM lexical UNION ALL SELECT 1.0, qid, unit, rank FROM overlap) GROUP BY ALL)
+lexical AS ({_ranked('scored', POOL)}), near AS ({_ranked(f'({_DOC_DENSE})', POOL)}),
+fused AS (SELECT qid, unit, sum(w / (60 + rank)) AS score FROM (SELECT 2.0 AS w, qid, unit, rank FROM lexical UNION ALL SELECT 1.0, qid, unit, rank FROM near) GROUP BY ALL)
 SELECT qid, unit, round(score, 6) AS score, rank FROM ({_ranked('fused', 60)})"""
 
 
 @query(_HYBRID)
 def hybrid_rrf(t: Inputs) -> DataFrame:
-    """Documents for every benchmark text: reciprocal ranks of BM25 (weight two) and of the share of its words (weight one)."""
-    units = _docs(t).select("unit", T.tokens(F.col("text")).alias("toks"))
-    posts = R.postings(units, "unit", "toks")
-    asked = _queries(t)
-    lexical = R.bm25_scores(asked, R.bm25_weights(posts, units, "unit", "toks"), "qid", "unit", "toks")
-    words = asked.select("qid", F.size(F.array_distinct("toks")).alias("n"), F.explode(F.array_distinct("toks")).alias("token"))
-    overlap = words.join(posts.select("unit", "token"), "token").groupBy("qid", "unit", "n").agg(F.count("*").alias("c")).select("qid", "unit", (F.col("c") / F.greatest(F.lit(1), F.col("n"))).alias("score"))
-    rankings = [(R.top_k(s, ["qid"], R.best_first("score", "unit"), 200), w) for s, w in ((lexical, 2.0), (overlap, 1.0))]
-    top = R.top_k(R.rrf(rankings, "qid", "unit"), ["qid"], R.best_first("score", "unit"), 60)
+    """Documents for every benchmark text: reciprocal ranks of BM25 (weight two) and of the nearest vectors (weight one)."""
+    lexical = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), POOL)
+    top = R.top_k(R.rrf([(lexical, 2.0), (_doc_nearest(t), 1.0)], "qid", "unit"), ["qid"], R.best_first("score", "unit"), 60)
     return top.select("qid", "unit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_DENSE}, l AS (SELECT vec_id % 20 AS qid, vec_id AS unit, (vec_id % 13) / 13.0 AS score FROM embeddings WHERE vec_id % 3 = 0 AND vec_id >= 20),
+@query(f"""WITH {_DENSE}, l AS (SELECT vec_id // 20 * 20 AS qid, vec_id AS unit, (vec_id % 13) / 13.0 AS score FROM embeddings),
 d AS ({_ranked('dense', 100)}), f AS (SELECT qid, unit, coalesce(d.score, 0) + 0.3 * coalesce(l.score, 0) AS score FROM d FULL JOIN l USING (qid, unit))
 SELECT qid, unit, round(score, 6) AS score, rank FROM ({_ranked('f', 10)})""")
 def additive_fusion(t: Inputs) -> DataFrame:
-    dense = R.top_k(_dense(t), ["qid"], R.best_first("score", "unit"), 100)
-    lexical = t.table("embeddings").where("vec_id % 3 = 0 AND vec_id >= 20").select((F.col("vec_id") % 20).alias("qid"), F.col("vec_id").alias("unit"), (F.col("vec_id") % 13 / 13.0).alias("score"))
-    top = R.top_k(R.additive(dense, lexical, "qid", "unit"), ["qid"], R.best_first("score", "unit"), 10)
+    lexical = t.table("embeddings").select(F.expr("vec_id div 20 * 20").alias("qid"), F.col("vec_id").alias("unit"), (F.col("vec_id") % 13 / 13.0).alias("score"))
+    top = R.top_k(R.additive(_nearest(t, 100), lexical, "qid", "unit"), ["qid"], R.best_first("score", "unit"), 10)
     return top.select("qid", "unit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -228,7 +248,7 @@ def passage_rrf(t: Inputs) -> DataFrame:
 
 
 # Candidates, documents and pages for each type of answer.
-TYPE_LIMITS = {"boolean": (200, 2, 2), "number": (200, 2, 1), "date": (200, 2, 1), "name": (200, 2, 2), "names": (200, 3, 3), "free_text": (200, 3, 3)}
+TYPE_LIMITS = {"boolean": (200, 3, 3), "number": (200, 2, 2), "date": (200, 2, 1), "name": (200, 3, 3), "names": (200, 3, 3), "free_text": (200, 4, 5)}
 
 
 @query("WITH c(answer_type, top_k, max_docs, max_pages) AS (VALUES " + ", ".join(str((k, *v)) for k, v in TYPE_LIMITS.items()) + ") SELECT qid, answer_type, top_k, max_docs, max_pages FROM fx_questions JOIN c USING (answer_type)")
@@ -255,11 +275,11 @@ def article_first_page(t: Inputs) -> DataFrame:
     return t.fx("legal_text").where(F.col("text").rlike(r"(?i)\bArticle\s+7\b")).groupBy("doc_id").agg(F.min("page").alias("page"))
 
 
-@query("""WITH h AS (SELECT l_orderkey % 40 AS qid, l_suppkey AS doc, l_partkey AS unit, max(l_quantity) AS score FROM lineitem WHERE l_orderkey < 4000 GROUP BY ALL),
+@query("""WITH h AS (SELECT l_orderkey // 100 AS qid, l_suppkey AS doc, l_partkey AS unit, max(l_quantity) AS score FROM lineitem GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, unit) AS turn FROM h)
 SELECT qid, doc, unit, row_number() OVER (PARTITION BY qid ORDER BY turn, doc) AS position FROM t WHERE turn <= 15""")
 def round_robin(t: Inputs) -> DataFrame:
-    hits = t.table("lineitem").where("l_orderkey < 4000").groupBy((F.col("l_orderkey") % 40).alias("qid"), F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("unit")).agg(F.max("l_quantity").alias("score"))
+    hits = t.table("lineitem").groupBy(F.expr("l_orderkey div 100").alias("qid"), F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("unit")).agg(F.max("l_quantity").alias("score"))
     return R.round_robin(hits, "qid", "doc", 15, F.col("score").desc(), F.col("unit")).select("qid", "doc", "unit", F.col("position").cast("long").alias("position"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 from corpusmill.operators import lookups as L
 from corpusmill.plans.fixtures import Inputs
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import ORACLES, query
 
 _CASE_OF = "upper(m.p) || ' ' || lpad(m.n, greatest(3, length(m.n))::INT, '0') || '/' || m.y"
 _ASKED = rf"""asked0 AS (SELECT qid, question, answer_type, list_distinct(list_transform(regexp_extract_all(question, '{P.CASE_ID}', ['p','n','y']), lambda m: {_CASE_OF})) AS ids,
@@ -71,14 +73,11 @@ def metadata_pages(t: Inputs) -> DataFrame:
     return _hits(t).select("qid", "case_id", "doc_ord", page.alias("page"))
 
 
-@query("""WITH n AS (SELECT doc_id, count(*)::INT AS pages FROM fx_pages GROUP BY doc_id)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN pages >= 2 THEN 2 END WHEN 2 THEN CASE WHEN pages >= 3 THEN 3 END ELSE pages END AS page FROM n""")
+@query(f"""WITH o AS (SELECT *, list_filter(list_transform(regexp_extract_all(question, '{P.ORDINAL_PAGE}', 1), lambda w: CASE WHEN lower(w) = 'last' THEN pages WHEN lower(w) IN ('first', 'title', 'cover') THEN 1 WHEN lower(w) = 'second' AND pages >= 2 THEN 2 WHEN lower(w) = 'third' AND pages >= 3 THEN 3 END), lambda p: p IS NOT NULL) AS told FROM fx_results)
+SELECT qid, coalesce(regexp_extract_all(question, '{P.PAGE_OF}', 1)[-1]::INT, told[-1], CASE WHEN contains(question, 'Law') AND regexp_matches(question, '{P.OFFICIAL_NUMBER}') THEN 1 END) AS page FROM o""")
 def route_page_refs(t: Inputs) -> DataFrame:
-    """Page overrides: title, second, third (if there), last."""
-    n = t.fx("pages").groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"))
-    word = F.col("doc_id") % 4
-    page = F.when(word == 0, 1).when(word == 1, F.when(F.col("pages") >= 2, 2)).when(word == 2, F.when(F.col("pages") >= 3, 3)).otherwise(F.col("pages"))
-    return n.select("doc_id", page.alias("page"))
+    """The page that a question names outright."""
+    return t.fx("results").select("qid", T.page_override(F.col("question"), F.col("pages"), F.contains("question", F.lit("Law"))).alias("page"))
 
 
 @query(f"WITH {_ASKED} SELECT qid, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) >= 2 AS cross_case FROM asked GROUP BY qid")
@@ -104,14 +103,13 @@ def route_stats(t: Inputs) -> DataFrame:
     return every.groupBy("answer_type").agg(F.count("*").alias("n"), F.count("f").alias("routed"), F.coalesce(F.sum("f"), F.lit(0)).alias("first_docs"))
 
 
-@query(_DOCS + """ SELECT qid, min(doc) AS first_doc, row_number() OVER (ORDER BY (min(doc) IS NULL), min(doc), qid) AS position FROM (SELECT q.qid, h.o_orderkey AS doc FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid) GROUP BY qid ORDER BY position LIMIT 30""")
+@query(_DOCS + """ SELECT qid, min(doc) AS first_doc, row_number() OVER (ORDER BY (min(doc) IS NULL), min(doc), qid) AS position FROM (SELECT q.qid, h.o_orderkey AS doc FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid) GROUP BY qid""")
 def question_order(t: Inputs) -> DataFrame:
-    """The first thirty questions in order of their first document (a top-k report)."""
-    first = t.fx("questions").select("qid").join(_hits(t).groupBy("qid").agg(F.min("o_orderkey").alias("first_doc")), "qid", "left")
-    from pyspark.sql import Window
+    """All questions in order of their first document, those without one last."""
+    from corpusmill.operators.order import running_total
 
-    top = first.orderBy(F.col("first_doc").asc_nulls_last(), "qid").limit(30)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("first_doc").asc_nulls_last(), "qid")).cast("long"))
+    first = t.fx("questions").select("qid").join(_hits(t).groupBy("qid").agg(F.min("o_orderkey").alias("first_doc")), "qid", "left")
+    return running_total(first, "first_doc", "qid")
 
 
 # -- answers from metadata
@@ -130,11 +128,12 @@ def oracle_date_cmp(t: Inputs) -> DataFrame:
     return L.extreme_case(asked, t.fx("case_docs"), "date_of_issue", largest=False)
 
 
-@query(_extreme("max", "claim_value", "WHERE contains(question, 'higher') AND currency = 'AED'", "DESC"))
+@query(_DOCS + """, best AS (SELECT qid, case_id, any_value(ord) AS ord, max(claim_value) AS v, arg_max(currency, claim_value * 1000 - doc_ord) AS currency FROM hits WHERE contains(question, 'higher') AND claim_value > 0 GROUP BY qid, case_id), n AS (SELECT qid, count(DISTINCT case_id) AS n FROM asked GROUP BY qid)
+SELECT qid, case_id AS answer FROM best JOIN n USING (qid) WHERE n = 2 QUALIFY count(*) OVER (PARTITION BY qid) = 2 AND min(currency) OVER (PARTITION BY qid) = max(currency) OVER (PARTITION BY qid) AND row_number() OVER (PARTITION BY qid ORDER BY v DESC, ord) = 1""")
 def oracle_claim_cmp(t: Inputs) -> DataFrame:
-    """The larger claim of two cases, over claims in one currency."""
+    """The case with the larger claim of two, if both claims are in one currency."""
     asked = _asked(t).where(F.contains("question", F.lit("higher")))
-    return L.extreme_case(asked, t.fx("case_docs").where("currency = 'AED'"), "claim_value", largest=True)
+    return L.claim_comparison(asked, t.fx("case_docs"), largest=True)
 
 
 @query(_DOCS + " SELECT DISTINCT qid, case_id, claim_value AS answer FROM hits QUALIFY row_number() OVER (PARTITION BY qid, case_id ORDER BY doc_ord) = 1")
@@ -156,11 +155,11 @@ def oracle_same_judge(t: Inputs) -> DataFrame:
     return L.shared(asked, t.fx("case_docs").select("case_id", L.normalized_judge(F.col("judge")).alias("judge")), "judge")
 
 
-@query(_DOCS + """, j AS (SELECT DISTINCT qid, case_id, lower(trim(p)) AS party FROM (SELECT qid, case_id, unnest([claimant, defendant]) AS p FROM hits)), k AS (SELECT qid, party, count(*) AS c FROM j GROUP BY ALL)
-SELECT qid, max(c) > 1 AS answer FROM k WHERE qid IN (SELECT qid FROM j GROUP BY qid HAVING count(DISTINCT case_id) = 2) GROUP BY qid""")
+@query(_DOCS + """, j AS (SELECT DISTINCT qid, ord, lower(trim(p)) AS party FROM (SELECT qid, ord, unnest([claimant, defendant]) AS p FROM hits))
+SELECT a.qid, bool_or(a.party = b.party OR (length(a.party) > 8 AND length(b.party) > 8 AND (contains(a.party, b.party) OR contains(b.party, a.party)))) AS answer FROM j a JOIN j b ON a.qid = b.qid AND a.ord < b.ord GROUP BY a.qid""")
 def oracle_same_party(t: Inputs) -> DataFrame:
     parties = t.fx("case_docs").select("case_id", F.explode(F.array("claimant", "defendant")).alias("p")).select("case_id", F.lower(F.trim("p")).alias("party"))
-    return L.shared(_asked(t), parties, "party")
+    return L.parties_overlap(_asked(t), parties)
 
 
 @query("""WITH f AS (SELECT case_id, lower(judge) AS judge, min(date_of_issue || lpad(doc_ord::VARCHAR, 3, '0')) AS k FROM fx_case_docs GROUP BY ALL)
@@ -171,14 +170,17 @@ def oracle_judge_change(t: Inputs) -> DataFrame:
     return first.groupBy("case_id").agg(F.count("*").alias("n_judges"), F.min("k").alias("first")).where("n_judges >= 2")
 
 
-@query(_DOCS + """, one AS (SELECT * FROM hits WHERE doc_ord = 1), two AS (SELECT a.qid, a.case_id AS a, b.case_id AS b, a.date_of_issue AS da, b.date_of_issue AS db FROM one a JOIN one b ON a.qid = b.qid AND a.ord < b.ord)
-SELECT qid, CASE WHEN da < db THEN a ELSE b END AS answer FROM two""")
+def _says(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(question), '{w}')" for w in words) + ")"
+
+
+@query(_DOCS + f""", one AS (SELECT * FROM hits WHERE doc_ord = 1), two AS (SELECT a.qid, a.question, a.case_id AS a, b.case_id AS b, a.date_of_issue AS da, b.date_of_issue AS db, a.claim_value AS va, b.claim_value AS vb, a.n_defendants AS na, b.n_defendants AS nb FROM one a JOIN one b ON a.qid = b.qid AND a.ord < b.ord),
+r AS (SELECT qid, CASE WHEN {_says(L.DATE_WORDS)} THEN CASE WHEN {_says(L.EARLY_WORDS)} THEN CASE WHEN da < db THEN a ELSE b END ELSE CASE WHEN da > db THEN a ELSE b END END
+ WHEN {_says(L.CLAIM_WORDS)} THEN CASE WHEN va > vb THEN a ELSE b END WHEN {_says(L.COUNT_WORDS)} THEN CASE WHEN contains(lower(question), 'fewer') THEN CASE WHEN na < nb THEN a ELSE b END ELSE CASE WHEN na > nb THEN a ELSE b END END END AS answer FROM two)
+SELECT qid, answer FROM r WHERE answer IS NOT NULL""")
 def oracle_case_cmp(t: Inputs) -> DataFrame:
-    """The earlier of two cases by their first documents; the second on ties."""
-    one = _hits(t).where("doc_ord = 1").select("qid", "ord", "case_id", "date_of_issue")
-    sides = one.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "case_id", "date_of_issue"))).alias("s")).where(F.size("s") == 2)
-    a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    return sides.select("qid", F.when(a["date_of_issue"] < b["date_of_issue"], a["case_id"]).otherwise(b["case_id"]).alias("answer"))
+    """One of two cases by what the question compares in their first documents."""
+    return L.compared_cases(_asked(t), t.fx("case_docs").where("doc_ord = 1"))
 
 
 @query(_DOCS + " SELECT qid, case_id, date_of_issue AS answer FROM hits WHERE doc_ord = 1 AND answer_type = 'date'")
@@ -210,11 +212,11 @@ def oracle_party_count(t: Inputs) -> DataFrame:
     return parties.groupBy("case_id").agg(F.count_distinct(F.lower(F.trim("p"))).alias("n"))
 
 
-@query("""WITH keys AS (SELECT DISTINCT case_id FROM fx_case_docs WHERE o_orderkey < 300), q AS (SELECT n_nationkey AS qid, 'CFI 0' || n_nationkey AS part FROM nation)
+@query("""WITH keys AS (SELECT DISTINCT case_id FROM fx_case_docs), q AS (SELECT n_nationkey AS qid, 'CFI 0' || n_nationkey AS part FROM nation)
 SELECT qid, min(case_id) AS case_id FROM q JOIN keys ON contains(case_id, part) GROUP BY qid""")
 def oracle_fuzzy_case(t: Inputs) -> DataFrame:
     """The first known case that contains a partial number; the partial numbers are a stated query set."""
-    keys = t.fx("case_docs").where("o_orderkey < 300").select("case_id").distinct()
+    keys = t.fx("case_docs").select("case_id").distinct()
     parts = t.table("nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("CFI 0"), F.col("n_nationkey").cast("string")).alias("part"))
     return keys.join(F.broadcast(parts), F.contains("case_id", "part")).groupBy("qid").agg(F.min("case_id").alias("case_id"))
 
@@ -228,16 +230,28 @@ def oracle_citations(t: Inputs) -> DataFrame:
     return top_k(hits, ["qid", "case_id"], [F.col("doc_ord")], 2).select("qid", "case_id", "doc_ord", "page")
 
 
-@query("SELECT qid, CASE WHEN answer_type IN ('name', 'date', 'names', 'boolean') AND regexp_matches(question, 'CFI') THEN 'oracle' WHEN contains(lower(question), 'jury') THEN 'trick' ELSE 'retrieval' END AS path FROM fx_questions")
+#: The lookups that answer a question from metadata, in no order: a question fits at most one of them.
+_LOOKUPS = [oracle_date_cmp, oracle_claim_cmp, oracle_same_judge, oracle_case_cmp, oracle_defendants, oracle_date]
+_ANSWERED = " UNION ".join(f"SELECT qid FROM ({ORACLES[f.__name__]})" for f in _LOOKUPS)
+
+
+def _answered(t: Inputs) -> DataFrame:
+    return reduce(DataFrame.union, [f(t).select("qid") for f in _LOOKUPS]).distinct()
+
+
+@query(f"""SELECT qid, CASE WHEN answer_type <> 'free_text' AND qid IN ({_ANSWERED}) THEN 'oracle' WHEN regexp_matches(question, '(?i)jury trial|parole') THEN 'trick' ELSE 'retrieval' END AS path FROM fx_questions""")
 def answer_path(t: Inputs) -> DataFrame:
-    known = F.col("answer_type").isin("name", "date", "names", "boolean") & F.contains("question", F.lit("CFI"))
-    return t.fx("questions").select("qid", F.when(known, "oracle").when(F.contains(F.lower("question"), F.lit("jury")), "trick").otherwise("retrieval").alias("path"))
+    """How each question is answered: from metadata, as a trick, or by retrieval."""
+    every = t.fx("questions").join(_answered(t).withColumn("known", F.lit(True)), "qid", "left")
+    known = F.coalesce("known", F.lit(False)) & (F.col("answer_type") != "free_text")
+    return every.select("qid", F.when(known, "oracle").when(T.is_foreign(F.col("question")), "trick").otherwise("retrieval").alias("path"))
 
 
-@query("SELECT answer_type, count(*) AS n, count_if(contains(question, 'CFI'))::BIGINT AS answered, round(count_if(contains(question, 'CFI')) / count(*), 6) AS share FROM fx_questions GROUP BY answer_type")
+@query(f"SELECT answer_type, count(*) AS n, count(a.qid) AS answered, round(count(a.qid) / count(*), 6) AS share FROM fx_questions q LEFT JOIN ({_ANSWERED}) a ON a.qid = q.qid GROUP BY answer_type")
 def oracle_coverage(t: Inputs) -> DataFrame:
-    known = F.contains("question", F.lit("CFI"))
-    return t.fx("questions").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(known).alias("answered"), F.round(F.count_if(known) / F.count("*"), 6).alias("share"))
+    """Questions that metadata answers, by type of answer."""
+    every = t.fx("questions").join(_answered(t).withColumn("known", F.lit(1)), "qid", "left")
+    return every.groupBy("answer_type").agg(F.count("*").alias("n"), F.count("known").alias("answered"), F.round(F.count("known") / F.count("*"), 6).alias("share"))
 
 
 @query(_DOCS + """ SELECT qid, case_id, concat_ws('; ', 'Judge: ' || judge, 'Claimant: ' || claimant, 'Defendant: ' || defendant, 'Date: ' || date_of_issue) AS block FROM hits WHERE doc_ord = 1""")

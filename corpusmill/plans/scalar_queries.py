@@ -102,17 +102,21 @@ def question_class(t: Inputs) -> DataFrame:
     return t.fx("questions").select("qid", case.alias("is_case"), (F.contains(low, F.lit("law")) & ~case).alias("is_law"), F.contains(low, F.lit("earlier")).alias("compares_dates"), F.contains(low, F.lit("higher")).alias("compares_values"))
 
 
-# Concepts of other jurisdictions.
-FOREIGN = ["jury", "plea bargain", "miranda", "parole", "grand jury"]
+def _any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-@query("SELECT item_id AS qid, " + " OR ".join(f"contains(lower(text), '{w}')" for w in FOREIGN) + rf" AND NOT regexp_matches(text, '{P.CASE_ID}') AS trick FROM benchmark")
+_LOW = "lower(question)"
+
+
+@query(f"""SELECT qid, {_any(_LOW, P.FOREIGN)} OR (NOT regexp_matches(question, '{P.FOREIGN_CASE}') AND (regexp_matches(question, '{P.FOREIGN_LOOSE}') OR ({_any(_LOW, P.FOREIGN_CONCEPTS)} AND NOT {_any('lower(source)', P.FOREIGN_CONCEPTS)}))) AS trick FROM fx_results""")
 def trick_question(t: Inputs) -> DataFrame:
-    low = F.lower("text")
-    first = F.lit(False)
-    for w in FOREIGN[:-1]:
-        first = first | F.contains(low, F.lit(w))
-    return t.table("benchmark").select(F.col("item_id").alias("qid"), (first | (F.contains(low, F.lit(FOREIGN[-1])) & ~F.col("text").rlike(P.CASE_ID))).alias("trick"))
+    return t.fx("results").select("qid", T.is_foreign(F.col("question"), F.col("source")).alias("trick"))
+
+
+@query(rf"SELECT qid, array_to_string(list_filter(regexp_extract_all(question, '{P.YEAR}'), lambda y, i: list_position(regexp_extract_all(question, '{P.YEAR}'), y) = i), '|') AS years FROM fx_results")
+def question_years(t: Inputs) -> DataFrame:
+    return t.fx("results").select("qid", JOINED(T.years(F.col("question"))).alias("years"))
 
 
 def _count(words: list[str]) -> str:
@@ -130,13 +134,12 @@ def toc_page(t: Inputs) -> DataFrame:
     return t.fx("pages").select("doc_id", "page", (F.regexp_count(F.replace(F.col("text"), F.lit(", "), F.lit("......")), F.lit(r"\.{5,}")) >= 3).alias("toc"))
 
 
-@query(f"SELECT doc_id, translate(left(text, 200), 'aeopcTH', 'аеорсТН') <> left(text, 200) AS changed, md5(translate(translate(left(text, 200), 'aeopcTH', 'аеорсТН'), '{P.HOMOGLYPHS[0]}', '{P.HOMOGLYPHS[1]}')) AS digest FROM documents")
+@query(f"SELECT doc_id, translate(text, 'aeopcTH', 'аеорсТН') <> text AS changed, md5(translate(translate(text, 'aeopcTH', 'аеорсТН'), '{P.HOMOGLYPHS[0]}', '{P.HOMOGLYPHS[1]}')) AS digest FROM documents")
 def homoglyphs(t: Inputs) -> DataFrame:
     from corpusmill.functions.answers import plain_letters
 
-    first = F.substring("text", 1, 200)
-    mixed = F.translate(first, "aeopcTH", "аеорсТН")
-    return t.table("documents").select("doc_id", (mixed != first).alias("changed"), F.md5(plain_letters(mixed).cast("binary")).alias("digest"))
+    mixed = F.translate("text", "aeopcTH", "аеорсТН")
+    return t.table("documents").select("doc_id", (mixed != F.col("text")).alias("changed"), F.md5(plain_letters(mixed).cast("binary")).alias("digest"))
 
 
 _CLEAN = "text || chr(10) || 'IN THE COURT OF FIRST INSTANCE' || chr(10) || chr(10) || chr(10) || '  17 ' || chr(10) || 'Page 3 of 9' || chr(10) || 'x'"

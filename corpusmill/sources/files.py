@@ -64,6 +64,13 @@ def evaluation_samples(spark: SparkSession, path: str) -> DataFrame:
     return out.where((F.col("question") != "") & (F.col("answer") != ""))
 
 
+def labelled_dataset(spark: SparkSession, path: str, documents: str, labels: str) -> DataFrame:
+    """(file, documents, labels) of the first JSON file below a folder, by path, that has both; ``documents`` and ``labels`` are their types."""
+    read = spark.read.schema(f"documents {documents}, labels {labels}").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    found = read.json(path).select(F.input_file_name().alias("file"), "documents", "labels").where("documents is not null and labels is not null")
+    return found.orderBy("file").limit(1)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines, one directory for each run."""
     results.write.mode("errorifexists").json(path)
