@@ -51,30 +51,44 @@ def chunks(text: Column, size: int = 500) -> Column:
 def overlapping_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """(doc_id, start, end, text): chunks that overlap; each ends at the last blank line, sentence or blank past its middle, else by length."""
 
+    def pieces(text: str):
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + size)
+            if end < len(text):
+                window, middle = text[at:end], size // 2
+                for marks in (("\n\n",), (". ", ".\n"), (" ",)):
+                    place = max(window.rfind(m) + len(m) for m in marks if m in window) if any(m in window for m in marks) else 0
+                    if place > middle:
+                        end = at + place
+                        break
+            piece = text[at:end].strip()
+            if piece:
+                yield at, end, piece
+            if end >= len(text):
+                return
+            at = max(at + 1, end - overlap)
+
     def cut(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text, at = text or "", 0
-                while at < len(text):
-                    end = min(len(text), at + size)
-                    if end < len(text):
-                        window, middle = text[at:end], size // 2
-                        for marks in (("\n\n",), (". ", ".\n"), (" ",)):
-                            place = max(window.rfind(m) + len(m) for m in marks)
-                            if place > middle and any(m in window for m in marks):
-                                end = at + place
-                                break
-                    if text[at:end].strip():
-                        rows.append((doc_id, at, end, text[at:end].strip()))
-                    if end >= len(text):
-                        break
-                    at = max(at + 1, end - overlap)
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text"])
+        rows: list = []
+
+        def out():
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, start int, end int, text string")
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in pieces(text or ""):
+                    rows.append((doc_id, *piece))
+                    if len(rows) >= 5_000:
+                        yield out()
+                        rows = []
+        if rows:
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start int, end int, text string")
 
 
 def repeated_edges(pages: DataFrame) -> DataFrame:

@@ -98,14 +98,45 @@ def eval_samples(t: Inputs) -> DataFrame:
     return t.table("documents").select("doc_id", q.alias("question"), F.size(F.array("source", "lang")).cast("long").alias("n_contexts")).where("question <> ''")
 
 
-@query()
+def _stripped_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _cut_sql(x: str) -> str:
+    """Non-empty pieces between marks."""
+    return f"list_filter(list_transform(string_split({x}, chr(1)), lambda c: {_stripped_sql('c')}), lambda c: c <> '')"
+
+
+_HEADED = _cut_sql(r"regexp_replace(text, '(?i)\n((?:Article|Section|Part|Schedule|Appendix|Chapter)\s+[\dIVXivx]+)', chr(1) || chr(10) || '\1', 'g')")
+_BLANKS = _cut_sql(r"regexp_replace(text, '\n{2,}', chr(1), 'g')")
+_PARTED = r"list_filter(string_split(regexp_replace(x, '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+_HARD = "list_transform(range(0, (length(s) - 1) // 500 + 1), lambda i: substr(s, i * 500 + 1, 500))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, page, text, {_HEADED} AS h, {_BLANKS} AS b FROM fx_pages), parts AS (SELECT doc_id, page, text, CASE WHEN len(h) >= 2 THEN h ELSE b END AS parts FROM p),
+small AS (SELECT doc_id, page, text, flatten(list_transform(parts, lambda x: CASE WHEN length(x) <= 500 THEN [x] ELSE flatten(list_transform({_PARTED}, lambda s: CASE WHEN length(s) <= 500 THEN [s] ELSE {_HARD} END)) END)) AS small FROM parts),
+packed AS (SELECT doc_id, page, text, CASE WHEN len(small) > 0 THEN list_reduce(list_transform(small, lambda x: {{'done': []::VARCHAR[], 'last': x}}), lambda s, x: CASE WHEN s['last'] = '' THEN {{'done': s['done'], 'last': x['last']}}
+ WHEN length(s['last']) + 2 + length(x['last']) <= 500 THEN {{'done': s['done'], 'last': s['last'] || chr(10) || chr(10) || x['last']}} ELSE {{'done': list_append(s['done'], s['last']), 'last': x['last']}} END) END AS s FROM small),
+chunks AS (SELECT doc_id, page, CASE WHEN length(text) < 500 THEN list_filter([{_stripped_sql('text')}], lambda x: x <> '') WHEN s IS NULL THEN [] WHEN s['last'] <> '' THEN list_append(s['done'], s['last']) ELSE s['done'] END AS c FROM packed)
+SELECT doc_id, page, (generate_subscripts(c, 1) - 1)::INT AS chunk_idx, unnest(c) AS text FROM chunks""")
 def split_chunks(t: Inputs) -> DataFrame:
     """Chunks of all pages (tests hold them against a plain loop)."""
     pages = t.fx("pages").withColumn("c", C.chunks(F.col("text")))
     return pages.select("doc_id", "page", F.posexplode("c").alias("chunk_idx", "text"))
 
 
-@query()
+def _end_sql(at: str) -> str:
+    """Where the chunk that starts at ``at`` ends: past the last blank line, sentence or blank of its window's second half."""
+    w = f"substr(d.text, {at} + 1, 500)"
+    place = lambda m: f"CASE WHEN contains({w}, {m}) THEN length({w}) - instr(reverse({w}), reverse({m})) + 1 ELSE 0 END"
+    line, stop = place("chr(10) || chr(10)"), f"greatest({place(chr(39) + '. ' + chr(39))}, {place(chr(39) + '.' + chr(39) + ' || chr(10)')})"
+    blank = place("' '")
+    return f"CASE WHEN {at} + 500 >= length(d.text) THEN length(d.text) WHEN {line} > 250 THEN {at} + ({line}) WHEN {stop} > 250 THEN {at} + {stop} WHEN {blank} > 250 THEN {at} + ({blank}) ELSE {at} + 500 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT d.doc_id, 0::BIGINT AS s, ({_end_sql('0')})::BIGINT AS e FROM documents d WHERE length(d.text) > 0
+UNION ALL SELECT d.doc_id, greatest(c.s + 1, c.e - 50), {_end_sql('greatest(c.s + 1, c.e - 50)')} FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE c.e < length(d.text))
+SELECT * FROM (SELECT c.doc_id, s::INT AS start, e::INT AS "end", {_stripped_sql('substr(d.text, s + 1, e - s)')} AS text FROM c JOIN documents d ON d.doc_id = c.doc_id) WHERE text <> ''""")
 def chunk_rcts(t: Inputs) -> DataFrame:
     """Overlapping chunks of all documents (tests hold them against their rules)."""
     return C.overlapping_chunks(t.table("documents"))
