@@ -11,18 +11,11 @@ from corpusmill.llm.common import stored
 SLICE = 100_000
 
 
-def _contracted(batches):
-    """Edges (u, v) of one slice: each of its vertices with the smallest vertex of its component there."""
+def roots(a, b, n: int):
+    """For the vertices 0 to n - 1 and the edges (a, b): the smallest vertex of each one's component."""
     import numpy as np
-    import pyarrow as pa
 
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    ends = np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)])
-    names, place = np.unique(ends, return_inverse=True)
-    a, b = place[: len(place) // 2], place[len(place) // 2 :]
-    root = np.arange(len(names))
+    root = np.arange(n)
     while True:  # every vertex takes the smallest root of its neighbours, then the root of its root
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -31,8 +24,37 @@ def _contracted(batches):
         while (new != new[new]).any():
             new = new[new]
         if (new == root).all():
-            break
+            return root
         root = new
+
+
+def forest(a, b, n: int):
+    """Which of the edges (a, b), the most wanted first, make the best spanning forest of the vertices 0 to n - 1."""
+    import numpy as np
+
+    kept, root, rank = np.zeros(len(a), bool), np.arange(n), np.arange(len(a))
+    while True:  # every component takes its best edge that leads out of it
+        live = root[a] != root[b]
+        if not live.any():
+            return kept
+        best = np.full(n, len(a))
+        np.minimum.at(best, root[a[live]], rank[live])
+        np.minimum.at(best, root[b[live]], rank[live])
+        kept[best[best < len(a)]] = True
+        root = roots(a[kept], b[kept], n)
+
+
+def _contracted(batches):
+    """Edges (u, v) of one slice: each of its vertices with the smallest vertex of its component there."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([np.concatenate(p) for p in zip(*parts, strict=True)])
+    names, place = np.unique(ends, return_inverse=True)
+    root = roots(place[: len(place) // 2], place[len(place) // 2 :], len(names))
     own = np.flatnonzero(root != np.arange(len(names)))
     yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["u", "v"])
 

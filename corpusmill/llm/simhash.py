@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import forget_encoders, partitions, stored
-from corpusmill.llm.components import components
+from corpusmill.llm.components import components, forest
 
 #: Generator polynomial of the cyclic binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -42,6 +42,8 @@ SHINGLE, BITS, SEED = 4, 4, 42
 WORDS, SIMILARITY, ROUNDS, AT_ONCE = 5, 0.8, 8, 2
 #: A bucket is searched by one task up to this many fingerprints; larger ones are cut and all pairs of cuts are searched.
 BUCKET = 20_000
+#: Links that are thinned in one task's memory.
+LINKS = 250_000
 #: Where a key holds the number of its fingerprint: above the kind (58 to 60).
 ROUND_AT = 61
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -284,6 +286,24 @@ def _searched(bits: int, bucket: int):
     return run
 
 
+def _nearest(batches):
+    """Links (round, a, b) of one slice: a spanning forest for each round, nearest pairs first."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [[c.to_numpy() for c in b.columns] for b in batches]
+    if not parts:
+        return
+    every = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    for r in np.unique(every[0]):
+        a, b = (c[every[0] == r] for c in every[1:])
+        order = np.argsort(np.bitwise_count((a ^ b).view(np.uint64)), kind="stable")
+        a, b = a[order], b[order]
+        names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        kept = forest(place[: len(a)], place[len(a) :], len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), r, np.int32)), pa.array(a[kept]), pa.array(b[kept])], ["round", "a", "b"])
+
+
 def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """Verified links (round, a, b) between the distinct ``words`` (round, fp) of each round (0 to 7), enough to connect all
     that differ in at most ``bits`` bits.
@@ -292,7 +312,8 @@ def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     are found only where a key agrees; ``similar_links`` makes up for that by several fingerprints.
 
     A bucket gives a spanning forest of its links, so the rows are linear in the fingerprints even in
-    a large group of near copies; every link of at most four bits lies in some bucket.
+    a large group of near copies; every link of at most four bits lies in some bucket. What the buckets
+    give is thinned once more in slices of about ``LINKS``: of each a spanning forest stays, nearest pairs first.
     """
 
     def expand(batches):
@@ -313,10 +334,11 @@ def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     met = stored(keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_searched(bits, bucket), schema), "links")
     link = ("cut as round", "a", "b")
     found = met.where("b is not null").selectExpr(*link)
+    thinned = lambda df, n: df.coalesce(max(1, -(-n // LINKS))).mapInArrow(_nearest, "round int, a long, b long").distinct()
     # large buckets: every pair of cuts meets in a task of its own
     cut = met.where("b is null").select("key", "cut", F.col("a").alias("fp"))
     if not cut.head(1):
-        return found.distinct()
+        return thinned(found, found.count())
     count = cut.groupBy("key").agg((F.max("cut") + 1).alias("cuts"))
     pairs = cut.join(count, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     mixed = F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other"))
@@ -324,7 +346,8 @@ def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     mixed = mixed.bitwiseAND(low).bitwiseOR(F.col("key").bitwiseAND(F.bitwise_not(low)))  # the round stays
     pairs = pairs.where("other <> cut or cuts = 1").select(mixed.alias("key"), "fp")
     rest = pairs.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_searched(bits, 1 << 62), schema)
-    return found.union(rest.selectExpr(*link)).distinct()
+    both = stored(found.union(rest.selectExpr(*link)), "links")
+    return thinned(both, both.count())
 
 
 def _labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -177,3 +177,25 @@ def test_components_in_slices(spark):
         got = {r.v: r.root for r in components(df, size).collect()}
         assert got == {**{i: 100 for i in range(100, 401)}, **{i: 1000 for i in range(1000, 1600)}, **{5000 + i: 5000 for i in range(20)}}
     assert components(df.where("false")).count() == 0
+
+
+def test_forest():
+    """The kept edges connect what all do, have no cycle, and are the best ones (against Kruskal)."""
+    from corpusmill.llm.components import forest, roots
+
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (2, 1), (50, 30), (50, 400), (300, 500)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        own, want = list(range(n)), []
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            while own[x] != x:
+                x = own[x]
+            while own[y] != y:
+                y = own[y]
+            if x != y:
+                own[y] = x
+                want.append(i)
+        kept = forest(a, b, n)
+        assert np.flatnonzero(kept).tolist() == want
+        assert (roots(a[kept], b[kept], n) == roots(a, b, n)).all()
