@@ -44,7 +44,7 @@ CASES = [
     (A.fix_number, "EUR 5", None),
     (A.fix_boolean, "Yes", True),
     (A.fix_boolean, "maybe", None),
-    (lambda c: A.answer_keywords_number(c.cast("double")), "50000", ["50000", "50,000"]),
+    (lambda c: A.answer_keywords(c, F.lit("number")), "50000", ["50000", "50,000"]),
     (lambda c: A.cited(c, F.lit(3)), "[P1] x [P3] [P9] [P1]", [0, 2]),
     (A.plain_letters, "СОР", "COP"),
     (T.title, "7\n# mark\n  A long enough title  \nnext", "A long enough title"),
