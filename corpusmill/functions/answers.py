@@ -12,7 +12,11 @@ from corpusmill.functions.text import contains_any, stripped
 NULL_WORDS = ["null", "n/a", "none", "unanswerable"]
 TRUE_WORDS, FALSE_WORDS = ["true", "yes", "y", "1"], ["false", "no", "n", "0"]
 DATE_FORMATS = ["yyyy-M-d", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy"]
-DEFLECTIONS = ["i cannot", "cannot be determined", "not provided", "no information", "insufficient information", "does not contain", "unable to", "not mentioned", "don't have"]
+DEFLECTIONS = [
+    "i cannot answer based on the provided passages", "cannot answer based on the provided", "none of the passages", "no passage contains", "passages do not contain",
+    "passages don't contain", "not mentioned in any", "no relevant information", "cannot be answered",
+]
+NOT_MENTIONED = ["notmentioned", "not_mentioned", "not mentioned"]
 
 
 def without_artifacts(text: Column) -> Column:
@@ -97,6 +101,15 @@ def is_deflection(text: Column) -> Column:
     return contains_any(F.lower(text), DEFLECTIONS)
 
 
+def nli_label(text: Column) -> Column:
+    """The label of a model's answer: on its last line, else anywhere in it; not mentioned if there is none."""
+    low = F.lower(stripped(text))
+    last = F.element_at(F.split(low, "\n"), -1)
+    is_in = lambda x, name: F.when(F.contains(x, F.lit(name)), F.lit(name))
+    absent = lambda x: F.when(contains_any(x, NOT_MENTIONED), F.lit("not_mentioned"))
+    return F.coalesce(is_in(last, "entailment"), is_in(last, "contradiction"), absent(last), absent(low), is_in(low, "entailment"), is_in(low, "contradiction"), F.lit("not_mentioned"))
+
+
 def cited(text: Column, passages: Column) -> Column:
     """Distinct zero-based numbers of ``[P1]`` marks within the number of passages."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[P(\d+)\]"), F.lit(1)), lambda x: x.cast("int") - 1)

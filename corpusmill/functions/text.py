@@ -155,6 +155,11 @@ def page_override(question: Column, pages: Column, law: Column) -> Column:
     return F.coalesce(some(found(question, P.PAGE_OF, 1), number), some(F.filter(F.transform(ordinals, page), lambda p: p.isNotNull()), last), official)
 
 
+def identifiers(text: Column) -> Column:
+    """Distinct case and law numbers of a text in one canonical spelling each."""
+    return F.array_distinct(F.concat(case_ids(text), F.transform(found(text, P.LAW_NO, 1), lambda n: F.concat(F.lit("LAW "), n))))
+
+
 def years(text: Column) -> Column:
     """Distinct years of a text, in order."""
     return F.array_distinct(found(text, P.YEAR))

@@ -24,15 +24,22 @@ def heading_key(heading: Column) -> Column:
 
 
 def order_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, page): pages with an order's marks and the run of numbered pages that goes on from each."""
+    """(doc_id, page): pages with an order's marks (without any, the last of more than two pages if it reads like an end), the
+    run of numbered pages that goes on from each, and the last page if it says by whom or when it was issued."""
     w = Window.partitionBy("doc_id").orderBy("page")
-    marked = contains_any(F.col("text"), P.ORDER_MARKS)
-    goes_on = F.trim("text").rlike(r"^\d+\.")
-    flagged = pages.select("doc_id", "page", marked.alias("marked"), goes_on.alias("goes_on"))
-    # a break is a page that neither has a mark nor goes on; a run belongs to a mark after the last break
-    last_mark = F.max(F.when(F.col("marked"), F.col("page"))).over(w)
-    last_break = F.coalesce(F.max(F.when(~F.col("marked") & ~F.col("goes_on"), F.col("page"))).over(w), F.lit(0))
-    return flagged.withColumns({"m": last_mark, "b": last_break}).where("marked or (goes_on and m > b)").select("doc_id", "page")
+    every = Window.partitionBy("doc_id")
+    text = F.col("text")
+    flagged = pages.select(
+        "doc_id", "page", contains_any(text, P.ORDER_MARKS).alias("marked"), F.substring(F.trim("text"), 1, 300).rlike(r"^\d+\.").alias("goes_on"),
+        contains_any(F.lower("text"), P.END_WORDS).alias("ends"), contains_any(text, P.ISSUE_MARKS).alias("issued"),
+    )
+    flagged = flagged.withColumns({"any": F.bool_or("marked").over(every), "n": F.max("page").over(every)})
+    last = F.col("page") == F.col("n")
+    flagged = flagged.withColumns({"last": last, "anchor": F.col("marked") | (~F.col("any") & (F.col("n") > 2) & last & F.col("ends"))})
+    # a break is a page that neither is an anchor nor goes on; a run belongs to an anchor after the last break
+    run = F.max(F.when(F.col("anchor"), F.col("page"))).over(w)
+    stop = F.coalesce(F.max(F.when(~F.col("anchor") & ~F.col("goes_on"), F.col("page"))).over(w), F.lit(0))
+    return flagged.withColumns({"m": run, "b": stop}).where("anchor or (goes_on and m > b) or (last and issued)").select("doc_id", "page")
 
 
 def date_page(pages: DataFrame) -> DataFrame:

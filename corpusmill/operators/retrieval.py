@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
+
 #: Parameters of the usual BM25 variant with a logarithm that stays positive.
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -48,6 +50,16 @@ def bm25_search(queries: DataFrame, units: DataFrame, qid: str, unit: str, token
     return small(asked).join(weights, "token").groupBy(qid, unit).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
+def identifier_docs(questions: DataFrame, docs: DataFrame, qid: str = "qid", unit: str = "doc_id") -> DataFrame:
+    """(qid, unit): documents (unit, text) that hold a case or law number of the question (qid, text), in any spelling. If any
+    of a question's documents has one of its years, only such documents stay. Numbers meet by equality in canonical form."""
+    asked = questions.select(qid, T.years(F.col("text")).alias("asked"), F.explode(T.identifiers(F.col("text"))).alias("key"))
+    held = docs.select(unit, T.years(F.col("text")).alias("held"), F.explode(T.identifiers(F.col("text"))).alias("key"))
+    hits = asked.join(held, "key").groupBy(qid, unit).agg(F.bool_or(F.arrays_overlap("asked", "held")).alias("in_year"))
+    known = hits.groupBy(qid).agg(F.bool_or("in_year").alias("any_in_year"))
+    return hits.join(known, qid).where("in_year or not any_in_year").select(qid, unit)
+
+
 def top_k(scores: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, numbered from one; a partial limit runs before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -44,7 +44,9 @@ scalar("fix_name", A.fix_name, r"regexp_replace(regexp_replace(regexp_replace(tr
 scalar("fix_names", lambda x: F.array_join(A.fix_names(x), "|"), "array_to_string(list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> ''), '|')")
 scalar("fix_free_text", lambda x: A.fix_free_text(F.concat(x, F.lit(" Caveat: none."))), r"trim(regexp_replace(regexp_replace(raw || ' Caveat: none.', '\*\*|__|`', '', 'g'), '(?is)\s*Caveat:.*$', ''))")
 scalar("fix_unanswerable", lambda x: F.when(A.is_null_word(x), None).otherwise(x), "CASE WHEN lower(trim(raw)) IN ('null', 'n/a', 'none', 'unanswerable') THEN NULL ELSE raw END")
-scalar("deflection", lambda x: A.is_deflection(F.concat(x, F.when(F.col("qid") % 5 == 0, " was not provided").otherwise(""))), "CASE WHEN qid % 5 = 0 THEN true ELSE false END")
+_PHRASES = [*A.DEFLECTIONS, "fine", "cannot say", "passages"]
+_PHRASED = "CASE qid % 12 " + " ".join("WHEN {} THEN '{}'".format(i, p.replace("'", "''")) for i, p in enumerate(_PHRASES)) + " END"
+scalar("deflection", lambda x: A.is_deflection(F.concat(x, F.lit(" "), F.upper(F.expr(_PHRASED.replace("''", "\\'"))))), "(" + " OR ".join("contains(lower(raw || ' ' || upper({})), '{}')".format(_PHRASED, p.replace("'", "''")) for p in A.DEFLECTIONS) + ")")
 scalar("parse_citations", lambda x: F.array_join(A.cited(F.concat(F.lit("[P"), (F.col("qid") % 9).cast("string"), F.lit("] a [P2] b [P2]")), F.lit(5)), "|"), "CASE WHEN qid % 9 BETWEEN 1 AND 5 AND qid % 9 <> 2 THEN CASE WHEN qid % 9 < 2 THEN (qid % 9 - 1)::VARCHAR || '|1' ELSE '1|' || (qid % 9 - 1) END ELSE '1' END")
 scalar("pages_used", lambda x: F.array_join(A.pages_used(F.concat(F.lit("PAGES_USED: [3, "), (F.col("qid") % 40).cast("string"), F.lit(", 12]"))), "|"), "'3|' || (qid % 40) || '|12'")
 scalar("grounding", lambda x: F.array_join(F.regexp_extract_all(F.concat(F.lit('"'), x, F.lit('" → page '), (F.col("qid") % 7).cast("string")), F.lit(r'"([^"]+)" → page (\d+)'), F.lit(2)), "|"), "(qid % 7)::VARCHAR")

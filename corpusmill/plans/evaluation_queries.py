@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpusmill.functions import answers as A
 from corpusmill.functions import patterns as P
 from corpusmill.operators import evaluation as E
 from corpusmill.operators.retrieval import best_first, reranked, top_k
@@ -126,13 +127,18 @@ def nli_pairs(t: Inputs) -> DataFrame:
     return E.with_every(labelled, hypotheses).select("doc_id", "hyp", "gold")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'entailment' WHEN doc_id % 3 = 1 THEN 'contradiction' ELSE 'not_mentioned' END AS label FROM documents")
+#: What a model may say, by document modulo 7, and the label it means.
+_SAID = [
+    ("thinking of contradiction\nEntailment.", "entailment"), ("entailment?\nCONTRADICTION", "contradiction"), ("entailment\nNotMentioned", "not_mentioned"), ("Contradiction\nso it is", "contradiction"),
+    ("entailment or contradiction\ndone", "entailment"), ("not mentioned, no entailment\ndone", "not_mentioned"), ("unclear", "not_mentioned"),
+]
+
+
+@query("SELECT doc_id, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{label}'" for i, (_, label) in enumerate(_SAID)) + " END AS label FROM documents")
 def nli_label(t: Inputs) -> DataFrame:
-    """The label on the last line of a model's answer; none of them: not mentioned."""
-    said = F.concat(F.lit("thinking about contradiction\n"), F.when(F.col("doc_id") % 3 == 0, "Entailment.").when(F.col("doc_id") % 3 == 1, "CONTRADICTION").otherwise("unclear"))
-    last = F.lower(F.element_at(F.split(said, "\n"), -1))
-    label = F.when(F.contains(last, F.lit("entailment")), "entailment").when(F.contains(last, F.lit("contradiction")), "contradiction").otherwise("not_mentioned")
-    return t.table("documents").select("doc_id", label.alias("label"))
+    """The label of a model's answer."""
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in _SAID]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return t.table("documents").select("doc_id", A.nli_label(said).alias("label"))
 
 
 # -- spans

@@ -36,18 +36,14 @@ def article_pages_merge(t: Inputs) -> DataFrame:
     return read.join(told, ["doc_id", "key"], "full").select("doc_id", "key", F.coalesce("told", "page").alias("page"))
 
 
-_ORDERED = "SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 = 0 THEN 'IT IS HEREBY ORDERED' WHEN (doc_id * page) % 3 = 0 THEN '2. and so on' ELSE 'text' END AS text FROM fx_pages"
+_SHAPED = "CASE WHEN doc_id % 3 <> 0 AND (doc_id + page) % 4 = 0 THEN 'IT IS HEREBY ORDERED' WHEN (doc_id * page) % 3 = 1 THEN '2. and so on' WHEN doc_id % 5 = 1 THEN 'Dated today' WHEN doc_id % 7 = 3 THEN 'Issued by: x' ELSE 'text' END"
 
 
-def _ordered(t: Inputs) -> DataFrame:
-    text = F.when((F.col("doc_id") + F.col("page")) % 4 == 0, "IT IS HEREBY ORDERED").when((F.col("doc_id") * F.col("page")) % 3 == 0, "2. and so on").otherwise("text")
-    return t.fx("pages").select("doc_id", "page", text.alias("text"))
-
-
-@query(f"""WITH RECURSIVE p AS ({_ORDERED}), o AS (SELECT doc_id, page FROM p WHERE text = 'IT IS HEREBY ORDERED' UNION SELECT p.doc_id, p.page FROM o JOIN p ON p.doc_id = o.doc_id AND p.page = o.page + 1 AND starts_with(p.text, '2.'))
-SELECT doc_id, page FROM o""")
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, page, {_SHAPED} AS text, max(page) OVER (PARTITION BY doc_id) AS n, bool_or({_SHAPED} = 'IT IS HEREBY ORDERED') OVER (PARTITION BY doc_id) AS any_marked FROM fx_pages),
+o AS (SELECT doc_id, page FROM p WHERE text = 'IT IS HEREBY ORDERED' OR (NOT any_marked AND n > 2 AND page = n AND text IN ('Dated today', 'Issued by: x')) UNION SELECT p.doc_id, p.page FROM o JOIN p ON p.doc_id = o.doc_id AND p.page = o.page + 1 AND starts_with(p.text, '2.'))
+SELECT doc_id, page FROM o UNION SELECT doc_id, page FROM p WHERE page = n AND text = 'Issued by: x'""")
 def order_pages(t: Inputs) -> DataFrame:
-    return X.order_pages(_ordered(t))
+    return X.order_pages(t.fx("pages").select("doc_id", "page", F.expr(_SHAPED).alias("text")))
 
 
 @query("SELECT doc_id, coalesce(min(CASE WHEN page <= 3 AND (contains(text, 'Date:') OR doc_id % 5 = page) THEN page END), 1)::INT AS page FROM fx_pages GROUP BY doc_id")

@@ -291,13 +291,17 @@ def promote_first(t: Inputs) -> DataFrame:
     return top.select("doc_id", "page", F.col("position").cast("long").alias("position"))
 
 
-@query("""WITH q AS (SELECT item_id AS qid, split_part(text, ' ', 3) AS word FROM benchmark WHERE length(split_part(text, ' ', 3)) > 3)
-SELECT q.qid, d.doc_id FROM q JOIN documents d ON contains(d.text, q.word)""")
+_CASE_KEY = "upper(m.p) || ' ' || lpad(m.n, greatest(3, length(m.n))::INT, '0') || '/' || m.y"
+_IDENTIFIERS = f"list_distinct(list_transform(regexp_extract_all(text, '{P.CASE_ID}', ['p', 'n', 'y']), lambda m: {_CASE_KEY}) || list_transform(regexp_extract_all(text, '{P.LAW_NO}', 1), lambda n: 'LAW ' || n))"
+_KEYED = "SELECT n_nationkey AS qid, CASE WHEN n_nationkey % 2 = 0 THEN concat('What does Law No ', CAST(n_nationkey % 12 + 1 AS STRING), ' say of ', CAST(2004 + n_nationkey % 16 AS STRING), '?') ELSE concat('What did CFI-', CAST(n_nationkey + 150 AS STRING), '-', CAST(2010 + n_nationkey % 15 AS STRING), ' decide?') END AS text FROM "
+
+
+@query(f"""WITH q AS ({_KEYED} nation), asked AS (SELECT qid, regexp_extract_all(text, '{P.YEAR}') AS years, unnest({_IDENTIFIERS}) AS key FROM q), held AS (SELECT doc_id, regexp_extract_all(text, '{P.YEAR}') AS years, unnest({_IDENTIFIERS}) AS key FROM fx_legal_text),
+hits AS (SELECT qid, doc_id, bool_or(len(list_intersect(a.years, h.years)) > 0) AS in_year FROM asked a JOIN held h USING (key) GROUP BY qid, doc_id)
+SELECT qid, doc_id FROM hits QUALIFY in_year OR NOT bool_or(in_year) OVER (PARTITION BY qid)""")
 def keyword_docs(t: Inputs) -> DataFrame:
-    """Documents that hold a query's identifier: identifiers are a stated set, laid against all documents."""
-    words = t.table("benchmark").select(F.col("item_id").alias("qid"), F.split_part("text", F.lit(" "), F.lit(3)).alias("word")).where(F.length("word") > 3)
-    docs = t.table("documents").select("doc_id", "text")
-    return docs.join(F.broadcast(words), F.contains("text", "word")).select("qid", "doc_id")
+    """Documents that hold a question's case or law number, those of its years if there are any."""
+    return R.identifier_docs(t.sql(_KEYED + "{nation}"), t.fx("legal_text").select("doc_id", "text"))
 
 
 @query("""SELECT doc_id, page, 10 * len(regexp_extract_all(lower(text), '\\bschedule\\b')) + (length(text) - length(replace(lower(text), 'law', ''))) // 3
