@@ -110,6 +110,12 @@ def nli_label(text: Column) -> Column:
     return F.coalesce(is_in(last, "entailment"), is_in(last, "contradiction"), absent(last), absent(low), is_in(low, "entailment"), is_in(low, "contradiction"), F.lit("not_mentioned"))
 
 
+def keeps_grounding(text: Column) -> Column:
+    """Whether a free answer is left as it is: it quotes, is long enough, and shows no reasoning."""
+    leaked = F.ltrim(text).startswith("1.") | contains_any(text, P.LEAKED)
+    return contains_any(text, ["'", '"']) & (F.length(text) >= 300) & ~leaked
+
+
 def cited(text: Column, passages: Column) -> Column:
     """Distinct zero-based numbers of ``[P1]`` marks within the number of passages."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[P(\d+)\]"), F.lit(1)), lambda x: x.cast("int") - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 
 
@@ -86,3 +87,26 @@ def compared_cases(asked: DataFrame, first_docs: DataFrame) -> DataFrame:
     by_count = F.when(F.contains(low, F.lit("fewer")), first(less("n_defendants"))).otherwise(first(more("n_defendants")))
     answer = F.when(T.contains_any(low, DATE_WORDS), by_date).when(T.contains_any(low, CLAIM_WORDS), first(more("claim_value"))).when(T.contains_any(low, COUNT_WORDS), by_count)
     return held.select("qid", answer.alias("answer")).where("answer is not null")
+
+
+def metadata_page(kind: Column) -> Column:
+    """The page of a case document that shows a kind of metadata: parties stand on the first, the others where the index says."""
+    told = {"date_of_issue": F.col("date_page"), "claim_value": F.col("claim_page"), "judge": F.col("judge_page"), "parties": F.lit(1), "outcome": F.col("outcome_page")}
+    return F.coalesce(*[F.when(kind == name, page) for name, page in told.items()])
+
+
+def law_routes(questions: DataFrame, laws: DataFrame) -> DataFrame:
+    """(qid, name, doc): known laws (name, doc; a fixed list) that a question names, unless it is about "these Regulations" and names no case."""
+    asked = questions.where(~question_of_regulations(F.col("question")))
+    return asked.join(F.broadcast(laws), F.contains(F.lower("question"), F.col("name"))).select("qid", "name", "doc")
+
+
+def question_of_regulations(question: Column) -> Column:
+    return question.rlike(P.THESE_REGULATIONS) & (F.size(T.case_ids(question)) == 0)
+
+
+def amendment_routes(routed: DataFrame, laws: DataFrame) -> DataFrame:
+    """(qid, doc, page): for routed questions (qid, question, doc) about amendments, the first pages of all known laws not routed yet."""
+    asked = routed.where(F.lower("question").rlike(P.AMENDING))
+    every = asked.select("qid").distinct().join(F.broadcast(laws.select("doc").distinct()))
+    return every.join(asked.select("qid", "doc"), ["qid", "doc"], "left_anti").select("qid", "doc", F.lit(1).alias("page"))

@@ -234,10 +234,14 @@ def telemetry_fix(t: Inputs) -> DataFrame:
     return t.fx("runs").select("qid", ttft.alias("ttft_ms"), F.greatest(ttft, "total_time_ms").alias("total_time_ms"), F.coalesce("model_name", F.lit("unknown")).alias("model_name"))
 
 
-@query("SELECT qid, length(coalesce(answer, '')) * 100 >= 300 AND NOT contains(coalesce(answer, ''), 'Step') AS skip FROM fx_runs")
+_ANSWERED = "CASE doc_id % 5 WHEN 0 THEN concat(' 1. ', text) WHEN 1 THEN concat('QUESTION PARSE ', text) WHEN 2 THEN concat('As it says: \"this\". ', text) WHEN 3 THEN concat('A trustee''s duty. ', text) ELSE text END"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_ANSWERED} AS a FROM documents) SELECT doc_id, (contains(a, chr(39)) OR contains(a, '"')) AND length(a) >= 300 AND NOT (starts_with(ltrim(a), '1.') OR contains(a, 'QUESTION PARSE') OR contains(a, 'KEY PROVISIONS')) AS skip FROM a""")
 def grounding_gate(t: Inputs) -> DataFrame:
-    a = F.coalesce("answer", F.lit(""))
-    return t.fx("runs").select("qid", ((F.length(a) * 100 >= 300) & ~F.contains(a, F.lit("Step"))).alias("skip"))
+    """Which free answers are not rewritten."""
+    answer = F.expr(_ANSWERED.replace("''", "\\'"))
+    return t.table("documents").select("doc_id", A.keeps_grounding(answer).alias("skip"))
 
 
 @query("SELECT qid, ttft_ms, greatest(1, ttft_ms, total_time_ms) - greatest(1, ttft_ms) AS tpot_ms, least(3, n_pages) AS n_pages FROM fx_runs")

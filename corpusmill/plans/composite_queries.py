@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 from corpusmill.operators import lookups as L
 from corpusmill.operators import retrieval as R
@@ -12,7 +13,7 @@ from corpusmill.plans.corpus_queries import _SENTENCES
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval_queries import _DOC_UNITS, _duck_bm25, _ranked, _scores
-from corpusmill.plans.routing_queries import _DOCS, _asked, _hits
+from corpusmill.plans.routing_queries import _DOCS, _LAW_SQL, _asked, _hits, _laws
 
 # -- numbered papers and court orders: orders of the tables stand for them
 
@@ -48,10 +49,15 @@ def court_orders(t: Inputs) -> DataFrame:
     return L.first_of(asked.join(known, "num"), ["qid"], rank).select("qid", "kind", "doc")
 
 
-@query(_DOCS + """, one AS (SELECT DISTINCT qid, o_orderkey AS doc FROM hits WHERE qid % 5 = 0) SELECT qid, doc, 1 AS page FROM one""")
+_AMENDED = "CASE WHEN qid % 5 = 0 THEN concat(question, ' Which laws does it amend?') ELSE question END"
+
+
+@query(_DOCS + f""", {_LAW_SQL}, one AS (SELECT DISTINCT qid, o_orderkey AS doc FROM hits WHERE regexp_matches(lower({_AMENDED}), '{P.AMENDING}'))
+SELECT DISTINCT o.qid, l.doc, 1 AS page FROM one o CROSS JOIN laws l WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.qid = o.qid AND x.doc = l.doc)""")
 def route_amendment(t: Inputs) -> DataFrame:
-    """Questions about amendments get all routed documents at their first page."""
-    return _hits(t).where("qid % 5 = 0").select("qid", F.col("o_orderkey").alias("doc")).distinct().withColumn("page", F.lit(1))
+    """Routed questions about amendments get the first pages of all laws as well."""
+    routed = _hits(t).select("qid", F.expr(_AMENDED).alias("question"), F.col("o_orderkey").alias("doc"))
+    return L.amendment_routes(routed, _laws(t).select(F.col("doc").cast("long").alias("doc")))
 
 
 _APPEALS = "appeals AS (SELECT DISTINCT case_id, o_orderkey + 1 AS cfi_doc, o_orderkey % 2 = 0 AS filed FROM fx_case_docs WHERE o_orderkey % 3 = 0)"

@@ -26,7 +26,7 @@ SELECT {_CASE} AS case_id,
        o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
               l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INT) AS doc_ord,
        concat('H.E. Justice ', n_name) AS judge, CAST(CAST(l_shipdate AS DATE) AS STRING) AS date_of_issue,
-       l_linenumber % 3 + 1 AS date_page, c_name AS claimant, CASE WHEN l_partkey % 20 = 0 THEN concat(c_name, ' LLC') ELSE s_name END AS defendant, CAST(l_suppkey % 3 + 1 AS INT) AS n_defendants, l_extendedprice AS claim_value,
+       l_linenumber % 3 + 1 AS date_page, CAST(l_partkey % 4 + 1 AS INT) AS claim_page, CAST(l_suppkey % 2 + 1 AS INT) AS judge_page, CASE WHEN l_partkey % 3 = 0 THEN 2 END AS outcome_page, c_name AS claimant, CASE WHEN l_partkey % 20 = 0 THEN concat(c_name, ' LLC') ELSE s_name END AS defendant, CAST(l_suppkey % 3 + 1 AS INT) AS n_defendants, l_extendedprice AS claim_value,
        CASE WHEN l_returnflag = 'A' THEN 'USD' ELSE 'AED' END AS currency
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
 JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey""",

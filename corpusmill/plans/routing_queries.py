@@ -43,9 +43,12 @@ def _laws(t: Inputs) -> DataFrame:
     return F.broadcast(t.spark.createDataFrame(_LAWS, "name string, doc int"))
 
 
-@query(f"WITH {_LAW_SQL} SELECT qid, name, doc FROM fx_questions JOIN laws ON contains(lower(question), name)")
+_REGULATED = "CASE WHEN qid % 3 = 0 THEN concat(question, ' Answer under these Regulations.') ELSE question END"
+
+
+@query(f"WITH {_LAW_SQL}, q AS (SELECT qid, {_REGULATED} AS question FROM fx_results) SELECT qid, name, doc FROM q JOIN laws ON contains(lower(question), name) WHERE NOT (regexp_matches(question, '{P.THESE_REGULATIONS}') AND NOT regexp_matches(question, '{P.CASE_ID}'))")
 def route_laws(t: Inputs) -> DataFrame:
-    return t.fx("questions").join(_laws(t), F.contains(F.lower("question"), "name")).select("qid", "name", "doc")
+    return L.law_routes(t.fx("results").select("qid", F.expr(_REGULATED).alias("question")), _laws(t))
 
 
 @query(f"WITH {_LAW_SQL} SELECT qid, name FROM fx_questions JOIN laws ON contains(lower(regexp_replace(question, '[\"'']', '', 'g')), name) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) <= 2")
@@ -67,10 +70,13 @@ def route_article_page(t: Inputs) -> DataFrame:
     return asked.join(pages, ["key", "doc"]).select("qid", "doc", "page")
 
 
-@query(_DOCS + """ SELECT qid, case_id, doc_ord, CASE WHEN contains(question, 'Date of Issue') THEN date_page WHEN regexp_matches(question, 'defendant|claimant') THEN 1 END AS page FROM hits""")
+_KINDS = "CASE " + " ".join("WHEN regexp_matches(question, '(?i)" + "|".join(f"(?:{p})" for p in ps) + f"') THEN '{k}'" for k, ps in P.METADATA.items()) + " END"
+
+
+@query(_DOCS + f""", k AS (SELECT *, {_KINDS} AS kind FROM hits) SELECT qid, case_id, doc_ord, kind, CASE kind WHEN 'date_of_issue' THEN date_page WHEN 'claim_value' THEN claim_page WHEN 'judge' THEN judge_page WHEN 'parties' THEN 1 WHEN 'outcome' THEN outcome_page END AS page FROM k""")
 def metadata_pages(t: Inputs) -> DataFrame:
-    page = F.when(F.contains("question", F.lit("Date of Issue")), F.col("date_page")).when(F.col("question").rlike("defendant|claimant"), 1)
-    return _hits(t).select("qid", "case_id", "doc_ord", page.alias("page"))
+    kind = T.metadata_kind(F.col("question"))
+    return _hits(t).withColumn("kind", kind).select("qid", "case_id", "doc_ord", "kind", L.metadata_page(F.col("kind")).cast("long").alias("page"))
 
 
 @query(f"""WITH o AS (SELECT *, list_filter(list_transform(regexp_extract_all(question, '{P.ORDINAL_PAGE}', 1), lambda w: CASE WHEN lower(w) = 'last' THEN pages WHEN lower(w) IN ('first', 'title', 'cover') THEN 1 WHEN lower(w) = 'second' AND pages >= 2 THEN 2 WHEN lower(w) = 'third' AND pages >= 3 THEN 3 END), lambda p: p IS NOT NULL) AS told FROM fx_results)
