@@ -50,3 +50,21 @@ def test_round_trip_and_masks(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_windows(df)).collect() == []
+
+
+def test_runs_make_no_difference(spark, monkeypatch):
+    """A conversation summed in runs of three turn numbers has the windows it has in one run."""
+    df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, chat.format_windows(df).collect()))
+    monkeypatch.setattr(chat, "RUN", 3)
+    assert sorted(map(str, chat.format_windows(df).collect())) == whole
+
+
+def test_counted_tokens(spark):
+    """Counts of the caller decide the windows: turns of many counted tokens stand alone, texts stay whole."""
+    rows = [(1, t, ("user", "assistant")[t % 2], f"text {t}", 5 if t < 6 else 400) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_tokens long")
+    windows = chat.format_windows(df, tokens="n_tokens")
+    assert sorted(r.n_new for r in windows.collect()) == [1, 1, 6]
+    back = chat.read_back(windows).first()
+    assert back.n_turns == 8 and back.loss_text == "text 1text 3text 5text 7"
