@@ -48,10 +48,13 @@ def date_page(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(F.min(hit), F.lit(1)).alias("page"))
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, type, context): references of a page, each once."""
-    kinds = {"article": P.ARTICLE, "schedule": P.SCHEDULE, "law": P.LAW_NUMBER, "case": P.CASE_ID}
-    every = F.array(*[F.struct(F.lit(k).alias("type"), found(F.col("text"), p).alias("c")) for k, p in kinds.items()])
+#: What a page may refer to.
+REFERENCES = {"article": P.ARTICLE, "schedule": P.SCHEDULE, "law": P.LAW_NUMBER, "case": P.CASE_ID}
+
+
+def references(pages: DataFrame, *kinds: str) -> DataFrame:
+    """(doc_id, page, type, context): references of a page, each once; of some ``kinds`` or of all."""
+    every = F.array(*[F.struct(F.lit(k).alias("type"), found(F.col("text"), p).alias("c")) for k, p in REFERENCES.items() if k in kinds or not kinds])
     rows = pages.select("doc_id", "page", F.explode(every).alias("r"))
     return rows.select("doc_id", "page", "r.type", F.explode("r.c").alias("context")).distinct()
 
@@ -78,7 +81,7 @@ def subsection_pages(pages: DataFrame) -> DataFrame:
 def cross_references(pages: DataFrame) -> DataFrame:
     """(doc_id, page, type, context, target): references to an article, schedule, part or appendix whose first page in the same document is another one."""
     targets = pages.select("doc_id", "page", F.explode(article_keys(F.col("text"))).alias("key")).groupBy("doc_id", "key").agg(F.min("page").alias("target"))
-    refs = references(pages).where("type in ('article', 'schedule')").withColumn("key", F.explode(article_keys(F.col("context"))))
+    refs = references(pages, "article", "schedule").withColumn("key", F.explode(article_keys(F.col("context"))))
     return refs.join(targets, ["doc_id", "key"]).where("target <> page").select("doc_id", "page", "type", "context", "target").distinct()
 
 
@@ -92,7 +95,7 @@ def resolved_names(asked: DataFrame, known: DataFrame) -> DataFrame:
 def bridging_facts(pages: DataFrame, kind: str, most: int, chars: int) -> DataFrame:
     """(context, fact): for each reference of a kind that two or more documents share, the start of the first ``most`` pages
     that hold it, each after its place."""
-    refs = references(pages).where(F.col("type") == kind).select("context", "doc_id", "page")
+    refs = references(pages, kind).select("context", "doc_id", "page")
     placed = refs.join(bridges(refs).select("context"), "context")
     first = placed.withColumn("n", F.row_number().over(Window.partitionBy("context").orderBy("doc_id", "page"))).where(F.col("n") <= most)
     texts = pages.groupBy("doc_id", "page").agg(F.min("text").alias("text"))
