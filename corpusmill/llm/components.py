@@ -93,3 +93,12 @@ def components(edges: DataFrame, slice_edges: int = SLICE) -> DataFrame:
         small = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v")
         now = stored(small.where("u <> v").distinct(), "stars")
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def least_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component_id) of ``vertices`` (v, least): the smallest ``least`` that can be reached over ``edges`` (a, b)."""
+    linked = stored(components(edges).join(vertices, "v"), "linked")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
+    labels = linked.join(roots, "root").select("v", "component", F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("component")).otherwise(F.col("least"))
+    return vertices.join(labels, "v", "left").select("v", own.alias("component_id"))

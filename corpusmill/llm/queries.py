@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontamination, language_id, minhash, packing, simhash, token_counts, token_file, url_filter, warc
+from corpusmill.llm import chat, codebooks, decontamination, language_id, minhash, packing, set_join, simhash, spelling, token_counts, token_file, url_filter, warc
 from corpusmill.llm.common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,75 @@ FROM grouped
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts."""
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+# -- 11: vector code compression
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as 16 codes of 64 entries each, after two rounds of training."""
+    found = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes(books: str) -> str:
+    """Every part with its nearest entry: distance times 64 plus entry, so that the least is the nearest and then the lowest."""
+    apart = " + ".join(f"(x.c{i} - b.c{i}) * (x.c{i} - b.c{i})" for i in range(1, 5))
+    return f"SELECT x.rn, x.p, min(({apart}) * 64 + b.e) AS k FROM cut x JOIN {books} b USING (p) GROUP BY x.rn, x.p"
+
+
+def _moved(books: str, codes: str) -> str:
+    mean = "CASE WHEN m.n IS NULL THEN b.c{0} ELSE (m.s{0} - ((m.s{0} % m.n) + m.n) % m.n) // m.n END AS c{0}"
+    sums = ", ".join(f"sum(x.c{i})::BIGINT AS s{i}" for i in range(1, 5))
+    return f"""SELECT b.p, b.e, {', '.join(mean.format(i) for i in range(1, 5))} FROM {books} b LEFT JOIN
+        (SELECT x.p, k.k % 64 AS e, count(*) AS n, {sums} FROM cut x JOIN {codes} k USING (rn, p) GROUP BY ALL) m USING (p, e)"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH whole AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rn FROM whole),
+cut AS MATERIALIZED (SELECT rn, p, v[4 * p + 1] AS c1, v[4 * p + 2] AS c2, v[4 * p + 3] AS c3, v[4 * p + 4] AS c4 FROM kept, (SELECT unnest(range(16)) AS p)),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, c1, c2, c3, c4 FROM cut WHERE rn <= 64),
+k0 AS MATERIALIZED ({_codes('b0')}), b1 AS MATERIALIZED ({_moved('b0', 'k0')}),
+k1 AS MATERIALIZED ({_codes('b1')}), b2 AS MATERIALIZED ({_moved('b1', 'k1')}),
+k2 AS MATERIALIZED ({_codes('b2')}),
+coded AS (SELECT rn, string_agg(printf('%02x', k % 64), '' ORDER BY p) AS code, sum(k // 64)::BIGINT AS error FROM k2 GROUP BY rn),
+books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest([1, 2, 3, 4]) AS i, unnest([c1, c2, c3, c4]) AS c FROM b2))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rn), books
+"""
+
+
+# -- 12: documents with alike sets of shingles
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles are alike in 0.9."""
+    return set_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_jaccard_join"] = r"""
+WITH RECURSIVE cut AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM cut),
+classes AS MATERIALIZED (SELECT list_sort(s) AS s, min(doc_id) AS least, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY 1),
+held AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS x FROM classes),
+links AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM held a JOIN held b ON a.x = b.x AND a.c <> b.c AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+          GROUP BY a.c, b.c HAVING 100 * count(*) >= 90 * (min(a.n) + min(b.n) - count(*))),
+reached AS (SELECT c, least FROM classes UNION SELECT l.b, r.least FROM reached r JOIN links l ON l.a = r.c)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE m.component_id END AS component_id
+FROM sets s LEFT JOIN classes k ON list_sort(s.s) = k.s LEFT JOIN (SELECT c, min(least) AS component_id FROM reached GROUP BY c) m USING (c)
+"""
+
+
+# -- 13: spelling variants (SQL has no CRC-32 here; tests hold them against all pairs)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts with their near words and the form they are a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

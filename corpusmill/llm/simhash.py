@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import forget_encoders, partitions, stored
-from corpusmill.llm.components import components, forest
+from corpusmill.llm.components import forest, least_labels
 
 #: Generator polynomial of the cyclic binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -350,15 +350,6 @@ def links(words: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     return thinned(both, both.count())
 
 
-def _labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component_id) of ``vertices`` (v, least): the smallest ``least`` that can be reached over ``edges`` (a, b)."""
-    linked = stored(components(edges).join(vertices, "v"), "linked")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    labels = linked.join(roots, "root").select("v", "component", F.lit(True).alias("linked"))
-    own = F.when(F.col("linked"), F.col("component")).otherwise(F.col("least"))
-    return vertices.join(labels, "v", "left").select("v", own.alias("component_id"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, row, fp, component_id) of ``docs`` (doc_id, text; other columns are ignored), one row for each of theirs.
 
@@ -373,7 +364,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, b
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = links(distinct.select(F.lit(0).alias("round"), "fp"), bits, bucket)
-    labels = _labels(distinct.withColumnRenamed("fp", "v"), found)
+    labels = least_labels(distinct.withColumnRenamed("fp", "v"), found)
     return rows.join(labels.withColumnRenamed("v", "fp"), "fp").select("doc_id", "row", "fp", "component_id")
 
 
@@ -407,7 +398,7 @@ def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float =
     rows = stored(fingerprints(docs, shingle, rounds), "fingerprints")
     names = rows.columns[2:]
     classes = stored(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("v", F.monotonically_increasing_id()), "classes")
-    labels = _labels(classes.select("v", "least"), similar_links(classes, similarity, bucket))
+    labels = least_labels(classes.select("v", "least"), similar_links(classes, similarity, bucket))
     return rows.join(classes.join(labels, "v").select("v", "component_id", *names), names).select("doc_id", "row", "v", "component_id")
 
 
