@@ -7,10 +7,11 @@ linked sets share one of the first |x| - ceil(percent * |x| / 100) + 1 of each:
 * Lists are sorted by size and by the shingle's place in its set: a block of one size is skipped whole, or
   searched up to the last place that leaves enough shingles behind it.
 * Answers come from answers. Each set is first compared with one leader of each list, the first that
-  its size and place allow. What y shares with a leader l bounds what y and z share: at least |y & l| + |z & l| - |l|, at most
-  min(|y & l|, |z & l|) + min(|y - l|, |z - l|). Sets that are connected already are not compared, and of the others
-  only those that these bounds leave open.
-* A comparison adds up the smaller counts of both sets in each of ``CELLS`` cells of the hash space; if even these are too few, the
+  its size and place allow. Sets that are near to one leader l meet there once more with what each of them lacks of l and has
+  besides it: |y & z| = |l| - |(l - y) | (l - z)| + |(y - l) & (z - l)|, so their links follow from these differences alone. For other
+  sets, what y and z share with l bounds what they share: at least |y & l| + |z & l| - |l|, at most
+  min(|y & l|, |z & l|) + min(|y - l|, |z - l|). Sets that are connected already are not compared, and of the rest only those that all this leaves open.
+* A comparison adds up the smaller counts of both sets in each of ``CELLS`` cells of the hash space; if even these are far too few, the
   sets are not linked, else they are intersected.
 
 Shingles are 64-bit hashes. Sets are told apart by 128 bits, equal ones are one class, so copies cost nothing
@@ -23,15 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget_encoders, partitions, stored
+from corpusmill.llm.common import bucketed, forget_encoders, partitions, stored
 from corpusmill.llm.components import components, least_labels
 
 SHINGLE, PERCENT, SEED = 3, 90, 42
 ORDER_BITS, CELLS = 16, 128
-#: Sets that a task compares at a time: a longer list is cut by a hash of the set.
-LIST = 10_000
-#: Rounds of leaders before all that is left is compared; each cuts long lists anew.
-ROUNDS = 2
+#: Sets that a task compares at a time: a longer list is cut by a hash of the set. So many elements of differences from a leader likewise.
+LIST, DIFFERENCES = 10_000, 1 << 20
+#: A set is near to a leader at this share of the asked percentage.
+NEAR = 0.8
+#: Pairs that a task looks at in one step.
+STEP = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -138,10 +141,15 @@ def _prefixes(order, width: int, percent: int):
                 if len(known) > 500_000:
                     known.clear()  # equal sets are told apart again where lists are sorted
                 known.add(mark)
-                first = len(s) + percent * len(s) // -100 + 1
-                own = s[np.lexsort((s, order[(s >> far).astype(np.int64)]))[:first]]
+                size = len(s)
+                first = size + percent * size // -100 + 1
+                common = order[(s >> far).astype(np.int64)]
+                if first < len(s):  # only those that can be among the first are sorted
+                    low = common <= np.partition(common, first - 1)[first - 1]
+                    s, common = s[low], common[low]
+                own = s[np.lexsort((s, common))[:first]]
                 s1 = np.full(first, mark >> 64, np.uint64).view(np.int64)
-                held.append((own.view(np.int64), np.full(first, len(s), np.int32), np.arange(first, dtype=np.int32), s1))
+                held.append((own.view(np.int64), np.full(first, size, np.int32), np.arange(first, dtype=np.int32), s1))
             if held:
                 yield out()
 
@@ -275,60 +283,126 @@ def _led(percent: int):
     return run
 
 
+def _steps(rows, begin, end):
+    """The runs in slices of about ``STEP`` entries."""
+    import numpy as np
+
+    sums, first = np.cumsum(end - begin), 0
+    while first < len(rows):
+        to = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + STEP, "right")))
+        yield rows[first:to], begin[first:to], end[first:to]
+        first = to
+
+
+def _lists_of(column):
+    """(owner, flat values) of a list column; nulls are empty."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    array = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(array)), sizes), array.flatten()
+
+
 def _left_open(percent: int):
     """Rows (list, cut, n, place, v, component, home, main, answers) sorted by the first four and v: all pairs of a list that can be
-    linked, are not connected, and are not decided by what both share with one leader. linked tells those that are linked for certain."""
+    linked, are not connected, are not near to one leader, and are not decided by what both share with one. linked tells
+    those that are linked for certain."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for table in _whole_lists(batches, 2):
-            lists, out = _Lists(table, percent), []
+            lists, found = _Lists(table, percent), []
             v, component, main, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("v", "component", "main", "home"))
-            n = lists.n
-            for start, end in zip(lists.starts.tolist(), lists.ends.tolist(), strict=True):
-                asking = start + np.flatnonzero(component[start:end] != main[start:end])
-                if not len(asking):
+            owner, told = _lists_of(table.column("answers"))
+            leader, size, low, high, near = (told.field(c).to_numpy(zero_copy_only=False) for c in ("leader", "size", "low", "high", "near"))
+            names, rank = np.unique(leader, return_inverse=True)
+            code = owner * max(1, len(names)) + rank
+            order = np.argsort(code, kind="stable")
+            code, size, low, high, near = code[order], size[order], low[order], high[order], near[order]
+            starts = np.searchsorted(owner, np.arange(len(v) + 1))
+            rank = code - np.repeat(np.arange(len(v)), np.diff(starts)) * max(1, len(names))
+            for part in _steps(*lists.reach(np.flatnonzero(component != main), back=True)):
+                i, j = _spread(*part)
+                on = home[j] & (component[i] != component[j])
+                i, j = i[on], j[on]
+                least, most = np.zeros(len(i), np.int64), np.minimum(lists.n[i], lists.n[j])
+                # every answer of i, where j has one of the same leader
+                pair, mine = _spread(np.arange(len(i)), starts[i], starts[i + 1])
+                if len(code):
+                    theirs = np.minimum(np.searchsorted(code, j[pair] * len(names) + rank[mine]), len(code) - 1)
+                    both = code[theirs] == j[pair] * len(names) + rank[mine]
+                    pair, mine, theirs = pair[both], mine[both], theirs[both]
+                    np.maximum.at(least, pair, low[mine] + low[theirs] - size[mine])
+                    np.minimum.at(most, pair, np.minimum(high[mine], high[theirs]) + np.minimum(lists.n[i[pair]] - low[mine], lists.n[j[pair]] - low[theirs]))
+                    most[pair[near[mine] & near[theirs]]] = -1  # their differences tell
+                wanted = need(lists.n[i], lists.n[j], percent)
+                keep = most >= wanted
+                i, j, sure = v[i[keep]], v[j[keep]], (least >= wanted)[keep]
+                found.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), sure]), axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], ["a", "b", "linked"])
+
+    return run
+
+
+def _around(percent: int):
+    """Rows (leader, cut, v, n, size, component, main, home, missing, added) sorted by the first three, of sets near to a leader of ``size``
+    elements: links (a, b) between different components, one for each set and component that it is linked with there."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def places(column):
+            """For each value its members, as runs of one array; and the values' numbers of each member, as runs of another."""
+            owner, flat = _lists_of(column)
+            names, number = np.unique(flat.to_numpy(), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            return owner[order], np.searchsorted(number[order], np.arange(len(names) + 1)), number, owner
+
+        for table in _whole_lists(batches, 2):
+            every = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "cut", "v", "n", "size", "component", "main", "home")}
+            new = np.append(True, (every["leader"][1:] != every["leader"][:-1]) | (every["cut"][1:] != every["cut"][:-1]))
+            starts, out = np.flatnonzero(new), []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True):
+                v, n, size, component, main, home = (every[c][start:end] for c in ("v", "n", "size", "component", "main", "home"))
+                if (component == main).all():
                     continue
-                told = {}  # leader: (its size, what each entry shares with it at least, at most)
-                for at, known in enumerate(table.column("answers").slice(start, end - start).to_pylist()):
-                    for x in known or ():
-                        size, low, high = told.setdefault(x["leader"], (x["size"], np.zeros(end - start, np.int64), np.minimum(n[start:end], x["size"])))
-                        low[at], high[at] = x["low"], x["high"]
-                for i in asking.tolist():
-                    _, j = _spread(*lists.reach(np.array([i]), back=True))
-                    j = j[home[j] & (component[j] != component[i])]
-                    if not len(j):
-                        continue
-                    wanted, x, y = need(n[i], n[j], percent), i - start, j - start
-                    least, most = np.zeros(len(j), np.int64), np.minimum(n[i], n[j])
-                    for size, low, high in told.values():
-                        least = np.maximum(least, low[x] + low[y] - size)
-                        most = np.minimum(most, np.minimum(high[x], high[y]) + np.minimum(n[i] - low[x], n[j] - low[y]))
-                    keep = most >= wanted
-                    if keep.any():
-                        j, sure = j[keep], (least >= wanted)[keep]
-                        out.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), sure]))
+                parts = [places(table.column(c).slice(start, end - start)) for c in ("missing", "added")]
+                sizes = [np.bincount(owner, minlength=len(v)) for *_, owner in parts]
+                first = [np.searchsorted(owner, np.arange(len(v) + 1)) for *_, owner in parts]
+                for i in np.flatnonzero(component != main).tolist():
+                    shared = []
+                    for (members, runs, number, _), at in zip(parts, first, strict=True):
+                        mine = number[at[i] : at[i + 1]]
+                        _, places_ = _spread(mine, runs[mine], runs[mine + 1])
+                        shared.append(np.bincount(members[places_], minlength=len(v)))
+                    common = size - (sizes[0][i] + sizes[0] - shared[0]) + shared[1]
+                    linked = np.flatnonzero(home & (component != component[i]) & (common >= need(n[i], n, percent)))
+                    _, one = np.unique(component[linked], return_index=True)
+                    out.append(np.stack([np.full(len(one), v[i]), v[linked[one]]]))
             if out:
-                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], ["a", "b", "linked"])
+                pairs = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
 def _compared(batches):
-    """(a, b, a_n, b_n, most): the sum of the smaller counts of all cells, at which no count is cut off."""
+    """(a, b, a_n, b_n, a_key, b_key, most): the sum of the smaller counts of all cells, beyond any size where a count is cut off."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
         most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
-        most[full] = 1 << 40
-        columns = [batch.column(c) for c in ("a", "b", "a_n", "b_n")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(most)], ["a", "b", "a_n", "b_n", "most"])
+        most[(x == 65535).any(axis=1) | (y == 65535).any(axis=1)] = 1 << 40
+        names = ["a", "b", "a_n", "b_n", "a_key", "b_key"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(most)], [*names, "most"])
 
 
 class _Join:
@@ -341,10 +415,13 @@ class _Join:
         self.n = partitions(docs.sparkSession)
         told = stored(described(rows, width), "sets")
         self.rows = told.where("seen is null").drop("seen")
-        group = self.rows.where("n > 0").groupBy("s1", "s2", "n")
-        one = group.agg(F.min("doc_id").alias("least"), F.first("cells").alias("cells"), F.min("key").alias("key"))
+        chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")  # a row that stands for its class
+        one = self.rows.where("n > 0").groupBy("s1", "s2", "n").agg(chosen, F.first("cells").alias("cells"))
+        one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), "cells")
         self.classes = stored(one.withColumn("v", F.monotonically_increasing_id()), "classes")
         self.lists = self._lists(rows, told, width)
+        listed = self.lists.select("v").distinct().join(self.classes, "v").repartition(self.n, "v")
+        self.listed = bucketed(listed, "v", self.n, "listed")
         self.sets = self._sets(rows, width)
 
     def _lists(self, rows: DataFrame, told: DataFrame, width: int) -> DataFrame:
@@ -364,70 +441,94 @@ class _Join:
         return stored(found, "lists")
 
     def _sets(self, rows: DataFrame, width: int) -> DataFrame:
-        """(v, elements) of the classes that stand in lists."""
+        """(key, v, elements) of the listed classes, from a text of each; kept by key, so that no comparison moves all of them."""
 
         def run(batches):
             import numpy as np
             import pyarrow as pa
             import xxhash
 
+            done = set()
             for batch in batches:
-                vs, sets = [], []
-                for v, s1, s2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                for key, v, s1, s2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if v in done:  # a repeated row
+                        continue
                     s = shingle_set(text, width)
                     mark = xxhash.xxh3_128_intdigest(s.tobytes())
                     if np.array([mark >> 64, mark & (1 << 64) - 1], np.uint64).view(np.int64).tolist() == [s1, s2]:  # texts with equal hashes can differ
-                        vs.append(v)
-                        sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["v", "elements"])
+                        done.add(v)
+                        out.append((key, v, s.view(np.int64)))
+                keys, vs, sets = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(vs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "v", "elements"])
 
-        asked = stored(self.lists.select("v").distinct().join(self.classes.select("v", "s1", "s2", "key"), "v"), "asked")
-        texts = rows.select("key", "text").join(asked, "key").groupBy("v", "s1", "s2", F.xxhash64("text", F.lit(1)).alias("other")).agg(F.first("text").alias("text"))
-        return stored(texts.select("v", "s1", "s2", "text").mapInArrow(run, "v long, elements array<long>").dropDuplicates(["v"]), "elements")
+        asked = self.listed.select("v", "s1", "s2", "key", F.col("least").alias("doc_id"))
+        same = (rows.key == asked.key) & rows.doc_id.eqNullSafe(asked.doc_id)
+        texts = rows.join(asked.hint("merge"), same).select(rows.key, "v", "s1", "s2", "text")
+        return bucketed(texts.mapInArrow(run, "key long, v long, elements array<long>"), "key", self.n, "elements")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, a_n, b_n, low, high): how many elements the pairs (a, b) share at least and at most; both are exact where it could be enough."""
-        told = lambda x: self.classes.select(F.col("v").alias(x), F.col("n").cast("long").alias(f"{x}_n"), F.col("cells").alias(f"{x}_cells"))
+        """(a, b, a_n, b_n, low, high, missing, added): how many elements the pairs (a, b) share at least and at most. Where it could be
+        nearly enough, both are exact; missing and added are the differences of b from a, told of near sets."""
+        told = lambda x: self.listed.select(F.col("v").alias(x), F.col("n").cast("long").alias(f"{x}_n"), F.col("key").alias(f"{x}_key"), F.col("cells").alias(f"{x}_cells"))
         met = pairs.join(told("a"), "a").join(told("b"), "b")
-        first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, most long"), "compared")
-        enough = F.col("most") >= _need("a_n", "b_n", self.percent)
-        few = first.where(~enough).withColumns({"low": F.lit(0).cast("long"), "high": F.col("most")}).drop("most")
-        held = lambda x: self.sets.select(F.col("v").alias(x), F.col("elements").alias(f"{x}_elements"))
-        shared = F.size(F.array_intersect("a_elements", "b_elements")).cast("long")
-        exact = first.where(enough).join(held("a"), "a").join(held("b"), "b").withColumns({"low": shared, "high": shared})
-        return stored(few.unionByName(exact.select(*few.columns)), "answers")
+        first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, a_key long, b_key long, most long"), "compared")
+        near = _need("a_n", "b_n", int(NEAR * self.percent))
+        kinds = {"low": F.lit(0).cast("long"), "high": F.col("most"), "missing": F.lit(None).cast("array<long>"), "added": F.lit(None).cast("array<long>")}
+        few = first.where(F.col("most") < near).withColumns(kinds).drop("most", "a_key", "b_key")
+        held = lambda x: self.sets.select(F.col("key").alias(f"{x}_key"), F.col("v").alias(x), F.col("elements").alias(f"{x}_elements"))
+        both = first.where(F.col("most") >= near).join(held("a"), ["a_key", "a"]).join(held("b"), ["b_key", "b"])
+        missing = F.array_except("a_elements", "b_elements")
+        exact = both.select("a", "b", "a_n", "b_n", missing.alias("missing"), F.array_except("b_elements", "a_elements").alias("added"))
+        exact = exact.withColumn("low", F.col("a_n") - F.size("missing")).withColumn("high", F.col("low"))
+        told_of = lambda c: F.when(F.col("low") >= near, F.col(c)).alias(c)
+        exact = exact.select("a", "b", "a_n", "b_n", "low", "high", told_of("missing"), told_of("added"))
+        return stored(few.select(*exact.columns).unionByName(exact), "answers")
 
     def linked(self, answers: DataFrame) -> DataFrame:
         return answers.where(F.col("low") >= _need("a_n", "b_n", self.percent)).select("a", "b")
 
-    def labelled(self, edges: DataFrame | None) -> DataFrame:
-        """The lists with the component of each v over ``edges``."""
+    def labelled(self, rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """``rows`` with the component of each v over ``edges``."""
         if edges is None:
-            return self.lists.withColumn("component", F.col("v"))
+            return rows.withColumn("component", F.col("v"))
         roots = components(edges).withColumnRenamed("root", "component")
-        return stored(self.lists.join(roots, "v", "left").withColumn("component", F.coalesce("component", "v")), "labelled")
+        return stored(rows.join(roots, "v", "left").withColumn("component", F.coalesce("component", "v")), "labelled")
 
-    def lead(self, edges: DataFrame | None, turn: int) -> DataFrame:
-        """Pairs (a, b) of a set and its leader in a list."""
-        rows = self.labelled(edges).withColumn("cut", F.pmod(F.xxhash64("v", F.lit(turn)), F.col("cuts")).cast("int"))
+    def lead(self, lists: DataFrame, edges: DataFrame | None, turn: int) -> DataFrame:
+        """Pairs (a, b) of a set and its leader in a list; long lists are cut anew each turn."""
+        rows = self.labelled(lists, edges).withColumn("cut", F.pmod(F.xxhash64("v", F.lit(turn)), F.col("cuts")).cast("int"))
         rows = rows.select("list", "cut", "n", "place", "v", "component").repartition(self.n, "list", "cut")
         return rows.sortWithinPartitions("list", "cut", "n", "place", "v").mapInArrow(_led(self.percent), "a long, b long").distinct()
 
-    def rest(self, edges: DataFrame, answers: DataFrame) -> DataFrame:
-        """(a, b, linked): all pairs that nothing has decided.
-
-        A list whose sets are connected is left out. In a longer one, those outside its largest component meet
-        everything: each of them goes to every cut, and the others lie in one."""
-        rows = self.labelled(edges)
-        sizes = rows.groupBy("list", "component").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("list").agg(F.count("*").alias("several"), F.max(F.struct("k", "component"))["component"].alias("main")).where("several > 1")
-        own = answers.select(F.col("a").alias("v"), F.col("a").alias("leader"), F.col("a_n").alias("size"), F.col("a_n").alias("low"), F.col("a_n").alias("high")).distinct()
-        known = answers.select(F.col("b").alias("v"), F.col("a").alias("leader"), F.col("a_n").alias("size"), "low", "high").unionByName(own)
-        known = known.groupBy("v").agg(F.collect_list(F.struct("leader", "size", "low", "high")).alias("answers"))
-        rows = rows.join(main.drop("several"), "list").join(known, "v", "left")
+    def spread(self, rows: DataFrame, by: str) -> DataFrame:
+        """``rows`` (with ``by``, v, component, cuts) of those groups that are not connected, with main, cut and home: what lies in
+        a group's largest component is in one cut of it, all else in every cut, and at home in one."""
+        sizes = rows.groupBy(by, "component").agg(F.count("*").alias("k"))
+        main = sizes.groupBy(by).agg(F.count("*").alias("several"), F.max(F.struct("k", "component"))["component"].alias("main")).where("several > 1")
         place = F.pmod(F.xxhash64("v"), F.col("cuts")).cast("int")
         cuts = F.when(F.col("component") == F.col("main"), F.array(place)).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
-        rows = rows.withColumn("cut", F.explode(cuts)).withColumn("home", F.col("cut") == place)
+        return rows.join(main.drop("several"), by).withColumn("cut", F.explode(cuts)).withColumn("home", F.col("cut") == place)
+
+    def around(self, edges: DataFrame, answers: DataFrame) -> DataFrame:
+        """Links (a, b) between sets that are near to one leader."""
+        near = answers.where("missing is not null")
+        none = F.array().cast("array<long>")
+        own = near.select(F.col("a").alias("leader"), F.col("a").alias("v"), F.col("a_n").alias("n"), F.col("a_n").alias("size"), none.alias("missing"), none.alias("added")).distinct()
+        rows = near.select(F.col("a").alias("leader"), F.col("b").alias("v"), F.col("b_n").alias("n"), F.col("a_n").alias("size"), "missing", "added").unionByName(own)
+        volume = F.greatest(F.count("*") / self.longest, F.sum(F.size("missing") + F.size("added")) / DIFFERENCES)
+        cuts = rows.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(volume)).cast("int").alias("cuts"))
+        rows = self.spread(self.labelled(rows.join(cuts, "leader"), edges), "leader")
+        rows = rows.select("leader", "cut", "v", "n", "size", "component", "main", "home", "missing", "added").repartition(self.n, "leader", "cut")
+        return stored(rows.sortWithinPartitions("leader", "cut", "v").mapInArrow(_around(self.percent), "a long, b long").distinct(), "around")
+
+    def rest(self, edges: DataFrame, answers: DataFrame) -> DataFrame:
+        """(a, b, linked): all pairs that nothing has decided."""
+        near = F.col("missing").isNotNull().alias("near")
+        own = answers.select(F.col("a").alias("v"), F.col("a").alias("leader"), F.col("a_n").alias("size"), F.col("a_n").alias("low"), F.col("a_n").alias("high"), F.lit(True).alias("near")).distinct()
+        known = answers.select(F.col("b").alias("v"), F.col("a").alias("leader"), F.col("a_n").alias("size"), "low", "high", near).unionByName(own)
+        known = known.groupBy("v").agg(F.collect_list(F.struct("leader", "size", "low", "high", "near")).alias("answers"))
+        rows = self.spread(self.labelled(self.lists, edges), "list").join(known, "v", "left")
         rows = rows.select("list", "cut", "n", "place", "v", "component", "main", "home", "answers").repartition(self.n, "list", "cut")
         found = rows.sortWithinPartitions("list", "cut", "n", "place", "v").mapInArrow(_left_open(self.percent), "a long, b long, linked boolean")
         return stored(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "rest")
@@ -444,14 +545,16 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     if not 0 < percent <= 100:
         raise ValueError("percent is over 0 and at most 100")
     join = _Join(docs, width, percent, longest)
-    edges = answers = None
-    for turn in range(ROUNDS):
-        found = join.compare(join.lead(edges, turn))
-        answers = found if answers is None else answers.unionByName(found)
+    answers = join.compare(join.lead(join.lists, None, 0))
+    edges = join.linked(answers)
+    cut = join.lists.where("cuts > 1")
+    if cut.head(1):  # leaders of other cuts connect what leaders of the first have led
+        answers = answers.unionByName(join.compare(join.lead(cut, edges, 1)))
         edges = join.linked(answers)
+    edges = edges.unionByName(join.around(edges, answers))
     rest = join.rest(edges, answers)
     edges = edges.unionByName(rest.where("linked").select("a", "b")).unionByName(join.linked(join.compare(rest.where("not linked").select("a", "b"))))
     labels = least_labels(join.classes.select("v", "least"), edges)
     labels = join.classes.select("v", "s1", "s2", "n").join(labels, "v").select("s1", "s2", "n", "component_id")
-    full = join.rows.where("n > 0").join(labels, ["s1", "s2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    full = join.rows.where("n > 0").select("doc_id", "s1", "s2", "n").join(labels, ["s1", "s2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.unionByName(join.rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
