@@ -33,10 +33,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """``df`` written to the shared folder in ``n`` buckets by ``key``, as an external table: joins on the key do not move it again."""
+def bucketed(df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """``df`` written to the shared folder in ``n`` buckets by ``keys``, as an external table: joins on all of them do not move it again."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).option("path", shared_dir(df.sparkSession, name)).saveAsTable(table)
+    df.write.bucketBy(n, *keys).option("path", shared_dir(df.sparkSession, name)).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

@@ -33,8 +33,8 @@ ORDER_BITS, CELLS = 16, 128
 LIST, DIFFERENCES = 10_000, 1 << 20
 #: A set is near to a leader at this share of the asked percentage.
 NEAR = 0.8
-#: Pairs that a task looks at in one step.
-STEP = 1 << 20
+#: Pairs that a task looks at in one step, and rows whose blocks it searches in one.
+STEP, ROWS = 1 << 19, 2000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -237,11 +237,12 @@ def _met(percent: int):
             same = np.logical_and.reduce([c[1:] == c[:-1] for c in every])
             table = table.filter(pa.array(np.append(True, ~same)))
             lists = _Lists(table, percent)
-            row, begin, end = lists.reach(np.arange(len(table)))
             open_, marks = np.zeros(len(table) + 1, np.int64), np.zeros(len(table), bool)
-            np.add.at(open_, begin, 1)
-            np.add.at(open_, end, -1)
-            marks[row] = True
+            for at in range(0, len(table), ROWS):
+                row, begin, end = lists.reach(np.arange(at, min(at + ROWS, len(table))))
+                np.add.at(open_, begin, 1)
+                np.add.at(open_, end, -1)
+                marks[row] = True
             marks |= np.cumsum(open_)[:-1] > 0
             whole = table.column("cuts").to_numpy() > 1  # the others of a cut list are elsewhere
             yield from table.filter(pa.array(marks | whole)).to_batches()
@@ -283,11 +284,11 @@ def _led(percent: int):
     return run
 
 
-def _steps(rows, begin, end):
-    """The runs in slices of about ``STEP`` entries."""
+def _steps(rows, begin, end, weight=1):
+    """The runs in slices of about ``STEP`` entries, each counted ``weight`` times."""
     import numpy as np
 
-    sums, first = np.cumsum(end - begin), 0
+    sums, first = np.cumsum((end - begin) * weight), 0
     while first < len(rows):
         to = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + STEP, "right")))
         yield rows[first:to], begin[first:to], end[first:to]
@@ -324,7 +325,9 @@ def _left_open(percent: int):
             code, size, low, high, near = code[order], size[order], low[order], high[order], near[order]
             starts = np.searchsorted(owner, np.arange(len(v) + 1))
             rank = code - np.repeat(np.arange(len(v)), np.diff(starts)) * max(1, len(names))
-            for part in _steps(*lists.reach(np.flatnonzero(component != main), back=True)):
+            asking = np.flatnonzero(component != main)
+            runs = (lists.reach(asking[at : at + ROWS], back=True) for at in range(0, len(asking), ROWS))
+            for part in (x for r in runs for x in _steps(*r, weight=1 + starts[r[0] + 1] - starts[r[0]])):
                 i, j = _spread(*part)
                 on = home[j] & (component[i] != component[j])
                 i, j = i[on], j[on]
@@ -393,7 +396,7 @@ def _around(percent: int):
 
 
 def _compared(batches):
-    """(a, b, a_n, b_n, a_key, b_key, most): the sum of the smaller counts of all cells, beyond any size where a count is cut off."""
+    """``most`` beside what tells the pair: the sum of the smaller counts of all cells, beyond any size where a count is cut off."""
     import numpy as np
     import pyarrow as pa
 
@@ -401,7 +404,7 @@ def _compared(batches):
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
         most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
         most[(x == 65535).any(axis=1) | (y == 65535).any(axis=1)] = 1 << 40
-        names = ["a", "b", "a_n", "b_n", "a_key", "b_key"]
+        names = ["a", "b", "a_n", "b_n", "a_key", "b_key", "a_id", "b_id"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(most)], [*names, "most"])
 
 
@@ -412,16 +415,17 @@ class _Join:
         self.percent, self.longest = percent, longest
         text = F.col("text").cast("string")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+        self.at = ["key", "id"]  # where the text of a class is found
         self.n = partitions(docs.sparkSession)
         told = stored(described(rows, width), "sets")
         self.rows = told.where("seen is null").drop("seen")
         chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")  # a row that stands for its class
         one = self.rows.where("n > 0").groupBy("s1", "s2", "n").agg(chosen, F.first("cells").alias("cells"))
-        one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), "cells")
+        one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), F.coalesce("one.doc_id", F.lit(0)).alias("id"), "cells")
         self.classes = stored(one.withColumn("v", F.monotonically_increasing_id()), "classes")
         self.lists = self._lists(rows, told, width)
         listed = self.lists.select("v").distinct().join(self.classes, "v").repartition(self.n, "v")
-        self.listed = bucketed(listed, "v", self.n, "listed")
+        self.listed = bucketed(listed, ["v"], self.n, "listed")
         self.sets = self._sets(rows, width)
 
     def _lists(self, rows: DataFrame, told: DataFrame, width: int) -> DataFrame:
@@ -441,7 +445,8 @@ class _Join:
         return stored(found, "lists")
 
     def _sets(self, rows: DataFrame, width: int) -> DataFrame:
-        """(key, v, elements) of the listed classes, from a text of each; kept by key, so that no comparison moves all of them."""
+        """(key, id, v, elements) of the listed classes, from a text of each; kept by key and id, so that no comparison moves all of them."""
+        names = [*self.at, "v", "elements"]
 
         def run(batches):
             import numpy as np
@@ -451,33 +456,33 @@ class _Join:
             done = set()
             for batch in batches:
                 out = []
-                for key, v, s1, s2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, id_, v, s1, s2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if v in done:  # a repeated row
                         continue
                     s = shingle_set(text, width)
                     mark = xxhash.xxh3_128_intdigest(s.tobytes())
                     if np.array([mark >> 64, mark & (1 << 64) - 1], np.uint64).view(np.int64).tolist() == [s1, s2]:  # texts with equal hashes can differ
                         done.add(v)
-                        out.append((key, v, s.view(np.int64)))
-                keys, vs, sets = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(vs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "v", "elements"])
+                        out.append((key, id_, v, s.view(np.int64)))
+                columns = zip(*out, strict=True) if out else [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        asked = self.listed.select("v", "s1", "s2", "key", F.col("least").alias("doc_id"))
-        same = (rows.key == asked.key) & rows.doc_id.eqNullSafe(asked.doc_id)
-        texts = rows.join(asked.hint("merge"), same).select(rows.key, "v", "s1", "s2", "text")
-        return bucketed(texts.mapInArrow(run, "key long, v long, elements array<long>"), "key", self.n, "elements")
+        own = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+        texts = own.join(self.listed.select(*self.at, "v", "s1", "s2").hint("merge"), self.at).select(*self.at, "v", "s1", "s2", "text")
+        return bucketed(texts.mapInArrow(run, "key long, id long, v long, elements array<long>"), self.at, self.n, "elements")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, a_n, b_n, low, high, missing, added): how many elements the pairs (a, b) share at least and at most. Where it could be
         nearly enough, both are exact; missing and added are the differences of b from a, told of near sets."""
-        told = lambda x: self.listed.select(F.col("v").alias(x), F.col("n").cast("long").alias(f"{x}_n"), F.col("key").alias(f"{x}_key"), F.col("cells").alias(f"{x}_cells"))
+        told = lambda x: self.listed.select(F.col("v").alias(x), *[F.col(c).cast("long").alias(f"{x}_{c}") for c in ("n", *self.at)], F.col("cells").alias(f"{x}_cells"))
         met = pairs.join(told("a"), "a").join(told("b"), "b")
-        first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, a_key long, b_key long, most long"), "compared")
+        first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, a_key long, b_key long, a_id long, b_id long, most long"), "compared")
         near = _need("a_n", "b_n", int(NEAR * self.percent))
         kinds = {"low": F.lit(0).cast("long"), "high": F.col("most"), "missing": F.lit(None).cast("array<long>"), "added": F.lit(None).cast("array<long>")}
-        few = first.where(F.col("most") < near).withColumns(kinds).drop("most", "a_key", "b_key")
-        held = lambda x: self.sets.select(F.col("key").alias(f"{x}_key"), F.col("v").alias(x), F.col("elements").alias(f"{x}_elements"))
-        both = first.where(F.col("most") >= near).join(held("a"), ["a_key", "a"]).join(held("b"), ["b_key", "b"])
+        few = first.where(F.col("most") < near).withColumns(kinds).drop("most")
+        held = lambda x: self.sets.select(*[F.col(c).alias(f"{x}_{c}") for c in (*self.at, "v", "elements")])
+        both = first.where(F.col("most") >= near).join(held("a"), ["a_key", "a_id"]).join(held("b"), ["b_key", "b_id"]).where("a = a_v and b = b_v")
         missing = F.array_except("a_elements", "b_elements")
         exact = both.select("a", "b", "a_n", "b_n", missing.alias("missing"), F.array_except("b_elements", "a_elements").alias("added"))
         exact = exact.withColumn("low", F.col("a_n") - F.size("missing")).withColumn("high", F.col("low"))
