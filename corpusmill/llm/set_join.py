@@ -28,7 +28,7 @@ from corpusmill.llm.common import bucketed, forget_encoders, partitions, stored
 from corpusmill.llm.components import components, least_labels
 
 SHINGLE, PERCENT, SEED = 3, 90, 42
-ORDER_BITS, CELLS = 16, 128
+ORDER_BITS, CELLS = 18, 512
 #: Sets that a task compares at a time: a longer list is cut by a hash of the set. So many elements of differences from a leader likewise.
 LIST, DIFFERENCES = 10_000, 1 << 20
 #: A set is near to a leader at this share of the asked percentage.
@@ -87,8 +87,8 @@ def _need(a: str, b: str, percent: int) -> Column:
 
 
 def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """A row for each of ``docs`` (doc_id, key, text): doc_id, key, n (size of its set), s1 and s2 (what tells the set apart) and
-    cells (counts in each cell, two bytes each); and one for each task: seen, how many shingles begin with each of the ORDER_BITS bits."""
+    """A row for each of ``docs`` (doc_id, key, text): doc_id, key, n (size of its set), s1 and s2 (what tells the set apart); and
+    one for each task: seen, how many shingles begin with each of the ORDER_BITS bits."""
 
     def run(batches):
         import numpy as np
@@ -96,25 +96,23 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         import xxhash
 
         forget_encoders()
-        names = ["doc_id", "key", "n", "s1", "s2", "cells", "seen"]
+        names = ["doc_id", "key", "n", "s1", "s2", "seen"]
         seen, far = np.zeros(1 << ORDER_BITS, np.int64), np.uint64(64 - ORDER_BITS)
         for batch in batches:
-            sizes, marks, cells = [], [], []
+            sizes, marks = [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 mark = xxhash.xxh3_128_intdigest(s.tobytes())
                 marks.append((mark >> 64, mark & (1 << 64) - 1))
                 np.add.at(seen, (s >> far).astype(np.int64), 1)
-                count = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-                cells.append(np.minimum(count, 65535).astype("<u2").tobytes())
             marks = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(cells, pa.binary())]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.list_(pa.int64()))], names)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([seen], pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n int, s1 long, s2 long, cells binary, seen array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n int, s1 long, s2 long, seen array<long>")
 
 
 def _prefixes(order, width: int, percent: int):
@@ -395,15 +393,24 @@ def _around(percent: int):
     return run
 
 
+def cells(elements) -> bytes:
+    """How many elements of a set lie in each of the cells, a byte for each; 255 is 255 or more."""
+    import numpy as np
+
+    return np.minimum(np.bincount((elements % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def _compared(batches):
-    """``most`` beside what tells the pair: the sum of the smaller counts of all cells, beyond any size where a count is cut off."""
+    """``most`` beside what tells the pair: the sum of the smaller counts of all cells, beyond any size where both counts are cut off."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
-        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        most[(x == 65535).any(axis=1) | (y == 65535).any(axis=1)] = 1 << 40
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
+        most = np.minimum(x, y)
+        full = (most == 255).any(axis=1)
+        most = most.sum(axis=1, dtype=np.int64)
+        most[full] = 1 << 40
         names = ["a", "b", "a_n", "b_n", "a_key", "b_key", "a_id", "b_id"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(most)], [*names, "most"])
 
@@ -420,8 +427,8 @@ class _Join:
         told = stored(described(rows, width), "sets")
         self.rows = told.where("seen is null").drop("seen")
         chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")  # a row that stands for its class
-        one = self.rows.where("n > 0").groupBy("s1", "s2", "n").agg(chosen, F.first("cells").alias("cells"))
-        one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), F.coalesce("one.doc_id", F.lit(0)).alias("id"), "cells")
+        one = self.rows.where("n > 0").groupBy("s1", "s2", "n").agg(chosen)
+        one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), F.coalesce("one.doc_id", F.lit(0)).alias("id"))
         self.classes = stored(one.withColumn("v", F.monotonically_increasing_id()), "classes")
         self.lists = self._lists(rows, told, width)
         listed = self.lists.select("v").distinct().join(self.classes, "v").repartition(self.n, "v")
@@ -445,8 +452,8 @@ class _Join:
         return stored(found, "lists")
 
     def _sets(self, rows: DataFrame, width: int) -> DataFrame:
-        """(key, id, v, elements) of the listed classes, from a text of each; kept by key and id, so that no comparison moves all of them."""
-        names = [*self.at, "v", "elements"]
+        """(key, id, v, cells, elements) of the listed classes, from a text of each; kept by key and id, so that no comparison moves all of them."""
+        names = [*self.at, "v", "cells", "elements"]
 
         def run(batches):
             import numpy as np
@@ -463,26 +470,27 @@ class _Join:
                     mark = xxhash.xxh3_128_intdigest(s.tobytes())
                     if np.array([mark >> 64, mark & (1 << 64) - 1], np.uint64).view(np.int64).tolist() == [s1, s2]:  # texts with equal hashes can differ
                         done.add(v)
-                        out.append((key, id_, v, s.view(np.int64)))
-                columns = zip(*out, strict=True) if out else [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                        out.append((key, id_, v, cells(s), s.view(np.int64)))
+                columns = zip(*out, strict=True) if out else [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         own = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
         texts = own.join(self.listed.select(*self.at, "v", "s1", "s2").hint("merge"), self.at).select(*self.at, "v", "s1", "s2", "text")
-        return bucketed(texts.mapInArrow(run, "key long, id long, v long, elements array<long>"), self.at, self.n, "elements")
+        return bucketed(texts.mapInArrow(run, "key long, id long, v long, cells binary, elements array<long>"), self.at, self.n, "elements")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, a_n, b_n, low, high, missing, added): how many elements the pairs (a, b) share at least and at most. Where it could be
         nearly enough, both are exact; missing and added are the differences of b from a, told of near sets."""
-        told = lambda x: self.listed.select(F.col("v").alias(x), *[F.col(c).cast("long").alias(f"{x}_{c}") for c in ("n", *self.at)], F.col("cells").alias(f"{x}_cells"))
-        met = pairs.join(told("a"), "a").join(told("b"), "b")
+        told = lambda x: self.listed.select(F.col("v").alias(x), *[F.col(c).cast("long").alias(f"{x}_{c}") for c in ("n", *self.at)])
+        held = lambda x, what: self.sets.select(*[F.col(c).alias(f"{x}_{c}") for c in (*self.at, "v", what)])
+        ends = lambda df, what: df.join(held("a", what), ["a_key", "a_id"]).join(held("b", what), ["b_key", "b_id"]).where("a = a_v and b = b_v")
+        met = ends(pairs.join(told("a"), "a").join(told("b"), "b"), "cells")
         first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, a_key long, b_key long, a_id long, b_id long, most long"), "compared")
         near = _need("a_n", "b_n", int(NEAR * self.percent))
         kinds = {"low": F.lit(0).cast("long"), "high": F.col("most"), "missing": F.lit(None).cast("array<long>"), "added": F.lit(None).cast("array<long>")}
         few = first.where(F.col("most") < near).withColumns(kinds).drop("most")
-        held = lambda x: self.sets.select(*[F.col(c).alias(f"{x}_{c}") for c in (*self.at, "v", "elements")])
-        both = first.where(F.col("most") >= near).join(held("a"), ["a_key", "a_id"]).join(held("b"), ["b_key", "b_id"]).where("a = a_v and b = b_v")
+        both = ends(first.where(F.col("most") >= near), "elements")
         missing = F.array_except("a_elements", "b_elements")
         exact = both.select("a", "b", "a_n", "b_n", missing.alias("missing"), F.array_except("b_elements", "a_elements").alias("added"))
         exact = exact.withColumn("low", F.col("a_n") - F.size("missing")).withColumn("high", F.col("low"))
