@@ -33,6 +33,8 @@ ORDER_BITS, CELLS = 18, 512
 LIST, DIFFERENCES = 10_000, 1 << 20
 #: A set is near to a leader at this share of the asked percentage.
 NEAR = 0.8
+#: Bits that tell which documents a list has; 262,144 numbers at most.
+MARKS = 1 << 24
 #: Pairs that a task looks at in one step, and rows whose blocks it searches in one.
 STEP, ROWS = 1 << 19, 2000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -44,7 +46,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -86,6 +88,13 @@ def _need(a: str, b: str, percent: int) -> Column:
     return F.expr(f"({percent}L * ({a} + {b}) + {99 + percent}) div {100 + percent}")
 
 
+def _slices(batches, rows: int = 500):
+    """The batches in slices, so that what is made of their texts stays small."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """A row for each of ``docs`` (doc_id, key, text): doc_id, key, n (size of its set), s1 and s2 (what tells the set apart); and
     one for each task: seen, how many shingles begin with each of the ORDER_BITS bits."""
@@ -98,7 +107,7 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         forget_encoders()
         names = ["doc_id", "key", "n", "s1", "s2", "seen"]
         seen, far = np.zeros(1 << ORDER_BITS, np.int64), np.uint64(64 - ORDER_BITS)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, marks = [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width)
@@ -130,7 +139,7 @@ def _prefixes(order, width: int, percent: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in each], ["list", "n", "place", "s1"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width)
                 mark = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -461,7 +470,7 @@ class _Join:
             import xxhash
 
             done = set()
-            for batch in batches:
+            for batch in _slices(batches):
                 out = []
                 for key, id_, v, s1, s2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if v in done:  # a repeated row
@@ -475,7 +484,13 @@ class _Join:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        own = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+        # most documents stand in no list: a bit for each key of a listed class (at most MARKS bits are broadcast) spares their texts the shuffle
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+        marks = self.listed.select(slot("key").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+        marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+        own = rows.withColumn("slot", slot("key"))
+        met = (F.shiftright("slot", 6) == F.col("word")) & (F.expr("shiftrightunsigned(bits, cast(slot & 63 as int)) & 1") == 1)
+        own = own.join(F.broadcast(marks), met, "left_semi").select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
         texts = own.join(self.listed.select(*self.at, "v", "s1", "s2").hint("merge"), self.at).select(*self.at, "v", "s1", "s2", "text")
         return bucketed(texts.mapInArrow(run, "key long, id long, v long, cells binary, elements array<long>"), self.at, self.n, "elements")
 
@@ -484,7 +499,8 @@ class _Join:
         nearly enough, both are exact; missing and added are the differences of b from a, told of near sets."""
         told = lambda x: self.listed.select(F.col("v").alias(x), *[F.col(c).cast("long").alias(f"{x}_{c}") for c in ("n", *self.at)])
         held = lambda x, what: self.sets.select(*[F.col(c).alias(f"{x}_{c}") for c in (*self.at, "v", what)])
-        ends = lambda df, what: df.join(held("a", what), ["a_key", "a_id"]).join(held("b", what), ["b_key", "b_id"]).where("a = a_v and b = b_v")
+        # as differences, or v would be a third key of the joins and the buckets would not serve
+        ends = lambda df, what: df.join(held("a", what), ["a_key", "a_id"]).join(held("b", what), ["b_key", "b_id"]).where("a_v - a = 0 and b_v - b = 0")
         met = ends(pairs.join(told("a"), "a").join(told("b"), "b"), "cells")
         first = stored(met.mapInArrow(_compared, "a long, b long, a_n long, b_n long, a_key long, b_key long, a_id long, b_id long, most long"), "compared")
         near = _need("a_n", "b_n", int(NEAR * self.percent))
@@ -528,10 +544,11 @@ class _Join:
         near = answers.where("missing is not null")
         none = F.array().cast("array<long>")
         own = near.select(F.col("a").alias("leader"), F.col("a").alias("v"), F.col("a_n").alias("n"), F.col("a_n").alias("size"), none.alias("missing"), none.alias("added")).distinct()
-        rows = near.select(F.col("a").alias("leader"), F.col("b").alias("v"), F.col("b_n").alias("n"), F.col("a_n").alias("size"), "missing", "added").unionByName(own)
-        volume = F.greatest(F.count("*") / self.longest, F.sum(F.size("missing") + F.size("added")) / DIFFERENCES)
+        every = near.select(F.col("a").alias("leader"), F.col("b").alias("v"), F.col("b_n").alias("n"), F.col("a_n").alias("size"), "missing", "added").unionByName(own)
+        rows = every.select("leader", "v", (F.size("missing") + F.size("added")).alias("volume"))  # differences come in when it is known where they are needed
+        volume = F.greatest(F.count("*") / self.longest, F.sum("volume") / DIFFERENCES)
         cuts = rows.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(volume)).cast("int").alias("cuts"))
-        rows = self.spread(self.labelled(rows.join(cuts, "leader"), edges), "leader")
+        rows = self.spread(self.labelled(rows.join(cuts, "leader"), edges), "leader").select("leader", "cut", "v", "component", "main", "home").join(every, ["leader", "v"])
         rows = rows.select("leader", "cut", "v", "n", "size", "component", "main", "home", "missing", "added").repartition(self.n, "leader", "cut")
         return stored(rows.sortWithinPartitions("leader", "cut", "v").mapInArrow(_around(self.percent), "a long, b long").distinct(), "around")
 
