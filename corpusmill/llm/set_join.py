@@ -28,7 +28,7 @@ from corpusmill.llm.common import bucketed, forget_encoders, partitions, stored
 from corpusmill.llm.components import components, least_labels
 
 SHINGLE, PERCENT, SEED = 3, 90, 42
-ORDER_BITS, CELLS = 18, 512
+ORDER_BITS, CELLS = 20, 512
 #: Sets that a task compares at a time: a longer list is cut by a hash of the set. So many elements of differences from a leader likewise.
 LIST, DIFFERENCES = 10_000, 1 << 20
 #: A set is near to a leader at this share of the asked percentage.
@@ -97,7 +97,7 @@ def _slices(batches, rows: int = 500):
 
 def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """A row for each of ``docs`` (doc_id, key, text): doc_id, key, n (size of its set), s1 and s2 (what tells the set apart); and
-    one for each task: seen, how many shingles begin with each of the ORDER_BITS bits."""
+    one for each task: how many shingles (seen) begin with which ORDER_BITS bits (bits)."""
 
     def run(batches):
         import numpy as np
@@ -105,7 +105,7 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         import xxhash
 
         forget_encoders()
-        names = ["doc_id", "key", "n", "s1", "s2", "seen"]
+        names = ["doc_id", "key", "n", "s1", "s2", "bits", "seen"]
         seen, far = np.zeros(1 << ORDER_BITS, np.int64), np.uint64(64 - ORDER_BITS)
         for batch in _slices(batches):
             sizes, marks = [], []
@@ -117,15 +117,18 @@ def described(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 np.add.at(seen, (s >> far).astype(np.int64), 1)
             marks = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.list_(pa.int32())), pa.nulls(len(sizes), pa.list_(pa.int64()))], names)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([seen], pa.list_(pa.int64()))], names)
+        some = np.flatnonzero(seen)
+        told = pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen[some]], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], *told], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n int, s1 long, s2 long, seen array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n int, s1 long, s2 long, bits array<int>, seen array<long>")
 
 
 def _prefixes(order, width: int, percent: int):
-    """Texts of a task: (list, n, place, s1) of the first shingles of each set, rare ones first, once for equal sets."""
+    """Texts of a task: (list, at, s1) of the first shingles of each set, rare ones first, once for equal sets; at is the set's size
+    times 2 ** 32 plus the place."""
 
     def run(batches):
         import numpy as np
@@ -137,7 +140,7 @@ def _prefixes(order, width: int, percent: int):
         def out():
             each = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in each], ["list", "n", "place", "s1"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in each], ["list", "at", "s1"])
 
         for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
@@ -156,7 +159,7 @@ def _prefixes(order, width: int, percent: int):
                     s, common = s[low], common[low]
                 own = s[np.lexsort((s, common))[:first]]
                 s1 = np.full(first, mark >> 64, np.uint64).view(np.int64)
-                held.append((own.view(np.int64), np.full(first, size, np.int32), np.arange(first, dtype=np.int32), s1))
+                held.append((own.view(np.int64), (size << 32) + np.arange(first), s1))
             if held:
                 yield out()
 
@@ -434,7 +437,7 @@ class _Join:
         self.at = ["key", "id"]  # where the text of a class is found
         self.n = partitions(docs.sparkSession)
         told = stored(described(rows, width), "sets")
-        self.rows = told.where("seen is null").drop("seen")
+        self.rows = told.where("seen is null").drop("bits", "seen")
         chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")  # a row that stands for its class
         one = self.rows.where("n > 0").groupBy("s1", "s2", "n").agg(chosen)
         one = one.select("s1", "s2", "n", F.col("one.doc_id").alias("least"), F.col("one.key").alias("key"), F.coalesce("one.doc_id", F.lit(0)).alias("id"))
@@ -448,14 +451,15 @@ class _Join:
         """(list, cuts, n, place, v): what stands in a list with another set that it could be linked with."""
         import numpy as np
 
-        order = np.zeros(1 << ORDER_BITS, np.int64)
-        seen = told.where("seen is not null").select(F.posexplode("seen")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("k"))
-        for r in seen.collect():  # of fixed size
-            order[r.pos] = r.k
-        entries = stored(rows.select("text").mapInArrow(_prefixes(order, width, self.percent), "list long, n int, place int, s1 long"), "entries")
+        order = np.zeros(1 << ORDER_BITS, np.uint32)
+        seen = told.where("seen is not null").select(F.inline(F.arrays_zip("bits", "seen"))).groupBy("bits").agg(F.sum("seen").alias("k"))
+        seen = seen.select("bits", F.least("k", F.lit(2**32 - 1)).alias("k")).toArrow()  # a row for each of the ORDER_BITS bits at most
+        order[seen["bits"].to_numpy()] = seen["k"].to_numpy()
+        entries = stored(rows.select("text").mapInArrow(_prefixes(order, width, self.percent), "list long, at long, s1 long"), "entries")
         held = entries.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
         cuts = F.ceil(F.col("k") / self.longest).cast("int")
-        met = entries.join(held, "list").select("list", F.pmod(F.xxhash64("s1"), cuts).cast("int").alias("cut"), "n", "place", "s1", cuts.alias("cuts"))
+        n, place = F.shiftright("at", 32).cast("int").alias("n"), F.expr("cast(at & 4294967295L as int)").alias("place")
+        met = entries.join(held, "list").select("list", F.pmod(F.xxhash64("s1"), cuts).cast("int").alias("cut"), n, place, "s1", cuts.alias("cuts"))
         met = met.repartition(self.n, "list", "cut").sortWithinPartitions("list", "cut", "n", "place", "s1").mapInArrow(_met(self.percent), met.schema)
         found = met.join(self.classes.select("s1", "n", "v"), ["s1", "n"]).select("list", "cuts", "n", "place", "v")
         return stored(found, "lists")
