@@ -12,42 +12,6 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors are laid against all vectors in blocks of this size, so what is sent to every task is bounded.
 QUERY_BLOCK = 2_000
-#: Distinct tokens of a query set up to which they are sent to every task; a larger set is joined by a shuffle.
-QUERY_TOKENS = 200_000
-
-
-def postings(units: DataFrame, unit: str, tokens: str) -> DataFrame:
-    """(unit, token, tf, dl): one row for each distinct token of a unit. Only these narrow rows are shuffled."""
-    sized = units.select(F.col(unit), F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("token"))
-    return sized.groupBy(unit, "token", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25_weights(posts: DataFrame, units: DataFrame, unit: str, tokens: str, k1: float = K1, b: float = B, small=lambda df: df) -> DataFrame:
-    """``posts`` with ``weight``, the score of the token in the unit for one occurrence in a query; ``small`` may broadcast the
-    counts of tokens, if the postings are of few tokens."""
-    totals = units.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens)).alias("avg_dl"))
-    df = posts.groupBy("token").agg(F.count("*").cast("double").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return posts.join(small(df), "token").crossJoin(F.broadcast(totals)).select(unit, "token", "tf", "dl", (idf * tf).alias("weight"))
-
-
-def bm25_scores(queries: DataFrame, weights: DataFrame, qid: str, unit: str, tokens: str) -> DataFrame:
-    """(qid, unit, score) of all units that share a token with a query; each occurrence in the query counts."""
-    asked = queries.select(qid, F.explode(tokens).alias("token")).groupBy(qid, "token").agg(F.count("*").alias("times"))
-    return asked.join(weights, "token").groupBy(qid, unit).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
-
-
-def bm25_search(queries: DataFrame, units: DataFrame, qid: str, unit: str, tokens: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, unit, score) as ``bm25_scores``, straight from the tokens of ``units``: only postings of asked tokens are
-    shuffled, and a token that stands in most units is not joined by a shuffle at all."""
-    asked = queries.select(qid, F.explode(tokens).alias("token")).groupBy(qid, "token").agg(F.count("*").alias("times"))
-    few = asked.select("token").distinct().count() <= QUERY_TOKENS
-    small = F.broadcast if few else (lambda df: df)
-    sized = units.select(F.col(unit), F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("token"))
-    posts = sized.join(small(asked.select("token").distinct()), "token", "left_semi").groupBy(unit, "token", "dl").agg(F.count("*").alias("tf"))
-    weights = bm25_weights(posts, units, unit, tokens, k1, b, small)
-    return small(asked).join(weights, "token").groupBy(qid, unit).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
 def identifier_docs(questions: DataFrame, docs: DataFrame, qid: str = "qid", unit: str = "doc_id") -> DataFrame:
@@ -106,9 +70,10 @@ def dense_top_k(queries: DataFrame, units: DataFrame, qid: str, unit: str, vecto
 
     Every task scores its units against a block of queries as matrix products and keeps the best ``k`` of each query
     (ties by unit), so that only these meet. Ids are longs."""
-    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())  # a row without a whole vector is not found and finds nothing
+    asked = queries.where(whole).select(F.col(qid).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
     blocks = max(1, -(-asked.count() // block))
-    rows, out = units.select(F.col(unit).cast("long"), F.col(vector).cast("array<double>")), None
+    rows, out = units.where(whole).select(F.col(unit).cast("long"), F.col(vector).cast("array<double>")), None
     for i in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()  # a bounded block
         if not mine:

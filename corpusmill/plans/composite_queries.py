@@ -160,7 +160,7 @@ def hybrid_keyword(t: Inputs) -> DataFrame:
     """Documents that hold a query's keyword first, then the lexical hits, each once, at most sixty; keyword documents that the cut misses are added."""
     words = t.table("benchmark").select(F.col("item_id").alias("qid"), F.split_part("text", F.lit(" "), F.lit(3)).alias("word")).where(F.length("word") > 6)
     keyword = t.table("documents").join(F.broadcast(words), F.contains("text", "word")).select("qid", F.col("doc_id").alias("unit"), F.lit(0).alias("kind"), F.lit(0.0).alias("score"))
-    lexical = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), 60).select("qid", "unit", F.lit(1).alias("kind"), "score")
+    lexical = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 60).select("qid", "unit", F.lit(1).alias("kind"), "score")
     once = keyword.union(lexical).groupBy("qid", "unit").agg(F.min("kind").alias("kind"), F.max("score").alias("score"))
     order = [F.col("kind"), *R.best_first("score", "unit")]
     cut = R.top_k(once, ["qid"], order, 60)
@@ -171,7 +171,7 @@ def hybrid_keyword(t: Inputs) -> DataFrame:
 @query("WITH " + _duck_bm25(_DOC_UNITS) + f", top AS ({_ranked('scored', 20)}), p AS (SELECT qid, unit AS doc_id, page, score + 0.02 * page AS score FROM top JOIN fx_pages ON unit = doc_id), d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, page) <= 2) SELECT qid, doc_id, page, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) <= 3")
 def retrieve_pages(t: Inputs) -> DataFrame:
     """Pages for every query: documents by BM25, deeper pages boosted a little, two of a document, three in all."""
-    docs = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), 20).select("qid", F.col("unit").alias("doc_id"), "score")
+    docs = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 20).select("qid", F.col("unit").alias("doc_id"), "score")
     pages = docs.join(t.fx("pages").select("doc_id", "page"), "doc_id").withColumn("score", F.col("score") + 0.02 * F.col("page"))
     per_doc = R.top_k(pages, ["qid", "doc_id"], R.best_first("score", "page"), 2, "a")
     return R.top_k(per_doc, ["qid"], R.best_first("score", "doc_id", "page"), 3, "b").select("qid", "doc_id", "page", F.round("score", 6).alias("score"))
@@ -191,7 +191,7 @@ def fast_page_plan(t: Inputs) -> DataFrame:
 @query("WITH " + _duck_bm25(_DOC_UNITS) + f", top AS ({_ranked('scored', 10)}) SELECT count(*) AS n, round(avg(hit::INT), 6) AS accuracy FROM (SELECT q.qid, bool_or(t.unit = q.gold_doc_id) AS hit FROM fx_queries q LEFT JOIN top t ON t.qid = q.qid WHERE q.gold_doc_id IS NOT NULL GROUP BY q.qid)")
 def rag_bench_summary(t: Inputs) -> DataFrame:
     """Share of queries with a gold document among the first ten."""
-    top = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), 10).select("qid", "unit")
+    top = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 10).select("qid", "unit")
     gold = t.fx("queries").where("gold_doc_id is not null").select("qid", F.col("gold_doc_id").alias("gold"))
     hit = gold.join(top, (gold["qid"] == top["qid"]) & (gold["gold"] == top["unit"]), "left").select(gold["qid"], F.col("unit").isNotNull().alias("h")).groupBy("qid").agg(F.bool_or("h").alias("hit"))
     return hit.agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))

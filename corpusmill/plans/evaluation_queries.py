@@ -387,7 +387,7 @@ def rerank_topk(t: Inputs) -> DataFrame:
     """The best three of ten candidates by the share of the question's words in the text's first 2,000 characters, a stand-in
     for a scorer; up to three candidates stay in their order."""
     docs = t.table("documents").select(F.col("doc_id").alias("unit"), "text")
-    top = top_k(_scores(t, docs), ["qid"], best_first("score", "unit"), 10, "before").select("qid", "unit", "before")
+    top = top_k(_scores(t), ["qid"], best_first("score", "unit"), 10, "before").select("qid", "unit", "before")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(P.WORD), F.lit(0)))
     asked = t.table("benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("asked"))
     pairs = top.join(asked, "qid").join(docs, "unit")

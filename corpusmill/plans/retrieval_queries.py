@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 from corpusmill.operators import retrieval as R
+from corpusmill.operators.lexical import LexicalIndex
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
 
@@ -52,8 +53,23 @@ def _queries(t: Inputs) -> DataFrame:
     return t.table("benchmark").select(F.col("item_id").alias("qid"), T.index_tokens(F.col("text")).alias("toks"))
 
 
-def _scores(t: Inputs, units: DataFrame, unit: str = "unit") -> DataFrame:
-    return R.bm25_search(_queries(t), units.select(unit, T.index_tokens(F.col("text")).alias("toks")), "qid", unit, "toks")
+#: The indexes of this application, by folder and kind of unit: a later query reads what an earlier one has written.
+_WRITTEN: dict[tuple, LexicalIndex] = {}
+
+
+def index_of(t: Inputs, kind: str) -> LexicalIndex:
+    """The stored index of ``documents`` (unit: doc_id) or ``pages`` (unit: doc_id and page)."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir, kind
+    if key not in _WRITTEN:
+        units = _docs(t) if kind == "documents" else _pages(t)
+        _WRITTEN[key] = LexicalIndex.write(units.select("unit", T.index_tokens(F.col("text")).alias("toks")), "unit", "toks")
+    return _WRITTEN[key]
+
+
+def _scores(t: Inputs, kind: str = "documents", where: str = "true") -> DataFrame:
+    """(qid, unit, score) of the benchmark's texts in one of the indexes, or in some units of it."""
+    index = index_of(t, kind)
+    return (index if where == "true" else index.where(where)).search(_queries(t), "qid", "toks")
 
 
 def _docs(t: Inputs) -> DataFrame:
@@ -77,13 +93,11 @@ def tokenize(t: Inputs) -> DataFrame:
 
 @query("WITH " + _duck_bm25(_PAGE_UNITS) + " SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf, round(max(weight), 6) AS max_weight FROM weights JOIN tf USING (unit, token) GROUP BY token")
 def bm25_postings(t: Inputs) -> DataFrame:
-    units = _pages(t).select("unit", T.index_tokens(F.col("text")).alias("toks"))
-    weights = R.bm25_weights(R.postings(units, "unit", "toks"), units, "unit", "toks")
-    return weights.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.round(F.max("weight"), 6).alias("max_weight"))
+    return index_of(t, "pages").weights().withColumn("max_weight", F.round("max_weight", 6))
 
 
-def _topk_query(t: Inputs, units: DataFrame, k: int = 10) -> DataFrame:
-    top = R.top_k(_scores(t, units), ["qid"], R.best_first("score", "unit"), k)
+def _topk(scores: DataFrame, k: int = 10) -> DataFrame:
+    top = R.top_k(scores, ["qid"], R.best_first("score", "unit"), k)
     return top.select("qid", "unit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -93,24 +107,25 @@ def _topk_sql(units: str, k: int = 10) -> str:
 
 @query(_topk_sql(_DOC_UNITS))
 def bm25_topk(t: Inputs) -> DataFrame:
-    return _topk_query(t, _docs(t))
+    return _topk(_scores(t))
 
 
 @query(_topk_sql(_PAGE_UNITS + " WHERE page = 1"))
 def bm25_page1(t: Inputs) -> DataFrame:
-    return _topk_query(t, _pages(t).where("page = 1").withColumn("unit", F.col("doc_id") * 1000 + F.col("page")))
+    first = _scores(t, "pages", "unit.page = 1")
+    return _topk(first.withColumn("unit", F.col("unit.doc_id") * 1000 + F.col("unit.page")))
 
 
 @query(_topk_sql("SELECT doc_id AS unit, string_agg(text, chr(10) ORDER BY page) AS text FROM fx_pages GROUP BY doc_id"))
 def bm25_doc(t: Inputs) -> DataFrame:
-    whole = t.fx("pages").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
-    return _topk_query(t, whole.select(F.col("doc_id").alias("unit"), "text"))
+    """The pages of a document, joined by line feeds, are its text."""
+    return _topk(_scores(t))
 
 
 @query("WITH " + _duck_bm25(_PAGE_UNITS) + """, best AS (SELECT qid, unit // 1000 AS doc_id, max(score) AS score FROM scored GROUP BY ALL)
 SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 6) AS norm FROM best""")
 def bm25_doc_max_norm(t: Inputs) -> DataFrame:
-    best = _scores(t, _pages(t)).groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
+    best = _scores(t, "pages").groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
     top = best.groupBy("qid").agg(F.max("score").alias("top"))
     return best.join(top, "qid").select("qid", "doc_id", F.round(F.col("score") / F.col("top"), 6).alias("norm"))
 
@@ -198,13 +213,13 @@ def doc_fusion(t: Inputs) -> DataFrame:
     text, and first page; weighted reciprocal ranks, then up to three whose score is close to the best."""
     best = lambda df, k=POOL: R.top_k(df, ["qid"], R.best_first("score", "unit"), k)
     near = _doc_nearest(t).withColumnRenamed("unit", "doc_id")
-    chunk = best(_scores(t, _pages(t))).groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
-    first = _scores(t, t.fx("pages").where("page = 1").select(F.col("doc_id").alias("unit"), "text"))
+    chunk = best(_scores(t, "pages")).groupBy("qid", F.col("unit.doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
+    first = _scores(t, "pages", "unit.page = 1").withColumn("unit", F.col("unit.doc_id"))
     signals = {
         "chunk": chunk,
         "dense": near.select("qid", "doc_id", "score"),
         "dense_rrf": near.select("qid", "doc_id", (1.0 / (R.RRF_K + F.col("rank"))).alias("score")),
-        "doc": best(_scores(t, _docs(t))).select("qid", F.col("unit").alias("doc_id"), "score"),
+        "doc": best(_scores(t)).select("qid", F.col("unit").alias("doc_id"), "score"),
         "page1": best(first).select("qid", F.col("unit").alias("doc_id"), "score"),
     }
     return R.fused_documents(signals, _FIVE, "qid", "doc_id", POOL).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -213,7 +228,7 @@ def doc_fusion(t: Inputs) -> DataFrame:
 @query("WITH " + _duck_bm25(_DOC_UNITS) + f""", r AS ({_ranked('scored', 5)})
 SELECT qid, unit, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM r) WHERE rank = 1 OR (top - score) / top <= 0.15""")
 def gap_select(t: Inputs) -> DataFrame:
-    return R.gap_select(_scores(t, _docs(t)), "qid", 0.15, 5, "unit").select("qid", "unit", F.col("rank").cast("long").alias("rank"))
+    return R.gap_select(_scores(t), "qid", 0.15, 5, "unit").select("qid", "unit", F.col("rank").cast("long").alias("rank"))
 
 
 _HYBRID = "WITH " + _duck_bm25(_DOC_UNITS) + f""",
@@ -225,7 +240,7 @@ SELECT qid, unit, round(score, 6) AS score, rank FROM ({_ranked('fused', 60)})""
 @query(_HYBRID)
 def hybrid_rrf(t: Inputs) -> DataFrame:
     """Documents for every benchmark text: reciprocal ranks of BM25 (weight two) and of the nearest vectors (weight one)."""
-    lexical = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), POOL)
+    lexical = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), POOL)
     top = R.top_k(R.rrf([(lexical, 2.0), (_doc_nearest(t), 1.0)], "qid", "unit"), ["qid"], R.best_first("score", "unit"), 60)
     return top.select("qid", "unit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -242,7 +257,7 @@ def additive_fusion(t: Inputs) -> DataFrame:
 @query("WITH " + _duck_bm25(_DOC_UNITS) + f""", lexical AS ({_ranked('scored', 200)}), filled AS (SELECT l.* FROM lexical l JOIN units u USING (unit) WHERE trim(u.text) <> '')
 SELECT qid, unit, round(1.0 / (60 + rank), 9) AS score FROM filled WHERE rank <= 100""")
 def passage_rrf(t: Inputs) -> DataFrame:
-    lexical = R.top_k(_scores(t, _docs(t)), ["qid"], R.best_first("score", "unit"), 200)
+    lexical = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 200)
     filled = lexical.join(_docs(t).where(F.trim("text") != "").select("unit"), "unit", "left_semi").where("rank <= 100")
     return R.rrf([(filled, 1.0)], "qid", "unit").select("qid", "unit", F.round("score", 9).alias("score"))
 

@@ -35,9 +35,9 @@ def benchmark_items(spark: SparkSession, path: str, item: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(file, text) of all text files below a folder; undecodable bytes are replaced."""
+    """(file, text) of all text files below a folder; bytes that are no UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def page_files(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:

@@ -93,6 +93,10 @@ def test_readers(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_bytes(b"ok")
     assert [r.text for r in files.text_corpus(spark, str(tmp_path / "d")).collect()] == ["ok"]
+    (tmp_path / "f" / "g").mkdir(parents=True)
+    odd = b"a\xff b\xe2\x82 c\xc3\xa9 \xf0\x9f\x98"
+    (tmp_path / "f" / "g" / "odd.txt").write_bytes(odd)
+    assert [r.text for r in files.text_corpus(spark, str(tmp_path / "f")).collect()] == [odd.decode(errors="replace")]
     pages = files.page_files(spark, str(tmp_path / "d"), lambda b: [b.decode(), "x" * 100], "*.txt")
     assert sorted((r.doc_id, r.page, r.needs_ocr) for r in pages.collect()) == [("a", 1, True), ("a", 2, False)]
     (tmp_path / "e.json").write_text(json.dumps([{"question_text": "q", "answer": "a", "pages": [{"text": "t"}], "expected_answer": "g"}, {"question": "", "answer": "a"}]))
