@@ -24,17 +24,48 @@ def f_beta(precision: Column, recall: Column, beta: float = 2.5) -> Column:
     return F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0))
 
 
-def class_metrics(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """(label, precision, recall, f1, support) from a confusion table; one aggregate over the rows."""
-    table = pairs.groupBy(F.col(gold).alias("g"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    sides = table.select(F.explode(F.array(F.struct(F.col("g").alias("label"), F.lit(1).alias("gold"), F.lit(0).alias("pred")), F.struct(F.col("p").alias("label"), F.lit(0).alias("gold"), F.lit(1).alias("pred")))).alias("s"), "g", "p", "n")
-    per = sides.groupBy("s.label").agg(
+def class_metrics(pairs: DataFrame, gold: str, predicted: str, by: str) -> DataFrame:
+    """(overall, by, label, precision, recall, f1, support): every label for each ``by`` and, where ``overall`` (``by`` is null there), for all rows.
+
+    One pass over the rows: a confusion table of both levels as grouping sets."""
+    named = pairs.select(F.col(by).alias("by"), F.col(gold).alias("g"), F.col(predicted).alias("p"))
+    table = named.groupingSets([[F.col("by"), F.col("g"), F.col("p")], [F.col("g"), F.col("p")]], "by", "g", "p").agg(F.count("*").alias("n"), (F.grouping("by") == 1).alias("overall"))
+    sides = table.select("overall", "by", F.explode(F.array(F.struct(F.col("g").alias("label"), F.lit(1).alias("gold"), F.lit(0).alias("pred")), F.struct(F.col("p").alias("label"), F.lit(0).alias("gold"), F.lit(1).alias("pred")))).alias("s"), "g", "p", "n")
+    per = sides.groupBy("overall", "by", "s.label").agg(
         F.sum(F.col("n") * F.col("s.gold")).alias("support"), F.sum(F.col("n") * F.col("s.pred")).alias("claimed"),
         F.sum(F.when((F.col("g") == F.col("p")) & (F.col("s.gold") == 1), F.col("n")).otherwise(0)).alias("tp"),
     )
     precision, recall = (F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col(c)), F.lit(0.0)) for c in ("claimed", "support"))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return per.select("label", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support")
+    return per.select("overall", F.col("by").alias(by), "label", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support", "tp")
+
+
+def class_summary(metrics: DataFrame, by: str) -> DataFrame:
+    """(overall, by, n, accuracy, macro_f1) of the rows of ``class_metrics``; labels without support do not count for the mean."""
+    return metrics.groupBy("overall", by).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("macro_f1"))
+
+
+def run_statistics(runs: DataFrame, by: str, value: str, shares: dict[str, float], input_price: float, output_price: float) -> DataFrame:
+    """(overall, by, ...): statistics of answered questions for each ``by`` and for all, as grouping sets.
+
+    Counts, null answers, pages a question, questions without a page, tokens and their cost (prices are for a million); of
+    the positive values of ``value`` mean, largest and exact quantiles (zero-based rank ``min(int(share * n), n - 1)``), for which values are counted first."""
+    both = lambda df, *keys: df.groupingSets([[F.col(by), *map(F.col, keys)], [F.col(k) for k in keys]], by, *keys)
+    level = (F.grouping(by) == 1).alias("overall")
+    timed = F.when(F.col(value) > 0, F.col(value))
+    totals = both(runs).agg(
+        level, F.count("*").alias("n"), F.count_if(F.col("answer").isNull()).alias("nulls"), F.avg("n_pages").alias("pages_per_question"), F.count_if(F.col("n_pages") == 0).alias("without_pages"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.avg(timed).alias("mean"), F.max(timed).alias("top"),
+    )
+    counted = both(runs.where(F.col(value) > 0), value).agg(level, F.count("*").alias("c"))
+    group = ["overall", by]
+    w = Window.partitionBy(*group)
+    ranked = counted.withColumns({"end": F.sum("c").over(w.orderBy(value)), "all": F.sum("c").over(w)})
+    at = lambda share: F.least(F.floor(share * F.col("all")), F.col("all") - 1)
+    ranks = ranked.groupBy(*group).agg(*[F.min(F.when(F.col("end") > at(share), F.col(value))).alias(name) for name, share in shares.items()])
+    cost = (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1_000_000
+    same = (totals["overall"] == ranks["overall"]) & totals[by].eqNullSafe(ranks[by])
+    return totals.join(ranks, same, "left").select(*[totals[c] for c in totals.columns], *shares, cost.alias("cost"))
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:

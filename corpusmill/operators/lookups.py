@@ -95,12 +95,6 @@ def metadata_page(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == name, page) for name, page in told.items()])
 
 
-def law_routes(questions: DataFrame, laws: DataFrame) -> DataFrame:
-    """(qid, name, doc): known laws (name, doc; a fixed list) that a question names, unless it is about "these Regulations" and names no case."""
-    asked = questions.where(~question_of_regulations(F.col("question")))
-    return asked.join(F.broadcast(laws), F.contains(F.lower("question"), F.col("name"))).select("qid", "name", "doc")
-
-
 def question_of_regulations(question: Column) -> Column:
     return question.rlike(P.THESE_REGULATIONS) & (F.size(T.case_ids(question)) == 0)
 

@@ -14,17 +14,28 @@ from corpusmill.storage import written
 
 #: Characters of an n-gram; a shorter phrase is looked up whole.
 GRAM = 6
+#: Characters of a text that are cut into n-grams at a time.
+BLOCK = 1024
 #: Different n-grams of a phrase set up to which they are sent to every task.
 GRAMS_SENT = 500_000
 #: Words of a name at most.
 NAME_WORDS = 8
 
 
-def _grams(df: DataFrame, text: str, size: int) -> DataFrame:
-    """Every n-gram of ``text`` with its place, from one on."""
-    last = F.length(text) - size + 1
-    placed = df.where(last >= 1).withColumn("at", F.explode(F.sequence(F.lit(1), last)))
-    return placed.withColumn("gram", F.substring(text, F.col("at"), F.lit(size)))
+def _grams(df: DataFrame, text: str, size: int, margin: int | None = None) -> DataFrame:
+    """Every n-gram of ``text`` with its place ``at``, from one on.
+
+    Texts are cut into blocks first, as finding a place in a text takes time in proportion to it. With ``margin`` rows come with
+    ``block``, the text from that many characters before the n-gram's block to as many behind it, and its place ``from``."""
+    beside = margin or 0
+    blocks = df.withColumn("base", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK)))).withColumn("from", F.greatest(F.lit(1), F.col("base") - beside))
+    blocks = blocks.withColumn("block", F.substring(text, F.col("from"), F.col("base") - F.col("from") + BLOCK + max(beside, size - 1)))
+    blocks = blocks.withColumn("last", F.least(F.col("base") + BLOCK - 1, F.col("from") + F.length("block") - size)).where("last >= base")
+    if margin is not None:
+        blocks = blocks.drop(text)  # the block goes on, not the text
+    placed = blocks.withColumn("at", F.explode(F.sequence(F.col("base"), F.col("last")))).drop("base", "last")
+    grams = placed.withColumn("gram", F.substring("block", F.col("at") - F.col("from") + 1, F.lit(size)))
+    return grams if margin is not None else grams.drop("block", "from")
 
 
 def occurrences(texts: DataFrame, phrases: DataFrame, unit: str, text: str, pid: str, phrase: str, size: int = GRAM) -> DataFrame:
@@ -36,17 +47,19 @@ def occurrences(texts: DataFrame, phrases: DataFrame, unit: str, text: str, pid:
     held = texts.select(F.col(unit).alias("unit"), F.col(text).alias("body")).where("body is not null")
     asked = phrases.select(F.col(pid).alias("pid"), F.col(phrase).alias("phrase")).where("phrase <> ''")
     asked = written(asked.withColumn("size", F.least(F.length("phrase"), F.lit(size))), "phrases")
+    kinds = asked.groupBy("size").agg(F.max(F.length("phrase")).alias("longest")).collect()  # at most ``size`` rows
     out = None
-    for n in sorted(r[0] for r in asked.select("size").distinct().collect()):  # at most ``size`` of them
-        mine = written(_grams(asked.where(F.col("size") == n), "phrase", n).select("pid", "phrase", "gram", "at"), "grams")
+    for n, longest in sorted(kinds):
+        mine = written(_grams(asked.where(F.col("size") == n).withColumn("own", F.col("phrase")), "own", n).select("pid", "phrase", "gram", "at"), "grams")
         known = mine.select("gram").distinct()
         small = F.broadcast if known.count() <= GRAMS_SENT else (lambda df: df)
-        counts = _grams(held, "body", n).select("gram").join(small(known), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        counts = _grams(held.select("body"), "body", n).select("gram").join(small(known), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
         counted = mine.join(counts, "gram", "left")
         rarest = counted.groupBy("pid", "phrase").agg(F.min_by(F.struct("gram", "at"), F.struct("n", "at")).alias("g"), F.count_if(F.col("n").isNull()).alias("lacking"))
-        keys = rarest.where("lacking = 0").select("pid", "phrase", F.col("g.gram").alias("gram"), F.col("g.at").alias("offset"))
-        hits = _grams(held, "body", n).join(small(keys), "gram").withColumn("start", F.col("at") - F.col("offset") + 1)
-        same = (F.col("start") >= 1) & (F.substring("body", F.col("start"), F.length("phrase")) == F.col("phrase"))
+        keys = written(rarest.where("lacking = 0").select("pid", "phrase", F.col("g.gram").alias("gram"), F.col("g.at").alias("offset")), "keys")
+        # an n-gram's place less its place in the phrase is the phrase's; the block reaches over the longest phrase
+        hits = _grams(held, "body", n, longest).join(small(keys), "gram").withColumn("start", F.col("at") - F.col("offset") + 1)
+        same = (F.col("start") >= 1) & (F.substring("block", F.col("start") - F.col("from") + 1, F.length("phrase")) == F.col("phrase"))
         part = hits.where(same).select("pid", "unit", F.col("start").alias("at"))
         out = part if out is None else out.unionByName(part)
     if out is None:

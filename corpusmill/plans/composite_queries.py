@@ -9,56 +9,13 @@ from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 from corpusmill.operators import lookups as L
 from corpusmill.operators import retrieval as R
+from corpusmill.operators.matching import containing
 from corpusmill.plans.corpus_queries import _SENTENCES
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
-from corpusmill.plans.retrieval_queries import _DOC_UNITS, _duck_bm25, _ranked, _scores
-from corpusmill.plans.routing_queries import _DOCS, _LAW_SQL, _asked, _hits, _laws
-
-# -- numbered papers and court orders: orders of the tables stand for them
-
-_PAPERS = "papers AS (SELECT o_orderkey % 40 AS num, year(o_orderdate)::INT AS year, min(o_orderkey) AS doc FROM orders GROUP BY ALL)"
-
-
-def _papers(t: Inputs) -> DataFrame:
-    o = t.table("orders")
-    return o.groupBy((F.col("o_orderkey") % 40).alias("num"), F.year("o_orderdate").alias("year")).agg(F.min("o_orderkey").alias("doc"))
-
-
-@query(f"""WITH {_PAPERS}, q AS (SELECT c_custkey AS qid, c_custkey % 40 AS num, CASE WHEN c_custkey % 2 = 0 THEN 1992 + c_custkey % 7 END AS year FROM customer),
-h AS (SELECT q.qid, q.year, p.doc, count(*) OVER (PARTITION BY q.qid) AS n FROM q JOIN papers p ON p.num = q.num AND (q.year IS NULL OR p.year = q.year)) SELECT qid, doc FROM h WHERE year IS NOT NULL OR n = 1 OR doc % 3 = 0""")
-def cp_lookup(t: Inputs) -> DataFrame:
-    """Papers by number and year; by number alone if it is the only one, else those that a topic narrows to."""
-    text = F.concat(F.lit("Consultation Paper No. "), (F.col("c_custkey") % 40).cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" of "), (1992 + F.col("c_custkey") % 7).cast("string"))).otherwise(""))
-    pattern = r"(?i)Consultation\s+Paper\s+No\.?\s*(\d+)(?:\s+of\s+(\d{4}))?"
-    asked = t.table("customer").select(F.col("c_custkey").alias("qid"), F.regexp_extract(text, pattern, 1).cast("long").alias("num"), F.regexp_extract(text, pattern, 2).try_cast("int").alias("asked_year"))
-    hits = asked.join(_papers(t), "num").where("asked_year is null or year = asked_year").withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    return hits.where("asked_year is not null or n = 1 or doc % 3 = 0").select("qid", "doc")
-
-
-@query("""WITH orders_of AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'court' WHEN 1 THEN 'sct' ELSE 'rules_of_court' END AS kind, o_orderkey % 50 AS num, min(o_orderkey) AS doc FROM orders GROUP BY ALL), q AS (SELECT c_custkey AS qid, c_custkey % 50 AS num, c_custkey % 4 = 0 AS sct FROM customer)
-SELECT qid, kind, doc FROM q JOIN orders_of USING (num) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN sct AND kind = 'sct' THEN 0 WHEN kind = 'court' THEN 1 WHEN kind = 'sct' THEN 2 ELSE 3 END) = 1""")
-def court_orders(t: Inputs) -> DataFrame:
-    """Orders by number; the words before the number name the court, else the usual order of courts decides."""
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "court").when(F.col("o_orderkey") % 3 == 1, "sct").otherwise("rules_of_court")
-    known = t.table("orders").groupBy(kind.alias("kind"), (F.col("o_orderkey") % 50).alias("num")).agg(F.min("o_orderkey").alias("doc"))
-    text = F.concat(F.when(F.col("c_custkey") % 4 == 0, "under the SCT ").otherwise("under the "), F.lit("Order No. "), (F.col("c_custkey") % 50).cast("string"), F.lit(" of 2024"))
-    found = r"(?i)(.{0,60})Order\s+No\.?\s*(\d+)"
-    asked = t.table("customer").select(F.col("c_custkey").alias("qid"), F.contains(F.lower(F.regexp_extract(text, found, 1)), F.lit("sct")).alias("sct"), F.regexp_extract(text, found, 2).cast("long").alias("num"))
-    rank = F.when(F.col("sct") & (F.col("kind") == "sct"), 0).when(F.col("kind") == "court", 1).when(F.col("kind") == "sct", 2).otherwise(3)
-    return L.first_of(asked.join(known, "num"), ["qid"], rank).select("qid", "kind", "doc")
-
-
-_AMENDED = "CASE WHEN qid % 5 = 0 THEN concat(question, ' Which laws does it amend?') ELSE question END"
-
-
-@query(_DOCS + f""", {_LAW_SQL}, one AS (SELECT DISTINCT qid, o_orderkey AS doc FROM hits WHERE regexp_matches(lower({_AMENDED}), '{P.AMENDING}'))
-SELECT DISTINCT o.qid, l.doc, 1 AS page FROM one o CROSS JOIN laws l WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.qid = o.qid AND x.doc = l.doc)""")
-def route_amendment(t: Inputs) -> DataFrame:
-    """Routed questions about amendments get the first pages of all laws as well."""
-    routed = _hits(t).select("qid", F.expr(_AMENDED).alias("question"), F.col("o_orderkey").alias("doc"))
-    return L.amendment_routes(routed, _laws(t).select(F.col("doc").cast("long").alias("doc")))
-
+from corpusmill.plans.retrieval_queries import _DOC_UNITS, _PAGE_UNITS, _duck_bm25, _queries, _ranked, _scores, index_of
+from corpusmill.storage import written
+from corpusmill.plans.routing_queries import _DOCS, _asked, _hits
 
 _APPEALS = "appeals AS (SELECT DISTINCT case_id, o_orderkey + 1 AS cfi_doc, o_orderkey % 2 = 0 AS filed FROM fx_case_docs WHERE o_orderkey % 3 = 0)"
 
@@ -147,34 +104,47 @@ def aku_parse(t: Inputs) -> DataFrame:
     return t.table("nation").select("n_nationkey", F.explode(facts).alias("f")).where("f.q is not null and f.a is not null").select("n_nationkey", "f.q", "f.a")
 
 
-def _docs(t: Inputs) -> DataFrame:
-    return t.table("documents").select(F.col("doc_id").alias("unit"), "text")
+# Keyword chunks of each document in turn, or of the only one; chunks before and after the reranker; other chunks.
+EACH, ALONE, POOLED, RANKED, BESIDE = 15, 30, 60, 40, 15
+#: A question's keyword is its longest word, from so many letters on.
+KEYWORD = 7
 
 
-@query("WITH " + _duck_bm25(_DOC_UNITS) + f""", words AS (SELECT item_id AS qid, split_part(text, ' ', 3) AS word FROM benchmark WHERE length(split_part(text, ' ', 3)) > 6),
-keyword AS (SELECT qid, doc_id AS unit, 0 AS kind, 0.0::DOUBLE AS score FROM words JOIN documents ON contains(text, word)), lexical AS ({_ranked('scored', 60)}),
-once AS (SELECT qid, unit, min(kind) AS kind, max(score) AS score FROM (SELECT * FROM keyword UNION ALL SELECT qid, unit, 1, score FROM lexical) GROUP BY ALL),
-cut AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY kind, round(score, 9) DESC, unit)::INT AS rank FROM once QUALIFY rank <= 60)
-SELECT * FROM cut UNION ALL SELECT DISTINCT qid, unit, 61 FROM keyword k WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.qid = k.qid AND c.unit = k.unit)""")
+@query("WITH " + _duck_bm25(_PAGE_UNITS) + f""", letters AS (SELECT item_id AS qid, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), each AS (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM letters),
+keyword AS (SELECT qid, w[i] AS word FROM each WHERE length(w[i]) >= {KEYWORD} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(w[i]) DESC, i) = 1),
+kdocs AS (SELECT qid, doc_id FROM keyword JOIN documents ON contains(text, word)), counted AS (SELECT qid, count(*) AS docs FROM kdocs GROUP BY qid),
+overlap AS (SELECT qid, unit, count(*) AS n FROM asked JOIN tf USING (token) GROUP BY ALL),
+pre AS (SELECT k.qid, k.doc_id, u.unit, u.unit % 1000 AS page, coalesce(o.n, 0) + CASE WHEN u.unit % 1000 = 1 THEN 4 ELSE 0 END AS score FROM kdocs k JOIN units u ON u.unit // 1000 = k.doc_id LEFT JOIN overlap o ON o.qid = k.qid AND o.unit = u.unit),
+turned AS (SELECT p.*, c.docs, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, page) AS turn FROM pre p JOIN counted c USING (qid) QUALIFY turn <= CASE WHEN docs > 1 THEN {EACH} ELSE {ALONE} END),
+every AS (SELECT qid, unit, 0 AS kind, turn AS a, doc_id AS b FROM turned UNION ALL SELECT qid, unit, 1, rank, 0 FROM ({_ranked('scored', BESIDE)})),
+merged AS (SELECT qid, unit, min((kind, a, b)) AS place FROM every GROUP BY ALL), pooled AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY place, unit) AS before FROM merged QUALIFY before <= {POOLED}),
+ranked AS (SELECT p.qid, p.unit, row_number() OVER (PARTITION BY p.qid ORDER BY CASE WHEN n <= {RANKED} THEN 0 ELSE -round(coalesce(s.score, 0), 9) END, before) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM pooled) p LEFT JOIN scored s ON s.qid = p.qid AND s.unit = p.unit QUALIFY rank <= {RANKED})
+SELECT qid, unit // 1000 AS doc_id, unit % 1000 AS page, rank FROM ranked
+UNION ALL SELECT k.qid, k.doc_id, 1, {RANKED + 1} FROM kdocs k JOIN counted c USING (qid) WHERE c.docs > 1 AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.qid = k.qid AND r.unit // 1000 = k.doc_id)""")
 def hybrid_keyword(t: Inputs) -> DataFrame:
-    """Documents that hold a query's keyword first, then the lexical hits, each once, at most sixty; keyword documents that the cut misses are added."""
-    words = t.table("benchmark").select(F.col("item_id").alias("qid"), F.split_part("text", F.lit(" "), F.lit(3)).alias("word")).where(F.length("word") > 6)
-    keyword = t.table("documents").join(F.broadcast(words), F.contains("text", "word")).select("qid", F.col("doc_id").alias("unit"), F.lit(0).alias("kind"), F.lit(0.0).alias("score"))
-    lexical = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 60).select("qid", "unit", F.lit(1).alias("kind"), "score")
-    once = keyword.union(lexical).groupBy("qid", "unit").agg(F.min("kind").alias("kind"), F.max("score").alias("score"))
-    order = [F.col("kind"), *R.best_first("score", "unit")]
-    cut = R.top_k(once, ["qid"], order, 60)
-    rescued = keyword.select("qid", "unit").join(cut, ["qid", "unit"], "left_anti").withColumn("rank", F.lit(61))
-    return cut.select("qid", "unit", F.col("rank").cast("int").alias("rank")).union(rescued.distinct())
-
-
-@query("WITH " + _duck_bm25(_DOC_UNITS) + f", top AS ({_ranked('scored', 20)}), p AS (SELECT qid, unit AS doc_id, page, score + 0.02 * page AS score FROM top JOIN fx_pages ON unit = doc_id), d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, page) <= 2) SELECT qid, doc_id, page, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) <= 3")
-def retrieve_pages(t: Inputs) -> DataFrame:
-    """Pages for every query: documents by BM25, deeper pages boosted a little, two of a document, three in all."""
-    docs = R.top_k(_scores(t), ["qid"], R.best_first("score", "unit"), 20).select("qid", F.col("unit").alias("doc_id"), "score")
-    pages = docs.join(t.fx("pages").select("doc_id", "page"), "doc_id").withColumn("score", F.col("score") + 0.02 * F.col("page"))
-    per_doc = R.top_k(pages, ["qid", "doc_id"], R.best_first("score", "page"), 2, "a")
-    return R.top_k(per_doc, ["qid"], R.best_first("score", "doc_id", "page"), 3, "b").select("qid", "doc_id", "page", F.round("score", 6).alias("score"))
+    """Pages for every query, those of the documents that hold its keyword first: their chunks by overlap, dealt in turn, then the
+    best other chunks, sixty in all, of which a scorer keeps forty; a keyword document that lost all its pages comes back with the first."""
+    index = index_of(t, "pages")
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("word"))))
+    keyword = t.table("benchmark").select(F.col("item_id").alias("qid"), longest.alias("k")).where(F.col("k.n") >= KEYWORD).select("qid", F.col("k.word").alias("word"))
+    docs = written(containing(t.table("documents"), keyword, "doc_id", "text", "qid", "word"), "keyword-documents")
+    counted = docs.groupBy("qid").agg(F.count("*").alias("docs"))
+    asked = _queries(t).select("qid", F.explode(F.array_distinct("toks")).alias("token"))
+    overlap = index.matches(asked).groupBy("qid", "unit").agg(F.count("*").alias("n"))
+    pages = docs.join(index.lengths.select("unit", F.col("unit.doc_id").alias("doc_id")), "doc_id").join(overlap, ["qid", "unit"], "left")
+    score = F.coalesce("n", F.lit(0)) + F.when(F.col("unit.page") == 1, 4).otherwise(0)
+    turned = R.top_k(pages.withColumn("score", score), ["qid", "doc_id"], [F.col("score").desc(), F.col("unit.page")], max(EACH, ALONE), "turn")
+    turned = turned.join(counted, "qid").where(F.col("turn") <= F.when(F.col("docs") > 1, EACH).otherwise(ALONE))
+    scores = written(index.search(_queries(t), "qid", "toks"), "scores")
+    beside = R.top_k(scores, ["qid"], R.best_first("score", "unit"), BESIDE)
+    place = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), b.alias("b")).alias("place")
+    every = turned.select("qid", "unit", place(0, "turn", F.col("doc_id"))).unionByName(beside.select("qid", "unit", place(1, "rank", F.lit(0).cast("long"))))
+    merged = every.groupBy("qid", "unit").agg(F.min("place").alias("place"))
+    pooled = R.top_k(merged, ["qid"], [F.col("place"), F.col("unit")], POOLED, "before").join(scores, ["qid", "unit"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ranked = written(R.reranked(pooled, "qid", "before", RANKED).select("qid", F.col("unit.doc_id").alias("doc_id"), F.col("unit.page").cast("long").alias("page"), F.col("rank").cast("long").alias("rank")), "ranked")
+    lost = docs.join(counted.where("docs > 1"), "qid").join(ranked, ["qid", "doc_id"], "left_anti")
+    return ranked.unionByName(lost.select("qid", "doc_id", F.lit(1).cast("long").alias("page"), F.lit(RANKED + 1).cast("long").alias("rank")))
 
 
 @query(_DOCS + """, plan AS (SELECT qid, o_orderkey AS doc, page, min(prio) AS prio FROM (SELECT qid, o_orderkey, unnest([date_page - 1, date_page, date_page + 1]) AS page, 0 AS prio FROM hits UNION ALL SELECT qid, o_orderkey, unnest([1, 2, 3]), 1 FROM hits) WHERE page >= 1 GROUP BY ALL)

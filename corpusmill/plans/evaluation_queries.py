@@ -20,12 +20,19 @@ from corpusmill.plans.retrieval_queries import _DOC_UNITS, _duck_bm25, _ranked,
 # -- runs
 
 
-@query("""WITH r AS (SELECT ttft_ms AS v FROM fx_runs WHERE ttft_ms > 0), k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM r)
-SELECT max(n) AS n, round(avg(v), 6) AS mean, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = least(floor(0.95 * n)::BIGINT, n - 1) THEN v END) AS p95, max(v) AS top FROM k""")
+# Prices of a million tokens.
+INPUT_PRICE, OUTPUT_PRICE = 3.0, 15.0
+
+
+@query(f"""WITH levels AS (SELECT false AS overall, answer_type, * EXCLUDE (answer_type) FROM fx_runs UNION ALL SELECT true, NULL, * EXCLUDE (answer_type) FROM fx_runs),
+k AS (SELECT overall, answer_type, ttft_ms AS v, row_number() OVER (PARTITION BY overall, answer_type ORDER BY ttft_ms) - 1 AS i, count(*) OVER (PARTITION BY overall, answer_type) AS n FROM levels WHERE ttft_ms > 0),
+q AS (SELECT overall, answer_type, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = least(floor(0.95 * n)::BIGINT, n - 1) THEN v END) AS p95 FROM k GROUP BY ALL)
+SELECT l.*, p50, p95 FROM (SELECT overall, answer_type, count(*) AS n, count_if(answer IS NULL)::BIGINT AS nulls, round(avg(n_pages), 6) AS pages_per_question, count_if(n_pages = 0)::BIGINT AS without_pages, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  round(avg(CASE WHEN ttft_ms > 0 THEN ttft_ms END), 6) AS mean, max(CASE WHEN ttft_ms > 0 THEN ttft_ms END) AS top, round((sum(input_tokens) * {INPUT_PRICE} + sum(output_tokens) * {OUTPUT_PRICE}) / 1000000, 6) AS cost FROM levels GROUP BY overall, answer_type) l LEFT JOIN q ON q.overall = l.overall AND q.answer_type IS NOT DISTINCT FROM l.answer_type""")
 def run_stats(t: Inputs) -> DataFrame:
-    runs = t.fx("runs").where("ttft_ms > 0")
-    ranks = E.nearest_rank(runs, "ttft_ms", {"p50": 0.5, "p95": 0.95})
-    return runs.agg(F.count("*").alias("n"), F.round(F.avg("ttft_ms"), 6).alias("mean"), F.max("ttft_ms").alias("top")).crossJoin(ranks)
+    """Statistics of a run by type of answer and in all: nulls, pages, times, tokens, cost."""
+    found = E.run_statistics(t.fx("runs"), "answer_type", "ttft_ms", {"p50": 0.5, "p95": 0.95}, INPUT_PRICE, OUTPUT_PRICE)
+    return found.withColumns({c: F.round(c, 6) for c in ("pages_per_question", "mean", "cost")})
 
 
 @query("SELECT model_name, count(*) AS n, round(avg(ttft_ms), 6) AS mean, max(ttft_ms) AS top FROM fx_runs GROUP BY model_name")
@@ -103,13 +110,27 @@ def total_score(t: Inputs) -> DataFrame:
 
 # -- three-class labels
 
-_LABELS = "WITH l AS (SELECT DISTINCT gold AS label FROM fx_nli UNION SELECT DISTINCT prediction FROM fx_nli), m AS (SELECT label, (SELECT count(*) FROM fx_nli WHERE gold = label AND prediction = label)::DOUBLE AS tp, (SELECT count(*) FROM fx_nli WHERE prediction = label) AS claimed, (SELECT count(*) FROM fx_nli WHERE gold = label) AS support FROM l)"
+_LABELS = """WITH n AS (SELECT false AS overall, hyp_key, gold, prediction FROM fx_nli UNION ALL SELECT true, NULL, gold, prediction FROM fx_nli),
+l AS (SELECT overall, hyp_key, gold AS label, 1 AS support, 0 AS claimed, (gold = prediction)::INT AS tp FROM n UNION ALL SELECT overall, hyp_key, prediction, 0, 1, 0 FROM n),
+m AS (SELECT overall, hyp_key, label, sum(support)::BIGINT AS support, sum(claimed) AS claimed, sum(tp)::DOUBLE AS tp FROM l GROUP BY ALL),
+f AS (SELECT overall, hyp_key, label, coalesce(tp / nullif(claimed, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(claimed + support, 0), 0) AS f1, support, tp FROM m)"""
+
+
+def _nli_metrics(t: Inputs) -> DataFrame:
+    return E.class_metrics(t.fx("nli"), "gold", "prediction", "hyp_key")
 
 
-@query(_LABELS + " SELECT label, round(coalesce(tp / nullif(claimed, 0), 0), 6) AS precision, round(coalesce(tp / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(claimed + support, 0), 0), 6) AS f1, support FROM m")
+@query(_LABELS + " SELECT overall, hyp_key, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f")
 def nli_metrics(t: Inputs) -> DataFrame:
+    """Precision, recall and F1 of each label, for every hypothesis and in all."""
     r6 = lambda c: F.round(c, 6).alias(c)
-    return E.class_metrics(t.fx("nli"), "gold", "prediction").select("label", r6("precision"), r6("recall"), r6("f1"), "support")
+    return _nli_metrics(t).select("overall", "hyp_key", "label", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+@query(_LABELS + " SELECT overall, hyp_key, sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(CASE WHEN support > 0 THEN f1 END), 6) AS macro_f1 FROM f GROUP BY overall, hyp_key")
+def nli_summary(t: Inputs) -> DataFrame:
+    """Accuracy and macro F1 for every hypothesis and in all."""
+    return E.class_summary(_nli_metrics(t), "hyp_key").withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1")})
 
 
 @query("SELECT hyp_key, gold, count_if(prediction = 'entailment')::BIGINT AS entailment, count_if(prediction = 'contradiction')::BIGINT AS contradiction, count_if(prediction = 'not_mentioned')::BIGINT AS not_mentioned FROM fx_nli GROUP BY ALL")
@@ -296,11 +317,6 @@ def _boosted(t: Inputs) -> DataFrame:
     return _scored(t).withColumn("score", score)
 
 
-@query(f"SELECT qid, doc, page, round({_BOOST}, 6) AS score FROM ({_SCORED})")
-def page_boosts(t: Inputs) -> DataFrame:
-    return _boosted(t).select("qid", "doc", "page", _r())
-
-
 @query(f"""WITH s AS (SELECT *, max(score) OVER (PARTITION BY qid, doc) AS best, max(CASE WHEN page > 1 THEN score END) OVER (PARTITION BY qid, doc) AS deep FROM ({_SCORED}))
 SELECT qid, doc, page, round(CASE WHEN page = 1 AND score = best AND deep IS NOT NULL AND score - deep < 0.15 THEN deep - 0.001 ELSE score END, 6) AS score FROM s""")
 def title_demotion(t: Inputs) -> DataFrame:

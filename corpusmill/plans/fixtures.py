@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.operators.matching import containing
+from corpusmill.storage import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels")
 
@@ -20,7 +25,52 @@ FROM (SELECT doc_id, text, unnest(range(1, CAST(ceil(len(string_split(text, chr(
 _CASE = "concat('CFI ', CASE WHEN o_orderkey < 100 THEN lpad(CAST(o_orderkey AS STRING), 3, '0') ELSE CAST(o_orderkey AS STRING) END, '/', CAST(year(o_orderdate) AS STRING))"
 _SHORT = "SELECT o_orderkey, concat('CFI ', CAST(o_orderkey AS STRING), '/', CAST(year(o_orderdate) AS STRING)) AS c FROM {orders}"
 
+_TITLE = "concat(upper(substr(p_name, 1, 1)), substr(split_part(p_name, ' ', 1), 2), ' ', upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2), ' ', substr(p_type, 1, 1), lower(substr(p_type, 2)), ' Law')"
+_LAWS = f"""
+SELECT p_partkey AS doc_id, concat(p_name, ' ', lower(p_type), ' law') AS name, {_TITLE} AS title, p_partkey % 12 + 1 AS number, 2004 + p_size % 16 AS year,
+  concat(substr(p_name, 1, 1), substr(split_part(p_name, ' ', 2), 1, 1), lower(substr(p_type, 1, 1)), ' law') AS abbreviation FROM {{part}}"""
+_OF = "concat('DIFC Law No. ', CAST({0}.number AS STRING), ' of ', CAST({0}.year AS STRING))"
+
 BOTH = {
+    "laws": _LAWS,
+    "law_questions": f"""
+SELECT c_custkey AS qid, CASE c_custkey % 10
+   WHEN 0 THEN concat('What does Article 7(2)(b) of the DIFC ', a.title, ' ', CAST(a.year AS STRING), ' say of duties?')
+   WHEN 1 THEN concat('Does the ', a.title, ' or the ', b.title, ' apply under these Regulations?')
+   WHEN 2 THEN concat('What is the official number of the law titled "', upper(a.title), '"?')
+   WHEN 3 THEN concat('Is ', {_OF.format('a')}, ' in force? See ''the ', b.title, '''.')
+   WHEN 4 THEN concat('What do the ', a.abbreviation, ' Art 12 and Article 3 of ', replace(b.name, ' law', ''), ' require?')
+   WHEN 5 THEN concat('What is the date of issue of the ', a.title, ', and which laws does it amend?')
+   WHEN 6 THEN concat('What fine does ', replace(a.name, ' law', ''), ' set for a contravention of Article 7?')
+   WHEN 7 THEN concat('What was the outcome in {{0}}', {_CASE}, ' under these Regulations and the ', a.title, '?')
+   WHEN 8 THEN concat('Which law has the higher award value, the ', a.title, ' or the ', b.title, '? See Article ', CAST(a.number AS STRING), '.')
+   ELSE concat('Where does the ', a.title, ' say ''IT IS HEREBY ORDERED THAT'', and when was it enacted?') END AS question,
+  CASE c_custkey % 10 WHEN 0 THEN 'free_text' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'names' WHEN 5 THEN 'date' WHEN 6 THEN 'number' WHEN 7 THEN 'free_text' WHEN 8 THEN 'name' ELSE 'free_text' END AS answer_type
+FROM {{customer}} JOIN ({_LAWS}) a ON a.doc_id = c_custkey JOIN ({_LAWS}) b ON b.doc_id = c_custkey + 1 JOIN {{orders}} ON o_orderkey = c_custkey""".replace("{0}", ""),
+    "statutes": f"""
+SELECT a.doc_id, n.page, CASE n.page
+   WHEN 1 THEN concat('[DOCUMENT: ', CASE WHEN a.doc_id % 7 = 0 THEN 'Court Case' ELSE 'DIFC Law' END, ' | ', a.title, ']', chr(10), upper(a.title), chr(10), upper({_OF.format('a')}), chr(10), CASE WHEN a.doc_id % 4 = 1 THEN 'The ' || lower(a.title) || 's of old are repealed.' ELSE 'Date of Issue: 1 May 2019' END)
+   WHEN 2 THEN CASE WHEN a.doc_id % 3 = 1 THEN concat('Enactment notice', chr(10), 'This Law is enacted on its commencement.') ELSE concat('CONTENTS', chr(10), 'Article 1 ..... 2', chr(10), 'Article 2 ..... 3', chr(10), '3. Powers ..... 4') END
+   WHEN 3 THEN concat('PART IV', chr(10), 'Article ', CAST(a.doc_id % 9 + 1 AS STRING), ' Scope', chr(10), 'The ', a.title, ' applies to all.', chr(10), '12.', chr(10), 'Powers', chr(10), 'The Registrar acts under Schedule 2 and Article 7(2)(b).', CASE WHEN a.doc_id % 4 = 1 THEN concat(chr(10), 'Date of Issue: 1 May 2019') ELSE '' END)
+   WHEN 4 THEN concat('7. Duties of persons', CASE WHEN a.doc_id % 3 = 0 THEN ' ......... 9' ELSE ' under this Law' END, chr(10), chr(10), '  301. Too Large', chr(10), 'Rule 3', chr(10), 'Section 4A', chr(10), 'Regulation 3.1', chr(10), 'APPENDIX 2', chr(10), 'The DIFC ', b.title, ' ', CAST(b.year AS STRING),
+     ' and RDC 44.8 apply; see CFI ', lpad(CAST(a.doc_id % 100 AS STRING), 3, '0'), '/', CAST(1992 + a.doc_id % 7 AS STRING), ', Consultation Paper No. 3 of 2019 and ', {_OF.format('b')}, '.')
+   WHEN 5 THEN CASE WHEN a.doc_id % 2 = 0 THEN concat('SCHEDULE 2', chr(10), 'CONTRAVENTIONS AND FINES', chr(10), 'A fine of USD 5,000 is due under Article 7.') ELSE concat('SCHEDULE 2', chr(10), 'FORMS', chr(10), 'No money here.') END
+   ELSE CASE WHEN a.doc_id % 7 = 0 THEN concat('The Claimant and the Defendant; judgment of the respondent.', chr(10), '1. The claimant seeks costs.', chr(10), 'IT IS HEREBY ORDERED THAT the appeal is dismissed.') ELSE 'The application is granted. The award is AED 1,000,000.' END END AS text
+FROM ({_LAWS}) a JOIN ({_LAWS}) b ON b.doc_id = CASE WHEN a.doc_id % 50 = 49 THEN a.doc_id ELSE a.doc_id + 1 END CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS n(page)""",
+    "papers": """
+SELECT number, year, doc, CASE doc % 5 WHEN 0 THEN 'Proposed new data protection law.' WHEN 1 THEN 'Employment law and employment regulations.' WHEN 2 THEN 'Insolvency and foundations, and a trust law.' WHEN 3 THEN 'A trust law.' ELSE 'Family office, venture studio.' END AS text
+FROM (SELECT o_orderkey % 40 AS number, year(o_orderdate) AS year, min(o_orderkey) AS doc FROM {orders} GROUP BY o_orderkey % 40, year(o_orderdate)) AS one""",
+    "court_orders": """
+SELECT CASE o_orderkey % 5 WHEN 0 THEN 'court' WHEN 1 THEN 'sct' WHEN 2 THEN 'rules_of_court' WHEN 3 THEN 'dra' ELSE 'court' END AS kind, o_orderkey % 50 AS number, year(o_orderdate) AS year, min(o_orderkey) AS doc FROM {orders} GROUP BY 1, 2, 3""",
+    "paper_questions": """
+SELECT c_custkey AS qid, CASE c_custkey % 7
+   WHEN 0 THEN concat('What does Consultation Paper No. ', CAST(c_custkey % 40 AS STRING), ' of ', CAST(1992 + c_custkey % 9 AS STRING), ' propose?')
+   WHEN 1 THEN concat('What does consultation paper ', CAST(c_custkey % 40 AS STRING), ' say of the new trust law?')
+   WHEN 2 THEN concat('What does Consultation Paper No ', CAST(c_custkey % 40 AS STRING), ' propose?')
+   WHEN 3 THEN 'What does the consultation paper "PROPOSED NEW TRUST LAW" say of insolvency?'
+   WHEN 4 THEN concat('What did DIFC Courts Small Claims Tribunal Order No. ', CAST(c_custkey % 50 AS STRING), ' of ', CAST(1992 + c_custkey % 7 AS STRING), ' change?')
+   WHEN 5 THEN concat('Under the Rules of Court, does Court Order No. ', CAST(c_custkey % 50 AS STRING), ' of ', CAST(1992 + c_custkey % 7 AS STRING), ' or DRA Order No. ', CAST((c_custkey + 3) % 50 AS STRING), ' of ', CAST(1992 + c_custkey % 5 AS STRING), ' apply?')
+   ELSE concat('Do Courts Order No ', CAST(c_custkey % 50 AS STRING), ' of ', CAST(1992 + c_custkey % 7 AS STRING), ' and DIFC Courts Rules of Court Order No. ', CAST((c_custkey + 2) % 50 AS STRING), ' of ', CAST(1993 + c_custkey % 6 AS STRING), ' differ?') END AS question FROM {customer}""",
     "case_docs": f"""
 SELECT {_CASE} AS case_id,
        o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
@@ -57,7 +107,8 @@ SELECT event_id AS qid,
   CASE event_type WHEN 'view' THEN 'boolean' WHEN 'click' THEN 'number' WHEN 'signup' THEN 'date' WHEN 'purchase' THEN 'name' ELSE 'free_text' END AS answer_type,
   CASE user_id % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'llm' ELSE 'rule-based' END AS model_name,
   CAST(floor(abs(value) * 10) AS INT) AS ttft_ms, CAST(floor(abs(value) * 10) AS INT) + CAST(user_id % 50 AS INT) AS total_time_ms,
-  CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS answer, CAST(user_id % 4 AS INT) AS n_pages
+  CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS answer, CAST(user_id % 4 AS INT) AS n_pages,
+  CAST(100 + user_id % 400 AS INT) AS input_tokens, CAST(user_id % 90 AS INT) AS output_tokens
 FROM {events}""",
     "nli": """
 SELECT l.doc_id, d.lang AS hyp_key,
@@ -96,6 +147,10 @@ FROM {events}""",
 }
 
 
+#: Tables that several queries of an application read, by folder and name: the first one writes them.
+_ONCE: dict[tuple, DataFrame] = {}
+
+
 class Inputs:
     """The tables of one directory and the views over them, as DataFrames."""
 
@@ -111,7 +166,18 @@ class Inputs:
         known = {n: self.fx(n[3:]) if n.startswith("fx_") else self.table(n) for n in names}
         return self.spark.sql(text, **known, **frames)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written by the first query that asks for it."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir, name
+        if key not in _ONCE:
+            _ONCE[key] = written(make(), name)
+        return _ONCE[key]
+
     def fx(self, name: str) -> DataFrame:
+        if name == "queries":  # found by n-grams, not by comparing every pair
+            items = self.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+            gold = containing(self.table("documents"), items, "doc_id", "text", "qid", "query")
+            return items.join(gold.withColumnRenamed("doc_id", "gold_doc_id"), "qid", "left")
         return self.sql(PAGES_SPARK if name == "pages" else BOTH[name])
 
 

@@ -14,11 +14,6 @@ from corpusmill.plans.registry import query
 _KEYS = rf"list_transform(regexp_extract_all(text, '{P.ARTICLE}', 1), lambda x: 'article_' || x) || list_transform(regexp_extract_all(text, '{P.SCHEDULE}', 1), lambda x: 'schedule_' || x) || list_transform(regexp_extract_all(text, '{P.PART}', 1), lambda x: 'part_' || x) || list_transform(regexp_extract_all(text, '{P.APPENDIX}', 1), lambda x: 'appendix_' || x)"
 
 
-@query(f"SELECT DISTINCT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text")
-def article_pages(t: Inputs) -> DataFrame:
-    return X.article_pages(t.fx("legal_text")).select("doc_id", "page", "key")
-
-
 @query(r"SELECT DISTINCT n, CASE WHEN n % 3 = 0 THEN 'article_' || n || '_sub_1' WHEN n % 3 = 1 THEN 'schedule_' || n ELSE 'article_' || n END AS key FROM (SELECT l_partkey AS n FROM lineitem)")
 def heading_key(t: Inputs) -> DataFrame:
     n = F.col("n").cast("string")
@@ -102,14 +97,6 @@ def title_fragments(t: Inputs) -> DataFrame:
 _REFS = " UNION ".join(rf"SELECT doc_id, page, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS context FROM fx_legal_text" for k, p in (("article", P.ARTICLE), ("schedule", P.SCHEDULE), ("law", P.LAW_NUMBER), ("case", P.CASE_ID)))
 
 
-@query(f"""WITH r AS ({_REFS}), a AS (SELECT doc_id, key, min(page) AS target FROM (SELECT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY ALL),
-k AS (SELECT doc_id, page, type, context, unnest({_KEYS.replace('text', 'context')}) AS key FROM r WHERE type IN ('article', 'schedule'))
-SELECT DISTINCT k.doc_id, k.page, k.type, k.context, a.target FROM k JOIN a USING (doc_id, key) WHERE a.target <> k.page""")
-def xref_edges(t: Inputs) -> DataFrame:
-    """References to an article or schedule whose first page in the same document is another one."""
-    return X.cross_references(t.fx("legal_text"))
-
-
 @query(f"SELECT doc_id, page, type, context FROM ({_REFS})")
 def xref_dedup(t: Inputs) -> DataFrame:
     return X.references(t.fx("legal_text"))

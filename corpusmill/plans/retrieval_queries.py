@@ -32,7 +32,7 @@ _REFERENCES = " || ".join(
 _INDEXED = f"({_TOKENS} || {_REFERENCES})"
 
 
-def _duck_bm25(units: str, p: str = "") -> str:
+def _duck_bm25(units: str, p: str = "", asked: str = "SELECT item_id AS qid, text FROM benchmark") -> str:
     """CTEs up to ``scored`` (qid, unit, score) over ``units`` (unit, text), their names after ``p``."""
     return f"""
 {p}units AS ({units}),
@@ -41,7 +41,7 @@ def _duck_bm25(units: str, p: str = "") -> str:
 {p}totals AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avg_dl FROM {p}unit_tokens),
 {p}df AS (SELECT token, count(*)::DOUBLE AS df FROM {p}tf GROUP BY token),
 {p}weights AS (SELECT unit, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avg_dl))) AS weight FROM {p}tf JOIN {p}df USING (token) CROSS JOIN {p}totals),
-{p}asked AS (SELECT qid, token, count(*) AS times FROM (SELECT item_id AS qid, unnest({_INDEXED}) AS token FROM benchmark) GROUP BY qid, token),
+{p}asked AS (SELECT qid, token, count(*) AS times FROM (SELECT qid, unnest({_INDEXED}) AS token FROM ({asked})) GROUP BY qid, token),
 {p}scored AS (SELECT qid, unit, sum(weight * times) AS score FROM {p}asked JOIN {p}weights USING (token) GROUP BY qid, unit)"""
 
 
@@ -58,10 +58,10 @@ _WRITTEN: dict[tuple, LexicalIndex] = {}
 
 
 def index_of(t: Inputs, kind: str) -> LexicalIndex:
-    """The stored index of ``documents`` (unit: doc_id) or ``pages`` (unit: doc_id and page)."""
+    """The stored index of ``documents`` (unit: doc_id), or of ``pages`` or ``statutes`` (unit: doc_id and page)."""
     key = t.spark.sparkContext.applicationId, t.sf_dir, kind
     if key not in _WRITTEN:
-        units = _docs(t) if kind == "documents" else _pages(t)
+        units = _docs(t) if kind == "documents" else t.fx(kind).select(F.struct("doc_id", "page").alias("unit"), "text")
         _WRITTEN[key] = LexicalIndex.write(units.select("unit", T.index_tokens(F.col("text")).alias("toks")), "unit", "toks")
     return _WRITTEN[key]
 
@@ -317,24 +317,3 @@ SELECT qid, doc_id FROM hits QUALIFY in_year OR NOT bool_or(in_year) OVER (PARTI
 def keyword_docs(t: Inputs) -> DataFrame:
     """Documents that hold a question's case or law number, those of its years if there are any."""
     return R.identifier_docs(t.sql(_KEYED + "{nation}"), t.fx("legal_text").select("doc_id", "text"))
-
-
-@query("""SELECT doc_id, page, 10 * len(regexp_extract_all(lower(text), '\\bschedule\\b')) + (length(text) - length(replace(lower(text), 'law', ''))) // 3
-  * (CASE WHEN contains(lower(left(text, 200)), 'difc law') THEN 1000 ELSE 1 END) AS score, left(md5(text), 6) AS k FROM fx_legal_text""")
-def law_name_score(t: Inputs) -> DataFrame:
-    """Pages by mentions of a law: whole words count ten, mentions near the start far more."""
-    low = F.lower(F.col("text"))
-    whole, loose = F.regexp_count(low, F.lit(r"\bschedule\b")), F.floor((F.length("text") - F.length(F.replace(low, F.lit("law"), F.lit("")))) / 3)
-    early = F.when(F.contains(F.lower(F.substring("text", 1, 200)), F.lit("difc law")), 1000).otherwise(1)
-    return t.fx("legal_text").select("doc_id", "page", (10 * whole + loose * early).cast("long").alias("score"), F.substring(F.md5(F.col("text").cast("binary")), 1, 6).alias("k"))
-
-
-@query(f"""WITH c AS (SELECT doc_id, page, md5(text) AS k, 3 * len(regexp_extract_all(text, '(?i)article 7\\('))::INT + (CASE WHEN page = 1 THEN 4 ELSE 0 END) + (CASE WHEN contains(text, 'ORDERED') THEN 7 ELSE 0 END)
-  - (CASE WHEN contains(text, 'Schedule 3') THEN 2 ELSE 0 END) AS score FROM fx_legal_text)
-SELECT doc_id, page, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, k) <= 25""")
-def prescore(t: Inputs) -> DataFrame:
-    """Chunks by references, first page, disposition marks and a schedule penalty, the best 25 of each document."""
-    x = F.col("text")
-    score = 3 * F.regexp_count(x, F.lit(r"(?i)article 7\(")) + F.when(F.col("page") == 1, 4).otherwise(0) + F.when(F.contains(x, F.lit("ORDERED")), 7).otherwise(0) - F.when(F.contains(x, F.lit("Schedule 3")), 2).otherwise(0)
-    scored = t.fx("legal_text").select("doc_id", "page", F.md5(x.cast("binary")).alias("k"), score.alias("score"))
-    return R.top_k(scored, ["doc_id"], [F.col("score").desc(), F.col("page"), F.col("k")], 25).select("doc_id", "page", "score")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions import text as T
 from corpusmill.operators import lookups as L
+from corpusmill.operators.matching import containing
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import ORACLES, query
 
@@ -35,41 +36,6 @@ def route_cases(t: Inputs) -> DataFrame:
     return _hits(t).select("qid", "case_id", "doc_ord", F.col("o_orderkey").alias("doc"))
 
 
-_LAWS = [("employment law", 101), ("operating law", 102), ("trust law", 103), ("data protection law", 104)]
-_LAW_SQL = "laws(name, doc) AS (VALUES " + ", ".join(map(str, _LAWS)) + ")"
-
-
-def _laws(t: Inputs) -> DataFrame:
-    return F.broadcast(t.spark.createDataFrame(_LAWS, "name string, doc int"))
-
-
-_REGULATED = "CASE WHEN qid % 3 = 0 THEN concat(question, ' Answer under these Regulations.') ELSE question END"
-
-
-@query(f"WITH {_LAW_SQL}, q AS (SELECT qid, {_REGULATED} AS question FROM fx_results) SELECT qid, name, doc FROM q JOIN laws ON contains(lower(question), name) WHERE NOT (regexp_matches(question, '{P.THESE_REGULATIONS}') AND NOT regexp_matches(question, '{P.CASE_ID}'))")
-def route_laws(t: Inputs) -> DataFrame:
-    return L.law_routes(t.fx("results").select("qid", F.expr(_REGULATED).alias("question")), _laws(t))
-
-
-@query(f"WITH {_LAW_SQL} SELECT qid, name FROM fx_questions JOIN laws ON contains(lower(regexp_replace(question, '[\"'']', '', 'g')), name) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) <= 2")
-def extract_law_names(t: Inputs) -> DataFrame:
-    from corpusmill.operators.retrieval import top_k
-
-    bare = F.lower(F.regexp_replace("question", "[\"']", ""))
-    hits = t.fx("questions").join(_laws(t), F.contains(bare, F.col("name"))).select("qid", "name")
-    return top_k(hits, ["qid"], [F.length("name").desc(), F.col("name")], 2).select("qid", "name")
-
-
-@query(rf"""WITH pages AS (SELECT 'article_' || regexp_extract(text, '(?i)Article\s+(\d+)', 1) AS key, doc_id % 50 AS doc, min(page) AS page FROM fx_legal_text GROUP BY ALL),
-q AS (SELECT qid, 'article_' || regexp_extract(question, '(?i)Article\s+(\d+)', 1) AS key, qid % 50 AS doc FROM fx_questions WHERE contains(question, 'Article'))
-SELECT qid, doc, page FROM q JOIN pages USING (key, doc)""")
-def route_article_page(t: Inputs) -> DataFrame:
-    key = lambda c: F.concat(F.lit("article_"), F.regexp_extract(c, r"(?i)Article\s+(\d+)", 1))
-    pages = t.fx("legal_text").groupBy(key("text").alias("key"), (F.col("doc_id") % 50).alias("doc")).agg(F.min("page").alias("page"))
-    asked = t.fx("questions").where(F.contains("question", F.lit("Article"))).select("qid", key("question").alias("key"), (F.col("qid") % 50).alias("doc"))
-    return asked.join(pages, ["key", "doc"]).select("qid", "doc", "page")
-
-
 _KINDS = "CASE " + " ".join("WHEN regexp_matches(question, '(?i)" + "|".join(f"(?:{p})" for p in ps) + f"') THEN '{k}'" for k, ps in P.METADATA.items()) + " END"
 
 
@@ -86,11 +52,6 @@ def route_page_refs(t: Inputs) -> DataFrame:
     return t.fx("results").select("qid", T.page_override(F.col("question"), F.col("pages"), F.contains("question", F.lit("Law"))).alias("page"))
 
 
-@query(f"WITH {_ASKED} SELECT qid, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) >= 2 AS cross_case FROM asked GROUP BY qid")
-def route(t: Inputs) -> DataFrame:
-    return _asked(t).groupBy("qid").agg(F.count_distinct("case_id").alias("n_cases")).withColumn("cross_case", F.col("n_cases") >= 2)
-
-
 @query(_DOCS + """, r AS (SELECT q.qid, q.answer_type, count(h.doc_ord) > 0 AS routed, count(DISTINCT h.case_id) >= 2 AS cross_case FROM fx_questions q LEFT JOIN hits h ON q.qid = h.qid GROUP BY ALL)
 SELECT count(*) AS n, count_if(routed)::BIGINT AS routed, count_if(cross_case)::BIGINT AS cross_case, round(count_if(routed) / count(*), 6) AS share FROM r""")
 def routing_coverage(t: Inputs) -> DataFrame:
@@ -224,7 +185,7 @@ def oracle_fuzzy_case(t: Inputs) -> DataFrame:
     """The first known case that contains a partial number; the partial numbers are a stated query set."""
     keys = t.fx("case_docs").select("case_id").distinct()
     parts = t.table("nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("CFI 0"), F.col("n_nationkey").cast("string")).alias("part"))
-    return keys.join(F.broadcast(parts), F.contains("case_id", "part")).groupBy("qid").agg(F.min("case_id").alias("case_id"))
+    return containing(keys.withColumn("key", F.col("case_id")), parts, "case_id", "key", "qid", "part").groupBy("qid").agg(F.min("case_id").alias("case_id"))
 
 
 @query(_DOCS + " SELECT qid, case_id, doc_ord, coalesce(CASE WHEN contains(question, 'Date') THEN date_page END, 1) AS page FROM hits QUALIFY row_number() OVER (PARTITION BY qid, case_id ORDER BY doc_ord) <= 2")
