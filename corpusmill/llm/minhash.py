@@ -83,11 +83,13 @@ def with_next(rows: DataFrame, runs: int, order: list[str], column: str, out: st
     w = Window.partitionBy("run").orderBy(*order)
     placed = rows.withColumns({"_before": F.lag(column).over(w), "_number": F.row_number().over(w)})
     last = rows.groupBy("run").agg(F.max(order[0]).alias("_last")).withColumnRenamed("run", "_run")  # one row for each run
-    ends = rows.join(F.broadcast(last), (F.col("run") == F.col("_run")) & F.col(order[0]).eqNullSafe(F.col("_last")))
+    # one key of both: from two equalities the optimizer infers a filter on ``_last`` out of what ``run`` is made of, and that filter can be wrong
+    key = lambda run, place: F.struct(F.col(run).alias("run"), F.col(place).alias("place"))
+    ends = rows.join(F.broadcast(last), key("run", order[0]).eqNullSafe(key("_run", "_last")))
     ends = ends.groupBy("run").agg(F.max_by(column, F.struct(*order)).alias("_end"))
-    ends = ends.select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), "_end")
-    found = placed.join(ends, (F.col("run") == F.col("_run")) & (F.col("_number") == 1), "left")
-    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_run", "_end").withColumnRenamed("_number", "number")
+    ends = ends.select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), F.lit(1).alias("_first"), "_end")
+    found = placed.join(ends, key("run", "_number").eqNullSafe(key("_run", "_first")), "left")
+    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_run", "_first", "_end").withColumnRenamed("_number", "number")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

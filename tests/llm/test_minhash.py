@@ -111,3 +111,23 @@ def test_short_texts(spark):
     for size in (1, 2, 4, 8, 12, 16):
         own = [e for n, e in errors if n == size]
         assert abs(sum(own)) / len(own) < 0.05, (size, sum(own) / len(own))
+
+
+def test_fresh_sessions():
+    """The result does not hang on how many columns a session has made before."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+from corpusmill.session import local_session
+from corpusmill.llm.queries import QUERIES
+s = local_session(2, "fresh")
+for _ in range(int(sys.argv[1])):
+    s.range(1)
+found = QUERIES["op4_fingerprints"](s, "/root/testdata/sf0.001")
+print("rows", found.count())
+"""
+    for made in (0, 1, 5):
+        done = subprocess.run([sys.executable, "-c", code, str(made)], capture_output=True, text=True, timeout=300)
+        assert "rows 200" in done.stdout, done.stderr[-2000:]
