@@ -205,7 +205,7 @@ def pooled(model: Model, texts: list[bytes], steps: int = STEPS, batch: int = 20
 def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, windows_per_doc: int = WINDOWS_PER_DOC) -> list[tuple[str, list[bytes]]]:
     """(lang, windows) of at most ``per_language`` documents of each language that are not held out, the same ones at any partitioning.
 
-    Ids are chosen first, by the smallest hashes, from narrow rows. Languages are counted before that, so that only rows
+    Documents are chosen first, by the smallest hashes of id and text, from narrow rows; repeated rows are one. Different ones are counted before that, so that only rows
     whose hash lies in the lowest part of the range, where ``SPARE`` times as many as are asked for (and a hundred) are expected, are ranked:
     what a language's task ranks does not grow with the corpus. Of the
     chosen ones at most ``windows_per_doc`` windows of bytes, spread evenly over the whole text, reach
@@ -213,7 +213,8 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_
     """
     usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("_n")).limit(max_languages + 1).collect()
+    usable = usable.withColumn("_h", F.xxhash64("doc_id", "text"))  # of both: ids may repeat
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages cannot be learned")
     if not counts:
@@ -221,9 +222,9 @@ def training_sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_
     share = lambda n: min(1.0, (SPARE * per_language + 100) / n)
     below = {r["lang"]: -(2.0**63) + share(r["_n"]) * 2.0**64 for r in counts}
     lowest = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
-    order = (F.xxhash64("doc_id"), "doc_id", "_t")
+    order = ("_h", "doc_id", "_t")
     w = Window.partitionBy("lang").orderBy(*order)
-    narrow = usable.where(F.xxhash64("doc_id").cast("double") <= F.element_at(lowest, F.col("lang"))).select("doc_id", "lang", F.xxhash64("text").alias("_t"))
+    narrow = usable.where(F.col("_h").cast("double") <= F.element_at(lowest, F.col("lang"))).select("doc_id", "lang", "_h", F.xxhash64("text").alias("_t")).distinct()
     chosen = narrow.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_language).select("doc_id", "lang", "_t").distinct()
     own = usable.withColumn("_t", F.xxhash64("text"))
     rows = own.join(F.broadcast(chosen), ["doc_id", "lang", "_t"]).select("doc_id", "lang", "_t", F.encode("text", "UTF-8").alias("bytes"))
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     base = docs.drop("lang_pred", "score")
     if model is None:
         return base.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), base.columns.index("text")
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in base.columns].index("text")
     letters = base.withColumn(fresh("letters", base.columns), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):

@@ -39,7 +39,7 @@ from corpusmill.llm.components import forest, least_labels
 GOLAY = 0b110001110101
 SHINGLE, BITS, SEED = 4, 4, 42
 #: For similar texts: words of a shingle, cosine of shingle counts, fingerprints of each text, and of how many of these the keys are on disk at once.
-WORDS, SIMILARITY, ROUNDS, AT_ONCE = 5, 0.8, 8, 2
+WORDS, SIMILARITY, ROUNDS, AT_ONCE = 5, 0.8, 12, 2
 #: A bucket is searched by one task up to this many fingerprints; larger ones are cut and all pairs of cuts are searched.
 BUCKET = 20_000
 #: Links that are thinned in one task's memory.
@@ -375,7 +375,9 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bucket: in
     share = acos(similarity) / pi
     words = classes.select("v", F.posexplode(F.array(*names)).alias("round", "fp"))
     first = stored(words.groupBy("round", "fp").agg(F.min("v").alias("first"), F.count("*").alias("n")), "words")
-    met = [links(first.where(F.col("round").between(r, r + AT_ONCE - 1)), int(64 * share), bucket) for r in range(0, len(names), AT_ONCE)]
+    # a key has room for the numbers 0 to 7, so rounds are numbered anew in each part
+    part = lambda r: first.where(F.col("round").between(r, r + AT_ONCE - 1)).withColumn("round", F.col("round") - r)
+    met = [links(part(r), int(64 * share), bucket).withColumn("round", F.col("round") + r) for r in range(0, len(names), AT_ONCE)]
     end = lambda name: first.select("round", F.col("fp").alias(name), F.col("first").alias(f"v{name}"))
     apart = reduce(DataFrame.union, met).join(end("a"), ["round", "a"]).join(end("b"), ["round", "b"]).select("va", "vb")
     same = words.join(first.where("n > 1").select("round", "fp", "first"), ["round", "fp"]).where("v <> first").select("first", "v")

@@ -201,6 +201,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     strings in a text count as one token each, as the library has it. Texts are counted whole at any length; an empty
     table gives no rows.
     """
+    if not 0 < block_docs <= 65_535:
+        raise ValueError("a block has at most 65,535 documents: their places take two bytes")
     spark = docs.sparkSession
     inverted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _inverted(tokenizer, block_docs, block_chars), "pre_token string, block long, postings binary"

@@ -72,7 +72,7 @@ def judge_urls(
     ).first()
 
     # the input row in a struct, so that no name can clash
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     base = urls.select(F.struct(*kept).alias("input") if kept else F.struct(F.lit(0).alias("none")).alias("input"), host(url).alias("host"), path(url).alias("path"))
     told = lambda df, rule, verdict: df.select(*[F.col("input")[c].alias(c) for c in kept], "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     if not shape["n"]:

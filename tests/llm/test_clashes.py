@@ -38,3 +38,12 @@ def test_urls(spark):
         for most in (20_000, 0):
             got = url_filter.judge_urls(urls, table, broadcast_rules=most)
             assert got.count() == 2 and same(got) and set(got.columns) == {"url", *NAMES, "host", "path", "rule", "verdict"}
+
+
+def test_names_in_another_case(spark):
+    urls = spark.createDataFrame([("http://a.com/en/x", 1, 2)], "url string, HOST int, Rule int")
+    got = url_filter.judge_urls(urls, spark.createDataFrame([("block", "com", "/en/")], "verdict string, host string, path string"))
+    assert [(r.host, r.rule, r.verdict) for r in got.select("host", "rule", "verdict").collect()] == [("a.com", "com/en/", "block")]
+    docs = spark.createDataFrame([(i, "der Hund und die Katze und das Haus " + "x" * i, "de") for i in range(6)], "DOC_ID long, Text string, lang string")
+    model = language_id.fit(docs, epochs=1)
+    assert {r.lang_pred for r in language_id.predict(docs, model).collect()} == {"de"}

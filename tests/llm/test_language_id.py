@@ -74,3 +74,11 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, None, 7, 8}
     assert L.fit(docs.where("false")) is None
     assert {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
+
+
+def test_sample_with_repeated_ids(spark):
+    """A language whose texts share one id, and one whose text is repeated, are learned like any other."""
+    for doc_id in (7, 8, 11, 13):
+        rows = [(doc_id, f"der Hund Nummer {i} und die Katze", "de") for i in range(3000)] + [(doc_id, "the same text", "en")] * 3000
+        found = L.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert sum(lang == "de" for lang, _ in found) == 300 and sum(lang == "en" for lang, _ in found) == 1
