@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import partitions, range_bounds, range_bucket, stored
+from corpusmill.llm.common import partitions, range_bounds, stored
 
 SHINGLE, BINS, LOW_BITS = 5, 128, 8
 #: Runs of documents for each shuffle partition: several, so that the tasks are even.
@@ -72,7 +72,11 @@ def _runs(rows: DataFrame) -> tuple[DataFrame, int]:
     bounds = range_bounds(rows, "doc_id", RUNS * partitions(rows.sparkSession))
     if bounds and bounds[0] == rows.agg(F.min("doc_id")).first()[0]:
         bounds = bounds[1:]
-    return rows.withColumn("run", range_bucket("doc_id", bounds)), len(bounds) + 1
+    # the number of bounds at or below the id, without a lambda: the optimizer overlooks columns in one when it infers filters from joins on ``run``
+    after = F.try_add(F.col("doc_id"), F.lit(1).cast("long"))
+    place = F.array_position(F.sort_array(F.array_append(F.array(*[F.lit(b).cast("long") for b in bounds]), after)), after) - 1 if bounds else F.lit(0)
+    run = F.coalesce(place.cast("int"), F.when(F.col("doc_id").isNull(), 0).otherwise(len(bounds)))
+    return rows.withColumn("run", run), len(bounds) + 1
 
 
 def with_next(rows: DataFrame, runs: int, order: list[str], column: str, out: str) -> DataFrame:
@@ -87,9 +91,9 @@ def with_next(rows: DataFrame, runs: int, order: list[str], column: str, out: st
     key = lambda run, place: F.struct(F.col(run).alias("run"), F.col(place).alias("place"))
     ends = rows.join(F.broadcast(last), key("run", order[0]).eqNullSafe(key("_run", "_last")))
     ends = ends.groupBy("run").agg(F.max_by(column, F.struct(*order)).alias("_end"))
-    ends = ends.select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), F.lit(1).alias("_first"), "_end")
-    found = placed.join(ends, key("run", "_number").eqNullSafe(key("_run", "_first")), "left")
-    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_run", "_first", "_end").withColumnRenamed("_number", "number")
+    ends = ends.select(F.pmod(F.col("run") + 1, F.lit(runs)).alias("_run"), "_end")
+    found = placed.join(ends, (F.col("run") == F.col("_run")) & (F.col("_number") == 1), "left")
+    return found.withColumn(out, F.when(F.col("_number") == 1, F.col("_end")).otherwise(F.col("_before"))).drop("_before", "_run", "_end").withColumnRenamed("_number", "number")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
