@@ -121,6 +121,26 @@ def prescored(questions: DataFrame, chunks: DataFrame, pairs: DataFrame, k: int
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _first(order: list[Column], *by: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
+def _best() -> list[Column]:
+    return [F.round("score", 9).desc(), F.col("doc_id"), F.col("page")]
+
+
+def asked_twice(targeted: DataFrame, limits: DataFrame, search: Callable[[DataFrame], DataFrame], each: int = 1, least: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """((qid, doc_id, page, score), (qid, lost)): the pages of both steps of ``retrieved``, and which questions were asked again, ``lost`` ones for want of any page."""
+    per_doc = lambda df: df.withColumn("n", _first(_best(), "qid", "doc_id")).where(F.col("n") <= each).drop("n")
+    best = per_doc(targeted).withColumn("n", _first(_best(), "qid")).join(limits, "qid").where("n <= most").select("qid", "doc_id", "page", "score")
+    best = written(best, "targeted")
+    top = best.groupBy("qid").agg(F.max("score").alias("top"))
+    weak = limits.join(top, "qid", "left").where((F.col("top") < least) | F.col("top").isNull()).select("qid", F.col("top").isNull().alias("lost"))
+    again = per_doc(search(weak.select("qid"))).withColumn("n", _first(_best(), "qid"))
+    again = again.join(weak, "qid").where("lost or n = 1").select("qid", "doc_id", "page", "score")
+    return best.unionByName(again).groupBy("qid", "doc_id", "page").agg(F.max("score").alias("score")), weak
+
+
 def retrieved(targeted: DataFrame, limits: DataFrame, search: Callable[[DataFrame], DataFrame], each: int = 1, least: float = 0.4) -> DataFrame:
     """(qid, doc_id, page, score, rank): the pages of each question of ``limits`` (qid, most), in two steps.
 
@@ -128,14 +148,5 @@ def retrieved(targeted: DataFrame, limits: DataFrame, search: Callable[[DataFram
     stays under ``least``, or that have none, are asked again over the whole corpus: ``search`` gives pages (qid, doc_id,
     page, score) for (qid). A question that had pages gets one more, another as many as its limit; of a page found twice the better score counts.
     """
-    order = [F.round("score", 9).desc(), F.col("doc_id"), F.col("page")]
-    number = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    cut = lambda df: number(df, "qid").join(limits, "qid").where("n <= most").drop("most")
-    best = cut(number(targeted, "qid", "doc_id").where(F.col("n") <= each).drop("n")).drop("n")
-    best = written(best, "targeted")
-    top = best.groupBy("qid").agg(F.max("score").alias("top"))
-    weak = limits.join(top, "qid", "left").where((F.col("top") < least) | F.col("top").isNull()).select("qid", F.col("top").isNull().alias("lost"))
-    again = number(search(weak.select("qid")), "qid", "doc_id").where(F.col("n") <= each).drop("n")
-    again = number(again, "qid").join(weak, "qid").where("lost or n = 1").select("qid", "doc_id", "page", "score")
-    both = best.select("qid", "doc_id", "page", "score").unionByName(again).groupBy("qid", "doc_id", "page").agg(F.max("score").alias("score"))
-    return cut(both).withColumnRenamed("n", "rank")
+    both, _ = asked_twice(targeted, limits, search, each, least)
+    return both.withColumn("rank", _first(_best(), "qid")).join(limits, "qid").where("rank <= most").drop("most")

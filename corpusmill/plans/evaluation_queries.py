@@ -361,15 +361,6 @@ def fair_select(t: Inputs) -> DataFrame:
     return chosen.select("qid", "doc", "page", F.row_number().over(last).cast("long").alias("position"))
 
 
-@query(f"""WITH s AS (SELECT qid, doc, max(score) AS score FROM ({_SCORED}) GROUP BY ALL), low AS (SELECT qid FROM s GROUP BY qid HAVING max(score) < 0.4), extra AS (SELECT qid, 99 AS doc, 0.2 AS score FROM low)
-SELECT qid, doc, round(max(score), 6) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM extra) GROUP BY ALL""")
-def lowconf_merge(t: Inputs) -> DataFrame:
-    """A question whose best page is weak gets a page from the whole corpus as well."""
-    s = _scored(t).groupBy("qid", "doc").agg(F.max("score").alias("score"))
-    low = s.groupBy("qid").agg(F.max("score").alias("m")).where("m < 0.4").select("qid", F.lit(99).cast("long").alias("doc"), F.lit(0.2).alias("score"))
-    return s.union(low).groupBy("qid", "doc").agg(F.round(F.max("score"), 6).alias("score"))
-
-
 @query(f"""WITH s AS (SELECT qid, doc, page, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) - 1 AS rank FROM ({_SCORED})), p AS (SELECT qid, doc, page, 1.0 / (rank + 1) + 0.02 * page + CASE WHEN page = 2 THEN 0.5 ELSE 0 END AS score FROM s),
 d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY round(score, 9) DESC, page) <= 2) SELECT qid, doc, page, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc, page) <= 3""")
 def fallback_pages(t: Inputs) -> DataFrame:

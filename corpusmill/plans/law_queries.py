@@ -293,14 +293,17 @@ def _corpus_search(t: Inputs):
     return search
 
 
-@query("WITH " + _duck_bm25("SELECT doc_id * 1000 + page AS unit, text FROM fx_statutes", asked="SELECT qid, question AS text FROM fx_law_questions") + f""", {_PAGE_SCORES}, {_LIMITS},
+_TWO_STEPS = "WITH " + _duck_bm25("SELECT doc_id * 1000 + page AS unit, text FROM fx_statutes", asked="SELECT qid, question AS text FROM fx_law_questions") + f""", {_PAGE_SCORES}, {_LIMITS},
 per_doc AS (SELECT * FROM boosted QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, doc_id, page) <= 1),
 best AS (SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) AS n FROM per_doc) p JOIN fx_law_questions USING (qid) JOIN limits USING (answer_type) WHERE n <= most),
 weak AS (SELECT q.qid, max(b.score) IS NULL AS lost FROM fx_law_questions q LEFT JOIN best b ON b.qid = q.qid GROUP BY q.qid HAVING max(b.score) IS NULL OR max(b.score) < 0.4),
 again AS (SELECT qid, unit // 1000 AS doc_id, unit % 1000 AS page, 1.0 / k AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS k FROM scored) WHERE k <= {_AGAIN} AND qid IN (SELECT qid FROM weak)),
 again_doc AS (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, doc_id, page) <= 1),
 again_first AS (SELECT a.* FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) AS n FROM again_doc) a JOIN weak USING (qid) WHERE lost OR n = 1),
-both_steps AS (SELECT qid, doc_id, page, max(score) AS score FROM (SELECT qid, doc_id, page, score FROM best UNION ALL SELECT qid, doc_id, page, score FROM again_first) GROUP BY ALL)
+both_steps AS (SELECT qid, doc_id, page, max(score) AS score FROM (SELECT qid, doc_id, page, score FROM best UNION ALL SELECT qid, doc_id, page, score FROM again_first) GROUP BY ALL)"""
+
+
+@query(_TWO_STEPS + """
 SELECT qid, doc_id, page, round(score, 6) AS score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) AS n FROM both_steps) JOIN fx_law_questions USING (qid) JOIN limits USING (answer_type) WHERE n <= most""")
 def retrieve_pages(t: Inputs) -> DataFrame:
     """Pages for every question: those of the laws it names, by type of answer; weak and unrouted questions are asked again over all pages."""
@@ -308,6 +311,13 @@ def retrieve_pages(t: Inputs) -> DataFrame:
     return found.select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_TWO_STEPS + " SELECT qid, doc_id, page, round(score, 6) AS score FROM both_steps WHERE qid IN (SELECT qid FROM weak WHERE NOT lost)")
+def lowconf_merge(t: Inputs) -> DataFrame:
+    """A question whose best page is weak: its pages and one of the whole corpus, of a page found twice the better score."""
+    both, weak = G.asked_twice(_boosted(t), _limits(t), _corpus_search(t))
+    return both.join(weak.where("not lost"), "qid", "left_semi").select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.round("score", 6).alias("score"))
+
+
 # -- papers and orders
 
 _TOPIC = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {_any(f'lower({x})', words)} THEN '{topic}' END" for topic, words in W.PAPER_TOPICS.items()) + "], lambda z: z IS NOT NULL)"
