@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.order import running_total
+from corpusmill.functions import answers as A
 
 
 def precision_recall(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
@@ -24,6 +24,59 @@ def f_beta(precision: Column, recall: Column, beta: float = 2.5) -> Column:
     return F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0))
 
 
+def found_gold(questions: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, hit): whether any of a question's ``gold`` (qid, unit) is among the ``found`` (qid, unit); null for a question (qid) without gold."""
+    held = found.select("qid", "unit").distinct().withColumn("held", F.lit(True))
+    hits = gold.join(held, ["qid", "unit"], "left").groupBy("qid").agg(F.bool_or(F.coalesce("held", F.lit(False))).alias("hit"))
+    return questions.select("qid").join(hits, "qid", "left")
+
+
+def reranked_gold(questions: DataFrame, gold: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(qid, hit, dropped): whether a question's gold is still there after a second scorer, and whether that scorer lost it."""
+    had = found_gold(questions, gold, before).withColumnRenamed("hit", "had")
+    return found_gold(questions, gold, after).join(had, "qid").select("qid", "hit", (F.col("had") & ~F.col("hit")).alias("dropped"))
+
+
+def relevant_citations(answers: DataFrame) -> DataFrame:
+    """(qid, has_relevant, deflected, n_cited, precision, recall, f1, raf) of ``answers`` (qid, response, relevant: a flag for each passage).
+
+    ``raf``: without a relevant passage one for declining and nothing for an answer; else nothing for declining or citing nothing, and the
+    share of relevant ones among the cited passages."""
+    relevant = F.filter(F.transform("relevant", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    rows = answers.select("qid", relevant.alias("gold"), A.cited(F.col("response"), F.size("relevant")).alias("cited"), A.is_deflection(F.col("response")).alias("deflected"))
+    p, r, f1 = precision_recall(F.col("cited"), F.col("gold"))
+    has, n = F.size("gold") > 0, F.size("cited")
+    raf = F.when(~has, F.col("deflected").cast("double")).when(F.col("deflected") | (n == 0), 0.0).otherwise(p)
+    return rows.select("qid", has.alias("has_relevant"), "deflected", n.alias("n_cited"), p.alias("precision"), r.alias("recall"), f1.alias("f1"), raf.alias("raf"))
+
+
+def citation_summary(scores: DataFrame) -> DataFrame:
+    """One row of the means of ``relevant_citations``; ``eligibility``: answers that cite, ``true_rate`` and ``false_rate``: declined
+    questions, of those with and without relevant passages; nothing where there are none."""
+    has, declined = F.col("has_relevant"), F.col("deflected").cast("int")
+    share = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    means = [F.avg(c).alias(c) for c in ("raf", "precision", "recall", "f1")]
+    answered = ((F.col("n_cited") > 0) & ~F.col("deflected")).cast("int")
+    return scores.agg(
+        F.count("*").alias("n"), F.count_if(has).alias("with_relevant"), *means, share(F.when(has, answered)).alias("eligibility"),
+        share(F.when(~has, declined)).alias("true_rate"), share(F.when(has, declined)).alias("false_rate"),
+    )
+
+
+# Weights of exact and of free answers.
+EXACT, FREE = 0.7, 0.3
+
+
+def total_score(graded: DataFrame) -> DataFrame:
+    """(exact, free, grounding, telemetry, speed, total) of ``graded`` (answer_type, quality, grounding, telemetry, speed: numbers for each question).
+
+    Exact and free answers are weighted by their mean qualities (one without questions counts nothing), and the sum is multiplied by the means of the other three."""
+    free = F.col("answer_type") == "free_text"
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    parts = graded.agg(mean(F.when(~free, F.col("quality"))).alias("exact"), mean(F.when(free, F.col("quality"))).alias("free"), *[mean(c).alias(c) for c in ("grounding", "telemetry", "speed")])
+    return parts.withColumn("total", (EXACT * F.col("exact") + FREE * F.col("free")) * F.col("grounding") * F.col("telemetry") * F.col("speed"))
+
+
 def class_metrics(pairs: DataFrame, gold: str, predicted: str, by: str) -> DataFrame:
     """(overall, by, label, precision, recall, f1, support): every label for each ``by`` and, where ``overall`` (``by`` is null there), for all rows.
 
@@ -68,15 +121,6 @@ def run_statistics(runs: DataFrame, by: str, value: str, shares: dict[str, float
     return totals.join(ranks, same, "left").select(*[totals[c] for c in totals.columns], *shares, cost.alias("cost"))
 
 
-def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles of an integer ``value``: the one at the zero-based rank ``min(int(share * n), n - 1)``. Values are counted
-    first, and the counts are added up in runs of values, so no task sees them all."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ranked = running_total(counted, value, amount=F.col("c"), out="end").crossJoin(F.broadcast(counted.agg(F.sum("c").alias("n"))))
-    at = lambda share: F.least(F.floor(share * F.col("n")), F.col("n") - 1)
-    return ranked.agg(*[F.min(F.when(F.col("end") > at(share), F.col(value))).alias(name) for name, share in shares.items()])
-
-
 def merged_spans(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Overlapping or touching half-open spans of a group as one (gaps and islands)."""
     w = Window.partitionBy(*by).orderBy(start, end)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
+from corpusmill.functions import text as T
 from corpusmill.functions.text import article_keys, contains_any, found
+from corpusmill.operators.matching import containing
 
 
 def article_pages(pages: DataFrame) -> DataFrame:
@@ -15,12 +17,148 @@ def article_pages(pages: DataFrame) -> DataFrame:
     return pages.where(~toc).select("doc_id", "page", F.explode(article_keys(F.col("text"))).alias("key")).distinct()
 
 
+# The parts that a heading may name, and how each is numbered.
+HEADING_NUMBERS = {
+    "article": r"\d+[A-Z]?(?:\(\d+\))?", "section": r"\d+[A-Z]?", "rule": r"\d+[A-Z]?", "regulation": r"\d+(?:\.\d+)?", "schedule": r"\d+",
+    "part": r"[\dIVXL]+", "appendix": r"\d+", "chapter": r"[\dIVXL]+",
+}
+
+
 def heading_key(heading: Column) -> Column:
-    """The index key of a heading: ``Article 5(1)`` is ``article_5_sub_1``."""
-    kind = F.lower(F.regexp_extract(heading, r"(?i)^(Article|Section|Rule|Regulation|Schedule|Part|Appendix|Chapter)\s+\w+", 1))
-    number = F.regexp_extract(heading, r"(?i)^\w+\s+(\d+[A-Za-z]?(?:\.\d+)?|[IVXLivxl]+)", 1)
-    sub = F.regexp_extract(heading, r"(?i)^Article\s+\d+\((\d+)\)", 1)
-    return F.when((kind != "") & (number != ""), F.concat(kind, F.lit("_"), number, F.when(sub != "", F.concat(F.lit("_sub_"), sub)).otherwise("")))
+    """The index key of a heading: ``Article 5(1)`` is ``article_5_sub_1``, ``PART iv`` is ``part_iv``; null for any other heading."""
+    keys = []
+    for kind, number in HEADING_NUMBERS.items():
+        n = F.regexp_extract(F.trim(heading), rf"(?i)^{kind}\s+({number})", 1)
+        keys.append(F.when(n != "", F.concat(F.lit(kind + "_"), F.regexp_replace(n, r"^(\d+)\((\d+)\)$", "$1_sub_$2"))))
+    return F.coalesce(*keys)
+
+
+def document_entries(pages: DataFrame, headings: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc_id, kind, page_count, n_keys, order_pages, date_page, preamble_pages): the index entry of each document of ``pages`` (doc_id, page, text).
+
+    ``headings`` (doc_id, key, page), ``kinds`` (doc_id, kind). A CASE has its order pages (ascending, perhaps none) and the page of its date of issue; a LAW or REGULATION has page one as its preamble."""
+    sizes = pages.groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    keys = headings.groupBy("doc_id").agg(F.count_distinct("key").alias("n_keys"))
+    court = kinds.where("kind = 'CASE'").select("doc_id")
+    cases = pages.join(court, "doc_id", "left_semi")
+    orders = order_pages(cases).groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("orders"))
+    dated = date_page(cases).withColumnRenamed("page", "date_page")
+    rows = sizes.join(kinds, "doc_id").join(keys, "doc_id", "left").join(orders, "doc_id", "left").join(dated, "doc_id", "left")
+    is_case, none = F.col("kind") == "CASE", F.array().cast("array<int>")
+    return rows.select(
+        "doc_id", "kind", "page_count", F.coalesce("n_keys", F.lit(0)).alias("n_keys"), F.when(is_case, F.coalesce(F.col("orders").cast("array<int>"), none)).alias("order_pages"),
+        F.when(is_case, F.col("date_page")).alias("date_page"), F.when(~is_case, F.array(F.lit(1))).alias("preamble_pages"),
+    )
+
+
+def document_kinds(pages: DataFrame) -> DataFrame:
+    """(doc_id, kind): CASE, LAW or REGULATION by the marks of all pages; each page is looked at where it lies."""
+    low = F.lower("text")
+    marks = {"c": P.CASE_SIGNALS, "l": P.LAW_SIGNALS, "r": P.REGULATION_SIGNALS}
+    found_on = [F.max(F.contains(low, F.lit(w)).cast("int")).alias(f"{k}{i}") for k, words in marks.items() for i, w in enumerate(words)]
+    flags = pages.groupBy("doc_id").agg(*found_on)
+    total = {k: sum((F.col(f"{k}{i}") for i in range(1, len(words))), F.col(f"{k}0")) for k, words in marks.items()}
+    kind = F.when(total["c"] >= 3, "CASE").when(total["l"] >= 3, "LAW").when(total["r"] >= 2, "REGULATION").when(total["c"] > total["l"], "CASE").otherwise("LAW")
+    return flags.select("doc_id", kind.alias("kind"))
+
+
+def case_index(metadata: DataFrame) -> DataFrame:
+    """(case_id, doc_id): documents of each case, from ``metadata`` (doc_id, case_id as it was told, first_page).
+
+    The number is brought to its canonical form; where none was told, the first one on the first page counts; documents without either are left out."""
+    told = F.when(F.trim("case_id") != "", T.case_id(F.col("case_id")))
+    read = F.get(T.case_ids(F.col("first_page")), F.lit(0))
+    return metadata.select(F.coalesce(told, read).alias("case_id"), "doc_id").where("case_id is not null")
+
+
+def index_agreement(auto: DataFrame, manual: DataFrame, fields: list[str], parties: list[str]) -> DataFrame:
+    """(what, total, correct): a case index against one made by hand; both have case_id, doc_id, ``fields`` and ``parties`` (arrays of names).
+
+    ``cases``: case numbers of either, and those in both; ``auto_only`` and ``manual_only``: the others; ``doc_counts``: shared cases, and those with as many documents;
+    for each field, over documents that both have in the same case, how often it is equal: nulls agree, names agree as sets in any case."""
+    count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    cases = count(auto, "a").join(count(manual, "m"), "case_id", "full")
+    both = F.col("a").isNotNull() & F.col("m").isNotNull()
+    of_cases = cases.agg(
+        F.struct(F.count("*").alias("total"), F.count_if(both).alias("correct")).alias("cases"), F.struct(F.count_if(F.col("m").isNull()).alias("total"), F.lit(0).cast("long").alias("correct")).alias("auto_only"),
+        F.struct(F.count_if(F.col("a").isNull()).alias("total"), F.lit(0).cast("long").alias("correct")).alias("manual_only"),
+        F.struct(F.count_if(both).alias("total"), F.count_if(both & (F.col("a") == F.col("m"))).alias("correct")).alias("doc_counts"),
+    )
+    names = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x != "")))
+    side = lambda df, p: df.select("case_id", "doc_id", *[F.col(c).alias(p + c) for c in fields], *[names(F.col(c)).alias(p + c) for c in parties])
+    docs = side(auto, "a_").join(side(manual, "m_"), ["case_id", "doc_id"])
+    of_docs = docs.agg(*[F.struct(F.count("*").alias("total"), F.count_if(F.col(f"a_{c}").eqNullSafe(F.col(f"m_{c}"))).alias("correct")).alias(c) for c in [*fields, *parties]])
+    tall = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in df.columns])).alias("r")).select("r.what", "r.n.total", "r.n.correct")
+    return tall(of_cases).unionByName(tall(of_docs))
+
+
+def latest_editions(laws: DataFrame) -> DataFrame:
+    """(key, name, doc_id, year, first): of ``laws`` (doc_id, name, year) the edition with the latest year for each name in lower case, the first document
+    on ties; ``first`` is the document with which the name came up."""
+    best = F.max_by(F.struct("name", "doc_id", "year"), F.struct(F.col("year"), -F.col("doc_id")))
+    return laws.groupBy(F.trim(F.lower("name")).alias("key")).agg(best.alias("b"), F.min("doc_id").alias("first")).select("key", "b.*", "first")
+
+
+def name_variants(editions: DataFrame) -> DataFrame:
+    """(name, doc_id): ways to write the law names of ``latest_editions``: in full, without the year, without ``difc``, without ``law``; longer than three
+    characters. Of two laws with one variant the later one has it."""
+    drop = lambda p: F.regexp_replace("key", p, "")
+    variants = F.array(F.col("key"), drop(r"\s+\d{4}$"), drop(r"^difc\s+"), drop(r"\s+law$"))
+    rows = editions.select(F.posexplode(variants).alias("v", "variant"), "doc_id", "first").where(F.length("variant") > 3)
+    return rows.groupBy(F.col("variant").alias("name")).agg(F.max_by("doc_id", F.struct("first", "v")).alias("doc_id"))
+
+
+# Words that tell a law, in its title and in a question, and words that say nothing of a title.
+LAW_GROUPS = {
+    "employment": (["employment law", "employment rights"], ["employment law", "employment", "difc law no. 2 of 2019"]),
+    "trust": (["trust law", "difc trust"], ["trust law", "difc trust law", "difc law no. 4 of 2018"]),
+    "foundation": (["foundations law", "foundation law"], ["foundations law", "foundation", "difc law no. 3 of 2018"]),
+    "personal property": (["personal property law"], ["personal property law", "difc law no. 9", "personal property"]),
+    "operating": (["operating law", "law no. 7"], ["operating law", "difc law no. 7", "operating law 2018"]),
+    "crs": (["common reporting standard", "crs law"], ["common reporting standard", "crs law", "crs", "difc law no. 2 of 2018"]),
+    "general partnership": (["general partnership law", "gp law"], ["general partnership law", "general partnership", "gp law", "difc law no. 11"]),
+    "limited liability partnership": (["limited liability partnership law", "llp law"], ["limited liability partnership law", "limited liability partnership", "llp law", "difc law no. 5 of 2004"]),
+    "civil": (["civil and commercial", "application of civil"], ["civil and commercial laws", "application of civil", "civil and commercial"]),
+}
+TITLE_STOP_WORDS = [
+    "difc", "law", "no", "of", "the", "and", "for", "a", "an", "regulations", "regulation", "rules", "rule", "code", "act", "consolidated", "version", "amended",
+    "updated", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "january", "february",
+]
+#: Words of a title that may begin a fragment.
+TITLE_WORDS = 6
+
+
+def title_fragments(titles: DataFrame) -> DataFrame:
+    """(fragment, doc_id, at): words of more than three characters and pairs of words from the beginnings of titles (doc_id, title), the part before an edition's
+    mark; of several documents the first has a fragment, and ``at`` orders fragments by when they came up."""
+    core = F.get(F.split(F.substring(F.lower("title"), 1, 200), r"\b(?:consolidated|version|amended)\b"), F.lit(0))
+    words = F.filter(F.split(F.trim(core), r"[\W_]+"), lambda w: (F.length(w) > 2) & ~w.isin(TITLE_STOP_WORDS) & ~w.rlike(r"^\d+$"))
+    each = titles.select("doc_id", words.alias("w")).select("doc_id", "w", F.posexplode(F.slice("w", 1, TITLE_WORDS)).alias("i", "word"))
+    after = F.get(F.col("w"), F.col("i") + 1)
+    both = F.array(F.struct(F.lit(0).alias("k"), F.when(F.length("word") > 3, F.col("word")).alias("fragment")), F.struct(F.lit(1).alias("k"), F.concat("word", F.lit(" "), after).alias("fragment")))
+    rows = each.select("doc_id", "i", F.explode(both).alias("f")).where("f.fragment is not null")
+    first = rows.groupBy("f.fragment").agg(F.min(F.struct("doc_id", "i", "f.k")).alias("at"))
+    return first.select("fragment", "at.doc_id", "at")
+
+
+def law_of_question(questions: DataFrame, titles: DataFrame, headings: DataFrame) -> DataFrame:
+    """(qid, doc_id): the one law that each question (qid, question) is about, null if none can be told.
+
+    The first of ``LAW_GROUPS`` whose words the question has decides, even if no title (doc_id, title) has them (of several titles the last); else the longest title fragment in
+    the question, the first to come up on ties; else the first document in which the question's article begins (``headings``: doc_id, key, page)."""
+    low, start = F.lower("question"), F.substring(F.lower("title"), 1, 500)
+    first = lambda c, side: F.coalesce(*[F.when(T.contains_any(c, words[side]), F.lit(k)) for k, words in LAW_GROUPS.items()])
+    grouped = titles.select(first(start, 0).alias("law"), "doc_id").where("law is not null").groupBy("law").agg(F.max("doc_id").alias("by_group"))
+    asked = questions.select("qid", low.alias("q"), first(low, 1).alias("law"), F.concat(F.lit("article_"), F.nullif(F.regexp_extract("question", r"(?i)article\s+(\d+)", 1), F.lit(""))).alias("key"))
+    asked = asked.join(grouped, "law", "left")
+    fragments = title_fragments(titles)
+    rest = asked.where("law is null")
+    texts = rest.select("q").distinct()
+    hits = containing(texts.withColumn("u", F.xxhash64("q")), fragments.withColumn("f", F.xxhash64("fragment")), "u", "q", "f", "fragment")
+    longest = hits.join(fragments.withColumn("f", F.xxhash64("fragment")), "f").groupBy("u").agg(F.max_by("doc_id", F.struct(F.length("fragment").alias("n"), -F.col("at.doc_id"), -F.col("at.i"), -F.col("at.k"))).alias("by_title"))
+    articles = headings.groupBy("key").agg(F.min("doc_id").alias("by_article"))
+    found_by = rest.withColumn("u", F.xxhash64("q")).join(longest, "u", "left").join(articles, "key", "left").select("qid", F.coalesce("by_title", "by_article").alias("other"))
+    return asked.join(found_by, "qid", "left").select("qid", F.when(F.col("law").isNotNull(), F.col("by_group")).otherwise(F.col("other")).alias("doc_id"))
 
 
 def order_pages(pages: DataFrame) -> DataFrame:

@@ -150,3 +150,62 @@ def retrieved(targeted: DataFrame, limits: DataFrame, search: Callable[[DataFram
     """
     both, _ = asked_twice(targeted, limits, search, each, least)
     return both.withColumn("rank", _first(_best(), "qid")).join(limits, "qid").where("rank <= most").drop("most")
+
+
+# Types of answer whose title pages give way, and the lead that they must have to stay.
+DEMOTED, LEAD = ["free_text", "number", "date", "name", "names"], 0.15
+# What a page gains where the metadata that a question asks for stands; the score of a page that another one refers to.
+METADATA_PAGE, REFERRED = 0.5, 0.3
+COMPARING = r"(?i)\b(compar|differ|both|earlier|later|versus|vs\.?|distinguish|contrast)\b"
+
+
+def asks_metadata(question: Column, answer_type: Column) -> Column:
+    """Whether a question for a date or a name asks for metadata."""
+    return answer_type.isin("date", "name") & question.rlike(METADATA_QUESTION)
+
+
+def title_demoted(scores: DataFrame, questions: DataFrame, routed: DataFrame) -> DataFrame:
+    """``scores`` (qid, doc_id, page, score) where a title page that leads all other pages of its document by less than ``LEAD`` goes
+    just below the best of them.
+
+    It stays for booleans, where the question (qid, question, answer_type) asks for metadata, and where ``routed`` (qid, doc_id, page)
+    names page one. Leads are compared to nine places; a page that only draws level does not lead."""
+    plain = questions.where(F.col("answer_type").isin(DEMOTED) & ~asks_metadata(F.col("question"), F.col("answer_type"))).select("qid", F.lit(True).alias("plain"))
+    named = routed.where("page = 1").select("qid", "doc_id", F.lit(True).alias("named")).distinct()
+    deep = F.max(F.when(F.col("page") > 1, F.col("score"))).over(Window.partitionBy("qid", "doc_id"))
+    rows = scores.withColumn("deep", deep).join(plain, "qid", "left").join(named, ["qid", "doc_id"], "left")
+    lead = F.round(F.col("score") - F.col("deep"), 9)
+    gives_way = (F.col("page") == 1) & F.col("plain").isNotNull() & F.col("named").isNull() & (lead > 0) & (lead < LEAD)
+    return rows.select("qid", "doc_id", "page", F.when(gives_way, F.col("deep") - 0.001).otherwise(F.col("score")).alias("score"))
+
+
+def fallback_pages(ranked: DataFrame, questions: DataFrame, date_pages: DataFrame) -> DataFrame:
+    """(qid, doc_id, page, score, rank): pages for questions without a known document, from chunks ``ranked`` (qid, doc_id, page, rank from one).
+
+    A page has the reciprocal of its best chunk's rank, ``EARLIEST`` by its number, and ``METADATA_PAGE`` where it is the one that a
+    question for metadata means: the page of the date of issue (``date_pages``) for dates, else the first. ``questions`` (qid, question,
+    answer_type, each, most) tells how many pages of a document and in all are kept; ties go to the smaller document and page."""
+    best = ranked.groupBy("qid", "doc_id", "page").agg(F.min("rank").alias("rank"))
+    dating = (F.col("answer_type") == "date") | F.col("question").rlike(P.DATE_QUESTION)
+    asked = questions.select("qid", asks_metadata(F.col("question"), F.col("answer_type")).alias("metadata"), dating.alias("dating"), "each", "most")
+    rows = best.join(asked, "qid").join(date_pages.select("doc_id", F.col("page").alias("date_page")), "doc_id", "left")
+    target = F.when(F.col("dating"), F.coalesce("date_page", F.lit(1))).otherwise(1)
+    score = 1.0 / F.col("rank") + EARLIEST / F.col("page") + F.when(F.col("metadata") & (F.col("page") == target), METADATA_PAGE).otherwise(0.0)
+    kept = rows.withColumn("score", score).withColumn("n", _first(_best(), "qid", "doc_id")).where("n <= each")
+    return kept.withColumn("rank", _first(_best(), "qid")).where("rank <= most").select("qid", "doc_id", "page", "score", "rank")
+
+
+def with_referred(pages: DataFrame, edges: DataFrame, questions: DataFrame, per: int = 3) -> DataFrame:
+    """``pages`` (qid, doc_id, page, score, rank) and, behind them, pages that they refer to: one for every ``per`` pages of a question, at least one.
+
+    ``edges`` (doc_id, page, place, target_doc, target_page) in the order of ``place``; one without a target page does not count, and
+    one inside its own document only where the question (qid, question) compares. Targets come in the order of the
+    pages and places, each once, none that is among the pages."""
+    most = pages.groupBy("qid").agg(F.count("*").alias("n")).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("n") / per)))
+    compares = questions.select("qid", F.col("question").rlike(COMPARING).alias("compares"))
+    whole = edges.where("target_doc is not null and target_page is not null")
+    found = pages.select("qid", "doc_id", "page", "rank").join(whole, ["doc_id", "page"]).join(compares, "qid").where("compares or target_doc <> doc_id")
+    first = found.groupBy("qid", "target_doc", "target_page").agg(F.min(F.struct("rank", "place")).alias("at")).withColumnsRenamed({"target_doc": "doc_id", "target_page": "page"})
+    new = first.join(pages.select("qid", "doc_id", "page"), ["qid", "doc_id", "page"], "left_anti")
+    kept = new.withColumn("k", _first([F.col("at"), F.col("doc_id"), F.col("page")], "qid")).join(most, "qid").where("k <= most")
+    return pages.unionByName(kept.select("qid", "doc_id", "page", F.lit(REFERRED).alias("score"), (F.col("n") + F.col("k")).cast("int").alias("rank")))

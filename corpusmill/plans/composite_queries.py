@@ -77,33 +77,6 @@ def condition_sentences(t: Inputs) -> DataFrame:
     return t.fx("legal_text").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("k"), F.array_join(F.transform(F.slice(first, 1, 3), lambda s: F.substring(s, 1, 200)), " | ").alias("sentences"))
 
 
-@query("SELECT n_nationkey, unnest(CASE n_nationkey % 3 WHEN 1 THEN [n_name, 'B'] ELSE [n_name] END) AS name FROM nation")
-def party_names(t: Inputs) -> DataFrame:
-    """Names of a party that is an object with one name, one with several, or a list of objects."""
-    key = F.col("n_nationkey") % 3
-    raw = F.when(key == 0, F.to_json(F.struct(F.col("n_name").alias("name")))).when(key == 1, F.to_json(F.struct(F.array("n_name", F.lit("B")).alias("names")))).otherwise(F.to_json(F.array(F.struct(F.col("n_name").alias("name")))))
-    one, several, listed = F.from_json(raw, "name string")["name"], F.from_json(raw, "names array<string>")["names"], F.from_json(raw, "array<struct<name string>>")
-    names = F.when(F.substring(raw, 1, 1) == "[", F.transform(listed, lambda x: x["name"])).otherwise(F.coalesce(several, F.array(one)))
-    return t.table("nation").select("n_nationkey", F.explode(names).alias("name"))
-
-
-@query("SELECT n_nationkey, n_name AS text FROM nation")
-def passage_text(t: Inputs) -> DataFrame:
-    """A passage's text: the field of its own number, else any numbered field."""
-    own = F.create_map(F.concat(F.lit("cite_"), (F.col("n_nationkey") % 2 + 1).cast("string")), F.col("n_name"), F.lit("date"), F.lit("2024"))
-    numbered = F.map_filter(own, lambda k, v: k.startswith("cite_"))
-    return t.table("nation").select("n_nationkey", F.coalesce(F.try_element_at(own, F.lit("cite_1")), F.get(F.map_values(numbered), F.lit(0))).alias("text"))
-
-
-@query("SELECT n_nationkey, n_name AS q, 'a' AS a FROM nation")
-def aku_parse(t: Inputs) -> DataFrame:
-    """Questions and answers from a model's fenced JSON list; entries without either are dropped."""
-    said = F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct(F.col("n_name").alias("q"), F.lit("a").alias("a")), F.struct(F.lit("no answer").alias("q"), F.lit(None).cast("string").alias("a")))), F.lit("\n```"))
-    bare = F.regexp_replace(said, r"(?m)^```(?:json)?\s*$", "")
-    facts = F.from_json(F.trim(F.regexp_replace(bare, r"^\s+|\s+$", "")), "array<struct<q string, a string>>")
-    return t.table("nation").select("n_nationkey", F.explode(facts).alias("f")).where("f.q is not null and f.a is not null").select("n_nationkey", "f.q", "f.a")
-
-
 # Keyword chunks of each document in turn, or of the only one; chunks before and after the reranker; other chunks.
 EACH, ALONE, POOLED, RANKED, BESIDE = 15, 30, 60, 40, 15
 #: A question's keyword is its longest word, from so many letters on.

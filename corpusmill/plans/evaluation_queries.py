@@ -51,63 +51,6 @@ def stage_summary(t: Inputs) -> DataFrame:
     return t.fx("runs").groupBy(F.col("model_name").alias("stage")).agg(hits.alias("hits"), misses.alias("misses"), F.round(F.try_divide(hits, hits + misses), 4).alias("hit_rate"))
 
 
-_GOLD = "SELECT o_orderkey AS qid, [o_orderkey % 5, o_orderkey % 7] AS gold, [o_custkey % 5, o_custkey % 7, 3] AS pred FROM orders"
-
-
-def _gold(t: Inputs) -> DataFrame:
-    o = t.table("orders")
-    return o.select(F.col("o_orderkey").alias("qid"), F.array(F.col("o_orderkey") % 5, F.col("o_orderkey") % 7).alias("gold"), F.array(F.col("o_custkey") % 5, F.col("o_custkey") % 7, F.lit(3).cast("long")).alias("pred"))
-
-
-_SETS = f"SELECT qid, list_distinct(gold) AS g, list_distinct(pred) AS p, len(list_intersect(list_distinct(gold), list_distinct(pred)))::DOUBLE AS s FROM ({_GOLD})"
-
-
-@query(f"SELECT qid, len(list_intersect(gold, pred)) > 0 AS hit FROM ({_GOLD})")
-def recall_at_k(t: Inputs) -> DataFrame:
-    return _gold(t).select("qid", F.arrays_overlap("gold", "pred").alias("hit"))
-
-
-@query(f"SELECT qid, len(list_intersect(gold, pred)) > 0 AND len(list_intersect(gold, pred[1:1])) = 0 AS dropped FROM ({_GOLD})")
-def rerank_drops(t: Inputs) -> DataFrame:
-    return _gold(t).select("qid", (F.arrays_overlap("gold", "pred") & ~F.arrays_overlap("gold", F.slice("pred", 1, 1))).alias("dropped"))
-
-
-@query(f"SELECT qid, round(s / len(p), 6) AS precision, round(s / len(g), 6) AS recall, round(CASE WHEN s > 0 THEN 2 * s / (len(p) + len(g)) ELSE 0 END, 6) AS f1 FROM ({_SETS})")
-def attribution_prf(t: Inputs) -> DataFrame:
-    p, r, f = E.precision_recall(F.col("pred"), F.col("gold"))
-    return _gold(t).select("qid", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
-
-
-@query(f"SELECT qid, round(CASE WHEN s > 0 THEN 7.25 * (s / len(p)) * (s / len(g)) / (6.25 * s / len(p) + s / len(g)) ELSE 0 END, 6) AS f FROM ({_SETS})")
-def fbeta_pages(t: Inputs) -> DataFrame:
-    p, r, _ = E.precision_recall(F.col("pred"), F.col("gold"))
-    return _gold(t).select("qid", F.round(E.f_beta(p, r), 6).alias("f"))
-
-
-@query(f"SELECT qid, round(CASE WHEN qid % 4 = 0 THEN CASE WHEN qid % 8 = 0 THEN 1.0 ELSE 0.0 END WHEN qid % 8 = 1 THEN 0.0 ELSE s / len(p) END, 6) AS raf FROM ({_SETS})")
-def raf(t: Inputs) -> DataFrame:
-    """Share of relevant citations; a question without relevant passages scores one for declining, any other nothing."""
-    p, _, _ = E.precision_recall(F.col("pred"), F.col("gold"))
-    none, declined = F.col("qid") % 4 == 0, F.col("qid") % 8 < 2
-    return _gold(t).select("qid", F.round(F.when(none, F.when(declined, 1.0).otherwise(0.0)).when(declined, 0.0).otherwise(p), 6).alias("raf"))
-
-
-@query(f"SELECT count(*) AS n, round(avg(s / len(p)), 6) AS precision, round(avg(s / len(g)), 6) AS recall, round(avg((qid % 8 = 0)::INT) FILTER (qid % 4 = 0), 6) AS true_rate, round(avg((qid % 8 = 1)::INT) FILTER (qid % 4 <> 0), 6) AS false_rate FROM ({_SETS})")
-def garage_summary(t: Inputs) -> DataFrame:
-    p, r, _ = E.precision_recall(F.col("pred"), F.col("gold"))
-    none = F.col("qid") % 4 == 0
-    declined = (F.col("qid") % 8 < 2).cast("int")
-    return _gold(t).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("precision"), F.round(F.avg(r), 6).alias("recall"), F.round(F.avg(F.when(none, declined)), 6).alias("true_rate"), F.round(F.avg(F.when(~none, declined)), 6).alias("false_rate"))
-
-
-@query("SELECT round((0.7 * avg((answer_type = 'boolean')::INT) + 0.3 * avg((answer_type = 'free_text')::INT)) * avg(least(1.0, n_pages / 3.0)) * avg((answer IS NOT NULL)::INT), 6) AS total FROM fx_runs")
-def total_score(t: Inputs) -> DataFrame:
-    share = lambda c: F.avg(c.cast("int"))
-    a = F.col("answer_type")
-    total = (0.7 * share(a == "boolean") + 0.3 * share(a == "free_text")) * F.avg(F.least(F.lit(1.0), F.col("n_pages") / 3.0)) * share(F.col("answer").isNotNull())
-    return t.fx("runs").agg(F.round(total, 6).alias("total"))
-
-
 # -- three-class labels
 
 _LABELS = """WITH n AS (SELECT false AS overall, hyp_key, gold, prediction FROM fx_nli UNION ALL SELECT true, NULL, gold, prediction FROM fx_nli),
@@ -184,13 +127,6 @@ def char_overlap_macro(t: Inputs) -> DataFrame:
     return E.char_overlap(t.fx("spans"), "qid", "file", "kind", "span_start", "span_end").agg(F.count("*").alias("n"), six(p, "precision"), six(r, "recall"), six(f1, "f1"))
 
 
-@query("SELECT qid, array_to_string(list_transform(range(0, 5), lambda i: coalesce((list_transform(gold, lambda g: g % 2 = 0))[i + 1], false)), '|') AS gold FROM (" + _GOLD + ")")
-def gold_labels(t: Inputs) -> DataFrame:
-    """Whether each of five passages is relevant; passages without a label are not."""
-    labels = E.padded(F.transform("gold", lambda g: g % 2 == 0), 5)
-    return _gold(t).select("qid", F.array_join(F.transform(labels, lambda x: x.cast("string")), "|").alias("gold"))
-
-
 @query("SELECT qid, kind, span_start AS s, span_end AS e FROM fx_spans")
 def parse_spans(t: Inputs) -> DataFrame:
     """Spans written as ``[s, e]`` or as objects."""
@@ -202,12 +138,6 @@ def parse_spans(t: Inputs) -> DataFrame:
 # -- answers against references
 
 
-@query("SELECT qid, list_contains([qid % 3, qid % 5, 4], qid % 7) AS hit FROM (SELECT o_orderkey AS qid FROM orders)")
-def retrieval_accuracy(t: Inputs) -> DataFrame:
-    q = F.col("qid")
-    return t.table("orders").select(F.col("o_orderkey").alias("qid")).select("qid", F.array_contains(F.array(q % 3, q % 5, F.lit(4).cast("long")), q % 7).alias("hit"))
-
-
 @query(r"""WITH s AS (SELECT item_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s, list_distinct(regexp_extract_all(lower(left(text, length(text) // 2)), '[\p{L}\p{N}_]+')) AS ctx FROM benchmark),
 k AS (SELECT item_id, list_transform(s, lambda x: len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')), ctx)) * 2 >= len(list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')))) AS ok FROM s)
 SELECT item_id, round(len(list_filter(ok, lambda x: x)) / len(ok), 6) AS score FROM k WHERE len(ok) > 0""")
@@ -277,14 +207,6 @@ def _r(c="score"):
     return F.round(c, 6).alias("score")
 
 
-@query("SELECT item_id, round(0.7 * coalesce(least(1, greatest(0, llm)), 0.5) + 0.3 / (1 + exp(-ce)), 6) AS score FROM (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE (item_id % 13) / 10.0 END AS llm, (item_id % 7) - 3.0 AS ce FROM benchmark)")
-def llm_blend(t: Inputs) -> DataFrame:
-    """Model scores, held to 0 to 1 and a half if missing, blended with the logistic of another scorer."""
-    llm = F.when(F.col("item_id") % 4 != 0, F.col("item_id") % 13 / 10.0)
-    score = 0.7 * F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), llm)), F.lit(0.5)) + 0.3 / (1 + F.exp(-(F.col("item_id") % 7 - 3.0)))
-    return t.table("benchmark").select("item_id", _r(score))
-
-
 @query("""WITH c AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM fx_pages), n AS (SELECT doc_id FROM fx_pages GROUP BY doc_id HAVING count(DISTINCT page) <= 8)
 SELECT doc_id, page, 1.0::DOUBLE AS score, md5(arg_max(chunk, length(chunk) * 1000 - pos)) AS digest FROM c JOIN n USING (doc_id) GROUP BY doc_id, page""")
 def small_doc_pages(t: Inputs) -> DataFrame:
@@ -308,25 +230,6 @@ def prefilter50(t: Inputs) -> DataFrame:
     return top.groupBy("qid", "doc", "page").agg(F.max("ce").alias("score")).select("qid", "doc", "page", _r())
 
 
-_BOOST = "score + 0.02 * page + CASE WHEN page = 2 THEN 0.8 ELSE 0 END - CASE WHEN page = 1 AND doc % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN doc = 3 THEN CASE WHEN page <> 1 THEN 1.2 ELSE 0.6 END ELSE 0 END"
-
-
-def _boosted(t: Inputs) -> DataFrame:
-    doc, page = F.col("doc"), F.col("page")
-    score = F.col("score") + 0.02 * page + F.when(page == 2, 0.8).otherwise(0.0) - F.when((page == 1) & (doc % 2 == 0), 0.3).otherwise(0.0) + F.when(doc == 3, F.when(page != 1, 1.2).otherwise(0.6)).otherwise(0.0)
-    return _scored(t).withColumn("score", score)
-
-
-@query(f"""WITH s AS (SELECT *, max(score) OVER (PARTITION BY qid, doc) AS best, max(CASE WHEN page > 1 THEN score END) OVER (PARTITION BY qid, doc) AS deep FROM ({_SCORED}))
-SELECT qid, doc, page, round(CASE WHEN page = 1 AND score = best AND deep IS NOT NULL AND score - deep < 0.15 THEN deep - 0.001 ELSE score END, 6) AS score FROM s""")
-def title_demotion(t: Inputs) -> DataFrame:
-    """A title page that leads by little goes just below the best deeper page."""
-    w = Window.partitionBy("qid", "doc")
-    s = _scored(t).withColumns({"best": F.max("score").over(w), "deep": F.max(F.when(F.col("page") > 1, F.col("score"))).over(w)})
-    low = (F.col("page") == 1) & (F.col("score") == F.col("best")) & F.col("deep").isNotNull() & (F.col("score") - F.col("deep") < 0.15)
-    return s.select("qid", "doc", "page", _r(F.when(low, F.col("deep") - 0.001).otherwise(F.col("score"))))
-
-
 @query(f"WITH s AS ({_SCORED}) SELECT qid, doc, page FROM s QUALIFY max(score) OVER (PARTITION BY qid, doc) >= 0.10")
 def doc_floor(t: Inputs) -> DataFrame:
     return _scored(t).withColumn("best", F.max("score").over(Window.partitionBy("qid", "doc"))).where("best >= 0.10").select("qid", "doc", "page")
@@ -361,45 +264,31 @@ def fair_select(t: Inputs) -> DataFrame:
     return chosen.select("qid", "doc", "page", F.row_number().over(last).cast("long").alias("position"))
 
 
-@query(f"""WITH s AS (SELECT qid, doc, page, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, page) - 1 AS rank FROM ({_SCORED})), p AS (SELECT qid, doc, page, 1.0 / (rank + 1) + 0.02 * page + CASE WHEN page = 2 THEN 0.5 ELSE 0 END AS score FROM s),
-d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY round(score, 9) DESC, page) <= 2) SELECT qid, doc, page, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc, page) <= 3""")
-def fallback_pages(t: Inputs) -> DataFrame:
-    ranked = top_k(_scored(t), ["qid"], [F.col("score").desc(), F.col("doc"), F.col("page")], 1 << 30)
-    score = 1.0 / F.col("rank") + 0.02 * F.col("page") + F.when(F.col("page") == 2, 0.5).otherwise(0.0)
-    first = F.round("score", 9).desc()
-    per_doc = top_k(ranked.withColumn("score", score), ["qid", "doc"], [first, F.col("page")], 2, "a")
-    return top_k(per_doc, ["qid"], [first, F.col("doc"), F.col("page")], 3, "b").select("qid", "doc", "page", _r())
-
-
-@query("""WITH have AS (SELECT DISTINCT l_orderkey AS qid, l_suppkey AS doc FROM lineitem), n AS (SELECT qid, greatest(1, count(*) // 3) AS most FROM have GROUP BY qid), e AS (SELECT DISTINCT l_suppkey AS doc, l_partkey % 50 AS target FROM lineitem),
-x AS (SELECT DISTINCT h.qid, e.target AS doc FROM have h JOIN e USING (doc) ANTI JOIN have o ON o.qid = h.qid AND o.doc = e.target) SELECT qid, doc, 0.3::DOUBLE AS score FROM x JOIN n USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc) <= most""")
-def xref_boost(t: Inputs) -> DataFrame:
-    """Up to a third more pages from the references of those retrieved, none twice."""
-    have = t.table("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_suppkey").alias("doc")).distinct()
-    edges = t.table("lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") % 50).alias("target")).distinct()
-    most = have.groupBy("qid").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("most"))
-    extra = have.join(edges, "doc").select("qid", F.col("target").alias("doc")).distinct().join(have, ["qid", "doc"], "left_anti")
-    ranked = extra.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).join(most, "qid")
-    return ranked.where("n <= most").select("qid", "doc", F.lit(0.3).alias("score"))
-
-
 def _words(text: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({text}), '{P.WORD}'))"
 
 
-@query("WITH " + _duck_bm25(_DOC_UNITS) + f""", top AS ({_ranked('scored', 10)}), s AS (SELECT t.qid, t.unit, t.rank AS before, count(*) OVER (PARTITION BY t.qid) <= 3 AS few,
- len(list_intersect({_words('b.text')}, {_words('left(d.text, 2000)')}))::DOUBLE / greatest(1, len({_words('b.text')})) AS share FROM top t JOIN benchmark b ON b.item_id = t.qid JOIN documents d ON d.doc_id = t.unit)
-SELECT qid, unit, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN few THEN 0 ELSE -round(share, 9) END, before) AS rank FROM s) WHERE rank <= 3""")
-def rerank_topk(t: Inputs) -> DataFrame:
-    """The best three of ten candidates by the share of the question's words in the text's first 2,000 characters, a stand-in
-    for a scorer; up to three candidates stay in their order."""
+#: CTEs up to ``shares`` (qid, unit, before, few, share) and ``reranked`` (qid, unit, before, rank) of the benchmark's texts.
+RERANKED = "WITH " + _duck_bm25(_DOC_UNITS) + f""", top AS ({_ranked('scored', 10)}), shares AS (SELECT t.qid, t.unit, t.rank AS before, count(*) OVER (PARTITION BY t.qid) <= 3 AS few,
+ len(list_intersect({_words('b.text')}, {_words('left(d.text, 2000)')}))::DOUBLE / greatest(1, len({_words('b.text')})) AS share FROM top t JOIN benchmark b ON b.item_id = t.qid JOIN documents d ON d.doc_id = t.unit),
+reranked AS (SELECT qid, unit, before, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN few THEN 0 ELSE -round(share, 9) END, before) AS rank FROM shares)"""
+
+
+def shared_words(t: Inputs) -> DataFrame:
+    """(qid, unit, before, score): the best ten documents of each benchmark text and the share of its words in their first 2,000 characters, a stand-in for a scorer."""
     docs = t.table("documents").select(F.col("doc_id").alias("unit"), "text")
     top = top_k(_scores(t), ["qid"], best_first("score", "unit"), 10, "before").select("qid", "unit", "before")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(P.WORD), F.lit(0)))
     asked = t.table("benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("asked"))
     pairs = top.join(asked, "qid").join(docs, "unit")
     share = F.size(F.array_intersect("asked", words(F.substring("text", 1, 2000)))) / F.greatest(F.lit(1), F.size("asked"))
-    return reranked(pairs.select("qid", "unit", "before", share.alias("score")), "qid", "before", 3).select("qid", "unit", F.col("rank").cast("long").alias("rank"))
+    return t.once("shared_words", lambda: pairs.select("qid", "unit", "before", share.alias("score")))
+
+
+@query(RERANKED + " SELECT qid, unit, rank FROM reranked WHERE rank <= 3")
+def rerank_topk(t: Inputs) -> DataFrame:
+    """The best three of ten candidates by the second scorer; up to three candidates stay in their order."""
+    return reranked(shared_words(t), "qid", "before", 3).select("qid", "unit", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH s AS ({_SCORED}), best AS (SELECT qid, doc, page FROM s QUALIFY row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, page) = 1),

@@ -47,6 +47,13 @@ SELECT c_custkey AS qid, CASE c_custkey % 10
    ELSE concat('Where does the ', a.title, ' say ''IT IS HEREBY ORDERED THAT'', and when was it enacted?') END AS question,
   CASE c_custkey % 10 WHEN 0 THEN 'free_text' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'names' WHEN 5 THEN 'date' WHEN 6 THEN 'number' WHEN 7 THEN 'free_text' WHEN 8 THEN 'name' ELSE 'free_text' END AS answer_type
 FROM {{customer}} JOIN ({_LAWS}) a ON a.doc_id = c_custkey JOIN ({_LAWS}) b ON b.doc_id = c_custkey + 1 JOIN {{orders}} ON o_orderkey = c_custkey""".replace("{0}", ""),
+    "lost_questions": f"""
+SELECT s_suppkey AS qid, CASE s_suppkey % 5
+   WHEN 0 THEN concat('When was the notice on ', split_part(a.name, ' ', 1), ' duties issued?') WHEN 1 THEN concat('Who is the judge of the ', split_part(a.name, ' ', 1), ' appeal?')
+   WHEN 2 THEN concat('Which fine is due for a ', split_part(a.name, ' ', 2), '?') WHEN 3 THEN concat('Do the Registrar and the court both act under Schedule 2 on ', split_part(a.name, ' ', 1), ' duties?')
+   ELSE concat('What does the claimant seek in the ', split_part(a.name, ' ', 2), ' matter?') END AS question,
+  CASE s_suppkey % 5 WHEN 0 THEN 'date' WHEN 1 THEN 'name' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' ELSE 'free_text' END AS answer_type
+FROM {{supplier}} JOIN ({_LAWS}) a ON a.doc_id = s_suppkey""".replace("{{", "{").replace("}}", "}"),
     "statutes": f"""
 SELECT a.doc_id, n.page, CASE n.page
    WHEN 1 THEN concat('[DOCUMENT: ', CASE WHEN a.doc_id % 7 = 0 THEN 'Court Case' ELSE 'DIFC Law' END, ' | ', a.title, ']', chr(10), upper(a.title), chr(10), upper({_OF.format('a')}), chr(10), CASE WHEN a.doc_id % 4 = 1 THEN 'The ' || lower(a.title) || 's of old are repealed.' ELSE 'Date of Issue: 1 May 2019' END)
@@ -99,6 +106,34 @@ SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page,
    CAST(2004 + l_suppkey % 16 AS STRING), ' and Schedule ', CAST(l_linenumber AS STRING), ' apply; see Regulation ', CAST(l_partkey % 7 + 1 AS STRING), '.',
    CAST(l_suppkey % 5 + 1 AS STRING), '. IT IS HEREBY ORDERED that the claim is dismissed.') AS text
 FROM {lineitem}""",
+    "heading_lines": """
+SELECT p_partkey AS n, concat(CASE p_partkey % 14 WHEN 0 THEN 'Article ' WHEN 1 THEN 'ARTICLE ' WHEN 2 THEN '  Article ' WHEN 3 THEN 'Schedule ' WHEN 4 THEN 'Schedule IV ' WHEN 5 THEN 'PART XI ' WHEN 6 THEN 'Chapter iv ' WHEN 7 THEN 'Regulation '
+  WHEN 8 THEN 'Rule ' WHEN 9 THEN 'section ' WHEN 10 THEN 'Appendix ' WHEN 11 THEN 'Articles of ' WHEN 12 THEN 'Article IV ' ELSE '7. Article ' END, CAST(p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN '(2)' WHEN 1 THEN 'A(3) Scope' WHEN 2 THEN '.4' WHEN 3 THEN 'B' ELSE ' Duties' END) AS heading
+FROM {part}""",
+    "case_meta": f"""
+SELECT c.o_orderkey * 10 + c.doc_ord AS doc_id, CASE (c.o_orderkey + c.doc_ord) % 6 WHEN 0 THEN NULL WHEN 1 THEN lower(replace(replace(c.case_id, ' ', '-'), '/', '-')) WHEN 2 THEN '' WHEN 3 THEN replace(c.case_id, '/', ' of ') ELSE c.case_id END AS case_id,
+  CASE WHEN (c.o_orderkey + c.doc_ord) % 12 = 0 THEN 'No number here.' ELSE concat('Claim No: ', c.case_id, ' and see ENF 9/2001') END AS first_page
+FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_linenumber AS doc_ord, {_CASE} AS case_id FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey) c""",
+    "editions": f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('DIFC ', title, ' ', CAST(year AS STRING)) WHEN 1 THEN concat('DIFC ', title) ELSE upper(title) END AS name, year FROM ({_LAWS}) AS l",
+    "titles": f"""
+SELECT doc_id, concat(CASE doc_id % 40 WHEN 7 THEN 'Employment Law' WHEN 8 THEN 'DIFC Trust' WHEN 9 THEN 'LLP Law' ELSE title END, ' No. ', CAST(number AS STRING), CASE WHEN doc_id % 2 = 0 THEN ' Consolidated Version March 2020' ELSE ' of the Companies_Act' END) AS title FROM ({_LAWS}) AS l""",
+    "title_questions": f"""
+SELECT c_custkey AS qid, CASE c_custkey % 7 WHEN 0 THEN 'What does the Employment Law say of wages?' WHEN 1 THEN concat('How does the ', a.title, ' treat duties?') WHEN 2 THEN concat('What does Article ', CAST(c_custkey % 12 + 1 AS STRING), ' require?')
+   WHEN 3 THEN 'Who files under the Operating Law 2018?' WHEN 4 THEN concat('Is a ', split_part(a.name, ' ', 2), ' taxed under Article 7?') WHEN 5 THEN 'Which companies act?' ELSE 'Nothing at all?' END AS question
+FROM {{customer}} JOIN ({_LAWS}) a ON a.doc_id = c_custkey""",
+    "said_objects": """
+SELECT c_custkey AS qid, CASE c_custkey % 6 WHEN 0 THEN concat('Here it is: {{"judge": "', c_name, '", "page": ', CAST(c_custkey % 9 AS STRING), '}} done') WHEN 1 THEN concat('{{"judge": "', c_name, '"') WHEN 2 THEN 'No data.'
+   WHEN 3 THEN concat('{{"page": 2, "judge": "', c_name, '", "more": {{"x": 1}}}}') WHEN 4 THEN '{{"judge": null, "page": 3}} ' ELSE concat('a ', CHR(10), '{{', CHR(10), '"judge": "', c_name, '"', CHR(10), '}}') END AS said FROM {customer}""",
+    "said_pairs": """
+SELECT c_custkey AS qid, CASE c_custkey % 5 WHEN 0 THEN concat('```json', CHR(10), '[{{"q": "', c_name, '", "a": "yes"}}, {{"q": "no answer"}}]', CHR(10), '```') WHEN 1 THEN concat('[{{"q": "', c_name, '", "a": "b", "c": 1}}, {{"a": "no question"}}, {{"q": "two", "a": "3"}}]')
+   WHEN 2 THEN '```[{{"q": "cut' WHEN 3 THEN 'I cannot.' ELSE '``` []```' END AS said FROM {customer}""",
+    "said_scores": """
+SELECT c_custkey AS qid, CASE c_custkey % 5 WHEN 0 THEN concat('scores: {{"1": 0.9, "2": 0.', CAST(c_custkey % 10 AS STRING), ', }} ok') WHEN 1 THEN '{{"1": "0.4", "3": 1.7, "9": 0.8, "x": 0.1}}' WHEN 2 THEN 'none' WHEN 3 THEN '{{"1": {{"2": 0.5, "4": -3}}}}' ELSE '{{"1": "high", "2": 0.25}}' END AS said FROM {customer}""",
+    "parties": """
+SELECT c_custkey AS qid, CASE c_custkey % 7 WHEN 0 THEN concat('{{"name": "', c_name, '", "page": 1}}') WHEN 1 THEN concat('{{"names": ["', c_name, '", "', n_name, '"]}}') WHEN 2 THEN concat('[{{"name": "', c_name, '"}}, {{"name": ""}}, {{"page": 2}}, {{"name": "', n_name, '"}}]') WHEN 3 THEN '{{"page": 1}}'
+   WHEN 4 THEN concat('"', c_name, '"') WHEN 5 THEN concat('{{"name": "", "names": ["', n_name, '"]}}') ELSE '[]' END AS raw FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "raw_passages": """
+SELECT c_custkey AS qid, c_custkey % 3 AS place, CASE c_custkey % 4 WHEN 0 THEN concat('{{"cite_1": " ', c_name, ' ", "age": "2", "cite_2": "second"}}') WHEN 1 THEN concat('{{"date": "2024", "cite_3": "', c_name, '"}}') WHEN 2 THEN c_name ELSE '{{"date": "2024"}}' END AS raw FROM {customer}""",
     "queries": "SELECT b.item_id AS qid, b.text AS query, d.doc_id AS gold_doc_id FROM {benchmark} b LEFT JOIN {documents} d ON contains(d.text, b.text)",
     "vec": """
 SELECT vec_id, vec_id % 20 = 0 AS asked, label AS doc_id, CAST(vec_id % 7 + 1 AS INT) AS page, embedding FROM {embeddings}""",
@@ -145,6 +180,8 @@ SELECT event_id AS qid, CASE event_id % 12
    WHEN 8 THEN '2021-03-12' WHEN 9 THEN concat('ENF-', CAST(user_id % 900 + 100 AS STRING), '-2023') WHEN 10 THEN 'Alpha LLC, Beta Ltd and Gamma Inc' ELSE 'n/a' END AS raw
 FROM {events}""",
 }
+BOTH["auto_index"] = f"""SELECT case_id, o_orderkey * 10 + doc_ord AS doc_id, case_id AS told, 'CFI' AS case_type, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE date_of_issue END AS date_of_issue, concat(claimant, ';') AS claimant, concat(defendant, ';', claimant) AS defendant FROM ({BOTH['case_docs']}) AS c WHERE o_orderkey % 9 <> 0"""
+BOTH["manual_index"] = f"""SELECT case_id, o_orderkey * 10 + doc_ord AS doc_id, CASE WHEN o_orderkey % 17 = 0 THEN lower(case_id) ELSE case_id END AS told, CASE WHEN o_orderkey % 13 = 0 THEN 'ARB' ELSE 'CFI' END AS case_type, CASE WHEN o_orderkey % 10 IN (3, 4) THEN NULL ELSE date_of_issue END AS date_of_issue, concat(claimant, ';') AS claimant, CASE WHEN n_defendants > 2 THEN defendant ELSE concat(claimant, '; ', lower(defendant)) END AS defendant FROM ({BOTH['case_docs']}) AS c WHERE o_orderkey % 11 <> 0 AND NOT (doc_ord = 2 AND o_orderkey % 4 = 1)"""
 
 
 #: Tables that several queries of an application read, by folder and name: the first one writes them.

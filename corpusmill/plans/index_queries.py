@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import patterns as P
+from corpusmill.functions import said as S
 from corpusmill.operators import indexes as X
 from corpusmill.operators.corpus import joined_pages
 from corpusmill.plans.fixtures import Inputs
@@ -14,11 +15,12 @@ from corpusmill.plans.registry import query
 _KEYS = rf"list_transform(regexp_extract_all(text, '{P.ARTICLE}', 1), lambda x: 'article_' || x) || list_transform(regexp_extract_all(text, '{P.SCHEDULE}', 1), lambda x: 'schedule_' || x) || list_transform(regexp_extract_all(text, '{P.PART}', 1), lambda x: 'part_' || x) || list_transform(regexp_extract_all(text, '{P.APPENDIX}', 1), lambda x: 'appendix_' || x)"
 
 
-@query(r"SELECT DISTINCT n, CASE WHEN n % 3 = 0 THEN 'article_' || n || '_sub_1' WHEN n % 3 = 1 THEN 'schedule_' || n ELSE 'article_' || n END AS key FROM (SELECT l_partkey AS n FROM lineitem)")
+_HEADING = "coalesce(" + ", ".join(rf"'{kind}_' || regexp_replace(nullif(regexp_extract(trim(heading), '(?i)^{kind}\s+({number})', 1), ''), '^(\d+)\((\d+)\)$', '\1_sub_\2')" for kind, number in X.HEADING_NUMBERS.items()) + ")"
+
+
+@query(f"SELECT n, {_HEADING} AS key FROM fx_heading_lines")
 def heading_key(t: Inputs) -> DataFrame:
-    n = F.col("n").cast("string")
-    heading = F.when(F.col("n") % 3 == 0, F.concat(F.lit("Article "), n, F.lit("(1)"))).when(F.col("n") % 3 == 1, F.concat(F.lit("Schedule "), n)).otherwise(F.concat(F.lit("Article "), n))
-    return t.table("lineitem").select(F.col("l_partkey").alias("n")).distinct().select("n", X.heading_key(heading).alias("key"))
+    return t.fx("heading_lines").select("n", X.heading_key(F.col("heading")).alias("key"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, key, min(page) AS page FROM (SELECT doc_id, page, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY ALL),
@@ -47,51 +49,46 @@ def date_page(t: Inputs) -> DataFrame:
     return X.date_page(t.fx("pages").withColumn("text", marked))
 
 
-@query(f"""WITH a AS (SELECT doc_id, count(DISTINCT key) AS n_keys FROM (SELECT doc_id, unnest({_KEYS}) AS key FROM fx_legal_text) GROUP BY doc_id), n AS (SELECT doc_id, max(page) AS pages, bool_or(contains(text, 'ORDERED')) AS orders FROM fx_legal_text GROUP BY doc_id)
-SELECT doc_id, pages, orders, coalesce(n_keys, 0) AS n_keys FROM n LEFT JOIN a USING (doc_id)""")
-def doc_info(t: Inputs) -> DataFrame:
-    pages = t.fx("legal_text")
-    keys = X.article_pages(pages).groupBy("doc_id").agg(F.count_distinct("key").alias("n_keys"))
-    info = pages.groupBy("doc_id").agg(F.max("page").alias("pages"), F.bool_or(F.contains("text", F.lit("ORDERED"))).alias("orders"))
-    return info.join(keys, "doc_id", "left").select("doc_id", "pages", "orders", F.coalesce("n_keys", F.lit(0)).alias("n_keys"))
+_CASE_KEY = "upper(m.p) || ' ' || lpad(m.n, greatest(3, length(m.n))::INT, '0') || '/' || m.y"
+_TOLD = f"list_transform(regexp_extract_all(case_id, '{P.CASE_ID}', ['p', 'n', 'y']), lambda m: {_CASE_KEY})[1]"
+_READ = f"list_transform(regexp_extract_all(first_page, '{P.CASE_ID}', ['p', 'n', 'y']), lambda m: {_CASE_KEY})[1]"
 
 
-@query("SELECT case_id, count(*) AS n, string_agg(doc_ord::VARCHAR, '|' ORDER BY doc_ord) AS docs FROM fx_case_docs GROUP BY case_id")
+@query(f"SELECT coalesce({_TOLD}, {_READ}) AS case_id, count(*) AS n, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS docs FROM fx_case_meta WHERE coalesce({_TOLD}, {_READ}) IS NOT NULL GROUP BY 1")
 def case_index(t: Inputs) -> DataFrame:
-    docs = F.array_join(F.array_sort(F.collect_list("doc_ord")).cast("array<string>"), "|")
-    return t.fx("case_docs").groupBy("case_id").agg(F.count("*").alias("n"), docs.alias("docs"))
+    """Documents by canonical case number, as told or as the first page has it."""
+    docs = F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "|")
+    return X.case_index(t.fx("case_meta")).groupBy("case_id").agg(F.count("*").alias("n"), docs.alias("docs"))
+
 
+_NAMES = lambda c: f"list_sort(list_distinct(list_filter(list_transform(split({c}, ';'), lambda x: upper(trim(x))), lambda x: x <> '')))"
+_FIELDS, _PARTIES = ["told", "case_type", "date_of_issue"], ["claimant", "defendant"]
 
-@query("""WITH a AS (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 5 <> 0), m AS (SELECT doc_id, toxic AS v FROM labels WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN a.doc_id IS NULL THEN 'manual' WHEN m.doc_id IS NULL THEN 'auto' ELSE 'both' END AS found, count(*) AS n, coalesce(count_if(a.v = m.v), 0)::BIGINT AS equal FROM a FULL JOIN m ON a.doc_id = m.doc_id GROUP BY 1""")
+
+@query(f"""WITH a AS (SELECT * FROM fx_auto_index), m AS (SELECT * FROM fx_manual_index), c AS (SELECT x.n AS a, y.n AS m FROM (SELECT case_id, count(*) AS n FROM a GROUP BY 1) x FULL JOIN (SELECT case_id, count(*) AS n FROM m GROUP BY 1) y ON x.case_id = y.case_id),
+d AS (SELECT {', '.join(f'a.{f} IS NOT DISTINCT FROM m.{f} AS {f}' for f in _FIELDS)}, {', '.join(f'{_NAMES(f"a.{f}")} = {_NAMES(f"m.{f}")} AS {f}' for f in _PARTIES)} FROM a JOIN m ON a.case_id = m.case_id AND a.doc_id = m.doc_id)
+SELECT 'cases' AS what, count(*) AS total, count_if(a IS NOT NULL AND m IS NOT NULL)::BIGINT AS correct FROM c UNION ALL SELECT 'auto_only', count_if(m IS NULL), 0 FROM c UNION ALL SELECT 'manual_only', count_if(a IS NULL), 0 FROM c
+UNION ALL SELECT 'doc_counts', count_if(a IS NOT NULL AND m IS NOT NULL), count_if(a = m) FROM c {' '.join(f"UNION ALL SELECT '{f}', count(*), count_if({f}) FROM d" for f in [*_FIELDS, *_PARTIES])}""")
 def index_validation(t: Inputs) -> DataFrame:
-    labels = t.table("labels")
-    auto, manual = labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("a")), labels.where("doc_id % 7 <> 0").select("doc_id", F.col("toxic").alias("m"))
-    found = F.when(F.col("a").isNull(), "manual").when(F.col("m").isNull(), "auto").otherwise("both")
-    return auto.join(manual, "doc_id", "full").groupBy(found.alias("found")).agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("m")).alias("equal"))
+    """A case index against one made by hand: cases, numbers of documents, and each field."""
+    split = {c: F.split(c, ";") for c in _PARTIES}
+    return X.index_agreement(t.fx("auto_index").withColumns(split), t.fx("manual_index").withColumns(split), _FIELDS, _PARTIES)
+
 
+_EDITIONS = """WITH e AS (SELECT *, lower(name) AS key, min(doc_id) OVER (PARTITION BY lower(name)) AS first FROM fx_editions), latest AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY year DESC, doc_id) = 1)"""
 
-@query("SELECT p_brand AS name, p_partkey AS doc, p_size AS year FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_size DESC, p_partkey) = 1")
+
+@query(_EDITIONS + " SELECT key, name, doc_id, year, first FROM latest")
 def latest_edition(t: Inputs) -> DataFrame:
     """The edition with the latest year of each name; the first one on ties."""
-    best = F.max_by(F.struct(F.col("p_brand").alias("name"), F.col("p_partkey").alias("doc"), F.col("p_size").alias("year")), F.struct("p_size", -F.col("p_partkey")))
-    return t.table("part").groupBy(F.lower("p_brand").alias("k")).agg(best.alias("b")).select("b.name", "b.doc", "b.year")
+    return X.latest_editions(t.fx("editions"))
 
 
-@query("""WITH v AS (SELECT p_partkey AS doc, unnest([lower(p_type), replace(lower(p_type), ' steel', ''), replace(lower(p_type), 'standard ', '')]) AS name FROM part) SELECT name, max(doc) AS doc FROM v WHERE length(name) > 3 GROUP BY name""")
+@query(_EDITIONS + r""", v AS (SELECT doc_id, first, unnest([1, 2, 3, 4]) AS i, unnest([key, regexp_replace(key, '\s+\d{4}$', ''), regexp_replace(key, '^difc\s+', ''), regexp_replace(key, '\s+law$', '')]) AS name FROM latest)
+SELECT name, doc_id FROM v WHERE length(name) > 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY first DESC, i DESC) = 1""".replace("\\\\", "\\"))
 def law_variants(t: Inputs) -> DataFrame:
-    """Name variants; the last writer wins."""
-    low = F.lower("p_type")
-    names = F.array(low, F.replace(low, F.lit(" steel"), F.lit("")), F.replace(low, F.lit("standard "), F.lit("")))
-    return t.table("part").select(F.col("p_partkey").alias("doc"), F.explode(names).alias("name")).where(F.length("name") > 3).groupBy("name").agg(F.max("doc").alias("doc"))
-
-
-@query("""WITH w AS (SELECT p_partkey AS doc, string_split(lower(p_name), ' ') AS w FROM part), f AS (SELECT doc, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS fragment FROM w) SELECT fragment, min(doc) AS doc FROM f GROUP BY fragment""")
-def title_fragments(t: Inputs) -> DataFrame:
-    """Single words and pairs of words of titles; the first document wins."""
-    words = t.table("part").select(F.col("p_partkey").alias("doc"), F.split(F.lower("p_name"), " ").alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return words.select("doc", F.explode(F.concat("w", pairs)).alias("fragment")).groupBy("fragment").agg(F.min("doc").alias("doc"))
+    """Ways to write the names of the latest editions; of two laws the later one has a name."""
+    return X.name_variants(X.latest_editions(t.fx("editions")))
 
 
 _REFS = " UNION ".join(rf"SELECT doc_id, page, '{k}' AS type, unnest(regexp_extract_all(text, '{p}')) AS context FROM fx_legal_text" for k, p in (("article", P.ARTICLE), ("schedule", P.SCHEDULE), ("law", P.LAW_NUMBER), ("case", P.CASE_ID)))
@@ -182,16 +179,65 @@ def bridging_facts(t: Inputs) -> DataFrame:
     return X.bridging_facts(t.fx("legal_text"), "law", 3, 200)
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS judge, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey::INT END AS page FROM nation")
+# -- what models say
+
+_BRACES = r"regexp_extract(said, '(?s)\{.*\}')"
+
+
+@query(rf"""WITH o AS (SELECT qid, CASE WHEN json_valid(nullif({_BRACES}, '')) THEN {_BRACES} END AS o FROM fx_said_objects) SELECT qid, json_extract_string(o, '$.judge') AS judge, try_cast(json_extract_string(o, '$.page') AS INT) AS page FROM o""")
 def llm_json_parse(t: Inputs) -> DataFrame:
     """Metadata from a model's answer: the outermost braces, parsed with a fixed schema; null where that fails."""
-    said = F.concat(F.lit("Here it is: "), F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("judge"), F.col("n_nationkey").alias("page")))), F.lit(" done"))
-    return t.table("nation").select("n_nationkey", F.from_json(F.regexp_extract(said, r"(?s)\{.*\}", 0), "judge string, page int").alias("m")).select("n_nationkey", "m.judge", "m.page")
+    said = S.object_in(F.col("said"), "judge string, page int")
+    return t.fx("said_objects").select("qid", said.alias("m")).select("qid", "m.judge", "m.page")
+
+
+_BARE = r"trim(regexp_replace(regexp_replace(trim(said), '^```(?:json)?\s*', ''), '\s*```$', ''))"
+
+
+@query(f"""WITH b AS (SELECT qid, CASE WHEN json_valid({_BARE}) THEN {_BARE} END AS j FROM fx_said_pairs), l AS (SELECT qid, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [] END) AS e FROM b)
+SELECT qid, json_extract_string(e, '$.q') AS q, json_extract_string(e, '$.a') AS a FROM l WHERE json_extract_string(e, '$.q') IS NOT NULL AND json_extract_string(e, '$.a') IS NOT NULL""")
+def aku_parse(t: Inputs) -> DataFrame:
+    """Questions and answers from a model's JSON list, fenced or not; entries that lack one are dropped."""
+    return t.fx("said_pairs").select("qid", F.explode(S.question_answers(F.col("said"))).alias("p")).select("qid", "p.q", "p.a")
+
+
+_FLAT = r"regexp_replace(regexp_extract(said, '\{[^{}]+\}'), ',\s*\}', '}')"
+_SCORES = f"""o AS (SELECT qid, CASE WHEN json_valid({_FLAT}) THEN {_FLAT} END AS o FROM fx_said_scores), k AS (SELECT qid, o, unnest(json_keys(o)) AS key FROM o WHERE o IS NOT NULL),
+scores AS (SELECT qid, try_cast(key AS INT) AS item, try_cast(json_extract_string(o, '$."' || key || '"') AS DOUBLE) AS score FROM k WHERE try_cast(key AS INT) BETWEEN 1 AND 4 AND try_cast(json_extract_string(o, '$."' || key || '"') AS DOUBLE) IS NOT NULL)"""
+
+
+def _said_scores(t: Inputs) -> DataFrame:
+    return t.fx("said_scores").select("qid", F.explode(S.page_scores(F.col("said"), F.lit(4))).alias("s")).select("qid", "s.item", "s.score")
 
 
-@query("SELECT n_nationkey, 1::INT AS item, 0.9::DOUBLE AS score FROM nation UNION ALL SELECT n_nationkey, 2, ('0.' || (n_nationkey % 10))::DOUBLE FROM nation")
+@query(f"WITH {_SCORES} SELECT qid, item, score FROM scores")
 def parse_scores(t: Inputs) -> DataFrame:
-    """Scores from a model's answer: the first flat object, a trailing comma forgiven, numbers only."""
-    said = F.concat(F.lit('scores: {"1": 0.9, "2": 0.'), (F.col("n_nationkey") % 10).cast("string"), F.lit(", } ok"))
-    flat = F.regexp_replace(F.regexp_extract(said, r"\{[^{}]+\}", 0), r",\s*\}", "}")
-    return t.table("nation").select("n_nationkey", F.explode(F.from_json(flat, "map<string,string>")).alias("item", "score")).select("n_nationkey", F.col("item").try_cast("int").alias("item"), F.col("score").try_cast("double").alias("score"))
+    """Scores of four pages from a model's answer: the first flat object, a trailing comma forgiven, numbers only."""
+    return _said_scores(t)
+
+
+@query(f"""WITH {_SCORES}, p AS (SELECT qid, unnest([1, 2, 3, 4]) AS item FROM fx_said_scores), b AS (SELECT p.qid, p.item, (p.qid * 7 + p.item * 3) % 9 - 4.0 AS ce, s.score, count(s.score) OVER (PARTITION BY p.qid) AS told FROM p LEFT JOIN scores s ON s.qid = p.qid AND s.item = p.item),
+m AS (SELECT *, CASE WHEN told > 0 THEN 0.7 * coalesce(least(1, greatest(0, score)), 0.5) + 0.3 / (1 + exp(-ce)) END AS mixed FROM b)
+SELECT qid, item, round(mixed, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(mixed, 9) DESC, item) AS rank FROM m""")
+def llm_blend(t: Inputs) -> DataFrame:
+    """Four pages by a model's scores blended with another scorer's; in their order where the model's answer can't be read."""
+    pages = t.fx("said_scores").select("qid", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("item")).withColumn("ce", (F.col("qid") * 7 + F.col("item") * 3) % 9 - 4.0)
+    rows = pages.join(_said_scores(t), ["qid", "item"], "left")
+    told = F.count("score").over(Window.partitionBy("qid")) > 0
+    rows = rows.withColumn("mixed", F.when(told, S.blended(F.col("score"), F.col("ce"), 0.7)))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("mixed", 9).desc(), "item"))
+    return rows.select("qid", "item", F.round("mixed", 6).alias("score"), rank.cast("long").alias("rank"))
+
+
+@query("""WITH p AS (SELECT qid, raw, json_type(raw) AS kind FROM fx_parties), n AS (SELECT qid, CASE kind WHEN 'ARRAY' THEN json_extract_string(raw, '$[*].name') WHEN 'OBJECT' THEN [json_extract_string(raw, '$.name')] || json_extract_string(raw, '$.names[*]') WHEN 'VARCHAR' THEN [json_extract_string(raw, '$')] ELSE [] END AS names FROM p)
+SELECT qid, array_to_string(list_filter(names, lambda x: x IS NOT NULL AND x <> ''), '|') AS names FROM n""")
+def party_names(t: Inputs) -> DataFrame:
+    """Names of a party that is one object, several, a list of objects or a string."""
+    return t.fx("parties").select("qid", F.array_join(S.party_names(F.col("raw")), "|").alias("names"))
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN starts_with(ltrim(raw), '{') THEN raw END AS o FROM fx_raw_passages), f AS (SELECT *, list_filter(json_keys(o), lambda k: starts_with(k, 'cite_')) AS keys FROM p)
+SELECT qid, place, coalesce(trim(json_extract_string(o, '$.cite_' || (place + 1))), trim(json_extract_string(o, '$.' || keys[1])), raw) AS text FROM f""")
+def passage_text(t: Inputs) -> DataFrame:
+    """A passage's text: the field of its own number, else any numbered field, else all of it."""
+    return t.fx("raw_passages").select("qid", "place", S.passage_text(F.col("raw"), F.col("place")).alias("text"))

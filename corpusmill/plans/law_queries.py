@@ -140,6 +140,57 @@ def route_article_page(t: Inputs) -> DataFrame:
     return _routed_pages(t).withColumnRenamed("doc_id", "doc")
 
 
+_KINDS = f"kinds AS (SELECT doc_id, CASE WHEN c >= 3 THEN 'CASE' WHEN l >= 3 THEN 'LAW' WHEN r >= 2 THEN 'REGULATION' WHEN c > l THEN 'CASE' ELSE 'LAW' END AS kind FROM (SELECT doc_id, {_SIGNALS['c']} AS c, {_SIGNALS['l']} AS l, {_SIGNALS['r']} AS r FROM fx_statutes GROUP BY doc_id))"
+
+
+def _some(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{_q(w)}')" for w in words) + ")"
+
+
+@query(f"""WITH RECURSIVE {_HEADINGS}, {_KINDS},
+p AS (SELECT s.doc_id, page, {_some('text', P.ORDER_MARKS)} AS marked, regexp_matches(left(trim(text), 300), '^\\d+\\.') AS goes_on, {_some('lower(text)', P.END_WORDS)} AS ends, {_some('text', P.ISSUE_MARKS)} AS issued, max(page) OVER (PARTITION BY s.doc_id) AS n FROM fx_statutes s JOIN kinds k ON k.doc_id = s.doc_id AND kind = 'CASE'),
+m AS (SELECT *, bool_or(marked) OVER (PARTITION BY doc_id) AS any_marked FROM p),
+o AS (SELECT doc_id, page FROM m WHERE marked OR (NOT any_marked AND n > 2 AND page = n AND ends) UNION SELECT p.doc_id, p.page FROM o JOIN p ON p.doc_id = o.doc_id AND p.page = o.page + 1 AND p.goes_on),
+orders AS (SELECT doc_id, list(page ORDER BY page) AS pages FROM (SELECT doc_id, page FROM o UNION SELECT doc_id, page FROM p WHERE page = n AND issued) GROUP BY doc_id),
+dated AS (SELECT doc_id, coalesce(min(CASE WHEN page <= 3 AND {_some('text', P.DATE_MARKS)} THEN page END), 1) AS date_page, max(page) AS page_count FROM fx_statutes GROUP BY doc_id), counted AS (SELECT doc_id, count(DISTINCT key) AS n_keys FROM headings GROUP BY doc_id)
+SELECT doc_id, kind, page_count, coalesce(n_keys, 0) AS n_keys, CASE WHEN kind = 'CASE' THEN coalesce(array_to_string(pages, '|'), '') END AS order_pages, CASE WHEN kind = 'CASE' THEN date_page END AS date_page, CASE WHEN kind <> 'CASE' THEN '1' END AS preamble_pages
+FROM kinds JOIN dated USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN orders USING (doc_id)""")
+def doc_info(t: Inputs) -> DataFrame:
+    """The index entry of each document: kind, pages, keys, pages of orders and of the date of issue for cases, of the preamble for laws."""
+    pages = t.fx("statutes")
+    found = X.document_entries(pages, _headings(t), X.document_kinds(pages))
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("order_pages", "preamble_pages")}
+    return found.withColumns(joined)
+
+
+_TITLE_STOP = ", ".join(f"'{w}'" for w in X.TITLE_STOP_WORDS)
+_FRAGMENTS = rf"""tw AS (SELECT doc_id, list_filter(string_split_regex(trim(string_split_regex(left(lower(title), 200), '\b(?:consolidated|version|amended)\b')[1]), '[\W_]+'), lambda w: length(w) > 2 AND w NOT IN ({_TITLE_STOP}) AND NOT regexp_matches(w, '^\d+$')) AS w FROM fx_titles),
+ti AS (SELECT doc_id, w, unnest(range(1, least(len(w), {X.TITLE_WORDS}) + 1)) AS i FROM tw),
+tf_ AS (SELECT doc_id, i, 0 AS k, w[i] AS fragment FROM ti WHERE length(w[i]) > 3 UNION ALL SELECT doc_id, i, 1, w[i] || ' ' || w[i + 1] FROM ti WHERE i < len(w)),
+fragments AS (SELECT fragment, doc_id, i, k FROM tf_ QUALIFY row_number() OVER (PARTITION BY fragment ORDER BY doc_id, i, k) = 1)"""
+
+
+@query(f"WITH {_FRAGMENTS} SELECT fragment, doc_id FROM fragments")
+def title_fragments(t: Inputs) -> DataFrame:
+    """Words and pairs of words of law titles; the first document has each."""
+    return X.title_fragments(t.fx("titles")).select("fragment", "doc_id")
+
+
+def _group(x: str, side: int) -> str:
+    return "CASE " + " ".join(f"WHEN {_some(x, words[side])} THEN '{k}'" for k, words in X.LAW_GROUPS.items()) + " END"
+
+
+@query(f"""WITH {_HEADINGS}, {_FRAGMENTS}, grouped AS (SELECT law, max(doc_id) AS doc_id FROM (SELECT doc_id, {_group('left(lower(title), 500)', 0)} AS law FROM fx_titles) WHERE law IS NOT NULL GROUP BY law),
+a AS (SELECT qid, lower(question) AS q, {_group('lower(question)', 1)} AS law, 'article_' || nullif(regexp_extract(question, '(?i)article\\s+(\\d+)', 1), '') AS key FROM fx_title_questions),
+texts AS (SELECT DISTINCT q FROM a WHERE law IS NULL), by_title AS (SELECT q, f.doc_id FROM texts JOIN fragments f ON contains(q, f.fragment) QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(fragment) DESC, f.doc_id, i, k) = 1),
+articles AS (SELECT key, min(doc_id) AS doc_id FROM headings WHERE doc_id NOT IN (SELECT doc_id FROM court) GROUP BY key)
+SELECT a.qid, CASE WHEN law IS NOT NULL THEN g.doc_id ELSE coalesce(b.doc_id, r.doc_id) END AS doc_id FROM a LEFT JOIN grouped g USING (law) LEFT JOIN by_title b ON b.q = a.q AND a.law IS NULL LEFT JOIN articles r ON r.key = a.key""")
+def law_of_question(t: Inputs) -> DataFrame:
+    """The one law that a question is about: by groups of words, by fragments of titles, or by its article."""
+    laws = _headings(t).join(W.of_case(t.fx("statutes")), "doc_id", "left_anti")
+    return X.law_of_question(t.fx("title_questions"), t.fx("titles"), laws)
+
+
 # -- references between documents
 
 
@@ -318,6 +369,60 @@ def lowconf_merge(t: Inputs) -> DataFrame:
     return both.join(weak.where("not lost"), "qid", "left_semi").select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.round("score", 6).alias("score"))
 
 
+_GIVES_WAY = f"page = 1 AND answer_type IN ({', '.join(map(repr, G.DEMOTED))}) AND NOT (answer_type IN ('date', 'name') AND regexp_matches(question, '{G.METADATA_QUESTION}')) AND router IS DISTINCT FROM 1 AND round(score - deep, 9) > 0 AND round(score - deep, 9) < {G.LEAD}"
+
+
+@query(f"""WITH {_PAGE_SCORES}, s AS (SELECT b.*, q.question, q.answer_type, r.page AS router, max(CASE WHEN b.page > 1 THEN b.score END) OVER (PARTITION BY b.qid, b.doc_id) AS deep FROM boosted b JOIN fx_law_questions q USING (qid) LEFT JOIN routed_pages r ON r.qid = b.qid AND r.doc_id = b.doc_id)
+SELECT qid, doc_id, page, round(CASE WHEN {_GIVES_WAY} THEN deep - 0.001 ELSE score END, 6) AS score, coalesce({_GIVES_WAY}, false) AS moved FROM s""")
+def title_demotion(t: Inputs) -> DataFrame:
+    """A title page that leads by little goes just below the best deeper page, but for metadata and where the router names it."""
+    before = _boosted(t).withColumnRenamed("score", "before")
+    after = G.title_demoted(_boosted(t), t.fx("law_questions"), _routed_pages(t))
+    return after.join(before, ["qid", "doc_id", "page"]).select("qid", "doc_id", "page", F.round("score", 6).alias("score"), (F.col("score") != F.col("before")).alias("moved"))
+
+
+#: Chunks of the whole corpus that a question without a document starts from.
+_CHUNKS = 25
+#: Pages of a document that a fallback keeps, by type of answer, and pages in all.
+_EACH, _MOST = "CASE WHEN answer_type IN ('free_text', 'boolean', 'name') THEN 2 ELSE 1 END", 3
+
+
+@query("WITH " + _duck_bm25("SELECT doc_id * 1000 + page AS unit, text FROM fx_statutes", asked="SELECT qid, question AS text FROM fx_lost_questions") + f""",
+dated AS (SELECT doc_id, coalesce(min(CASE WHEN page <= 3 AND {_any('text', P.DATE_MARKS)} THEN page END), 1) AS date_page FROM fx_statutes GROUP BY doc_id),
+chunks AS (SELECT qid, unit // 1000 AS doc_id, unit % 1000 AS page, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM scored QUALIFY rank <= {_CHUNKS}),
+s AS (SELECT qid, doc_id, page, {_EACH} AS each, 1.0 / rank + {G.EARLIEST} / page + CASE WHEN answer_type IN ('date', 'name') AND regexp_matches(question, '{G.METADATA_QUESTION}') AND page = CASE WHEN answer_type = 'date' OR regexp_matches(question, '{P.DATE_QUESTION}') THEN date_page ELSE 1 END THEN {G.METADATA_PAGE} ELSE 0 END AS score
+  FROM chunks JOIN fx_lost_questions USING (qid) JOIN dated USING (doc_id)),
+kept AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(score, 9) DESC, page) <= each)
+SELECT qid, doc_id, page, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) AS rank FROM kept QUALIFY rank <= {_MOST}""")
+def fallback_pages(t: Inputs) -> DataFrame:
+    """Pages for questions that name no law or case: the best chunks of the whole corpus, the page of the metadata that they ask for raised."""
+    questions = t.fx("lost_questions").withColumns({"each": F.expr(_EACH), "most": F.lit(_MOST)})
+    scores = index_of(t, "statutes").search(questions.select("qid", T.index_tokens(F.col("question")).alias("toks")), "qid", "toks")
+    ranked = R.top_k(scores, ["qid"], R.best_first("score", "unit"), _CHUNKS).select("qid", "unit.doc_id", "unit.page", "rank")
+    found = G.fallback_pages(ranked, questions, X.date_page(t.fx("statutes")))
+    return found.select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Pages of a question that its references are followed from.
+_FROM = 6
+
+
+@query("WITH " + _duck_bm25("SELECT doc_id * 1000 + page AS unit, text FROM fx_statutes", asked="SELECT qid, question AS text FROM fx_lost_questions") + f""", {_EDGES},
+best AS (SELECT qid, unit // 1000 AS doc_id, unit % 1000 AS page, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM scored QUALIFY rank <= {_FROM}),
+referred AS (SELECT b.qid, e.target_doc AS doc_id, e.target_page AS page, min((b.rank, e.type, e.context)) AS place FROM best b JOIN edges e ON e.doc_id = b.doc_id AND e.page = b.page JOIN fx_lost_questions q ON q.qid = b.qid
+  WHERE e.target_doc IS NOT NULL AND e.target_page IS NOT NULL AND (regexp_matches(question, '{G.COMPARING}') OR e.target_doc <> e.doc_id) GROUP BY ALL),
+more AS (SELECT r.*, n, row_number() OVER (PARTITION BY r.qid ORDER BY place, r.doc_id, r.page) AS k FROM referred r JOIN (SELECT qid, count(*) AS n FROM best GROUP BY qid) USING (qid) WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.qid = r.qid AND b.doc_id = r.doc_id AND b.page = r.page))
+SELECT qid, doc_id, page, rank, false AS referred FROM best UNION ALL SELECT qid, doc_id, page, n + k, true FROM more WHERE k <= greatest(1, n // 3)""")
+def xref_boost(t: Inputs) -> DataFrame:
+    """The best pages of the whole corpus and, behind them, a third as many that they refer to; inside a document only for comparisons."""
+    questions = t.fx("lost_questions")
+    scores = index_of(t, "statutes").search(questions.select("qid", T.index_tokens(F.col("question")).alias("toks")), "qid", "toks")
+    best = R.top_k(scores, ["qid"], R.best_first("score", "unit"), _FROM).select("qid", "unit.doc_id", "unit.page", "score", "rank")
+    edges = _edges(t).withColumn("place", F.struct("type", "context"))
+    both = G.with_referred(best, edges, questions)
+    return both.select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.col("rank").cast("long").alias("rank"), (F.col("score") == G.REFERRED).alias("referred"))
+
+
 # -- papers and orders
 
 _TOPIC = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {_any(f'lower({x})', words)} THEN '{topic}' END" for topic, words in W.PAPER_TOPICS.items()) + "], lambda z: z IS NOT NULL)"
