@@ -163,3 +163,25 @@ def identifiers(text: Column) -> Column:
 def years(text: Column) -> Column:
     """Distinct years of a text, in order."""
     return F.array_distinct(found(text, P.YEAR))
+
+
+def is_case_question(question: Column) -> Column:
+    """Whether a question is about a case: by a case number, or by words that go before one."""
+    return contains_any(F.lower(question), P.CASE_WORDS) | question.rlike(P.CASE_IN_QUESTION)
+
+
+def compares_cases(question: Column, words: Iterable[str]) -> Column:
+    """Whether a question names two case numbers (or one twice) and has a word of comparison."""
+    return (F.size(found(question, P.CASE_IN_QUESTION)) >= 2) & contains_any(F.lower(question), words)
+
+
+def prompt_kind(question: Column, answer_type: Column) -> Column:
+    """Which prompt a question gets: by its type of answer; names by what they compare, free answers by what they are about."""
+    name = F.when(compares_cases(question, P.DATE_WORDS), "name_by_date").when(compares_cases(question, P.VALUE_WORDS), "name_by_value").otherwise("name")
+    free = F.when(contains_any(F.lower(question), P.FOREIGN), "free_trick").when(is_case_question(question), "free_case").otherwise("free_law")
+    return F.when(answer_type.isin("boolean", "number", "names", "date"), answer_type).when(answer_type == "name", name).otherwise(free)
+
+
+def answer_tokens(answer_type: Column) -> Column:
+    """How many tokens an answer may have: free ones may reason, and so may names that compare."""
+    return F.when(answer_type == "free_text", 1500).when(answer_type == "name", 280).otherwise(80)

@@ -53,3 +53,10 @@ def capped(pages: DataFrame, qid: str, most: int) -> DataFrame:
     ranked = pages.withColumns({"total": total, "first": first})
     doc = F.dense_rank().over(Window.partitionBy(qid).orderBy("doc"))
     return ranked.withColumn("nth", doc).where((F.col("total") <= most) | ((F.col("first") == 1) & (F.col("nth") <= most))).drop("total", "first", "nth")
+
+
+def overridden(answers: DataFrame, fixes: DataFrame, answer: str, fix: str) -> DataFrame:
+    """``answers`` (qid, answer) with ``overridden``: an answer checked by hand (``fixes``: qid, fix; a null one says that there is none) takes the place of the given one."""
+    own = fixes.select("qid", F.col(fix).alias("_fix"), F.lit(True).alias("_fixed"))
+    known = F.coalesce("_fixed", F.lit(False))
+    return answers.join(own, "qid", "left").select("qid", F.when(known, F.col("_fix")).otherwise(F.col(answer)).alias(answer), known.alias("overridden"))

@@ -203,6 +203,11 @@ def bridges(refs: DataFrame) -> DataFrame:
     return pairs.groupBy("context").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
 
 
+def article_mentions(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, article): numbers of the articles that a page names, each once."""
+    return pages.select("doc_id", "page", F.explode(F.array_distinct(found(F.col("text"), r"(?i)\bArticle\s+(\d+)\b", 1))).alias("article"))
+
+
 def subsection_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, key, page): the first page of each sub-section ``(n)`` between an article's heading and the next.
 
@@ -240,3 +245,43 @@ def bridging_facts(pages: DataFrame, kind: str, most: int, chars: int) -> DataFr
     place = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("page").cast("string"), F.lit("] "))
     parts = first.join(texts, ["doc_id", "page"]).select("context", F.struct("n", F.concat(place, F.substring("text", 1, chars)).alias("part")).alias("p"))
     return parts.groupBy("context").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), " || ").alias("fact"))
+
+
+def _paper_key(number, year):
+    return F.concat(F.lit("cp_"), number.cast("int").cast("string"), F.lit("_of_"), year.cast("string"))
+
+
+def keyword_index(pages: DataFrame, indexed: DataFrame, papers: DataFrame) -> DataFrame:
+    """(key, doc_id): what documents that no other index has (``indexed``: doc_id) are looked up by, from their first two ``pages`` (doc_id, page, text).
+
+    The first kind that fits decides: the rules of the courts, a consultation paper (with a year from 2000 on, and not in ``papers``: number, year), a case by the number on its
+    first page, a law by its number, the roadmap; a blank document has no key. Of several documents the last one has a key."""
+    of_page = lambda n: F.coalesce(F.max(F.when(F.col("page") == n, F.col("text"))), F.lit("")).alias(f"p{n}")
+    heads = pages.where("page <= 2").join(indexed.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(of_page(1), of_page(2))
+    both, joined = F.lower(F.concat("p1", F.lit(" "), "p2")), F.concat("p1", "p2")
+    number, year = F.nullif(F.regexp_extract(joined, P.PAPER_TITLE, 1), F.lit("")), F.regexp_extract(joined, r"20\d{2}", 0)
+    paper = F.when(number.isNotNull() & (year != ""), _paper_key(number, year))
+    named = lambda no: F.concat(F.lit(f"consultation paper {no} "), number.cast("int").cast("string"), F.lit(" of "), year)
+    prefix, n, y = (F.regexp_extract("p1", P.LOOSE_CASE, i) for i in (1, 2, 3))
+    case = lambda shown: F.concat(F.lower(prefix), F.lit(" "), shown, F.lit("/"), y)
+    ln, ly = F.regexp_extract("p1", P.LOOSE_LAW, 1), F.regexp_extract("p1", P.LOOSE_LAW, 2)
+    none = F.array().cast("array<string>")
+    law = F.when(ln != "", F.array(F.concat(F.lit("difc law no. "), ln, F.lit(" of "), ly))).otherwise(none)
+    blank, rules = F.trim(both) == "", F.contains(both, F.lit(P.RULES_TITLE))
+    keys = (
+        F.when(blank, none).when(rules, F.array(*map(F.lit, [*P.COURT_RULES, "rdc"]))).when(number.isNotNull(), F.when(paper.isNotNull(), F.array(paper, named("no."), named("no"))).otherwise(none))
+        .when(prefix != "", F.array(case(n.cast("int").cast("string")), case(n))).when(F.contains(both, F.lit("law no.")) & F.contains(F.substring(both, 1, 200), F.lit("difc")), law)
+        .when(F.contains(both, F.lit(P.ROADMAP)), F.array(F.lit("roadmap to proposed changes"))).otherwise(none)
+    )
+    rows = heads.select("doc_id", F.when(~blank & ~rules, paper).alias("paper"), keys.alias("keys"))
+    new = rows.join(papers.select(_paper_key(F.col("number"), F.col("year")).alias("paper")).distinct(), "paper", "left_anti")
+    return new.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.max("doc_id").alias("doc_id"))
+
+
+def route_unindexed(questions: DataFrame, index: DataFrame, papers: DataFrame) -> DataFrame:
+    """(qid, doc_id): documents of a ``keyword_index`` for each question (qid, question): the court rules by their words, papers by number and year that are not in ``papers``."""
+    refs = found(F.col("question"), P.PAPER, 1), found(F.col("question"), P.PAPER, 2)
+    asked = questions.select("qid", F.explode(F.arrays_zip(refs[0].alias("n"), refs[1].alias("y"))).alias("m")).where("m.y <> ''").select("qid", _paper_key(F.col("m.n"), F.col("m.y")).alias("key"))
+    asked = asked.join(papers.select(_paper_key(F.col("number"), F.col("year")).alias("key")).distinct(), "key", "left_anti")
+    rules = questions.where(contains_any(F.lower("question"), P.COURT_RULES)).select("qid", F.lit("rdc").alias("key"))
+    return rules.unionByName(asked).join(index, "key").select("qid", "doc_id").distinct()

@@ -209,3 +209,10 @@ def with_referred(pages: DataFrame, edges: DataFrame, questions: DataFrame, per:
     new = first.join(pages.select("qid", "doc_id", "page"), ["qid", "doc_id", "page"], "left_anti")
     kept = new.withColumn("k", _first([F.col("at"), F.col("doc_id"), F.col("page")], "qid")).join(most, "qid").where("k <= most")
     return pages.unionByName(kept.select("qid", "doc_id", "page", F.lit(REFERRED).alias("score"), (F.col("n") + F.col("k")).cast("int").alias("rank")))
+
+
+def keyword_pages(asked: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, page, n): of each asked document (qid, doc_id, kw: words in lower case) the ``k`` pages that hold most of the words, at least one; the earlier page on ties."""
+    held = asked.join(pages.select("doc_id", "page", F.lower("text").alias("low")), "doc_id")
+    hits = held.select("qid", "doc_id", "page", F.size(F.filter("kw", lambda w: F.contains(F.col("low"), w))).alias("n")).where("n > 0")
+    return hits.withColumn("r", _first([F.col("n").desc(), F.col("page")], "qid", "doc_id")).where(F.col("r") <= k).drop("r")

@@ -50,7 +50,16 @@ scalar("deflection", lambda x: A.is_deflection(F.concat(x, F.lit(" "), F.upper(F
 scalar("parse_citations", lambda x: F.array_join(A.cited(F.concat(F.lit("[P"), (F.col("qid") % 9).cast("string"), F.lit("] a [P2] b [P2]")), F.lit(5)), "|"), "CASE WHEN qid % 9 BETWEEN 1 AND 5 AND qid % 9 <> 2 THEN CASE WHEN qid % 9 < 2 THEN (qid % 9 - 1)::VARCHAR || '|1' ELSE '1|' || (qid % 9 - 1) END ELSE '1' END")
 scalar("pages_used", lambda x: F.array_join(A.pages_used(F.concat(F.lit("PAGES_USED: [3, "), (F.col("qid") % 40).cast("string"), F.lit(", 12]"))), "|"), "'3|' || (qid % 40) || '|12'")
 scalar("grounding", lambda x: F.array_join(F.regexp_extract_all(F.concat(F.lit('"'), x, F.lit('" → page '), (F.col("qid") % 7).cast("string")), F.lit(r'"([^"]+)" → page (\d+)'), F.lit(2)), "|"), "(qid % 7)::VARCHAR")
-scalar("answer_override", lambda x: F.when(F.col("qid") % 100 == 0, "checked by hand").otherwise(x), "CASE WHEN qid % 100 = 0 THEN 'checked by hand' ELSE raw END")
+
+
+#: Answers checked by hand: those of some labelled documents' numbers, null where the question has none.
+_OVERRIDES = "SELECT doc_id AS qid, CASE WHEN quality = 1 THEN concat('checked ', CAST(doc_id AS STRING)) END AS fixed FROM {labels}"
+
+
+@query("SELECT a.qid, CASE WHEN o.qid IS NOT NULL THEN o.fixed ELSE a.raw END AS value, o.qid IS NOT NULL AS overridden FROM fx_answers a LEFT JOIN (" + _OVERRIDES.replace("{labels}", "labels") + ") o ON o.qid = a.qid")
+def answer_override(t: Inputs) -> DataFrame:
+    """Answers, those checked by hand in place of the model's."""
+    return P.overridden(_raw(t).select("qid", F.col("raw").alias("value")), t.sql(_OVERRIDES), "value", "fixed")
 
 
 _DAY = "try_strptime(answer, '%Y-%m-%d')"
@@ -91,13 +100,6 @@ def format_report(t: Inputs) -> DataFrame:
     return t.fx("runs").withColumn("severity", severity).where("severity is not null").groupBy("severity", "answer_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT qid, CASE answer_type WHEN 'boolean' THEN 'boolean' WHEN 'free_text' THEN CASE WHEN n_pages > 2 THEN 'long' ELSE 'free' END ELSE 'fact' END AS prompt, CASE answer_type WHEN 'free_text' THEN CASE WHEN n_pages > 2 THEN 1500 ELSE 280 END ELSE 80 END AS max_tokens FROM fx_runs""")
-def prompt_route(t: Inputs) -> DataFrame:
-    free, long = F.col("answer_type") == "free_text", F.col("n_pages") > 2
-    prompt = F.when(F.col("answer_type") == "boolean", "boolean").when(free & long, "long").when(free, "free").otherwise("fact")
-    return t.fx("runs").select("qid", prompt.alias("prompt"), F.when(free & long, 1500).when(free, 280).otherwise(80).alias("max_tokens"))
-
-
 # -- citations: pages of documents stand for cited pages, their first words for keywords
 
 _CITED = "SELECT doc_id AS qid, doc_id AS doc, page, text, CASE doc_id % 3 WHEN 0 THEN 'boolean' WHEN 1 THEN 'names' ELSE 'number' END AS kind, list_filter(string_split(lower(left(first_value(text) OVER (PARTITION BY doc_id ORDER BY page), 80)), ' '), lambda w: length(w) >= 4) AS kw FROM fx_pages"

@@ -182,11 +182,6 @@ def sample_n(t: Inputs) -> DataFrame:
     return t.fx("runs").select("qid").orderBy(F.md5(F.concat(F.col("qid").cast("string"), F.lit("-42")).cast("binary")), "qid").limit(10)
 
 
-@query("SELECT answer_type, count(*) AS n, count_if(model_name = 'oracle')::BIGINT AS routed, count_if(ttft_ms < 4)::BIGINT AS low, round(avg(ttft_ms), 6) AS top FROM fx_runs GROUP BY answer_type")
-def retrieval_analysis(t: Inputs) -> DataFrame:
-    return t.fx("runs").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(F.col("model_name") == "oracle").alias("routed"), F.count_if(F.col("ttft_ms") < 4).alias("low"), F.round(F.avg("ttft_ms"), 6).alias("top"))
-
-
 @query(r"SELECT item_id, '[P1] ' || text || chr(10) || '[P2] ' || replace(text, ' ', '_') AS prompt FROM benchmark")
 def passage_prompt(t: Inputs) -> DataFrame:
     passages = F.array(F.col("text"), F.replace("text", F.lit(" "), F.lit("_")))

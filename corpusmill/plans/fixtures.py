@@ -50,7 +50,7 @@ FROM {{customer}} JOIN ({_LAWS}) a ON a.doc_id = c_custkey JOIN ({_LAWS}) b ON b
     "lost_questions": f"""
 SELECT s_suppkey AS qid, CASE s_suppkey % 5
    WHEN 0 THEN concat('When was the notice on ', split_part(a.name, ' ', 1), ' duties issued?') WHEN 1 THEN concat('Who is the judge of the ', split_part(a.name, ' ', 1), ' appeal?')
-   WHEN 2 THEN concat('Which fine is due for a ', split_part(a.name, ' ', 2), '?') WHEN 3 THEN concat('Do the Registrar and the court both act under Schedule 2 on ', split_part(a.name, ' ', 1), ' duties?')
+   WHEN 2 THEN concat('Which fine is due for a ', split_part(a.name, ' ', 2), '?') WHEN 3 THEN concat('Do Article ', CAST(s_suppkey % 9 + 1 AS STRING), ' and Article 7 both apply where the Registrar acts under Schedule 2?')
    ELSE concat('What does the claimant seek in the ', split_part(a.name, ' ', 2), ' matter?') END AS question,
   CASE s_suppkey % 5 WHEN 0 THEN 'date' WHEN 1 THEN 'name' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' ELSE 'free_text' END AS answer_type
 FROM {{supplier}} JOIN ({_LAWS}) a ON a.doc_id = s_suppkey""".replace("{{", "{").replace("}}", "}"),
@@ -106,6 +106,13 @@ SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page,
    CAST(2004 + l_suppkey % 16 AS STRING), ' and Schedule ', CAST(l_linenumber AS STRING), ' apply; see Regulation ', CAST(l_partkey % 7 + 1 AS STRING), '.',
    CAST(l_suppkey % 5 + 1 AS STRING), '. IT IS HEREBY ORDERED that the claim is dismissed.') AS text
 FROM {lineitem}""",
+    "loose_pages": """
+SELECT o_orderkey AS doc_id, n.page, CASE o_orderkey % 8 + 10 * n.page WHEN 10 THEN 'PART 1. RULES OF THE DUBAI INTERNATIONAL FINANCIAL CENTRE COURTS' WHEN 11 THEN concat('CONSULTATION PAPER NO. 0', CAST(o_orderkey % 40 AS STRING)) WHEN 21 THEN concat(' of March ', CAST(2000 + o_orderkey % 3 AS STRING), ', see CFI 1/2001')
+   WHEN 12 THEN concat('Claim No. CFI 0', CAST(o_orderkey % 500 AS STRING), '/2005') WHEN 13 THEN concat('DIFC Law No. (', CAST(o_orderkey % 12 AS STRING), ') of 2008') WHEN 14 THEN 'Roadmap to the Proposed' WHEN 24 THEN 'changes' WHEN 15 THEN '  ' WHEN 25 THEN '' WHEN 16 THEN 'Consultation Paper No 5 of 1999' ELSE 'Other matters' END AS text
+FROM {orders} CROSS JOIN (VALUES (1), (2), (3)) AS n(page)""",
+    "judge_questions": f"""
+SELECT o_orderkey AS qid, concat(CASE o_orderkey % 5 WHEN 0 THEN 'Who was the presiding judge in ' WHEN 1 THEN 'Which judges presided over ' WHEN 2 THEN 'Who was the original judge before ' WHEN 3 THEN 'Who is the claimant in ' ELSE 'Did a judge recuse in ' END, {_CASE}, '?') AS question,
+  CASE o_orderkey % 5 WHEN 1 THEN 'names' WHEN 4 THEN 'boolean' ELSE 'name' END AS answer_type FROM {{orders}}""",
     "heading_lines": """
 SELECT p_partkey AS n, concat(CASE p_partkey % 14 WHEN 0 THEN 'Article ' WHEN 1 THEN 'ARTICLE ' WHEN 2 THEN '  Article ' WHEN 3 THEN 'Schedule ' WHEN 4 THEN 'Schedule IV ' WHEN 5 THEN 'PART XI ' WHEN 6 THEN 'Chapter iv ' WHEN 7 THEN 'Regulation '
   WHEN 8 THEN 'Rule ' WHEN 9 THEN 'section ' WHEN 10 THEN 'Appendix ' WHEN 11 THEN 'Articles of ' WHEN 12 THEN 'Article IV ' ELSE '7. Article ' END, CAST(p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN '(2)' WHEN 1 THEN 'A(3) Scope' WHEN 2 THEN '.4' WHEN 3 THEN 'B' ELSE ' Duties' END) AS heading
@@ -182,6 +189,7 @@ FROM {events}""",
 }
 BOTH["auto_index"] = f"""SELECT case_id, o_orderkey * 10 + doc_ord AS doc_id, case_id AS told, 'CFI' AS case_type, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE date_of_issue END AS date_of_issue, concat(claimant, ';') AS claimant, concat(defendant, ';', claimant) AS defendant FROM ({BOTH['case_docs']}) AS c WHERE o_orderkey % 9 <> 0"""
 BOTH["manual_index"] = f"""SELECT case_id, o_orderkey * 10 + doc_ord AS doc_id, CASE WHEN o_orderkey % 17 = 0 THEN lower(case_id) ELSE case_id END AS told, CASE WHEN o_orderkey % 13 = 0 THEN 'ARB' ELSE 'CFI' END AS case_type, CASE WHEN o_orderkey % 10 IN (3, 4) THEN NULL ELSE date_of_issue END AS date_of_issue, concat(claimant, ';') AS claimant, CASE WHEN n_defendants > 2 THEN defendant ELSE concat(claimant, '; ', lower(defendant)) END AS defendant FROM ({BOTH['case_docs']}) AS c WHERE o_orderkey % 11 <> 0 AND NOT (doc_ord = 2 AND o_orderkey % 4 = 1)"""
+BOTH["all_questions"] = f"SELECT qid, question, answer_type FROM ({BOTH['questions']}) AS a UNION ALL SELECT qid + 100000000, question, answer_type FROM ({BOTH['results']}) AS b"
 
 
 #: Tables that several queries of an application read, by folder and name: the first one writes them.

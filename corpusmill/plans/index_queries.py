@@ -124,18 +124,34 @@ def doc_date_pages(t: Inputs) -> DataFrame:
     return t.fx("case_docs").where("date_of_issue is not null").select("case_id", "doc_ord", "date_page")
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'rule') THEN 'rules' WHEN contains(lower(text), 'case') THEN 'case' ELSE lang END AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_INDEXED_DOCS = "SELECT doc FROM fx_papers UNION SELECT doc FROM fx_court_orders"
+_LOOSE = f"""heads AS (SELECT doc_id, coalesce(max(CASE WHEN page = 1 THEN text END), '') AS p1, coalesce(max(CASE WHEN page = 2 THEN text END), '') AS p2 FROM fx_loose_pages WHERE doc_id NOT IN ({_INDEXED_DOCS}) GROUP BY doc_id),
+read AS (SELECT *, lower(p1 || ' ' || p2) AS both_pages, nullif(regexp_extract(p1 || p2, '{P.PAPER_TITLE}', 1), '')::INT::VARCHAR AS paper, regexp_extract(p1 || p2, '20\\d{{2}}') AS year, regexp_extract(p1, '{P.LOOSE_CASE}', ['p', 'n', 'y']) AS c, regexp_extract(p1, '{P.LOOSE_LAW}', ['n', 'y']) AS l FROM heads),
+told AS (SELECT doc_id, CASE WHEN trim(both_pages) = '' THEN [] WHEN contains(both_pages, '{P.RULES_TITLE}') THEN [{', '.join(f"'{w}'" for w in P.COURT_RULES)}, 'rdc']
+  WHEN paper IS NOT NULL THEN CASE WHEN year <> '' AND NOT EXISTS (SELECT 1 FROM fx_papers p WHERE p.number::VARCHAR = paper AND p.year::VARCHAR = r.year) THEN ['cp_' || paper || '_of_' || year, 'consultation paper no. ' || paper || ' of ' || year, 'consultation paper no ' || paper || ' of ' || year] ELSE [] END
+  WHEN c.p <> '' THEN [lower(c.p) || ' ' || try_cast(c.n AS INT) || '/' || c.y, lower(c.p) || ' ' || c.n || '/' || c.y]
+  WHEN contains(both_pages, 'law no.') AND contains(left(both_pages, 200), 'difc') THEN CASE WHEN l.n <> '' THEN ['difc law no. ' || l.n || ' of ' || l.y] ELSE [] END WHEN contains(both_pages, '{P.ROADMAP}') THEN ['roadmap to proposed changes'] ELSE [] END AS keys FROM read r),
+loose AS (SELECT key, max(doc_id) AS doc_id FROM (SELECT doc_id, unnest(keys) AS key FROM told) GROUP BY key)"""
+
+
+def _keyword_index(t: Inputs) -> DataFrame:
+    papers = t.fx("papers")
+    indexed = papers.select(F.col("doc").alias("doc_id")).unionByName(t.fx("court_orders").select(F.col("doc").alias("doc_id")))
+    return X.keyword_index(t.fx("loose_pages"), indexed, papers)
+
+
+@query(f"WITH {_LOOSE} SELECT key, doc_id FROM loose")
 def kw_doc_index(t: Inputs) -> DataFrame:
-    """Keys of documents that no other index has; the first rule wins."""
-    low = F.lower("text")
-    kind = F.when(F.contains(low, F.lit("rule")), "rules").when(F.contains(low, F.lit("case")), "case").otherwise(F.col("lang"))
-    return t.table("documents").join(t.table("labels"), "doc_id", "left_anti").select("doc_id", kind.alias("key"))
+    """Keys of documents that no other index has: court rules, papers, cases, laws, a roadmap; the first kind that fits."""
+    return _keyword_index(t)
 
 
-@query("SELECT o.qid, i.key, i.n FROM (SELECT doc_id AS qid, lang AS key FROM documents) o JOIN (SELECT lang AS key, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang) i USING (key)")
+@query(f"""WITH {_LOOSE}, refs AS (SELECT qid, unnest(regexp_extract_all(question, '{P.PAPER}', ['n', 'y'])) AS m FROM fx_paper_questions),
+found AS (SELECT qid, 'rdc' AS key FROM fx_paper_questions WHERE {' OR '.join(f"contains(lower(question), '{w}')" for w in P.COURT_RULES)} UNION SELECT qid, 'cp_' || m.n::INT || '_of_' || m.y FROM refs WHERE m.y <> '' AND NOT EXISTS (SELECT 1 FROM fx_papers p WHERE p.number::VARCHAR = m.n AND p.year::VARCHAR = m.y))
+SELECT DISTINCT qid, doc_id FROM found JOIN loose USING (key)""")
 def route_unindexed(t: Inputs) -> DataFrame:
-    index = t.table("documents").join(t.table("labels"), "doc_id", "left_anti").groupBy(F.col("lang").alias("key")).agg(F.count("*").alias("n"))
-    return t.table("documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("key")).join(index, "key").select("qid", "key", "n")
+    """Documents of no other index for questions about the court rules and about papers."""
+    return X.route_unindexed(t.fx("paper_questions"), _keyword_index(t), t.fx("papers"))
 
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM fx_pages UNION ALL SELECT 'case_docs', count(*) FROM fx_case_docs")

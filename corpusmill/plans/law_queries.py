@@ -423,6 +423,74 @@ def xref_boost(t: Inputs) -> DataFrame:
     return both.select("qid", "doc_id", F.col("page").cast("long").alias("page"), F.col("rank").cast("long").alias("rank"), (F.col("score") == G.REFERRED).alias("referred"))
 
 
+# -- searches inside the documents of a question
+
+_OWN = f"{_ASKED_LAWS}, own AS (SELECT DISTINCT qid, doc_id FROM law_docs)"
+
+
+@query(f"""WITH {_OWN}, kw AS (SELECT qid, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z]{{4,}}')), lambda w: w NOT IN ({_OVER})) AS kw FROM fx_law_questions),
+h AS (SELECT qid, s.doc_id, s.page, len(list_filter(kw, lambda w: contains(lower(s.text), w))) AS n FROM own JOIN kw USING (qid) JOIN fx_statutes s USING (doc_id))
+SELECT qid, doc_id, page, n FROM h WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY n DESC, page) <= 3""")
+def page_keyword_topk(t: Inputs) -> DataFrame:
+    """The three pages of each of a question's documents that have most of its words."""
+    words = F.filter(F.array_distinct(T.found(F.lower("question"), "[a-z]{4,}")), lambda w: ~w.isin(P.OVERLAP_STOP_WORDS))
+    asked = _law_docs(t).select("qid", "doc_id").distinct().join(t.fx("law_questions").select("qid", words.alias("kw")), "qid")
+    return G.keyword_pages(asked, t.fx("statutes"), 3).select("qid", "doc_id", "page", F.col("n").cast("long").alias("n"))
+
+
+_NUMBERS = f"numbers AS (SELECT qid, unnest(list_distinct(regexp_extract_all(question, '{P.ARTICLE}', 1))) AS article FROM fx_law_questions), held AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(text, '(?i)\\bArticle\\s+(\\d+)\\b', 1)) AS article FROM fx_statutes)"
+
+
+def _article_numbers(t: Inputs) -> DataFrame:
+    asked = t.fx("law_questions").select("qid", F.explode(F.array_distinct(T.found(F.col("question"), P.ARTICLE, 1))).alias("article"))
+    return _law_docs(t).select("qid", "doc_id").distinct().join(asked, "qid")
+
+
+@query(f"WITH {_OWN}, {_NUMBERS.replace('numbers AS', 'asked_numbers AS')} SELECT qid, doc_id, article, min(page) AS page FROM own JOIN asked_numbers USING (qid) JOIN held USING (doc_id, article) GROUP BY ALL")
+def article_first_page(t: Inputs) -> DataFrame:
+    """The first page of each of a question's documents that names an article that it asks for."""
+    return X.article_mentions(t.fx("statutes")).join(_article_numbers(t), ["doc_id", "article"]).groupBy("qid", "doc_id", "article").agg(F.min("page").alias("page"))
+
+
+@query(f"""WITH {_OWN}, {_NUMBERS.replace('numbers AS', 'asked_numbers AS')}, m AS (SELECT DISTINCT qid, doc_id, page FROM own JOIN asked_numbers USING (qid) JOIN held USING (doc_id, article)),
+c AS (SELECT o.qid, s.doc_id, s.page, m.page IS NOT NULL AS promoted FROM own o JOIN fx_statutes s USING (doc_id) LEFT JOIN m ON m.qid = o.qid AND m.doc_id = s.doc_id AND m.page = s.page)
+SELECT qid, doc_id, page, promoted, row_number() OVER (PARTITION BY qid ORDER BY promoted DESC, doc_id, page) AS position FROM c QUALIFY position <= 40""")
+def promote_first(t: Inputs) -> DataFrame:
+    """Forty pages of a question's documents, those that name an article that it asks for first, the others in their order."""
+    own = _law_docs(t).select("qid", "doc_id").distinct().join(t.fx("statutes").select("doc_id", "page"), "doc_id")
+    named = X.article_mentions(t.fx("statutes")).join(_article_numbers(t), ["doc_id", "article"]).select("qid", "doc_id", "page").distinct().withColumn("promoted", F.lit(True))
+    rows = own.join(named, ["qid", "doc_id", "page"], "left").withColumn("promoted", F.coalesce("promoted", F.lit(False)))
+    top = R.top_k(rows, ["qid"], [F.col("promoted").desc(), F.col("doc_id"), F.col("page")], 40, "position")
+    return top.select("qid", "doc_id", "page", "promoted", F.col("position").cast("long").alias("position"))
+
+
+# -- what retrieval finds, by type of answer
+
+_FOUND = _TWO_STEPS + """, kept AS (SELECT qid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page) AS n FROM both_steps) JOIN fx_law_questions USING (qid) JOIN limits USING (answer_type) WHERE n <= most),
+tops AS (SELECT q.qid, q.answer_type, EXISTS (SELECT 1 FROM law_docs l WHERE l.qid = q.qid) AS routed, t.n_pages, t.top FROM fx_law_questions q LEFT JOIN (SELECT qid, count(*) AS n_pages, max(score) AS top FROM kept GROUP BY qid) t ON t.qid = q.qid)"""
+
+
+def _tops(t: Inputs) -> DataFrame:
+    """(qid, answer_type, routed, n_pages, top) of every question."""
+    pages = t.once("retrieved", lambda: G.retrieved(_boosted(t), _limits(t), _corpus_search(t)))
+    routed = _law_docs(t).select("qid").distinct().withColumn("routed", F.lit(True))
+    tops = pages.groupBy("qid").agg(F.count("*").alias("n_pages"), F.max("score").alias("top"))
+    return t.fx("law_questions").select("qid", "answer_type").join(routed, "qid", "left").join(tops, "qid", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
+
+
+@query(_FOUND + " SELECT answer_type, count(*) AS n, count_if(routed)::BIGINT AS routed, count(top) AS retrieved, count_if(top < 0.4)::BIGINT AS low, count_if(top IS NULL)::BIGINT AS no_pages, round(avg(top), 6) AS top FROM tops GROUP BY answer_type")
+def retrieval_analysis(t: Inputs) -> DataFrame:
+    """Questions that were routed, found pages, or found weak ones, and the mean best score, by type of answer."""
+    top = F.col("top")
+    return _tops(t).groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if("routed").alias("routed"), F.count(top).alias("retrieved"), F.count_if(top < 0.4).alias("low"), F.count_if(top.isNull()).alias("no_pages"), F.round(F.avg(top), 6).alias("top"))
+
+
+@query(_FOUND + " SELECT qid, answer_type, n_pages, round(top, 3) AS top FROM tops WHERE top IS NOT NULL ORDER BY round(tops.top, 9), qid LIMIT 20")
+def weakest_retrievals(t: Inputs) -> DataFrame:
+    """A report of the twenty questions whose best page scores least."""
+    return _tops(t).where("top is not null").orderBy(F.round("top", 9), "qid").limit(20).select("qid", "answer_type", "n_pages", F.round("top", 3).alias("top"))
+
+
 # -- papers and orders
 
 _TOPIC = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {_any(f'lower({x})', words)} THEN '{topic}' END" for topic, words in W.PAPER_TOPICS.items()) + "], lambda z: z IS NOT NULL)"

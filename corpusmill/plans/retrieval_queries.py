@@ -163,10 +163,12 @@ def dense_topk(t: Inputs) -> DataFrame:
     return _nearest(t, 50).select("qid", "unit", F.round(1 - F.col("score"), 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT a.pos, v.vec_id, v.label FROM (SELECT * FROM (VALUES (0, 40), (1, 21), (2, 33), (3, 999999)) AS a(pos, id)) a JOIN embeddings v ON v.vec_id = a.id")
+@query("SELECT l.doc_id AS qid, p.pos - 1 AS pos, v.vec_id, v.label FROM labels l CROSS JOIN (VALUES (1), (2), (3)) AS p(pos) JOIN embeddings v ON v.vec_id = [l.doc_id + 1, l.doc_id, l.doc_id * 2][p.pos]")
 def fetch_by_ids(t: Inputs) -> DataFrame:
-    wanted = t.spark.sql("SELECT posexplode(array(40L, 21L, 33L, 999999L)) AS (pos, vec_id)")
-    return t.table("embeddings").join(F.broadcast(wanted), "vec_id").select("pos", "vec_id", "label")
+    """Vectors of the lists of ids that are asked for, with their places in the lists; ids that no vector has are left out."""
+    d = F.col("doc_id")
+    wanted = t.table("labels").select(d.alias("qid"), F.posexplode(F.array(d + 1, d, d * 2)).alias("pos", "vec_id"))
+    return t.table("embeddings").join(wanted, "vec_id").select("qid", "pos", "vec_id", "label")
 
 
 @query(f"WITH {_DENSE} SELECT qid, doc_id, page, round(max(score), 6) AS score FROM dense GROUP BY ALL")
@@ -274,22 +276,6 @@ def type_config(t: Inputs) -> DataFrame:
 
 # -- keyword search over documents and pages
 
-_HITS = "SELECT q.qid, p.doc_id, p.page, (regexp_matches(lower(p.text), 'the'))::INT + contains(lower(p.text), 'der')::INT + contains(lower(p.text), 'que')::INT AS n FROM fx_pages p CROSS JOIN (SELECT 1 AS qid) q"
-
-
-@query(f"SELECT doc_id, page, n FROM ({_HITS}) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page) <= 3")
-def page_keyword_topk(t: Inputs) -> DataFrame:
-    """The three pages of each document with most of some keywords."""
-    n = T.count_contained(F.lower(F.col("text")), ["the", "der", "que"])
-    top = R.top_k(t.fx("pages").select("doc_id", "page", n.alias("n")).where("n > 0"), ["doc_id"], [F.col("n").desc(), F.col("page")], 3)
-    return top.select("doc_id", "page", "n")
-
-
-@query("SELECT doc_id, min(page) AS page FROM fx_legal_text WHERE regexp_matches(text, '(?i)\\bArticle\\s+7\\b') GROUP BY doc_id")
-def article_first_page(t: Inputs) -> DataFrame:
-    return t.fx("legal_text").where(F.col("text").rlike(r"(?i)\bArticle\s+7\b")).groupBy("doc_id").agg(F.min("page").alias("page"))
-
-
 @query("""WITH h AS (SELECT l_orderkey // 100 AS qid, l_suppkey AS doc, l_partkey AS unit, max(l_quantity) AS score FROM lineitem GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, unit) AS turn FROM h)
 SELECT qid, doc, unit, row_number() OVER (PARTITION BY qid ORDER BY turn, doc) AS position FROM t WHERE turn <= 15""")
@@ -298,14 +284,6 @@ def round_robin(t: Inputs) -> DataFrame:
     return R.round_robin(hits, "qid", "doc", 15, F.col("score").desc(), F.col("unit")).select("qid", "doc", "unit", F.col("position").cast("long").alias("position"))
 
 
-@query("""SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY (regexp_matches(text, '(?i)\\bArticle\\s+7\\b')) DESC, page, md5(text)) AS position FROM fx_legal_text""")
-def promote_first(t: Inputs) -> DataFrame:
-    """Chunks of the asked article first, the others in their order."""
-    match = F.col("text").rlike(r"(?i)\bArticle\s+7\b")
-    top = R.top_k(t.fx("legal_text"), ["doc_id"], [match.desc(), F.col("page"), F.md5(F.col("text").cast("binary"))], 1 << 30, "position")
-    return top.select("doc_id", "page", F.col("position").cast("long").alias("position"))
-
-
 _CASE_KEY = "upper(m.p) || ' ' || lpad(m.n, greatest(3, length(m.n))::INT, '0') || '/' || m.y"
 _IDENTIFIERS = f"list_distinct(list_transform(regexp_extract_all(text, '{P.CASE_ID}', ['p', 'n', 'y']), lambda m: {_CASE_KEY}) || list_transform(regexp_extract_all(text, '{P.LAW_NO}', 1), lambda n: 'LAW ' || n))"
 _KEYED = "SELECT n_nationkey AS qid, CASE WHEN n_nationkey % 2 = 0 THEN concat('What does Law No ', CAST(n_nationkey % 12 + 1 AS STRING), ' say of ', CAST(2004 + n_nationkey % 16 AS STRING), '?') ELSE concat('What did CFI-', CAST(n_nationkey + 150 AS STRING), '-', CAST(2010 + n_nationkey % 15 AS STRING), ' decide?') END AS text FROM "

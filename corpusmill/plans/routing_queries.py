@@ -155,9 +155,16 @@ def oracle_date(t: Inputs) -> DataFrame:
     return _hits(t).where("doc_ord = 1 AND answer_type = 'date'").select("qid", "case_id", F.col("date_of_issue").alias("answer"))
 
 
-@query(_DOCS + " SELECT qid, case_id, judge AS answer FROM hits WHERE doc_ord = 1")
+_HAS = lambda words: "(" + " OR ".join(f"contains(lower(question), '{w}')" for w in words) + ")"
+
+
+@query(_DOCS.replace("fx_questions", "fx_judge_questions") + f" SELECT qid, case_id, judge AS answer, judge_page::BIGINT AS page FROM hits WHERE doc_ord = 1 AND answer_type IN ('name', 'names') AND {_HAS(P.JUDGE_WORDS)} AND NOT {_HAS(P.OTHER_JUDGE)}")
 def oracle_judge(t: Inputs) -> DataFrame:
-    return _hits(t).where("doc_ord = 1").select("qid", "case_id", F.col("judge").alias("answer"))
+    """The judge of a case, unless the question asks for that of another instance."""
+    low = F.lower("question")
+    asked = t.fx("judge_questions").where(F.col("answer_type").isin("name", "names") & T.contains_any(low, P.JUDGE_WORDS) & ~T.contains_any(low, P.OTHER_JUDGE))
+    hits = L.with_documents(L.asked_cases(asked), t.fx("case_docs"))
+    return hits.where("doc_ord = 1").select("qid", "case_id", F.col("judge").alias("answer"), F.col("judge_page").cast("long").alias("page"))
 
 
 @query(_DOCS + " SELECT qid, case_id, CASE WHEN contains(question, 'defendant') THEN defendant ELSE claimant END AS answer FROM hits WHERE doc_ord = 1 AND qid IN (SELECT qid FROM asked GROUP BY qid HAVING count(*) = 1)")

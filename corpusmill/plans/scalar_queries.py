@@ -94,14 +94,6 @@ def norm_judge(t: Inputs) -> DataFrame:
     return t.table("nation").select(F.col("n_nationkey").alias("k"), F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("judge"))
 
 
-@query(rf"""SELECT qid, regexp_matches(question, '{P.CASE_ID}') AS is_case, contains(lower(question), 'law') AND NOT regexp_matches(question, '{P.CASE_ID}') AS is_law,
- contains(lower(question), 'earlier') AS compares_dates, contains(lower(question), 'higher') AS compares_values FROM fx_questions""")
-def question_class(t: Inputs) -> DataFrame:
-    q, low = F.col("question"), F.lower("question")
-    case = q.rlike(P.CASE_ID)
-    return t.fx("questions").select("qid", case.alias("is_case"), (F.contains(low, F.lit("law")) & ~case).alias("is_law"), F.contains(low, F.lit("earlier")).alias("compares_dates"), F.contains(low, F.lit("higher")).alias("compares_values"))
-
-
 def _any(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -109,6 +101,27 @@ def _any(text: str, words: list[str]) -> str:
 _LOW = "lower(question)"
 
 
+_CASE_ASKED = f"({_any(_LOW, P.CASE_WORDS)} OR regexp_matches(question, '{P.CASE_IN_QUESTION}'))"
+_BY = lambda words: f"(len(regexp_extract_all(question, '{P.CASE_IN_QUESTION}')) >= 2 AND {_any(_LOW, words)})"
+
+
+@query(f"SELECT qid, {_CASE_ASKED} AS is_case, NOT regexp_matches(question, '{P.CASE_IN_QUESTION}') AS is_law, {_any(_LOW, P.FOREIGN)} AS is_trick, {_BY(P.DATE_WORDS)} AS compares_dates, {_BY(P.VALUE_WORDS)} AS compares_values FROM fx_all_questions")
+def question_class(t: Inputs) -> DataFrame:
+    """What kind of question it is: about a case, purely about laws, a trick, a comparison of dates or of values."""
+    q = F.col("question")
+    return t.fx("all_questions").select(
+        "qid", T.is_case_question(q).alias("is_case"), (~q.rlike(P.CASE_IN_QUESTION)).alias("is_law"), T.contains_any(F.lower(q), P.FOREIGN).alias("is_trick"),
+        T.compares_cases(q, P.DATE_WORDS).alias("compares_dates"), T.compares_cases(q, P.VALUE_WORDS).alias("compares_values"),
+    )
+
+
+@query(f"""SELECT qid, CASE WHEN answer_type IN ('boolean', 'number', 'names', 'date') THEN answer_type WHEN answer_type = 'name' THEN CASE WHEN {_BY(P.DATE_WORDS)} THEN 'name_by_date' WHEN {_BY(P.VALUE_WORDS)} THEN 'name_by_value' ELSE 'name' END
+ ELSE CASE WHEN {_any(_LOW, P.FOREIGN)} THEN 'free_trick' WHEN {_CASE_ASKED} THEN 'free_case' ELSE 'free_law' END END AS prompt, CASE answer_type WHEN 'free_text' THEN 1500 WHEN 'name' THEN 280 ELSE 80 END AS max_tokens FROM fx_all_questions""")
+def prompt_route(t: Inputs) -> DataFrame:
+    """The prompt and the length of the answer for each question."""
+    return t.fx("all_questions").select("qid", T.prompt_kind(F.col("question"), F.col("answer_type")).alias("prompt"), T.answer_tokens(F.col("answer_type")).alias("max_tokens"))
+
+
 @query(f"""SELECT qid, {_any(_LOW, P.FOREIGN)} OR (NOT regexp_matches(question, '{P.FOREIGN_CASE}') AND (regexp_matches(question, '{P.FOREIGN_LOOSE}') OR ({_any(_LOW, P.FOREIGN_CONCEPTS)} AND NOT {_any('lower(source)', P.FOREIGN_CONCEPTS)}))) AS trick FROM fx_results""")
 def trick_question(t: Inputs) -> DataFrame:
     return t.fx("results").select("qid", T.is_foreign(F.col("question"), F.col("source")).alias("trick"))
