@@ -53,18 +53,6 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def dense_scores(queries: DataFrame, units: DataFrame, qid: str, unit: str, vector: str, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, unit, score): exact inner products of a stated query set with all units, in blocks of queries."""
-    asked = queries.select(qid, F.col(vector).alias("_q"))
-    blocks = max(1, -(-asked.count() // block))
-    base, out = units.select(unit, vector), None
-    for i in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i)
-        part = base.join(F.broadcast(mine)).select(qid, unit, dot(F.col("_q"), F.col(vector)).alias("score"))
-        out = part if out is None else out.union(part)
-    return out
-
-
 def dense_top_k(queries: DataFrame, units: DataFrame, qid: str, unit: str, vector: str, k: int, block: int = QUERY_BLOCK, rank: str = "rank") -> DataFrame:
     """(qid, unit, score, rank): the ``k`` units with the largest exact inner product for each query of a stated set.
 
@@ -110,6 +98,57 @@ def _best_of_task(sent, k: int):
     return run
 
 
+#: Stands for a null group inside a task; scores of a batch are made for this many queries at a time.
+_NO_GROUP, _AT_ONCE = -(2**63), 256
+
+
+def dense_group_max(queries: DataFrame, units: DataFrame, qid: str, groups: tuple[str, str], vector: str, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, groups, score): for each query of a stated set the largest exact inner product with a unit of each group, such as a page.
+
+    Every task scores its units against a block of queries and keeps one row for each query and group of a batch; pairs of queries and
+    units never become rows. Ids are longs; a group of nulls is one group; rows without a whole vector don't count."""
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    asked = queries.where(whole).select(F.col(qid).cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
+    blocks, out = max(1, -(-asked.count() // block)), None
+    rows = units.where(whole).select(*[F.coalesce(F.col(g).cast("long"), F.lit(_NO_GROUP)) for g in groups], F.col(vector).cast("array<double>"))
+    schema = "qid long, a long, b long, score double"
+    for i in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()  # a bounded block
+        if not mine:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast(([r.qid for r in mine], [list(r.q) for r in mine]))
+        part = rows.mapInArrow(_best_of_groups(sent), schema)
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], schema)
+    known = lambda c, name: F.when(F.col(c) != _NO_GROUP, F.col(c)).alias(name)
+    best = out.groupBy("qid", "a", "b").agg(F.max("score").alias("score"))
+    return best.select(F.col("qid").alias(qid), known("a", groups[0]), known("b", groups[1]), "score")
+
+
+def _best_of_groups(sent):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, vectors = np.array(sent.value[0], np.int64), np.array(sent.value[1], float)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            flat = batch.column(2).flatten().to_numpy().reshape(len(a), -1)[order]
+            for at in range(0, len(ids), _AT_ONCE):
+                part = ids[at : at + _AT_ONCE]
+                best = np.maximum.reduceat(vectors[at : at + _AT_ONCE] @ flat.T, starts, axis=1)
+                columns = np.repeat(part, len(starts)), np.tile(a[starts], len(part)), np.tile(b[starts], len(part)), best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "a", "b", "score"])
+
+    return run
+
+
 def fused_documents(signals: dict[str, DataFrame], weights: dict[str, float], qid: str, doc: str, pool: int, most: int = 3, gap: float = 0.15) -> DataFrame:
     """(qid, doc, score, rank): documents by weighted reciprocal ranks over several signals (qid, doc, score), of each its
     ``pool`` best; of the fused ranking the first and up to ``most`` whose score is within ``gap`` of it."""

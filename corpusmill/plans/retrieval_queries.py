@@ -142,11 +142,6 @@ def _vectors(t: Inputs) -> tuple[DataFrame, DataFrame]:
     return vec.where("asked").select(F.col("vec_id").alias("qid"), "embedding"), vec.select(F.col("vec_id").alias("unit"), "embedding")
 
 
-def _placed(t: Inputs) -> DataFrame:
-    scores = R.dense_scores(*_vectors(t), "qid", "unit", "embedding")
-    return scores.join(t.fx("vec").select(F.col("vec_id").alias("unit"), "doc_id", "page"), "unit")
-
-
 def _nearest(t: Inputs, k: int) -> DataFrame:
     return R.dense_top_k(*_vectors(t), "qid", "unit", "embedding", k)
 
@@ -173,7 +168,8 @@ def fetch_by_ids(t: Inputs) -> DataFrame:
 
 @query(f"WITH {_DENSE} SELECT qid, doc_id, page, round(max(score), 6) AS score FROM dense GROUP BY ALL")
 def dense_page_max(t: Inputs) -> DataFrame:
-    return _placed(t).groupBy("qid", "doc_id", "page").agg(F.round(F.max("score"), 6).alias("score"))
+    best = R.dense_group_max(_vectors(t)[0], t.fx("vec"), "qid", ("doc_id", "page"), "embedding")
+    return best.select("qid", "doc_id", F.col("page").cast("int").alias("page"), F.round("score", 6).alias("score"))
 
 
 @query("""WITH r AS (SELECT user_id % 50 AS qid, event_id % 97 AS unit, event_type, round(avg(value), 6) AS score FROM events GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from corpusmill.operators import citations as C
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import indexes as X
 from corpusmill.operators import pages as G
+from corpusmill.operators import retrieval as R
 
 PAGES = "qid long, doc_id long, page int, score double"
 ASKED = "qid long, question string, answer_type string"
@@ -179,3 +181,21 @@ def test_keyword_pages(spark):
     pages = spark.createDataFrame([(1, 1, "Fine words"), (1, 2, "fine print of words and duties"), (1, 3, "nothing"), (1, 4, "words, FINE"), (2, 1, None)], "doc_id long, page int, text string")
     asked = spark.createDataFrame([(1, 1, ["fine", "words", "duties"]), (2, 2, ["fine"]), (3, 1, [])], "qid long, doc_id long, kw array<string>")
     assert {tuple(r) for r in G.keyword_pages(asked, pages, 2).collect()} == {(1, 1, 2, 3), (1, 1, 1, 2)}
+
+
+def test_dense_group_max(spark):
+    rng = np.random.default_rng(5)
+    vectors, asked = rng.standard_normal((300, 6)), rng.standard_normal((7, 6))
+    place = [(None if i % 11 == 0 else i % 4, i % 3) for i in range(300)]
+    units = spark.createDataFrame([(*p, v.tolist()) for p, v in zip(place, vectors)] + [(1, 1, None), (9, 9, [None] * 6)], "doc_id long, page int, v array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(50, None)], "qid long, v array<float>")
+    f = lambda x: x.astype("f4").astype(float)
+    want = {}
+    for q, row in enumerate(f(asked) @ f(vectors).T):
+        for p, s in zip(place, row):
+            want[(q, *p)] = max(want.get((q, *p), -np.inf), s)
+    for block in (2_000, 3):
+        got = {(r.qid, r.doc_id, r.page): r.score for r in R.dense_group_max(queries, units, "qid", ("doc_id", "page"), "v", block).collect()}
+        assert got == pytest.approx(want)
+    assert R.dense_group_max(queries.where("false"), units, "qid", ("doc_id", "page"), "v").count() == 0
+    assert R.dense_group_max(queries, units.where("false"), "qid", ("doc_id", "page"), "v").count() == 0
