@@ -121,3 +121,12 @@ def last_at_or_before(points: DataFrame, marks: DataFrame, key: str, at: str, va
     both = points.select(key, at, F.lit(None).cast("int").alias(value), F.lit(1).alias("_kind")).union(marks.select(key, at, F.col(value).cast("int"), F.lit(0)))
     w = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_kind = 1").drop("_kind")
+
+
+def entity_sentences(pages: DataFrame, entities: DataFrame, least: int = 20) -> DataFrame:
+    """(doc_id, page, entity, sentence): sentences of ``pages`` (doc_id, page, text) of more than ``least`` characters that hold an entity of their page
+    (``entities``: doc_id, page, entity) in any case. A sentence ends with a full stop or semicolon before a blank."""
+    rows = pages.select("doc_id", "page", F.split("text", r"(?<=[.;])\s+").alias("s")).join(entities.select("doc_id", "page", "entity"), ["doc_id", "page"])
+    trimmed = F.transform("s", lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
+    held = F.filter(trimmed, lambda x: F.contains(F.lower(x), F.lower("entity")) & (F.length(x) > least))
+    return rows.select("doc_id", "page", "entity", F.explode(held).alias("sentence"))

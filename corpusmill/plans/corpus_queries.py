@@ -204,13 +204,6 @@ def prompt_context(t: Inputs) -> DataFrame:
 _SENTENCES = r"string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
-@query(f"SELECT doc_id, page, left(md5(text), 8) AS k, unnest(list_filter({_SENTENCES}, lambda s: contains(lower(s), 'schedule') AND length(s) > 20)) AS sentence FROM fx_legal_text")
-def entity_sentences(t: Inputs) -> DataFrame:
-    """Sentences of more than twenty characters that name a schedule."""
-    sentences = F.filter(F.split("text", r"(?<=[.;])\s+"), lambda s: F.contains(F.lower(s), F.lit("schedule")) & (F.length(s) > 20))
-    return key(t.fx("legal_text")).select("doc_id", "page", "k", F.explode(sentences).alias("sentence"))
-
-
 @query(r"""WITH w AS (SELECT doc_id, text, left(text, 705) AS w FROM documents), p AS (SELECT *, regexp_extract(w, '(?s)^(.*[.!?])(?:\s|$)', 1) AS sentence, regexp_extract(w, '(?s)^(.*)\s', 1) AS blank FROM w)
 SELECT doc_id, CASE WHEN length(text) <= 705 THEN text WHEN length(sentence) > 352 THEN sentence WHEN length(blank) > 352 THEN regexp_replace(blank, '^\s+|\s+$', '', 'g') ELSE w END AS text FROM p""")
 def truncate_sentence(t: Inputs) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions import patterns as P
 from corpusmill.functions import said as S
 from corpusmill.operators import indexes as X
+from corpusmill.operators.corpus import entity_sentences as entity_sentences_of
 from corpusmill.operators.corpus import joined_pages
+from corpusmill.plans.corpus_queries import _SENTENCES
 from corpusmill.plans.fixtures import Inputs
 from corpusmill.plans.registry import query
 
@@ -104,6 +106,14 @@ def bridge_entities(t: Inputs) -> DataFrame:
     return X.bridges(X.references(t.fx("legal_text")))
 
 
+@query(f"""WITH refs AS (SELECT DISTINCT doc_id, page, context AS entity FROM ({_REFS})), s AS (SELECT doc_id, page, unnest(list_transform({_SENTENCES}, lambda x: trim(x))) AS sentence FROM fx_legal_text)
+SELECT doc_id, page, entity, sentence FROM s JOIN refs USING (doc_id, page) WHERE contains(lower(sentence), lower(entity)) AND length(sentence) > 20""")
+def entity_sentences(t: Inputs) -> DataFrame:
+    """Sentences that hold one of their page's entities; one that a full stop parts is in none."""
+    entities = X.references(t.fx("legal_text")).select("doc_id", "page", F.col("context").alias("entity")).distinct()
+    return entity_sentences_of(t.fx("legal_text"), entities)
+
+
 @query("""WITH k AS (SELECT n_nationkey AS id, lower(n_name) || ' law' AS name FROM nation), q AS (SELECT n_nationkey AS qid, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'the ' || lower(n_name) || ' law of 2004' ELSE lower(n_name) || ' law' END AS part FROM nation)
 SELECT qid, arg_min(id, (name <> part)::INT * 1000 + id) AS id FROM q JOIN k ON contains(k.name, q.part) OR contains(q.part, k.name) GROUP BY qid""")
 def law_resolve(t: Inputs) -> DataFrame:

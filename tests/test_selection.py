@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import said as S
 from corpusmill.functions import text as T
 from corpusmill.operators import citations as C
+from corpusmill.operators import corpus as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import indexes as X
 from corpusmill.operators import pages as G
@@ -199,3 +200,11 @@ def test_dense_group_max(spark):
         assert got == pytest.approx(want)
     assert R.dense_group_max(queries.where("false"), units, "qid", ("doc_id", "page"), "v").count() == 0
     assert R.dense_group_max(queries, units.where("false"), "qid", ("doc_id", "page"), "v").count() == 0
+
+
+def test_entity_sentences(spark):
+    text = "Short Article 7. The ARTICLE 7 of this law applies; nothing is said here of it.  No law of that kind here"
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, None), (1, 3, "")], "doc_id long, page int, text string")
+    entities = spark.createDataFrame([(1, 1, "Article 7"), (1, 1, "law"), (1, 1, None), (1, 2, "law"), (1, 3, "law"), (2, 1, "law")], "doc_id long, page int, entity string")
+    got = {(r.entity, r.sentence) for r in D.entity_sentences(pages, entities).collect()}
+    assert got == {("Article 7", "The ARTICLE 7 of this law applies;"), ("law", "The ARTICLE 7 of this law applies;"), ("law", "No law of that kind here")}
