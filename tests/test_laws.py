@@ -86,3 +86,50 @@ def test_stored_index(spark, monkeypatch):
         assert {(r.qid, r.unit): round(r.score, 9) for r in index.search(queries, "qid", "toks").collect()} == want
     assert {r.token: (r.df, r.cf) for r in index.weights().collect()} == {"a": (2, 3), "b": (2, 2), "c": (1, 1)}
     assert {r.unit for r in index.where("unit > 1").search(queries, "qid", "toks").collect()} == {4}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_sets_move_no_postings(spark):
+    index = lexical.LexicalIndex.write(spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, ["b"])], "u long, toks array<string>"), "u", "toks")
+    asked = spark.createDataFrame([(1, ["b"]), (2, ["b"]), (3, ["a", "b"])], "qid long, toks array<string>")
+    found = index.search(asked, "qid", "toks")
+    assert "Exchange hashpartitioning" not in plan(found) and found.count() == 9
+    assert {(r.qid, r.unit, r.rank) for r in index.best(asked, "qid", "toks", 1).collect()} == {(1, 2, 1), (2, 2, 1), (3, 1, 1)}  # the smaller unit on ties
+    assert {(r.qid, r.unit, r.n) for r in index.shared(asked, "qid", "toks").collect()} == {(q, u, 2 if (q, u) == (3, 1) else 1) for q in (1, 2, 3) for u in (1, 2, 3)}
+
+
+def test_names_are_looked_up_at_their_own_sizes(spark):
+    """No run of words of a size that no name has becomes a row, and every question is read once."""
+    from corpusmill.operators import matching as M
+
+    names = spark.createDataFrame([("trust law",), ("law",)], "name string")
+    found = M.named(spark.createDataFrame([(1, "the trust law")], "qid long, text string"), names, "qid", "text", "name")
+    assert [tuple(r) for r in found.collect()] == [(1, "trust law", 1, 2)]
+    assert plan(found).count("RDD") + plan(found).count("LocalTableScan") <= 2
+
+
+def test_amendment_routes_group_no_pairs(spark):
+    from corpusmill.operators import lookups as L
+
+    routed = spark.createDataFrame([(1, "Which laws did it amend, and which were amended by it?", 2), (1, "Which laws did it amend, and which were amended by it?", 3), (2, "Who?", 1)], "qid long, question string, doc long")
+    found = L.amendment_routes(routed, spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1), (1, 4, 1)] and "SortMergeJoin" not in plan(found) and "LeftAnti" not in plan(found)
+
+
+def test_boosts_do_not_multiply_rows(spark):
+    one = spark.createDataFrame([(1, 1, 1, 0.5), (1, 1, 2, 0.4), (2, 9, 1, 0.1)], "qid long, doc_id long, page int, score double")
+    questions = spark.createDataFrame([(1, "What fine is due under Article 7?", "number")], "qid long, question string, answer_type string")
+    pages = spark.createDataFrame([(1, 1, "A law"), (1, 2, "SCHEDULE 2\nCONTRAVENTIONS AND FINES\nUSD 5,000")], "doc_id long, page int, text string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = G.boosted(one, questions, pages, empty("doc_id long, key string, page int"), empty("doc_id long, page int"), empty("qid long, doc_id long, page int"))
+    assert {(r.qid, r.page): round(r.score, 6) for r in found.collect()} == {(1, 1): 0.52, (1, 2): 1.21, (2, 1): 0.12} and "Generate" not in plan(found)
+
+
+def test_statutes_are_dealt(spark):
+    """One small file of laws is not one task's."""
+    from corpusmill.plans.fixtures import Inputs
+
+    assert Inputs(spark, "/root/testdata/sf0.001").fx("statutes").rdd.getNumPartitions() > 1
