@@ -28,3 +28,10 @@ def test_named(spark):
     got = matching.named(spark.createDataFrame(asked, "qid long, text string"), names, "qid", "text", "name")
     want = {(1, "new trust law", 2, 3), (1, "trust law", 7, 2), (2, "Data-Protection Law", 0, 3), (2, "law", 5, 1)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_sent_phrases_make_no_rows_of_text(spark):
+    texts = spark.createDataFrame([(1, "😀é the needle and the needle"), (2, "nothing"), (None, "needle")], "unit long, body string")
+    found = matching.occurrences(texts, spark.createDataFrame([("n", "the needle"), ("x", "é")], "pid string, phrase string"), "unit", "body", "pid", "phrase")
+    assert sorted((r.pid, r.unit, r.at) for r in found.collect()) == [("n", 1, 4), ("n", 1, 19), ("x", 1, 2)]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
