@@ -101,6 +101,6 @@ def question_of_regulations(question: Column) -> Column:
 
 def amendment_routes(routed: DataFrame, laws: DataFrame) -> DataFrame:
     """(qid, doc, page): for routed questions (qid, question, doc) about amendments, the first pages of all known laws not routed yet."""
-    asked = routed.where(F.lower("question").rlike(P.AMENDING))
-    every = asked.select("qid").distinct().join(F.broadcast(laws.select("doc").distinct()))
-    return every.join(asked.select("qid", "doc"), ["qid", "doc"], "left_anti").select("qid", "doc", F.lit(1).alias("page"))
+    own = routed.where(F.lower("question").rlike(P.AMENDING)).groupBy("qid").agg(F.collect_set("doc").alias("own"))  # of one question
+    every = own.join(F.broadcast(laws.select("doc").distinct())).where(~F.array_contains("own", F.col("doc")))
+    return every.select("qid", "doc", F.lit(1).alias("page"))
