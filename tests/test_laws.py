@@ -133,3 +133,13 @@ def test_statutes_are_dealt(spark):
     from corpusmill.plans.fixtures import Inputs
 
     assert Inputs(spark, "/root/testdata/sf0.001").fx("statutes").rdd.getNumPartitions() > 1
+
+
+def test_pages_are_read_once_for_headings(spark):
+    """All patterns in one pass, with court cases told before; a document is one number of marks, and null pages tell nothing."""
+    case = "Claimant, defendant, judgment.\n3. Costs of it\nArticle 9 is cited"
+    pages = spark.createDataFrame([(1, 1, case), (2, 1, "3. Costs of it\nArticle 9 Scope"), (1, 2, None), (3, 1, None)], "doc_id long, page int, text string")
+    court = W.of_case(pages)
+    assert [r.doc_id for r in court.collect()] == [1] and "bit_or" in plan(court)
+    found = W.heading_pages(pages, court)
+    assert {tuple(r) for r in found.collect()} == {(1, "article_9", 1), (2, "article_3", 1), (2, "article_9", 1)} and "Union" not in plan(found)

@@ -208,3 +208,15 @@ def test_entity_sentences(spark):
     entities = spark.createDataFrame([(1, 1, "Article 7"), (1, 1, "law"), (1, 1, None), (1, 2, "law"), (1, 3, "law"), (2, 1, "law")], "doc_id long, page int, entity string")
     got = {(r.entity, r.sentence) for r in D.entity_sentences(pages, entities).collect()}
     assert got == {("Article 7", "The ARTICLE 7 of this law applies;"), ("law", "The ARTICLE 7 of this law applies;"), ("law", "No law of that kind here")}
+
+
+def test_a_question_of_many_is_looked_at_once(spark, monkeypatch):
+    """Equal questions and equal titles are one row each when words are looked for; nulls and other cases of letters keep their answers."""
+    rows, write = {}, X.written
+    monkeypatch.setattr(X, "written", lambda df, name: rows.setdefault(name, write(df, name)))
+    titles = spark.createDataFrame([(i, ("Leasing Law", "Employment Law", None)[i % 3]) for i in range(90)], "doc_id long, title string")
+    texts = ["What of leasing?", "WHAT OF LEASING?", "Is employment regulated?", None, "Nothing at all?"]
+    asked = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "qid long, question string")
+    got = {r.qid: r.doc_id for r in X.law_of_question(asked, titles, spark.createDataFrame([], "doc_id long, key string, page int")).collect()}
+    assert got == {i: (0, 0, 88, None, None)[i % 5] for i in range(100)}
+    assert rows["asked-texts"].count() == 4 and rows["each-title"].count() == 3
