@@ -143,3 +143,12 @@ def test_pages_are_read_once_for_headings(spark):
     assert [r.doc_id for r in court.collect()] == [1] and "bit_or" in plan(court)
     found = W.heading_pages(pages, court)
     assert {tuple(r) for r in found.collect()} == {(1, "article_9", 1), (2, "article_3", 1), (2, "article_9", 1)} and "Union" not in plan(found)
+
+
+def test_names_come_with_what_stands_beside_them(spark):
+    """A text is read once: no join with the texts again; marks beside a name tell whole words, at the ends of a text as well."""
+    texts = [(1, "trust law"), (2, "the trust laws, étrust law"), (3, "[DOCUMENT: DIFC Law] Trust Law"), (4, "court case: trust law"), (5, None), (6, "court case: tax law")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = W.law_name_scores(spark.createDataFrame([("trust law",), ("tax law",)], "name string"), docs.where("doc_id <> 3"), 5)
+    assert {tuple(r) for r in found.collect()} == {("trust law", 1, 10, 2), ("trust law", 2, 11, 1), ("tax law", 6, 10, 1)} and "MapInArrow" not in plan(found)
+    assert {(r.doc_id, r.score) for r in W.law_name_scores(spark.createDataFrame([("trust law",)], "name string"), docs, 6).collect()} == {(3, 10000)}

@@ -35,3 +35,14 @@ def test_sent_phrases_make_no_rows_of_text(spark):
     found = matching.occurrences(texts, spark.createDataFrame([("n", "the needle"), ("x", "é")], "pid string, phrase string"), "unit", "body", "pid", "phrase")
     assert sorted((r.pid, r.unit, r.at) for r in found.collect()) == [("n", 1, 4), ("n", 1, 19), ("x", 1, 2)]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_characters_beside_phrases(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a needle"), (2, "😀needleé, needle"), (3, "xneedlex" * 3), (4, None)], "unit long, body string")
+    phrases = spark.createDataFrame([(1, "needle"), (2, "x")], "pid long, phrase string")
+    want = {(p, u, i + 1, t[i - 1 : i] if i else "", t[i + len(s) :][:1]) for p, s in ((1, "needle"), (2, "x")) for u, t in ((1, "a needle"), (2, "😀needleé, needle"), (3, "xneedlex" * 3)) for i in range(len(t)) if t.startswith(s, i)}
+    for sent in (500_000, 0):
+        monkeypatch.setattr(matching, "GRAMS_SENT", sent)
+        monkeypatch.setattr(matching, "BLOCK", 5)
+        got = matching.occurrences(texts, phrases, "unit", "body", "pid", "phrase", beside=True)
+        assert {(r.pid, r.unit, r.at, r.before, r.after) for r in got.collect()} == want
