@@ -152,3 +152,14 @@ def test_names_come_with_what_stands_beside_them(spark):
     found = W.law_name_scores(spark.createDataFrame([("trust law",), ("tax law",)], "name string"), docs.where("doc_id <> 3"), 5)
     assert {tuple(r) for r in found.collect()} == {("trust law", 1, 10, 2), ("trust law", 2, 11, 1), ("tax law", 6, 10, 1)} and "MapInArrow" not in plan(found)
     assert {(r.doc_id, r.score) for r in W.law_name_scores(spark.createDataFrame([("trust law",)], "name string"), docs, 6).collect()} == {(3, 10000)}
+
+
+def test_page_plan_has_more_tasks_for_more_lines(spark, monkeypatch):
+    from corpusmill.plans import composite_queries as C
+    from corpusmill.plans.fixtures import Inputs
+
+    few = C.fast_page_plan(Inputs(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(C, "LINES", 600)
+    many = C.fast_page_plan(Inputs(spark, "/root/testdata/sf0.001"))
+    assert many.rdd.getNumPartitions() == 10 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
