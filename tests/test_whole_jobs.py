@@ -37,3 +37,22 @@ def test_laws_with_long_names(spark, tmp_path):
     found = catalog.queries()["extract_law_names"](spark, str(tmp_path))
     assert differences(found, catalog.oracle_sql()["extract_law_names"], str(tmp_path)) == ""
     assert any(len(r.name.split()) > matching.NAME_WORDS for r in found.collect())
+
+
+def tables(spark, folder, docs, asked, near):
+    """Tables of documents and benchmark texts; ``near``: the vector of each document, texts have (1, 0)."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(20 * i, [1.0, 0.0], 0) for i, _ in asked] + [(d, v, 0) for d, v in near.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_passages_of_both_rankings(spark, tmp_path):
+    """The nearest vector alone brings a passage in, one without a text goes, and the second scorer reads a text to its end."""
+    docs = [(d, f"common filler {d}") for d in range(1, 13)] + [(13, "x" * 3000 + " common words here"), (14, "nothing alike"), (15, "  "), (16, None)]
+    near = {d: [0.1 / d, 0.0] for d in range(1, 14)} | {14: [0.9, 0.0], 15: [0.95, 0.0], 16: [0.99, 0.0]}
+    tables(spark, str(tmp_path), docs, [(5, "common words here"), (6, "unheard")], near)
+    found = catalog.queries()["passage_rrf"](spark, str(tmp_path))
+    assert differences(found, catalog.oracle_sql()["passage_rrf"], str(tmp_path)) == ""
+    rank = {(r.qid, r.unit): r.rank for r in found.collect()}
+    assert rank[5, 13] == 1 and rank[6, 14] == 1 and not {15, 16} & {u for _, u in rank} and len(rank) == 20
