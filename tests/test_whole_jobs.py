@@ -56,3 +56,12 @@ def test_passages_of_both_rankings(spark, tmp_path):
     assert differences(found, catalog.oracle_sql()["passage_rrf"], str(tmp_path)) == ""
     rank = {(r.qid, r.unit): r.rank for r in found.collect()}
     assert rank[5, 13] == 1 and rank[6, 14] == 1 and not {15, 16} & {u for _, u in rank} and len(rank) == 20
+
+
+def test_accuracy_reads_whole_documents(spark, tmp_path):
+    """A gold document that holds the text behind its 2,000th character is kept before ones that have some of its words at their beginning."""
+    docs = [(d, "the prison governor gave") for d in range(1, 6)] + [(9, "filler " * 500 + "the prison governor gave evidence")]
+    tables(spark, str(tmp_path), docs, [(1, "the prison governor gave evidence")], {})
+    found = catalog.queries()["retrieval_accuracy"](spark, str(tmp_path))
+    assert differences(found, catalog.oracle_sql()["retrieval_accuracy"], str(tmp_path)) == ""
+    assert [(r.qid, r.accuracy) for r in found.collect()] == [(1, 1.0)]
